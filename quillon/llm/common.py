@@ -6,6 +6,7 @@ only, so both can be done on bytes without decoding.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -166,24 +167,31 @@ def split_blobs(array: np.ndarray) -> pa.RecordBatch:
     )
 
 
-BLOOM_BITS = 27
+MOST_BLOOM_BITS = 28
 
 
-def bloom_slots(hashes: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
+def bloom_bits(keys: int) -> int:
+    """16 bits a key, between 64 KB and 32 MB.  Beyond that the filter lets more through; it never loses a key."""
+    return min(MOST_BLOOM_BITS, max(19, int(max(keys, 1) * 16 - 1).bit_length()))
+
+
+def bloom_slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     h = mix64(hashes.view(np.uint64) if hashes.dtype == np.int64 else hashes)
     return np.stack([h >> U64(64 - bits), (h >> U64(4)) & U64((1 << bits) - 1)])
 
 
-def bloom_has(bloom: np.ndarray, hashes: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
+def bloom_has(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """No false negatives; false positives cost work, never results."""
+    bits = (len(bloom) * 8 - 1).bit_length()
     out = np.ones(len(hashes), dtype=bool)
     for slot in bloom_slots(hashes, bits):
         out &= (bloom[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1
     return out
 
 
-def build_bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of 2**bits bits over one long column, built and merged on the executors."""
+def build_bloom(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter over one long column, built and merged on the executors; ``keys`` is read twice."""
+    bits = bloom_bits(keys.count())
 
     def local(batches):
         bloom = np.zeros(1 << (bits - 3), dtype=np.uint8)
@@ -213,6 +221,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table under the shared checkpoint folder and read it back: as ``saved``, but columnar and compressed."""
+    prepare(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under names of its own; other columns can't clash."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -2,15 +2,18 @@
 
 A text is a sequence of units (bytes, or words).  A window is ``width`` consecutive units of one text.  Its anchor is the
 leftmost among the grams of ``gram`` units in it with the least hash, so equal windows have equal anchors at equal places.
-Consecutive windows with the same anchor form a run, about 2 for every ``width - gram`` units.  Three steps follow:
+Consecutive windows with the same anchor form a run, about 2 for every ``width - gram`` units.  These steps follow:
 
 1. count the runs of every anchor value, and see whether their contents differ (a hash aggregate with map-side sums);
-2. read the texts again and keep the runs of anchors that occur twice.  Bloom filters of a fixed size stand for those
-   anchors; a false positive costs a row and is dropped by the exact counts of step 3;
+2. read the texts again and keep the runs of anchors that occur twice.  Bloom filters stand for those anchors; a false
+   positive costs a row and is dropped by the exact counts of step 3;
 3. runs with one and the same content are settled by counting (anchor, content).  Where an anchor has different contents,
-   one run of each content goes, with its units, to the operator's index for exact comparison.
+   each content goes once, with its units, to the operator's index, which compares them exactly.  An index gets whole
+   anchors, so equal windows always meet in one;
+4. an anchor with more than ``MOST_CONTENTS`` contents would make a large group.  Its windows are dealt out one by one
+   by a 128-bit hash of their units instead, and counted by hash aggregates.
 
-Rows that share doc_id and text are one document; rows that share doc_id alone are told apart by a hash of the text.
+Rows that share doc_id and text have one place; rows that share doc_id alone are told apart by a hash of the text.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_has, build_bloom, mix64, prefix_hash, saved, signed, sliding_min, slices, span_hash
+from .common import bloom_has, build_bloom, mix64, prefix_hash, signed, slices, sliding_min, span_hash, stored
 
-BLOOM_BITS = 26
 PLACE = np.uint64(28)
+MOST_CONTENTS = 2000
+INDEX_BYTES = 1 << 20
 
 
 def runs(units: np.ndarray, offsets: np.ndarray, width: int, gram: int):
@@ -36,14 +40,9 @@ def runs(units: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     empty = np.zeros(0, dtype=np.int64)
     if len(units) < width:
         return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    if units.dtype == np.uint8:
-        total = prefix_hash(units)
-        at = np.arange(len(units) - gram + 1)
-        grams = span_hash(total, at, at + gram)
-    else:
-        total = unit_prefix(units)
-        at = np.arange(len(units) - gram + 1)
-        grams = unit_span(total, at, at + gram)
+    total, span = prefix(units)
+    at = np.arange(len(units) - gram + 1)
+    grams = span(total, at, at + gram)
     order = ((mix64(grams) >> PLACE) << PLACE) | at.astype(np.uint64)
     anchor_at = (sliding_min(order, width - gram + 1) & np.uint64((1 << 28) - 1)).astype(np.int64)
     n = len(anchor_at)
@@ -55,7 +54,7 @@ def runs(units: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     last = np.append(first[1:], n) - 1
     keep = inside[first]
     first, last = first[keep], last[keep]
-    content = span_hash(total, first, last + width) if units.dtype == np.uint8 else unit_span(total, first, last + width)
+    content = span(total, first, last + width)
     return row[first], first, last, grams[anchor_at[first]], mix64(content ^ (anchor_at[first] - first).astype(np.uint64))
 
 
@@ -85,13 +84,19 @@ def unit_span(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix64((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
 
 
+def prefix(units: np.ndarray):
+    """Prefix sums of the units and the function that hashes spans from them."""
+    return (prefix_hash(units), span_hash) if units.dtype == np.uint8 else (unit_prefix(units), unit_span)
+
+
 #: Gives, for a slice (byte buffer, row offsets), the units and where each row's units begin.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def repeated_runs(texts: DataFrame, units_of: Units, width: int, gram: int) -> DataFrame:
-    """texts: doc_id, text, t (hash of the text).  Returns, saved: a (anchor), c (content), doc_id, t, i, j (first and last
-    window of the run, from the text's first unit), payload (its units as bytes where the anchor's contents differ).
+    """texts: doc_id, text, t (hash of both).  Returns, stored: a (anchor), c (content), doc_id, t, i, j (first and last
+    window of the run, from the text's first unit), payload (its units as bytes where the anchor's contents differ, on one
+    row at least for each content).
 
     Holds every run whose anchor occurs twice, and some others.
     """
@@ -104,35 +109,84 @@ def repeated_runs(texts: DataFrame, units_of: Units, width: int, gram: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(content))], names=["a", "c"])
 
     seen = texts.select("text").mapInArrow(count, "a long, c long").groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    twice = saved(seen.where("n > 1").select("a", (F.col("low") != F.col("high")).alias("mixed")))
+    twice = stored(seen.where("n > 1").select("a", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
     context = texts.sparkSession.sparkContext
-    any_twice = context.broadcast(build_bloom(twice.select("a"), BLOOM_BITS))
-    any_mixed = context.broadcast(build_bloom(twice.where("mixed").select("a"), BLOOM_BITS))
+    any_twice = context.broadcast(build_bloom(twice.select("a")))
+    any_mixed = context.broadcast(build_bloom(twice.where("mixed").select("a")))
 
     def emit(batches):
         for batch in batches:
             for rows, buf, offsets in slices(batch, "text"):
                 units, begins = units_of(buf, offsets)
                 row, first, last, anchor, content = runs(units, begins, width, gram)
-                pick = bloom_has(any_twice.value, anchor, BLOOM_BITS)
+                pick = bloom_has(any_twice.value, anchor)
                 row, first, last, anchor, content = row[pick], first[pick], last[pick], anchor[pick], content[pick]
-                mixed = bloom_has(any_mixed.value, anchor, BLOOM_BITS)
-                payload = [units[s : e + width].tobytes() if m else None for s, e, m in zip(first.tolist(), last.tolist(), mixed.tolist(), strict=True)]
+                payload: list[bytes | None] = [None] * len(row)
+                mixed = np.flatnonzero(bloom_has(any_mixed.value, anchor))
+                once = mixed[np.unique(content[mixed], return_index=True)[1]]
+                for k, s, e in zip(once.tolist(), first[once].tolist(), last[once].tolist(), strict=True):
+                    payload[k] = units[s : e + width].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(anchor)), pa.array(signed(content)), rows.column(0).take(pa.array(row)), rows.column(2).take(pa.array(row)),
                      pa.array(first - begins[row]), pa.array(last - begins[row]), pa.array(payload, pa.binary())],
                     names=["a", "c", "doc_id", "t", "i", "j", "payload"],
                 )
 
-    return saved(texts.select("doc_id", "text", "t").mapInArrow(emit, "a long, c long, doc_id long, t long, i long, j long, payload binary"))
+    return stored(texts.select("doc_id", "text", "t").mapInArrow(emit, "a long, c long, doc_id long, t long, i long, j long, payload binary"), "runs")
+
+
+def contents_of(found: DataFrame) -> DataFrame:
+    """Stored: a, c, n (runs with that content), at (their least doc_id, t, i), j (of the run there), payload, kinds (contents of
+    the anchor)."""
+    light = found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "i", "j")).alias("at"))
+    kinds = light.groupBy("a").agg(F.count("*").alias("kinds"))
+    units = found.where("payload is not null").groupBy("a", "c").agg(F.first("payload").alias("payload"))
+    return stored(light.join(kinds, "a").join(units, ["a", "c"], "left"), "contents")
+
+
+def members_of(found: DataFrame, contents: DataFrame) -> DataFrame:
+    """Rows of contents that occur twice, with the least place: doc_id, t, i, j, at."""
+    return found.select("a", "c", "doc_id", "t", "i", "j").join(contents.where("n > 1").select("a", "c", "at"), ["a", "c"])
+
+
+def indexed(contents: DataFrame, index) -> DataFrame:
+    """``index(list of column dictionaries' lists)`` over whole anchors: yields (row number, first, last window) for the windows
+    settled as repeated.  Returns doc_id, t, s, e (window places in the text)."""
+    several = contents.where(f"kinds between 2 and {MOST_CONTENTS}").select("a", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.t").alias("t"), F.col("at.i").alias("i"), "payload")
+    dealt = several.repartition("a").sortWithinPartitions("a", F.col("doc_id").asc_nulls_first(), "t", "i")
+
+    def run(batches):
+        for held in grouped(batches, "a", INDEX_BYTES):
+            got = list(index(held))
+            at = [k for k, _, _ in got]
+            place = [held["i"][k] for k in at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([held["doc_id"][k] for k in at], pa.int64()), pa.array([held["t"][k] for k in at], pa.int64()),
+                 pa.array([p + s for p, (_, s, _) in zip(place, got, strict=True)], pa.int64()), pa.array([p + e for p, (_, _, e) in zip(place, got, strict=True)], pa.int64())],
+                names=["doc_id", "t", "s", "e"],
+            )
 
+    return dealt.mapInArrow(run, "doc_id long, t long, s long, e long")
 
-def settled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, c, n, at, payload): every content of an anchor once, with its count and least (doc_id, t, i, j); and the rows with
-    their content's count and least place."""
-    contents = found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "i", "j")).alias("at"), F.max("payload").alias("payload"))
-    members = found.select("a", "c", "doc_id", "t", "i", "j").join(contents.where("n > 1").select("a", "c", "at"), ["a", "c"])
-    return contents, members
+
+def single_windows(contents: DataFrame, width: int, dtype) -> DataFrame:
+    """The windows of the anchors with very many contents: w1, w2 (128-bit hash), n, doc_id, t, s (place in the text)."""
+    large = contents.where(f"kinds > {MOST_CONTENTS}").select("n", F.col("at.doc_id").alias("doc_id"), F.col("at.t").alias("t"), F.col("at.i").alias("i"), "payload")
+
+    def cut(batches):
+        for batch in batches:
+            n, doc_id, t, i, payload = batch.columns
+            for k, raw in enumerate(payload.to_pylist()):
+                units = np.frombuffer(raw, dtype=dtype)
+                total, span = prefix(units)
+                at = np.arange(len(units) - width + 1)
+                half = width // 2
+                w1 = span(total, at, at + width)
+                w2 = mix64(span(total, at, at + half) * np.uint64(0x2545F4914F6CDD1D) + span(total, at + half, at + width))
+                row = pa.array(np.full(len(at), k))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), n.take(row), doc_id.take(row), t.take(row), pa.array(at + i[k].as_py())], names=["w1", "w2", "n", "doc_id", "t", "s"])
+
+    return stored(large.mapInArrow(cut, "w1 long, w2 long, n long, doc_id long, t long, s long"), "windows")
 
 
 def grouped(batches, key: str, limit: int):
@@ -153,9 +207,23 @@ def grouped(batches, key: str, limit: int):
         yield held
 
 
+def stretches(flags: np.ndarray):
+    """Maximal runs of true entries as (first, last)."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+    return zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)
+
+
+def with_spans(texts: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """texts with spans: the merged [s, e) unit ranges that the found windows cover, as arrays of starts and ends."""
+    reach = spans.select("t", "s", (F.col("e") + width).alias("e"))
+    each = reach.groupBy("t").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    return texts.join(each, "t", "left")
+
+
 def merged(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or []):
+    for x in spans or []:
+        s, e = x["s"], x["e"]
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
