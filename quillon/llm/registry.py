@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import binary_output, bpe, decontaminate, quality, secrets, substring_dedup, suffix_dedup, token_count
+from . import binary_output, bpe, decontaminate, jaccard_join, quality, secrets, substring_dedup, suffix_dedup, token_count
 
-MODULES = [quality, suffix_dedup, substring_dedup, token_count, secrets, binary_output, decontaminate, bpe]
+MODULES = [jaccard_join, quality, suffix_dedup, substring_dedup, token_count, secrets, binary_output, decontaminate, bpe]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
