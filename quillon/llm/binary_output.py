@@ -12,8 +12,6 @@ empty table gives no rows; a document longer than a row runs over several rows.
 
 from __future__ import annotations
 
-import os
-import uuid
 import zlib
 
 import numpy as np
@@ -23,41 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, byte_letters
-from .common import documents, id_text, prepare, slices
+from .common import documents, id_text, open_store, publish, shared_folder, slices
 
 LENGTH = 2048
 ROWS = 256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def open_store(uri: str):
-    """A pyarrow filesystem and the path within it."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder, which the driver and all executors share."""
-    prepare(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def publish(uri: str, write) -> None:
-    """Write a file under another name, then move it: a repeated task replaces the file by an equal one."""
-    store, path = open_store(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    draft = f"{path}.{uuid.uuid4().hex}.draft"
-    with store.open_output_stream(draft) as sink:
-        write(sink)
-    store.move(draft, path)
-
-
 def open_arrow(uri: str) -> pa.RecordBatchFileReader:
     """Memory-mapped where the store is a file system, streamed otherwise."""
     from pyarrow import fs
