@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, lowered, mix64, open_store, prefix_hash, publish, shared_folder, slices, span_hash, stored, word_spans
+from .common import documents, id_text, lowered, mix64, open_store, prefix_hash, publish, shared_folder, slices, span_hash, word_spans
 
 FOLDS = 5
 HELD_OUT = 1
@@ -225,22 +225,29 @@ def train(texts: DataFrame, bits: int, folder: str) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.nulls(1, pa.binary())] * 7, pa.array([sizes.tobytes()], pa.binary())], names=[*out.schema.names, "sizes"])
 
     def sum_words(batches):
-        for part, (words, *columns) in _parts((b.select(range(8)) for b in batches), (np.uint64, np.uint64, np.uint64, *[np.uint32] * 4)):
+        passed = []
+
+        def word_rows():
+            for batch in batches:
+                passed.append(batch.filter(batch.column(8).is_valid()).select(["part", "sizes"]))
+                yield batch.filter(batch.column(8).is_null()).select(range(8))
+
+        for part, (words, *columns) in _parts(word_rows(), (np.uint64, np.uint64, np.uint64, *[np.uint32] * 4)):
             words, columns = summed(words, [x.astype(np.uint64) for x in columns])
             write_shard(folder, "words", part, words, [(x, kind) for x, (_, kind) in zip(columns, WORD_COLUMNS, strict=True)])
             c, b = columns[1], columns[5]
             sizes = np.array([len(words), c.sum(), (c > 0).sum(), b.sum(), *((b == k).sum() for k in (1, 2, 3, 4)), (b > 3).sum()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sizes.tobytes()], pa.binary())], names=["part", "sizes"])
+        yield from passed  # what the pair shards counted, of another length
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(1 << bits, "part").sortWithinPartitions("part")
 
     pairs = texts.select("text").mapInArrow(count, "part int, x0 binary, x1 binary, x2 binary, x3 binary")
     columns = ", ".join(f"x{i} binary" for i in range(7))
-    merged = stored(dealt(pairs).mapInArrow(sum_pairs, f"part int, {columns}, sizes binary"), "pair-sums")
-    pair_sizes = {r.part: np.frombuffer(r.sizes, dtype=np.int64) for r in merged.where("sizes is not null").select("part", "sizes").collect()}
-    words = dealt(merged.where("sizes is null").drop("sizes")).mapInArrow(sum_words, "part int, sizes binary")
-    word_sizes = {r.part: np.frombuffer(r.sizes, dtype=np.int64) for r in words.collect()}
+    merged = dealt(pairs).mapInArrow(sum_pairs, f"part int, {columns}, sizes binary")
+    counted = [(r.part, np.frombuffer(r.sizes, dtype=np.int64)) for r in dealt(merged).mapInArrow(sum_words, "part int, sizes binary").collect()]
+    pair_sizes, word_sizes = ({p: x for p, x in counted if len(x) == n} for n in (5, 9))
     pair_all = sum(pair_sizes.values(), np.zeros(5, np.int64)).tolist()
     word_all = sum(word_sizes.values(), np.zeros(9, np.int64)).tolist()
     totals = {"n": word_all[1], "v": word_all[2], "types": word_all[3], "pair_counts": pair_all[1:], "word_counts": word_all[4:]}
