@@ -105,32 +105,52 @@ def scan(words: list[bytes], automata: list) -> tuple[list[tuple[int, int]], set
     return [(a, b) for a, b in merged], owners
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, spans: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, the hit spans as
-    code-point offsets into the original text (array of start/end structs).
+class Scanner:
+    """The automata of a benchmark and what they say of a text."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
+        self.items, self.automata = items, compile_automata(items, width)
+
+    def judge(self, text: bytes | None):
+        """Number of words, hit ranges, hit words, items that occur, whether contaminated."""
+        words = normal_words(text)
+        ranges, owners = scan(words, self.automata)
+        hit = sum(b - a for a, b in ranges)
+        return len(words), ranges, hit, owners, hit > 0 and 20 * hit >= len(words)
+
 
-    The benchmark's windows are collected to build the automata: a benchmark is a fixed list of test items, read whole.
+def _scanner(docs: DataFrame, benchmark: DataFrame, width: int):
+    """A function that gives the worker's scanner, built when first asked for.
+
+    The benchmark's texts are collected to build the automata: a benchmark is a fixed list of test items, read whole.
     """
-    spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()
     items = sorted(((i, normal_words(t)) for i, t in rows if i is not None), key=lambda x: x[0])
-    shared = spark.sparkContext.broadcast(pickle.dumps(items))
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(items))
     cache: dict = {}
 
-    def run(batches):
+    def get() -> Scanner:
         if not cache:
-            cache["items"] = pickle.loads(shared.value)
-            cache["automata"] = compile_automata(cache["items"], width)
-        items, automata = cache["items"], cache["automata"]
+            cache["scanner"] = Scanner(pickle.loads(shared.value), width)
+        return cache["scanner"]
+
+    return get
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, spans: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, the hit spans as
+    code-point offsets into the original text (array of start/end structs)."""
+    scanner = _scanner(docs, benchmark, width)
+
+    def run(batches):
+        judge, items = scanner().judge, scanner().items
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             found_spans = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = normal_words(text)
-                ranges, owners = scan(words, automata)
-                hit = sum(b - a for a, b in ranges)
+                n, ranges, hit, owners, bad = judge(text)
                 ids = sorted({items[k][0] for k in owners})
-                for column, value in zip(out, (len(words), hit, len(owners), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and 20 * hit >= len(words)), strict=True):
+                for column, value in zip(out, (n, hit, len(owners), hashlib.sha256(",".join(ids).encode()).hexdigest(), bad), strict=True):
                     column.append(value)
                 if spans:
                     at = original_offsets(text.decode()) if ranges else []
@@ -146,6 +166,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """The rows of docs that aren't contaminated, in one pass without an exchange."""
+    scanner, at = _scanner(docs, benchmark, width), docs.columns.index(text_col)
+
+    def run(batches):
+        judge = scanner().judge
+        for batch in batches:
+            yield batch.filter(pa.array([not judge(t)[4] for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -44,13 +44,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def group_column(docs: DataFrame, name: str) -> Column:
+    return F.col(f"`{name}`").cast("string") if name in docs.columns else F.lit(None).cast("string")
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A hash of all that a verdict depends on."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), group_column(docs, "lang"), group_column(docs, "source"))
+
+
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """doc_id, the kept columns (null where the table lacks them), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    own = [F.col(f"`{c}`").cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in keep]
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *own, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    """doc_id, row (see ``row_key``), the kept columns (null where the table lacks them), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    own = [group_column(docs, c).alias(c) for c in keep]
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(docs, id_col, text_col).alias("row"), *own, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     worded = texts.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), ""))
     hashed = worded.select(
-        "doc_id", *keep,
+        "doc_id", "row", *keep,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -71,7 +80,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     counted = hashed.select(
-        "doc_id", *keep, "n_words", "word_chars", "n_symbols",
+        "doc_id", "row", *keep, "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), covered(F.col("windows"))).otherwise(0).cast("long").alias("n_repeat_words"),
     )
@@ -158,7 +167,7 @@ def robust_distances(rows: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (squared)."""
+    """doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (squared)."""
     counts = saved(base_counts(docs, id_col, text_col))
     sizes = counts.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("lang_size", F.sum("size").over(Window.partitionBy("lang")))
@@ -168,15 +177,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     groups = sizes.crossJoin(whole).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), named.alias("g"), F.array(own, of_lang, of_all).alias("pools"))
     grouped = counts.join(groups, counts.lang.eqNullSafe(groups.g_lang) & counts.source.eqNullSafe(groups.g_source), "left")
     vector = [F.when(~F.col("base_failed"), F.expr(v)).alias(x) for x, v in zip(X, VECTOR, strict=True)]
-    rows = grouped.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g", "pools", *vector)
+    rows = grouped.select("doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g", "pools", *vector)
     measured = robust_distances(rows.where("not base_failed"))
-    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = ["doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     kept = measured.select(*out, F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)).alias("kept"), F.col("d2").alias("distance"))
     return kept.unionByName(rows.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
 
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept."""
+    good = judge(docs, id_col, text_col).where("kept").select(F.col("row").alias("__row")).distinct()
+    marked = docs.withColumn("__row", row_key(docs, id_col, text_col))
+    return marked.join(good, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir))
+    return judge(documents(spark, sf_dir)).drop("row")
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}

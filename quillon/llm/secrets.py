@@ -158,9 +158,8 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_<base kind>..., base_sha256, spans (kind:start:end, comma-joined), found (array of start, place, end, kind)."""
-    texts = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+def scanned(texts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """texts (doc_id, text without nulls, others) with a column s_<kind> of spans for every rule."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for clause in q for need in clause for g in need})
     joined = texts
@@ -172,29 +171,49 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for r in rules:
         test = F.col(f"may_{r.kind}") if r.kind in queries else F.col("text").rlike(r.pattern)
         columns.append(F.when(F.coalesce(test, F.lit(False)), F.expr(spans_sql(r))).otherwise(none).alias(f"s_{r.kind}"))
-    found = joined.select("doc_id", "text", *columns)
+    return joined.select(*texts.columns, *columns)
+
+
+def gathered(rules: list[Rule], only_base: bool = False) -> str:
+    """SQL for all spans as one sorted array of start, place, end, kind."""
+    parts = [f"transform(s_{r.kind}, s -> struct(s.start as start, {i} as place, s.end as end, '{r.kind}' as kind))" for i, r in enumerate(rules) if r.base or not only_base]
+    return f"sort_array(concat({', '.join(parts)}))"
 
-    def gathered(only_base: bool) -> str:
-        parts = [f"transform(s_{r.kind}, s -> struct(s.start as start, {i} as place, s.end as end, '{r.kind}' as kind))" for i, r in enumerate(rules) if r.base or not only_base]
-        return f"sort_array(concat({', '.join(parts)}))"
 
-    joined_text = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
-    out = found.select("doc_id", *(["text"] if keep_text else []), *[F.size(f"s_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules if r.base], F.expr(gathered(True)).alias("base_found"), F.expr(gathered(False)).alias("found"))
-    return out.select(
-        "doc_id", *(["text"] if keep_text else []), *[f"n_{r.kind}" for r in rules if r.base],
-        F.sha2(F.expr(joined_text.format("base_found")), 256).alias("base_sha256"), F.expr(joined_text.format("found")).alias("spans"), "found",
-    )
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+    """doc_id, n_<base kind>..., base_sha256, spans (kind:start:end, comma-joined)."""
+    texts = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    counts = [F.size(f"s_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
+    out = scanned(texts, rules).select("doc_id", *counts, F.expr(gathered(rules, True)).alias("base_found"), F.expr(gathered(rules)).alias("found"))
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    return out.select("doc_id", *[f"n_{r.kind}" for r in rules if r.base], F.sha2(F.expr(joined.format("base_found")), 256).alias("base_sha256"), F.expr(joined.format("found")).alias("spans"))
 
 
-def redacted_sql(text: str, found: str, mark: str = "[SECRET]") -> str:
-    """The text with every stretch of (sorted, possibly overlapping) spans replaced by one mark."""
+def redacted(text: str, found: str, mark: str) -> str:
+    """SQL for the text with every stretch of (sorted, possibly overlapping) spans replaced by one mark."""
     return f"""aggregate({found}, struct(0 as at, '' as done), (a, s) -> struct(greatest(a.at, s.end) as at,
         if(s.start >= a.at, concat(a.done, substring({text}, a.at + 1, s.start - a.at), '{mark}'), a.done) as done),
         a -> concat(a.done, substring({text}, a.at + 1)))"""
 
 
+def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, mark: str = "[SECRET]", length_col: str = "n_chars") -> DataFrame:
+    """The rows of docs with the secrets in their texts marked out; a column of lengths follows the text."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{text_col}`").isNull().alias("no_text"), others.alias("others"))
+    found = scanned(texts, rules).select("*", F.expr(gathered(rules)).alias("found"))
+    done = found.select("others", "found", F.when(~F.col("no_text"), F.when(F.size("found") > 0, F.expr(redacted("text", "found", mark))).otherwise(F.col("text"))).alias("text"))
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("text").alias(c)
+        own = F.col("others").getField(c)
+        if c == length_col:
+            own = F.when(F.size("found") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+    return done.select(*[column(c) for c in docs.columns])
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(documents(spark, sf_dir)).drop("found")
+    return find_secrets(documents(spark, sf_dir))
 
 
 QUERIES = {"op7_secret_scan": op7_secret_scan}
