@@ -1,2 +1,495 @@
-QUERIES = {}
-ORACLE = {}
+"""The engine's queries on the driver's tables, each with the SQL that gives the same rows.
+
+``catalogue`` derives media records from the embeddings table; ``CAT`` is the same in SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+from ..functions import sampling as S
+from ..functions import vectors as V
+from ..functions import words
+from ..operators import ann, maintain, results, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("vector_id"), "embedding", "label")
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media records over the vectors."""
+    v = F.col("vector_id")
+    df = embeddings(spark, sf_dir).withColumn("media_type", F.when(v % 5 == 3, "video").when(v % 5 == 4, "document").otherwise("image"))
+    df = df.withColumn("folder", F.concat(F.lit("/lib/f"), (v % 12).cast("string")))
+    document = F.col("media_type") == "document"
+    df = df.withColumn("parent_document", F.when(document, F.concat("folder", F.lit("/doc"), v.cast("string"), F.lit(".pdf"))))
+    df = df.withColumn("page_number", F.when(document, (v % 7 + 1).cast("int")))
+    path = F.when(document, P.page_path(F.col("parent_document"), F.col("page_number"))).when(F.col("media_type") == "video", F.concat("folder", F.lit("/sub/v"), v.cast("string"), F.lit(".mp4"))).otherwise(F.concat("folder", F.lit("/i"), v.cast("string"), F.lit(".jpg")))
+    df = df.withColumn("file_path", path)
+    video = F.col("media_type") == "video"
+    return df.select(
+        "vector_id", "label", "embedding", "media_type", "folder", "file_path", "parent_document", "page_number",
+        (1000 + (v * 37) % 5000).cast("long").alias("file_size"), (1700000000 + v * 60).cast("double").alias("file_mtime"),
+        F.concat(F.lit("/thumbs/"), P.thumbnail_name(F.col("file_path"))).alias("thumbnail_path"),
+        F.when(video, (v % 117 + 4).cast("int")).alias("frame_count"), F.when(video, (v % 117 + 4).cast("double") / 2).alias("duration_seconds"),
+        (v % 17 != 0).alias("on_disk"), (v % 23 == 5).alias("is_tombstoned"),
+    )
+
+
+CAT = """
+base as (select vec_id as vector_id, label, embedding, case vec_id % 5 when 3 then 'video' when 4 then 'document' else 'image' end as media_type, concat('/lib/f', cast(vec_id % 12 as varchar)) as folder from embeddings),
+named as (select *, case when media_type = 'document' then concat(folder, '/doc', cast(vector_id as varchar), '.pdf') end as parent_document, case when media_type = 'document' then cast(vector_id % 7 + 1 as int) end as page_number from base),
+pathed as (select *, case media_type when 'document' then concat(parent_document, '#page=', cast(page_number as varchar)) when 'video' then concat(folder, '/sub/v', cast(vector_id as varchar), '.mp4') else concat(folder, '/i', cast(vector_id as varchar), '.jpg') end as file_path from named),
+cat as (select vector_id, label, embedding, media_type, folder, file_path, parent_document, page_number, cast(1000 + (vector_id * 37) % 5000 as bigint) as file_size, cast(1700000000 + vector_id * 60 as double) as file_mtime,
+  concat('/thumbs/', substring(md5(file_path), 1, 16), '.jpg') as thumbnail_path, case when media_type = 'video' then cast(vector_id % 117 + 4 as int) end as frame_count,
+  case when media_type = 'video' then cast(vector_id % 117 + 4 as double) / 2.0 end as duration_seconds, vector_id % 17 <> 0 as on_disk, vector_id % 23 = 5 as is_tombstoned from pathed)"""
+
+
+def dot(a: str, b: str) -> str:
+    return f"list_dot_product({a}::double[], {b}::double[])"
+
+
+def top(number: int, k: int, where: str = "true") -> str:
+    """SQL: records with the score against one stored vector, ranked, the best k."""
+    return f"""(select *, row_number() over (order by score desc, vector_id) as rank from
+  (select c.*, {dot('c.embedding', 'q.embedding')} as score from cat c, (select embedding from cat where vector_id = {number}) q where {where}) order by score desc, vector_id limit {k})"""
+
+
+COLUMNS = ("vector_id", "file_path", "media_type", "rank")
+
+
+def shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*COLUMNS, *more, F.round("score", 6).alias("score"))
+
+
+def sql_shown(source: str, *more: str, ctes: str = "") -> str:
+    return f"with {CAT}{ctes} select {', '.join((*COLUMNS, *more))}, round(score, 6) as score from {source}"
+
+
+def hits(spark: SparkSession, sf_dir: str, number: int, k: int, where=None) -> DataFrame:
+    """Result set for one stored vector."""
+    cat = catalogue(spark, sf_dir)
+    some = cat.where(where) if where is not None else cat
+    return search.with_records(search.flat_topk(some, search.stored_vector(embeddings(spark, sf_dir), number), k), cat)
+
+
+# ---- search ----
+
+
+@query(f"with {CAT} select vector_id, rank, round(score, 6) as score from {top(0, 10)}")
+def flat_topk(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    return search.flat_topk(v, search.stored_vector(v, 0), 10).select("vector_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(sql_shown(f"{top(0, 10)} where on_disk"))
+def flat_topk_join(spark, sf_dir):
+    cat = catalogue(spark, sf_dir)
+    found = search.flat_topk(cat, search.stored_vector(cat, 0), 10)
+    on_disk = cat.where("on_disk").select(F.coalesce("parent_document", "file_path").alias("path"))
+    return shown(search.with_records(found, cat, on_disk))
+
+
+@query(f"""select query_id, vector_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, vector_id) as rank from
+  (select q.vec_id as query_id, v.vec_id as vector_id, {dot('q.embedding', 'v.embedding')} as score from embeddings q, embeddings v where q.vec_id % 20 = 0)) where rank <= 10""")
+def batch_topk(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    found = search.batch_topk(v, v.where("vector_id % 20 = 0").withColumnRenamed("vector_id", "query_id"), 10)
+    return found.select("query_id", "vector_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _post(spark, sf_dir):
+    return hits(spark, sf_dir, 0, 50).where("on_disk and not is_tombstoned")
+
+
+@query(sql_shown(f"{top(0, 50)} where on_disk and not is_tombstoned"))
+def post_filter_search(spark, sf_dir):
+    return shown(_post(spark, sf_dir))
+
+
+@query(sql_shown(top(0, 50, "on_disk and not is_tombstoned")))
+def pre_filter_search(spark, sf_dir):
+    return shown(hits(spark, sf_dir, 0, 50, F.expr("on_disk and not is_tombstoned")))
+
+
+def _kind_query(kind: str, types: str) -> None:
+    def f(spark, sf_dir):
+        return shown(results.of_kind(hits(spark, sf_dir, 0, 50), kind))
+
+    f.__name__ = f"type_filter_{kind}"
+    query(sql_shown(f"{top(0, 50)} where media_type in ({types})"))(f)
+
+
+for _kind, _types in {"images": "'image'", "videos": "'video'", "documents": "'document'", "media": "'image', 'video'", "all": "'image', 'video', 'document'"}.items():
+    _kind_query(_kind, _types)
+
+
+@query(sql_shown(f"{top(7, 100)} where score >= 0.1"))
+def score_filter(spark, sf_dir):
+    return shown(results.above(hits(spark, sf_dir, 7, 100), 0.1))
+
+
+@query(sql_shown(top(7, 400)))
+def score_filter_off(spark, sf_dir):
+    return shown(results.above(hits(spark, sf_dir, 7, 400), 0.0))
+
+
+@query(sql_shown(f"{top(7, 100)} where score >= 0.15 order by rank limit 20"))
+def filter_by_score_node(spark, sf_dir):
+    return shown(results.filter_by_score(hits(spark, sf_dir, 7, 100), 0.15, 20))
+
+
+@query(f"""with {CAT}, c as (select vector_id, embedding, {dot('embedding', '(select embedding from cat where vector_id = 0)')} as score from cat order by score desc, vector_id limit 150),
+kept as (select vector_id, score from c where not exists (select 1 from cat n where n.vector_id in (11, 365) and {dot('c.embedding', 'n.embedding')} >= 0.15))
+select vector_id, row_number() over (order by score desc, vector_id) as rank, round(score, 6) as score from kept order by score desc, vector_id limit 50""")
+def exclusion(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    found = search.exclude(v, search.stored_vector(v, 0), [search.stored_vector(v, n) for n in (11, 365)], 0.15, 50)
+    return found.select("vector_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _multi(normalise: bool) -> str:
+    score = "case when high > low then (score - low) / (high - low) else 0.0 end" if normalise else "score"
+    sets = " union all ".join(f"select *, {i} as s from {top(7, 50, f'c.vector_id % 3 <> {i}')}" for i in range(3))
+    return f"""with {CAT}, sets as ({sets}), scaled as (select * replace ({score} as score) from (select *, min(score) over (partition by s) as low, max(score) over (partition by s) as high from sets)),
+one as (select * from (select *, row_number() over (partition by file_path order by score desc, s, vector_id) as place from scaled) where place = 1)
+select vector_id, file_path, media_type, row_number() over (order by score desc, file_path) as rank, round(score, 6) as score from one order by score desc, file_path limit 50"""
+
+
+def _multi_query(spark, sf_dir, normalise):
+    sets = [hits(spark, sf_dir, 7, 50, F.col("vector_id") % 3 != i) for i in range(3)]
+    return shown(search.merge_indexes(sets, 50, normalise))
+
+
+@query(_multi(True))
+def multi_index_norm(spark, sf_dir):
+    return _multi_query(spark, sf_dir, True)
+
+
+@query(_multi(False))
+def multi_index_raw(spark, sf_dir):
+    return _multi_query(spark, sf_dir, False)
+
+
+# ---- result sets ----
+
+PAIR = f", a as (select * from {top(0, 40)}), b as (select * from {top(7, 40)})"
+
+
+def _pair(spark, sf_dir):
+    return hits(spark, sf_dir, 0, 40), hits(spark, sf_dir, 7, 40)
+
+
+@query(f"""with {CAT}{PAIR}, u as (select *, 0 as side from a union all select *, 1 from b), p as (select *, row_number() over (partition by file_path order by score desc, side, rank) as place,
+  min(side * 1000 + rank) over (partition by file_path) as seen from u)
+select vector_id, file_path, media_type, row_number() over (order by score desc, seen, file_path) as rank, round(score, 6) as score from p where place = 1""")
+def combine_union(spark, sf_dir):
+    return shown(results.union(*_pair(spark, sf_dir)))
+
+
+@query(f"""with {CAT}{PAIR}, i as (select a.vector_id, a.file_path, a.media_type, (a.score + b.score) / 2 as score from a join b using (file_path))
+select vector_id, file_path, media_type, row_number() over (order by score desc, file_path) as rank, round(score, 6) as score from i""")
+def combine_intersection(spark, sf_dir):
+    return shown(results.intersection(*_pair(spark, sf_dir)))
+
+
+@query(f"""with {CAT}{PAIR}, u as (select *, 0 as side from a union all select *, 1 from b)
+select vector_id, file_path, media_type, row_number() over (order by side, rank) as rank, round(score, 6) as score from u order by side, rank limit 60""")
+def combine_concat(spark, sf_dir):
+    return shown(results.concat(*_pair(spark, sf_dir), most=60))
+
+
+_CUT = "list_transform(embedding[1:16], lambda x: x::double)"
+_UNIT = f"(select vector_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from (select vector_id, {_CUT} as v from cat))"
+
+
+@query(f"""with {CAT}, t as {_UNIT}, s as (select t.vector_id, list_dot_product(t.v, q.v) as score from t, (select v from t where vector_id = 0) q)
+select vector_id, row_number() over (order by score desc, vector_id) as rank, round(score, 6) as score from s order by score desc, vector_id limit 50""")
+def matryoshka_topk(spark, sf_dir):
+    return _matryoshka(spark, sf_dir).select("vector_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _matryoshka(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    short = v.select("vector_id", V.truncate(F.col("embedding"), 16).alias("embedding"))
+    return search.flat_topk(short, search.stored_vector(short, 0), 50)
+
+
+@query(f"""with {CAT}, t as {_UNIT}, s as (select t.vector_id, list_dot_product(t.v, q.v) as score from t, (select v from t where vector_id = 0) q),
+first as (select vector_id, row_number() over (order by score desc, vector_id) as rank from s order by score desc, vector_id limit 50),
+second as (select f.vector_id, f.rank as before, 1 / (1 + exp(-10 * {dot('c.embedding', 'q.embedding')})) as score from first f join cat c using (vector_id), (select embedding from cat where vector_id = 0) q)
+select vector_id, row_number() over (order by score desc, before) as rank, round(score, 6) as score from second order by score desc, before limit 10""")
+def rerank_two_stage(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    found = results.rerank_by_vector(_matryoshka(spark, sf_dir), v.select("vector_id", "embedding"), search.stored_vector(v, 0), 10)
+    return found.select("vector_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {CAT}, h as (select * from {top(0, 50)})
+select string_agg(file_path || chr(9) || printf('%.4f', score), ', ' order by rank) as comma_text, string_agg(file_path || chr(9) || printf('%.4f', score), chr(10) order by rank) as line_text from h""")
+def result_paths(spark, sf_dir):
+    return results.paths(hits(spark, sf_dir, 0, 50), 50, True)
+
+
+@query(f"with {CAT} select rank, file_path, cast((rank - 1) % 5 * 256 as int) as x, (rank - 1) // 5 * 256 as y, printf('%.3f', score) as label from {top(0, 50)} where rank <= 23")
+def preview_grid(spark, sf_dir):
+    return results.preview(hits(spark, sf_dir, 0, 50), 5, 256, 23).select("rank", "file_path", "x", F.col("y").cast("long").alias("y"), "label")
+
+
+# ---- lookups and filters ----
+
+
+@query(f"with {CAT} select vector_id, file_path, file_size from cat where file_path = '/lib/f0/i0.jpg' or vector_id = 42")
+def point_lookup(spark, sf_dir):
+    return catalogue(spark, sf_dir).where((F.col("file_path") == "/lib/f0/i0.jpg") | (F.col("vector_id") == 42)).select("vector_id", "file_path", "file_size")
+
+
+@query(f"with {CAT} select vector_id, file_path, file_size from cat where vector_id in (3, 4, 99, 498, 123456)")
+def batch_lookup(spark, sf_dir):
+    ids = spark.createDataFrame([(i,) for i in (3, 4, 99, 498, 123456)], "vector_id long")
+    return catalogue(spark, sf_dir).join(F.broadcast(ids), "vector_id").select("vector_id", "file_path", "file_size")
+
+
+@query(f"with {CAT} select vector_id, file_path from cat where file_path like '/lib/f1/%'")
+def prefix_recursive(spark, sf_dir):
+    return maintain.in_folder(catalogue(spark, sf_dir), "/lib/f1/").select("vector_id", "file_path")
+
+
+@query(f"with {CAT} select vector_id, file_path from cat where file_path like '/lib/f1/%' and file_path not like '/lib/f1/%/%'")
+def prefix_direct(spark, sf_dir):
+    return maintain.in_folder(catalogue(spark, sf_dir), "/lib/f1", recursive=False).select("vector_id", "file_path")
+
+
+@query(f"with {CAT} select vector_id, file_path from cat where lower(file_path) like '/lib/f1%'")
+def prefix_legacy(spark, sf_dir):
+    return maintain.in_folder(catalogue(spark, sf_dir), "/LIB/f1", legacy_like=True).select("vector_id", "file_path")
+
+
+@query(f"with {CAT} select vector_id, file_path, case when media_type = 'document' then regexp_extract(file_path, '#page=(\\d+)$', 1)::int end as page, case when media_type = 'document' then regexp_extract(file_path, '^(.*)#page=', 1) end as document from cat")
+def page_path_parse(spark, sf_dir):
+    path = F.col("file_path")
+    return catalogue(spark, sf_dir).select("vector_id", "file_path", P.page_of(path).alias("page"), P.document_of(path).alias("document"))
+
+
+@query(f"with {CAT}, d as (select parent_document as path, least(page_number, 5) as n from cat where parent_document is not null) select path as parent_document, cast(p as int) as page_number, path || '#page=' || p as file_path from d, unnest(range(1, n + 1)) as t(p)")
+def page_expand(spark, sf_dir):
+    from ..sources.media import page_rows
+
+    documents = catalogue(spark, sf_dir).where("parent_document is not null").select(F.col("parent_document").alias("path"), F.col("page_number").alias("page_count"))
+    return page_rows(documents, 5)
+
+
+@query(f"with {CAT} select vector_id, substring(md5(file_path), 1, 16) || '.jpg' as name from cat")
+def thumb_name(spark, sf_dir):
+    return catalogue(spark, sf_dir).select("vector_id", P.thumbnail_name(F.col("file_path")).alias("name"))
+
+
+# ---- sampling ----
+
+_SIZES = "(select vec_id, cast(vec_id % 240 as int) as total, cast(100 + vec_id * 37 % 2000 as int) as w, cast(80 + vec_id * 53 % 1700 as int) as h from embeddings)"
+
+
+def sizes(spark, sf_dir):
+    v = F.col("vector_id")
+    return embeddings(spark, sf_dir).select(v.alias("vec_id"), (v % 240).cast("int").alias("total"), (100 + v * 37 % 2000).cast("int").alias("w"), (80 + v * 53 % 1700).cast("int").alias("h"))
+
+
+@query(f"""with s as {_SIZES}, n as (select *, greatest(least(32, total), least(4, total)) as n from s)
+select vec_id, case when n = 1 then '0' when n = 0 then '' else array_to_string(list_transform(range(n), lambda i: case when i = n - 1 then total - 1 else cast(trunc(i * ((total - 1)::double / (n - 1))) as int) end), ',') end as frames from n""")
+def frame_indices_uniform(spark, sf_dir):
+    return sizes(spark, sf_dir).select("vec_id", F.array_join(S.uniform_indices(F.col("total"), 32, 4).cast("array<string>"), ",").alias("frames"))
+
+
+@query(f"""with s as {_SIZES}, f as (select *, 1.0::double + vec_id % 30 as fps from s), i as (select vec_id, range(0, total, greatest(1, cast(trunc(fps / 2.0) as int)))[1:20] as l, total from f)
+select vec_id, array_to_string(case when total > 0 and len(l) < 4 then list_concat(l, list_transform(range(4 - len(l)), lambda x: l[len(l)])) else l end, ',') as frames from i""")
+def frame_indices_fps(spark, sf_dir):
+    fps = 1.0 + F.col("vec_id") % 30
+    return sizes(spark, sf_dir).select("vec_id", F.array_join(S.padded(S.fps_indices(F.col("total"), fps, 2.0, 20), 4).cast("array<string>"), ",").alias("frames"))
+
+
+@query(f"select vec_id, greatest(0, least(cast(trunc(total * 0.1::double) as int), total - 1)) as keyframe from {_SIZES}")
+def keyframe_index(spark, sf_dir):
+    return sizes(spark, sf_dir).select("vec_id", S.keyframe_index(F.col("total")).alias("keyframe"))
+
+
+@query(f"""select vec_id, case when w <= 768 and h <= 768 then w when w > h then 768 else cast(trunc(w * (768.0::double / h)) as int) end as width,
+case when w <= 768 and h <= 768 then h when w > h then cast(trunc(h * (768.0::double / w)) as int) else 768 end as height from {_SIZES}""")
+def thumb_size(spark, sf_dir):
+    return sizes(spark, sf_dir).select("vec_id", S.thumbnail_size(F.col("w"), F.col("h")).alias("s")).select("vec_id", "s.width", "s.height")
+
+
+@query(f"""select vec_id, case when w * h > 262144 then greatest(28, cast(trunc(w * sqrt(262144.0::double / (w * h))) as int) // 28 * 28) else w end as width,
+case when w * h > 262144 then greatest(28, cast(trunc(h * sqrt(262144.0::double / (w * h))) as int) // 28 * 28) else h end as height from {_SIZES}""")
+def frame_resize(spark, sf_dir):
+    return sizes(spark, sf_dir).select("vec_id", S.frame_size(F.col("w"), F.col("h")).alias("s")).select("vec_id", "s.width", "s.height")
+
+
+@query("select label, cast(pos - 1 as int) as pos, round(avg(x), 6) as mean from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings) group by all")
+def chunk_mean_vector(spark, sf_dir):
+    return V.mean_vector(embeddings(spark, sf_dir), ["label"]).select("label", "pos", F.round("mean", 6).alias("mean"))
+
+
+# ---- maintenance ----
+
+_SCAN = "scan as (select file_path as path, file_mtime as mtime, file_size + case when vector_id % 10 = 0 then 1 else 0 end as size from cat where on_disk union all select '/new' || file_path, file_mtime, file_size from cat where vector_id % 25 = 0)"
+
+
+def scan(spark, sf_dir):
+    cat = catalogue(spark, sf_dir)
+    changed = F.when(F.col("vector_id") % 10 == 0, 1).otherwise(0)
+    old = cat.where("on_disk").select(F.col("file_path").alias("path"), F.col("file_mtime").alias("mtime"), (F.col("file_size") + changed).alias("size"))
+    return old.unionByName(cat.where("vector_id % 25 = 0").select(F.concat(F.lit("/new"), "file_path").alias("path"), F.col("file_mtime").alias("mtime"), F.col("file_size").alias("size")))
+
+
+@query(f"with {CAT}, {_SCAN} select path, mtime, size from scan s where not exists (select 1 from cat c where c.file_path = s.path and c.file_mtime = s.mtime and c.file_size = s.size)")
+def needs_update(spark, sf_dir):
+    return maintain.needs_update(scan(spark, sf_dir), catalogue(spark, sf_dir))
+
+
+@query(f"with {CAT} select vector_id, file_path from cat c where not exists (select 1 from cat f where f.on_disk and coalesce(f.parent_document, f.file_path) = coalesce(c.parent_document, c.file_path))")
+def stale_records(spark, sf_dir):
+    cat = catalogue(spark, sf_dir)
+    files = cat.where("on_disk").select(F.coalesce("parent_document", "file_path").alias("path")).distinct()
+    return maintain.stale(cat, files).select("vector_id", "file_path")
+
+
+@query(f"with {CAT} select substring(md5(file_path), 1, 16) || '.jpg' as name from cat where is_tombstoned")
+def orphan_thumbs(spark, sf_dir):
+    cat = catalogue(spark, sf_dir)
+    return maintain.orphans(cat.select(P.thumbnail_name(F.col("file_path")).alias("name")), cat.where("not is_tombstoned"))
+
+
+_CHANGES = "changes as (select vector_id + 1000000 as vector_id, case when vector_id % 20 = 0 then '/new' || file_path else file_path end as file_path, file_size + 5 as file_size from cat where vector_id % 10 = 0)"
+
+
+def changes(spark, sf_dir):
+    path = F.when(F.col("vector_id") % 20 == 0, F.concat(F.lit("/new"), "file_path")).otherwise(F.col("file_path"))
+    return catalogue(spark, sf_dir).where("vector_id % 10 = 0").select((F.col("vector_id") + 1000000).alias("vector_id"), path.alias("file_path"), (F.col("file_size") + 5).alias("file_size"))
+
+
+@query(f"with {CAT}, {_CHANGES} select vector_id, file_path, file_size from cat where file_path not in (select file_path from changes) union all select * from changes")
+def upsert_records(spark, sf_dir):
+    return maintain.upsert(catalogue(spark, sf_dir).select("vector_id", "file_path", "file_size"), changes(spark, sf_dir)).select("vector_id", "file_path", "file_size")
+
+
+@query(f"with {CAT}, {_CHANGES} select c.vector_id from cat c join changes using (file_path)")
+def upsert_tombstones(spark, sf_dir):
+    return maintain.superseded(catalogue(spark, sf_dir), changes(spark, sf_dir))
+
+
+@query(f"with {CAT} select vector_id, case when file_path like '/lib/f2/%' then 'tombstone' else 'record' end as kind from cat")
+def remove_folder(spark, sf_dir):
+    cat = catalogue(spark, sf_dir)
+    left, dead = maintain.remove(cat, maintain.in_folder(cat, "/lib/f2"))
+    return left.select("vector_id", F.lit("record").alias("kind")).unionByName(dead.withColumn("kind", F.lit("tombstone")))
+
+
+@query("""select count(*) as total, count(distinct case when vec_id % 23 = 5 then vec_id end) as deleted, round(100.0::double * count(case when vec_id % 23 = 5 then 1 end) / count(*), 2) as wasted_percent,
+round(100.0::double * count(case when vec_id % 23 = 5 then 1 end) / count(*), 2) > 10 or count(case when vec_id % 23 = 5 then 1 end) > 1000 as needed from embeddings""")
+def compaction_advice(spark, sf_dir):
+    cat = catalogue(spark, sf_dir)
+    dead = cat.where("is_tombstoned").select("vector_id")
+    return maintain.compaction_advice(cat, dead.union(dead))
+
+
+@query(f"with {CAT} select vector_id as old, row_number() over (order by vector_id) - 1 as new from cat where not is_tombstoned")
+def compact_id_map(spark, sf_dir):
+    return maintain.dense_ids(catalogue(spark, sf_dir).where("not is_tombstoned"))
+
+
+@query(f"""with {CAT}, m as (select vector_id, row_number() over (order by vector_id) - 1 as new from cat where not is_tombstoned)
+select m.new as vector_id, file_path, row_number() over (order by score desc, m.new) as rank, round(score, 6) as score from {top(0, 10, 'not is_tombstoned')} join m using (vector_id)""")
+def compact_search(spark, sf_dir):
+    cat = catalogue(spark, sf_dir)
+    records, vectors, _ = maintain.compact(cat.where("not is_tombstoned").select("vector_id", "file_path", "parent_document"), cat.select("vector_id", "embedding"))
+    found = search.with_records(search.flat_topk(vectors, search.stored_vector(cat, 0), 10), records)
+    return found.select("vector_id", "file_path", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {CAT}, live as (select * from cat where not is_tombstoned) select count(*) as records, count(*) filter (media_type = 'image') as images, count(*) filter (media_type = 'video') as videos, count(*) filter (media_type = 'document') as documents,
+round(sum(file_size)::double / 1048576, 2) as size_mb, (select count(*) from cat) as total, (select count(*) from cat where is_tombstoned) as deleted,
+round(100.0::double * (select count(*) from cat where is_tombstoned) / (select count(*) from cat), 2) as wasted_percent, (select max(vector_id) from cat) as max_vector_id, 2::bigint as folders, '/lib/f1, /lib/f0' as folder_list from live""")
+def index_stats(spark, sf_dir):
+    cat = catalogue(spark, sf_dir)
+    folders = spark.sql("select '/lib/f0' as folder_path, timestamp'2024-01-02 00:00:00' as added_at union all select '/lib/f1', timestamp'2024-01-01 00:00:00'")
+    return maintain.stats(cat.where("not is_tombstoned"), cat, cat.where("is_tombstoned").select("vector_id"), folders).drop("needed")
+
+
+@query("select event_type as stage, count(value) as n, round(avg(value), 6) as mean, round(sum(value), 4) as total, round(count(value) / sum(value), 6) as rate from events group by event_type")
+def stage_profile(spark, sf_dir):
+    return maintain.stage_profile(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value")
+
+
+# ---- text by hashed vectors ----
+
+_HASHED = """w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents),
+c as (select doc_id, ('0x' || substring(md5(word), 1, 8))::bigint % 64 as bucket, count(*) as n from w group by all),
+h as (select doc_id, bucket, n / sqrt(sum(n * n) over (partition by doc_id)) as weight from c)"""
+
+
+@query(f"with {_HASHED}, s as (select o.doc_id, sum(o.weight * q.weight) as score from h o join h q on q.doc_id = 3 and o.bucket = q.bucket group by o.doc_id) select doc_id, round(score, 6) as score from s order by s.score desc, doc_id limit 20")
+def text_hash_topk(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    exact = words.hashed_text(docs, "doc_id")
+    asked = words.hashed_text(docs.where("doc_id = 3"), "doc_id").select("bucket", F.col("weight").alias("q"))
+    scored = exact.join(F.broadcast(asked), "bucket").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {_HASHED}, s as (select q.doc_id as query_id, o.doc_id, sum(o.weight * q.weight) as score from h q join h o on o.bucket = q.bucket and o.doc_id <> q.doc_id where q.doc_id % 20 = 0 group by all)
+select query_id, doc_id, round(score, 5) as score from s where round(score, 5) >= 0.995""")
+def text_near_dup(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sparse = words.hashed_text(docs, "doc_id")
+    asked = sparse.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("q"))
+    scored = asked.join(sparse, "bucket").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    return scored.select("query_id", "doc_id", F.round("score", 5).alias("score")).where("score >= 0.995")
+
+
+# ---- approximate search ----
+
+
+@query(f"with {CAT} select vector_id, rank, round(score, 6) as score from {top(0, 20)}")
+def ivf_full_probe(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    ivf = ann.Ivf.train(v, 8)
+    return ivf.search(ivf.assign(v), search.stored_vector(v, 0), 20, nprobe=8).select("vector_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def ivf_topk(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    ivf = ann.Ivf.train(v, 8)
+    return ivf.search(ivf.assign(v), search.stored_vector(v, 0), 20, nprobe=5)
+
+
+@query()
+def lsh_topk(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    model = ann.SignHashes(64)
+    return model.search(model.assign(v), search.stored_vector(v, 0), 20)
+
+
+@query()
+def pq_topk(spark, sf_dir):
+    v = embeddings(spark, sf_dir)
+    model = ann.Pq.train(v, 8, 6)
+    return model.search(model.encode(v), search.stored_vector(v, 0), 20)
