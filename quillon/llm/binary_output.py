@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, byte_letters
-from .common import documents, id_text, open_store, publish, shared_folder, slices
+from .common import documents, id_text, open_store, per_worker, publish, shared_folder, slices
 
 LENGTH = 2048
 ROWS = 256
@@ -91,12 +91,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     """Encode and write; returns one row per part: part, n_ids, ids_path, index_path.  The part numbers follow doc_id."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-files")
-    cache: dict = {}
 
     def run(batches):
-        if not cache:
-            cache["encoder"] = tokenizer_encoder(tokenizer)
-        encoder = cache["encoder"]
+        encoder = per_worker(("tokenizer", tokenizer), lambda: tokenizer_encoder(tokenizer))
         part, end = TaskContext.get().partitionId(), np.array([end_id], dtype=np.uint32)
         doc_ids, starts, counts, total = [], [], [], 0
 

@@ -8,7 +8,7 @@ import numpy as np
 
 from .common import prefix_hash, span_hash
 
-MEMO_ENTRIES = 3_000_000
+MEMO_ENTRIES = 2_000_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _SPECIAL_BYTE = np.zeros(256, dtype=bool)
 _SPECIAL_BYTE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True

@@ -257,6 +257,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_worker: dict = {}
+
+
+def per_worker(key: tuple, make):
+    """``make()``, kept for the later tasks of the same Python worker (the last few keys only)."""
+    if key not in _worker:
+        while len(_worker) >= 4:
+            _worker.pop(next(iter(_worker)))
+        _worker[key] = make()
+    return _worker[key]
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under names of its own; other columns can't clash."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
