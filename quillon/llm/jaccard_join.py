@@ -332,4 +332,15 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_jaccard_join": op1_jaccard_join}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_jaccard_join": r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select distinct doc_id, s from (select doc_id, unnest(list_transform(range(greatest(1, len(w) - 3)), lambda i: array_to_string(w[i + 1 : i + 4], ' '))) as s from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from g a join g b using (s) where a.doc_id < b.doc_id group by all),
+e as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+l as (select x, y from e union all select y, x from e),
+r as (select doc_id as x, doc_id as y from d union select r.x, l.y from r join l on l.x = r.y)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id from d left join n using (doc_id) join (select x as doc_id, min(y) as component_id from r group by x) using (doc_id)
+"""
+}

@@ -151,4 +151,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_substring_dedup": r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') as win from (select doc_id, w, unnest(range(len(w) - 19)) as i from d where len(w) >= 20)),
+f as (select doc_id, i, row_number() over (partition by win order by doc_id, i) as k from p),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as q from f where k > 1),
+x as (select doc_id, unnest(w) as word, unnest(range(len(w))) as q from d),
+kept as (select doc_id, string_agg(word, ' ' order by q) as t, count(*) as n from x anti join gone using (doc_id, q) group by doc_id)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+}

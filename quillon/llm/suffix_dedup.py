@@ -222,4 +222,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_suffix_dedup": r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, i, md5(substring(h, 2 * i + 1, 400)) as win from (select doc_id, h, unnest(range(len(h) // 2 - 199)) as i from b where len(h) >= 400)),
+f as (select doc_id, i from (select doc_id, i, count(*) over (partition by win) as n from p) where n > 1),
+o as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 200 then 1 else 0 end as new from f),
+k as (select doc_id, i, sum(new) over (partition by doc_id order by i) as k from o),
+s as (select doc_id, min(i) as s, max(i) + 200 as e from k group by doc_id, k),
+q as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as before from s),
+r as (select q.doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans, string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' order by s) || substring(any_value(h), 2 * max(e) + 1) as kept from q join b on q.doc_id = b.doc_id group by q.doc_id)
+select b.doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from b left join r using (doc_id)
+"""
+}
