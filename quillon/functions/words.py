@@ -16,7 +16,7 @@ def instruction(text: Column, default: str) -> Column:
 
 def terms(text: Column) -> Column:
     """Comma-separated terms, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def index_type(name: str) -> str:
@@ -49,8 +49,8 @@ def hashed_text(texts: DataFrame, id_col: str, text_col: str = "text", dims: int
     return counts.join(sizes, id_col).select(id_col, "bucket", (F.col("n") / F.col("size")).alias("weight"))
 
 
-def hashed_vectors(texts: DataFrame, id_col: str, text_col: str = "text", dims: int = 64) -> DataFrame:
-    """id, embedding: the same as dense arrays."""
+def hashed_vectors(texts: DataFrame, id_col: str, text_col: str = "text", dims: int = 64, kind: str = "float") -> DataFrame:
+    """id, embedding: the same as dense arrays of float or double."""
     sparse = hashed_text(texts, id_col, text_col, dims).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)).cast("float"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)).cast(kind))
     return sparse.select(id_col, dense.alias("embedding"))

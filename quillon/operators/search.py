@@ -93,6 +93,27 @@ def _best_of_block(ids: np.ndarray, matrix: np.ndarray, k: int):
     return run
 
 
+def within(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """query_id, vector_id, score of all pairs whose inner product is at least so large, block by block as ``batch_topk``."""
+    schema = "query_id long, vector_id long, score double"
+    found = vectors.sparkSession.createDataFrame([], schema)
+    for ids, matrix in _blocks(queries):
+        found = found.unionByName(vectors.select("vector_id", "embedding").mapInArrow(_near_of_block(ids, matrix, least), schema))
+    return found
+
+
+def _near_of_block(ids: np.ndarray, matrix: np.ndarray, least: float):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                scores = matrix @ batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1).T
+                q, v = np.nonzero(scores >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(scores[q, v])], names=["query_id", "vector_id", "score"])
+
+    return run
+
+
 def with_records(hits: DataFrame, records: DataFrame, on_disk: DataFrame | None = None) -> DataFrame:
     """Hits with their records, hits without one gone; with ``on_disk`` (path), those whose file is gone too.
 

@@ -458,10 +458,10 @@ def text_hash_topk(spark, sf_dir):
 select query_id, doc_id, round(score, 5) as score from s where round(score, 5) >= 0.995""")
 def text_near_dup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sparse = words.hashed_text(docs, "doc_id")
-    asked = sparse.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("q"))
-    scored = asked.join(sparse, "bucket").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
-    return scored.select("query_id", "doc_id", F.round("score", 5).alias("score")).where("score >= 0.995")
+    vectors = words.hashed_vectors(docs, "doc_id", kind="double").withColumnRenamed("doc_id", "vector_id")
+    asked = words.hashed_vectors(docs.where("doc_id % 20 = 0"), "doc_id", kind="double").withColumnRenamed("doc_id", "query_id")
+    found = search.within(vectors, asked, 0.99).where("query_id <> vector_id")
+    return found.select("query_id", F.col("vector_id").alias("doc_id"), F.round("score", 5).alias("score")).where("score >= 0.995")
 
 
 # ---- approximate search ----
