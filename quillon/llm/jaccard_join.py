@@ -8,8 +8,8 @@
 3. Candidate pairs are made distinct, joined with their sets, tested by the suffix filter (the sets cut at fixed pivots: the sum
    of the smaller parts bounds the overlap) and verified once by their exact overlap.
 4. A shingle in the prefixes of more than ``MANY`` classes doesn't bring up all its pairs.  Its members are first paired with
-   ``LEADERS`` of them, those whose rarest shingle it is.  Pairs that are then in one group need no link of their own; all other
-   pairs of the shingle are brought up in a second round.
+   ``LEADERS`` of them, those whose rarest shingle it is, as the rows stream by.  Pairs that are then in one group need no link of
+   their own; all other pairs of the shingle are brought up in a second round, in pairs of blocks of about ``BLOCK`` rows.
 5. Groups are the connected components of the links (alternating large-star and small-star steps).
 
 Edge cases: a null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle make one
@@ -31,6 +31,7 @@ PERCENT = 85
 SKETCH_BITS = 21
 MANY = 32
 LEADERS = 4
+BLOCK = 20_000
 PIVOTS = (np.arange(1, 64, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
 
 
@@ -131,21 +132,38 @@ def passes(n, pos, a, b, percent: int) -> np.ndarray:
     return (100 * small >= percent * large) & (reach >= need)
 
 
-def _groups(batches, names: list[str]):
-    """Whole groups of the first column, as arrays that may hold many groups each, from batches sorted by it."""
-    held: list[np.ndarray] | None = None
+def _groups(batches, names: list[str], most: int):
+    """(continued, columns) from batches sorted by the first column: whole groups, as arrays that may hold many of them.
+
+    A group of more than ``most`` rows comes in pieces, each alone; ``continued`` says that a piece isn't the first.
+    """
+    held = [np.zeros(0, dtype=np.int64) for _ in names]
+    ongoing = None
+
+    def give(columns):
+        nonlocal ongoing
+        if ongoing is not None and columns[0][0] == ongoing:
+            first = int(np.searchsorted(columns[0], ongoing, side="right"))
+            yield True, [x[:first] for x in columns]
+            columns = [x[first:] for x in columns]
+        ongoing = None
+        if len(columns[0]):
+            yield False, columns
+
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        if not len(columns[0]):
+        if not batch.num_rows:
             continue
+        own = [batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
+        columns = [np.concatenate(x) for x in zip(held, own, strict=True)]
         last = int(np.searchsorted(columns[0], columns[0][-1]))
         if last:
-            yield [x[:last] for x in columns]
+            yield from give([x[:last] for x in columns])
         held = [x[last:] for x in columns]
-    if held is not None and len(held[0]):
-        yield held
+        if len(held[0]) > most:
+            yield from give(held)
+            ongoing, held = held[0][0], [x[:0] for x in held]
+    if len(held[0]):
+        yield from give(held)
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,10 +177,25 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def first_candidates(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with h null; and the rows h, a (class), n, pos, with b null, of shingles that many classes share."""
-    large, leaders = MANY, LEADERS
+    large, leaders, most = MANY, LEADERS, max(BLOCK, MANY)
+
+    def output(h, a, b, n, pos):
+        return pa.RecordBatch.from_arrays([h, a, b, n, pos], names=["h", "a", "b", "n", "pos"])
 
     def pair(batches):
-        for h, c, n, pos in _groups(batches, ["h", "c", "n", "pos"]):
+        lead: list[np.ndarray] = []
+        for continued, (h, c, n, pos) in _groups(batches, ["h", "c", "n", "pos"], most):
+            if continued and len(lead[0]) and lead[0][0] == h[0]:
+                # the group's leaders stood in its first piece
+                k = len(lead[0])
+                h, c, n, pos = (np.concatenate(x) for x in zip(lead, (h, c, n, pos), strict=True))
+                i, j = np.repeat(np.arange(k), len(h) - k), np.tile(np.arange(k, len(h)), k)
+                good = passes(n, pos, i, j, percent) & (c[i] != c[j])
+                a, b = _distinct_pairs(c[i[good]], c[j[good]])
+                nothing = [pa.nulls(len(a), pa.int64())] * 3
+                yield output(nothing[0], pa.array(a), pa.array(b), *nothing[1:])
+                yield output(pa.array(h[k:]), pa.array(c[k:]), pa.nulls(len(h) - k, pa.int64()), pa.array(n[k:]), pa.array(pos[k:]))
+                continue
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             h, c, n, pos = h[new], c[new], n[new], pos[new]
@@ -176,56 +209,58 @@ def first_candidates(prefixes: DataFrame, percent: int) -> DataFrame:
                 right.append((at[:, None] + j).ravel())
             many = np.flatnonzero(size > large)
             for g in many.tolist():
-                for lead in range(leaders):
-                    others = np.arange(begin[g] + lead + 1, begin[g] + size[g])
-                    left.append(np.full(len(others), begin[g] + lead))
+                for first in range(leaders):
+                    others = np.arange(begin[g] + first + 1, begin[g] + size[g])
+                    left.append(np.full(len(others), begin[g] + first))
                     right.append(others)
+            end = slice(begin[-1], begin[-1] + leaders)
+            lead = [h[end], c[end], n[end], pos[end]]
             if left:
                 i, j = np.concatenate(left), np.concatenate(right)
                 good = passes(n, pos, i, j, percent)
                 a, b = _distinct_pairs(c[i[good]], c[j[good]])
                 nothing = [pa.nulls(len(a), pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([nothing[0], pa.array(a), pa.array(b), *nothing[1:]], names=["h", "a", "b", "n", "pos"])
+                yield output(nothing[0], pa.array(a), pa.array(b), *nothing[1:])
             if len(many):
                 pick = np.concatenate([np.arange(begin[g], begin[g] + size[g]) for g in many.tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(h[pick]), pa.array(c[pick]), pa.nulls(len(pick), pa.int64()), pa.array(n[pick]), pa.array(pos[pick])], names=["h", "a", "b", "n", "pos"])
+                yield output(pa.array(h[pick]), pa.array(c[pick]), pa.nulls(len(pick), pa.int64()), pa.array(n[pick]), pa.array(pos[pick]))
 
     ordered = prefixes.repartition("h").sortWithinPartitions("h", "pos", "n", "c")
     return stored(ordered.mapInArrow(pair, "h long, a long, b long, n long, pos long"), "candidates")
 
 
 def second_candidates(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """shared: h, c, n, pos.  All pairs of a shingle, but those of one group and those with its leaders."""
-    leaders = LEADERS
+    """shared: h, c, n, pos.  All pairs of a shingle, but those of one group."""
     rows = shared.join(labels.select(F.col("node").alias("c"), "root"), "c", "left").select("h", "c", "n", "pos", F.coalesce("root", "c").alias("root"))
-    apart = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    ordered = rows.join(apart, "h", "left_semi").repartition("h").sortWithinPartitions("h", "pos", "n", "c")
+    held = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low < high")
+    # a large group is cut into blocks, and every pair of blocks is a group of its own
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = rows.join(held.select("h", blocks.alias("blocks")), "h").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one, two = F.least("block", "other"), F.greatest("block", "other")
+    dealt = cells.select(F.when(F.col("blocks") == 1, F.col("h")).otherwise(F.xxhash64("h", one, two)).alias("g"), "c", "n", "pos", "root", ((one != two) & (F.col("block") == two)).cast("int").alias("side"), (one != two).cast("int").alias("apart"))
+    ordered = dealt.repartition("g").sortWithinPartitions("g", "n", "c", "pos")
 
     def pair(batches):
-        for h, c, n, pos, root in _groups(batches, ["h", "c", "n", "pos", "root"]):
-            bounds = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+        for _, (g, c, n, pos, root, side, apart) in _groups(batches, ["g", "c", "n", "pos", "root", "side", "apart"], 1 << 62):
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g))
             for begin, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                at = np.arange(begin + leaders, stop)
-                at = at[np.argsort(n[at], kind="stable")]
+                at = np.arange(begin, stop)
                 reach = np.searchsorted(n[at], 100 * n[at] // percent, side="right")
                 left, right, size = [], [], 0
                 for k in range(len(at)):
                     j = at[k + 1 : reach[k]]
-                    j = j[root[j] != root[at[k]]]
-                    if not len(j):
-                        continue
-                    i = np.full(len(j), at[k])
-                    good = passes(n, pos, i, j, percent)
-                    left.append(c[i[good]])
-                    right.append(c[j[good]])
-                    size += len(left[-1])
-                    if size > 1 << 16 or k == len(at) - 1:
+                    j = j[(root[j] != root[at[k]]) & ((apart[begin] == 0) | (side[j] != side[at[k]]))]
+                    if len(j):
+                        i = np.full(len(j), at[k])
+                        good = passes(n, pos, i, j, percent)
+                        left.append(c[i[good]])
+                        right.append(c[j[good]])
+                        size += len(left[-1])
+                    if left and (size > 1 << 16 or k == len(at) - 1):
                         a, b = _distinct_pairs(np.concatenate(left), np.concatenate(right))
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                         left, right, size = [], [], 0
-                if left:
-                    a, b = _distinct_pairs(np.concatenate(left), np.concatenate(right))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return ordered.mapInArrow(pair, "a long, b long")
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quillon.llm import jaccard_join
@@ -50,15 +52,33 @@ def got(df):
     return Counter((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
 
 
-@pytest.mark.parametrize(("many", "leaders"), [(32, 4), (2, 1)])
-def test_odd_rows(tricky, monkeypatch, many, leaders):
+@pytest.mark.parametrize(("many", "leaders", "block"), [(32, 4, 20000), (2, 1, 3)])
+def test_odd_rows(tricky, monkeypatch, many, leaders, block):
     monkeypatch.setattr(jaccard_join, "MANY", many)
     monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     assert got(jaccard_join.linked(tricky)) == brute(pairs(tricky))
     assert got(jaccard_join.linked(tricky, words=5, percent=60)) == brute(pairs(tricky), 5, 60)
 
 
-def test_star_of_near_copies(spark):
+def test_groups_in_pieces():
+    rng = random.Random(4)
+    for _ in range(200):
+        values = sorted(rng.choice([1, 1, 1, 2, 3, 4, 5]) for _ in range(rng.randint(0, 60)))
+        cuts = sorted(rng.randint(0, len(values)) for _ in range(4))
+        batches = [pa.RecordBatch.from_arrays([pa.array(values[a:b], pa.int64())], names=["g"]) for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True)]
+        got = list(jaccard_join._groups(batches, ["g"], 5))
+        assert [int(x) for _, (g,) in got for x in g] == values
+        seen = set()
+        for continued, (g,) in got:
+            own = set(g.tolist())
+            assert own and (own & seen == own and len(own) == 1 if continued else not own & seen)
+            seen |= own
+
+
+@pytest.mark.parametrize("block", [20000, 40])
+def test_star_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     base = [f"b{i}" for i in range(130)]
     rows = [(0, " ".join(base))]
     for k in range(1, 90):
