@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import ChunkMemo, space_chunks
-from .common import documents, id_text, slices
+from .common import documents, id_text, per_worker, slices
 
 
 def byte_letters() -> list[str]:
@@ -126,6 +126,7 @@ class Codec:
         import sentencepiece
 
         self.pieces = pieces
+        self.names = [str(i) for i in range(len(pieces) + 1)]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(pieces))
         self.table = {b: ord(c) for b, c in enumerate(byte_letters())}
         self.encoder = Encoder(self._encode_words, pattern)
@@ -142,13 +143,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     Each worker builds the model from the rank file once; the file must be readable there under the same path.
     """
-    cache: dict = {}
 
     def run(batches):
-        if not cache:
-            cache["codec"] = Codec(load_ranks(path), pattern)
-            cache["names"] = [str(i) for i in range(len(cache["codec"].pieces) + 1)]
-        codec, names = cache["codec"], cache["names"]
+        codec = per_worker(("codec", path, pattern), lambda: Codec(load_ranks(path), pattern))
+        names = codec.names
         for batch in batches:
             counts, hashes, back, every = [], [], [], []
             for packed in (x for _, buf, offsets in slices(batch, "text") for x in codec.encoder.encode(buf, offsets)):
