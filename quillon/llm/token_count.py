@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import byte_letters
 from .chunks import ChunkMemo
-from .common import documents, id_text, lowered, slices, word_spans
+from .common import documents, id_text, lowered, per_worker, slices, word_spans
 
 LIMIT = 2048
 MAX_STATES = 120_000
@@ -183,12 +183,9 @@ class TextCounter:
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
-    cache: dict = {}
 
     def run(batches):
-        if not cache:
-            cache["counter"] = TextCounter(path)
-        counter = cache["counter"]
+        counter = per_worker(("counter", path), lambda: TextCounter(path))
         for batch in batches:
             for rows, buf, offsets in slices(batch, "text"):
                 counts = counter.counts(buf, offsets)
