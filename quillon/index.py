@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import paths as P
+from .functions import vectors as V
 from .functions.words import index_type
 from .operators import ann, maintain, results, search
 from .schema import RESULTS, TOP_K
@@ -69,24 +70,32 @@ class VectorIndex:
         """The best k.  Filters shrink the list afterwards (``post``) or come before the cut (``pre``)."""
         if len(query) != self.embedder.dims:
             raise ValueError(f"the query has {len(query)} dimensions, the index {self.embedder.dims}")
-        records, vectors = self.store.table("records"), self.store.table("vectors")
+        records, some = self.store.table("records"), None
         if filter_mode == "pre":
-            vectors = vectors.join(results.of_kind(records, kind).select("vector_id"), "vector_id", "left_semi")
-        hits = self._hits(vectors, query, k, method or self.store.manifest["index_type"], nprobe)
+            some = self.store.table("vectors").join(results.of_kind(records, kind).select("vector_id"), "vector_id", "left_semi")
+        hits = self._hits(some, query, k, method or self.store.manifest["index_type"], nprobe)
         found = results.above(results.of_kind(search.with_records(hits, records, on_disk), kind), least)
         return found.select(*[p.split()[0] for p in RESULTS.split(", ")]).orderBy("rank")
 
     def _hits(self, vectors: DataFrame, query, k: int, method: str, nprobe: int) -> DataFrame:
+        """By the index type; exact below the least number of vectors to train on, and where rows were filtered first.
+
+        Lists are a partition column of a table kept beside the snapshot, so a query reads the lists it probes.
+        """
         nlist = self.store.manifest["index_params"].get("nlist", 100)
-        if method == "flat" or vectors.count() < ann.least_training(nlist):
-            return search.flat_topk(vectors, query, k)
+        whole = self.store.table("vectors")
+        if method == "flat" or vectors is not None or whole.count() < ann.least_training(nlist):
+            return search.flat_topk(whole if vectors is None else vectors, query, k)
+        if method == "ivf_flat":
+            model = ann.Ivf.load(self.store.derived("ivf_centers", lambda: ann.Ivf.train(whole, nlist).table(self.spark)))
+            return model.search(self.store.derived("ivf_vectors", lambda: model.assign(whole).repartition("list_id"), "list_id"), query, k, nprobe)
+        if method == "hnsw":
+            model = ann.SignHashes(self.embedder.dims)
+            return model.search(self.store.derived("sign_vectors", lambda: model.assign(whole)), query, k)
         if method not in self._trained:
-            make = {"ivf_flat": lambda: ann.Ivf.train(vectors, nlist), "hnsw": lambda: ann.SignHashes(self.embedder.dims), "ivf_pq": lambda: ann.Pq.train(vectors)}
-            self._trained[method] = make[method]()
+            self._trained[method] = ann.Pq.train(whole)
         model = self._trained[method]
-        if method == "ivf_flat":
-            return model.search(model.assign(vectors), query, k, nprobe)
-        return model.search(model.encode(vectors) if method == "ivf_pq" else model.assign(vectors), query, k)
+        return model.search(model.encode(whole), query, k)
 
     def embed_text(self, text: str) -> list[float]:
         row = self.embedder.embed(self.spark.createDataFrame([("q", text)], "item string, text string")).first()
@@ -98,6 +107,21 @@ class VectorIndex:
             return self.spark.createDataFrame([], RESULTS)
         return self.search_vector(self.embed_text(text), k, **options)
 
+    def search_path(self, path: str, page: int | None = None, k: int = TOP_K, **options) -> DataFrame:
+        """What is like a stored picture, video or document page; a path that isn't stored finds nothing."""
+        name = f"{path}#page={page}" if page is not None else path
+        row = self.store.table("records").where(F.col("file_path") == name).join(self.store.table("vectors"), "vector_id").select("embedding").first()
+        return self.search_vector(list(row.embedding), k, **options) if row else self.spark.createDataFrame([], RESULTS)
+
+    def search_frames(self, frames: DataFrame, k: int = TOP_K, **options) -> DataFrame:
+        """What is like a video whose frames (pos, embedding) are given: by their mean; no frames find nothing."""
+        row = V.chunked_mean(frames.withColumn("video", F.lit(0)), "video").first()
+        return self.search_vector(list(row.embedding), k, **options) if row else self.spark.createDataFrame([], RESULTS)
+
+    def rerank(self, found: DataFrame, text: str, k: int = 10, least: float = 0.0) -> DataFrame:
+        """The results of a search in a second order: by the sigmoid of the scaled inner product with another text."""
+        return results.rerank_by_vector(found, self.store.table("vectors"), self.embed_text(text), k, least)
+
     def search_without(self, text: str, unwanted: str, k: int = TOP_K, threshold: float = 0.3) -> DataFrame:
         """Text search but for what is near any of the comma-separated terms."""
         if not (text or "").strip():
@@ -117,6 +141,13 @@ class VectorIndex:
         self.store.write({"records": left, "tombstones": self.store.table("tombstones").unionByName(tombs), "folders": folders.where(F.col("folder_path") != P.trimmed(folder))})
         return gone
 
+    def folders(self) -> DataFrame:
+        return self.store.table("folders").orderBy("added_at", "folder_path")
+
+    def untrack(self, folder: str) -> None:
+        """Forget a folder, keep its records."""
+        self.store.write({"folders": self.store.table("folders").where(F.col("folder_path") != P.trimmed(folder))})
+
     def validate(self, files: DataFrame, clean: bool = False) -> int:
         """How many records have lost their file; with ``clean`` they go."""
         records = self.store.table("records")

@@ -53,6 +53,14 @@ class Ivf:
     def train(cls, vectors: DataFrame, nlist: int = 100) -> Ivf:
         return cls(centroids(vectors, nlist))
 
+    def table(self, spark) -> DataFrame:
+        """list_id, center: what ``load`` reads."""
+        return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centers)], "list_id int, center array<double>")
+
+    @classmethod
+    def load(cls, table: DataFrame) -> Ivf:
+        return cls(np.array([r.center for r in table.orderBy("list_id").collect()]))
+
     def assign(self, vectors: DataFrame) -> DataFrame:
         return vectors.withColumn("list_id", nearest(F.col("embedding"), self.centers))
 

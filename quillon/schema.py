@@ -23,3 +23,10 @@ MOST_PAGES = 100
 TRAINING_SAMPLE = 100_000
 KINDS = {"images": ["image"], "videos": ["video"], "documents": ["document"], "media": ["image", "video"], "all": ["image", "video", "document"]}
 INDEX_TYPES = {"flat": "flat", "ivf_flat": "ivf_flat", "ivf": "ivf_flat", "hnsw": "hnsw", "lsh": "hnsw", "ivf_pq": "ivf_pq", "pq": "ivf_pq"}
+SIDES = [128, 256, 384, 478, 512, 768, 1024, 1280, 1536]
+
+
+def pixels(preset: str, default: int = 1024 * 1024) -> int:
+    """Pixel budget of a square resolution preset, as in "512x512" with any remark behind; an unknown one has the default."""
+    side = preset.split(" ")[0].partition("x")[0]
+    return int(side) ** 2 if side.isdigit() and int(side) in SIDES and preset.startswith(f"{side}x{side}") else default

@@ -68,6 +68,14 @@ class Snapshots:
         df = self.spark.read.schema(TABLES[name]).option("mergeSchema", "true").parquet(f"{self.path}/v={self.manifest['version']}/{name}")
         return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in schema.DEFAULTS.items() if c in df.columns})
 
+    def derived(self, name: str, make, *partition_by: str) -> DataFrame:
+        """A table made from the present version's tables, written beside them when first asked for."""
+        path = f"{self.path}/v={self.manifest['version']}/{name}"
+        fs, done = self.catalogue._fs(f"{path}/_SUCCESS")
+        if not fs.exists(done):
+            make().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        return self.spark.read.parquet(path)
+
     def write(self, tables: dict[str, DataFrame], **settings) -> None:
         """A new version: given tables are replaced, the others copied; then the manifest moves on."""
         old, new = self.manifest["version"], self.manifest["version"] + 1

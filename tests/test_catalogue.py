@@ -15,6 +15,7 @@ from quillon.functions import vectors as V
 from quillon.functions import words
 from quillon.index import VectorIndex, search_indexes
 from quillon.operators import ann, maintain, results, search
+from quillon.schema import pixels
 from quillon.sources import discover
 from quillon.sources.media import BatchEmbedder, HashingEmbedder, TableEmbedder, decode, write_thumbnails
 from quillon.sources.snapshots import Catalogue
@@ -103,6 +104,38 @@ def test_streaming_ingest_takes_each_file_once(spark, library):
     assert index.store.table("vectors").count() == 6
 
 
+def test_searches_by_path_frames_and_second_order(spark, library):
+    index = VectorIndex(Catalogue(spark, f"{library}/index"), "p", HashingEmbedder())
+    index.add_folder(f"{library}/lib")
+    first = index.search_path(f"{library}/lib/cats/b.PNG", k=2).collect()[0]
+    assert first.file_path.endswith("b.PNG") and first.score == pytest.approx(1)
+    assert index.search_path("nowhere").count() == 0 and index.search_path("nowhere", page=3).count() == 0
+    frames = index.store.table("vectors").where("vector_id = 2").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), "embedding")
+    assert index.search_frames(frames, k=1).first().vector_id == 2
+    assert index.search_frames(frames.limit(0)).count() == 0
+    again = index.rerank(index.search_text("lib"), f"{library}/lib/dogs/d.pdf", 2).orderBy("rank").collect()
+    assert again[0].file_path.endswith("d.pdf") and len(again) == 2
+    assert [r.folder_path for r in index.folders().collect()] == [f"{library}/lib"]
+    index.untrack(f"{library}/lib/")
+    assert index.folders().count() == 0 and index.store.table("records").count() == 5
+
+
+def test_trained_index_prunes_and_agrees_at_full_probe(spark, library):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.concat(F.lit("/v/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("file_path"), "embedding")
+    items = df.withColumn("item", F.col("file_path"))
+    index = VectorIndex(Catalogue(spark, f"{library}/index"), "t", TableEmbedder(items.select("item", "embedding"), 64), "ivf")
+    index.store.manifest["index_params"] = {"nlist": 10}
+    assert index.add_items(items.drop("embedding"))["added"] == 2000
+    q = search.stored_vector(index.store.table("vectors"), 7)
+    exact = [(r.vector_id, round(r.score, 9)) for r in index.search_vector(q, 10, method="flat").collect()]
+    assert [(r.vector_id, round(r.score, 9)) for r in index.search_vector(q, 10, nprobe=10).collect()] == exact
+    few = index.search_vector(q, 10, nprobe=2)
+    assert few.first().vector_id == 7
+    assert sorted(x for x in os.listdir(f"{library}/index/t/v={index.store.manifest['version']}/ivf_vectors") if x.startswith("list_id")) == sorted(f"list_id={i}" for i in range(10))
+    for method in ("hnsw", "ivf_pq"):
+        assert index.search_vector(q, 5, method=method).first().vector_id == 7
+
+
 def test_embedders_and_decoders(spark, library):
     items = spark.createDataFrame([("a", "x"), ("b", "bad"), ("c", "y")], "item string, text string")
 
@@ -134,6 +167,7 @@ def test_paths_and_sampling(spark):
         n = max(min(32, total), min(4, total))
         want = np.linspace(0, total - 1, n).astype(int).tolist() if n else []
         assert one(spark, S.uniform_indices(F.lit(total), 32, 4)) == want
+    assert [pixels(x) for x in ("512x512", "256x256 (fast)", "512x256", "huge")] == [512 * 512, 256 * 256, 1 << 20, 1 << 20]
     assert one(spark, S.codec_name(F.lit(0x34363248).cast("int"))) == "H264"
     assert one(spark, S.duration(F.lit(10), F.lit(0.0))) == 0.0
     assert one(spark, S.padded(F.array(F.lit(7)), 3)) == [7, 7, 7]
