@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import ChunkMemo, space_chunks
-from .common import documents, id_text, per_worker, slices
+from .common import documents, id_text, slices
 
 
 def byte_letters() -> list[str]:
@@ -145,7 +145,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """
 
     def run(batches):
-        codec = per_worker(("codec", path, pattern), lambda: Codec(load_ranks(path), pattern))
+        # made for each task: a memo kept by the worker would take memory from the operators that follow
+        codec = Codec(load_ranks(path), pattern)
         names = codec.names
         for batch in batches:
             counts, hashes, back, every = [], [], [], []
