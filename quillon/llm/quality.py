@@ -146,7 +146,7 @@ def _distance() -> Column:
 
 def robust_distances(rows: DataFrame) -> DataFrame:
     """rows: any columns with g, pools (the groups each row belongs to, narrow to wide) and x0..; adds d2 (null where g is null)."""
-    vectors = rows.select(F.explode("pools").alias("g"), *X).join(rows.select("g").distinct(), "g", "left_semi")
+    vectors = saved(rows.select(F.explode("pools").alias("g"), *X).join(rows.select("g").distinct(), "g", "left_semi"))
     middle = vectors.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(X)])
     spread = vectors.join(middle, "g").groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(X)])
     diagonal = [((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
@@ -177,7 +177,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     groups = sizes.crossJoin(whole).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), named.alias("g"), F.array(own, of_lang, of_all).alias("pools"))
     grouped = counts.join(groups, counts.lang.eqNullSafe(groups.g_lang) & counts.source.eqNullSafe(groups.g_source), "left")
     vector = [F.when(~F.col("base_failed"), F.expr(v)).alias(x) for x, v in zip(X, VECTOR, strict=True)]
-    rows = grouped.select("doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g", "pools", *vector)
+    rows = saved(grouped.select("doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g", "pools", *vector))
     measured = robust_distances(rows.where("not base_failed"))
     out = ["doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     kept = measured.select(*out, F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)).alias("kept"), F.col("d2").alias("distance"))
