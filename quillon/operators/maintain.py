@@ -60,10 +60,10 @@ def dense_ids(ids: DataFrame, column: str = "vector_id", start: int = 0, partiti
     """old, new: consecutive numbers in the order of the ids.
 
     Rows are dealt by range and numbered within a range; the ranges' counts (a row a partition) give the offsets, so no task
-    sees all ids.
+    sees all ids.  The number of ranges is fixed, so that counts and numbers see the same ones however many executors are there.
     """
     only = ids.select(F.col(column).alias("old")).distinct()
-    dealt = (only.repartitionByRange(partitions, "old") if partitions else only.repartitionByRange("old")).sortWithinPartitions("old")
+    dealt = only.repartitionByRange(partitions or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), "old").sortWithinPartitions("old")
     placed = dealt.select("old", F.spark_partition_id().alias("p"))
     numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("old")))
     sizes = placed.groupBy("p").agg(F.count("*").alias("n"))
