@@ -34,7 +34,8 @@ MOST_SHARDS = 4096
 FLUSH_TOKENS = 2_000_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 WORD_COLUMNS = (("t", np.uint64), ("c", np.uint64), ("n1", np.uint32), ("n2", np.uint32), ("n3", np.uint32), ("b", np.uint32))
-PAIR_COLUMNS = (("a", np.uint32),)
+PAIR_COLUMNS = (("a", np.uint8),)
+FULL = 255
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -65,12 +66,15 @@ def summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
 
 
 def write_shard(folder: str, name: str, part: int, keys: np.ndarray, columns: list[tuple[np.ndarray, type]]) -> None:
-    """A sorted array of hashes, then a column for each value."""
+    """A sorted array of hashes, then a column for each value; behind a column of bytes the places and values of those from FULL on."""
 
     def write(sink):
         sink.write(np.ascontiguousarray(keys).tobytes())
         for values, kind in columns:
             sink.write(np.minimum(values, np.iinfo(kind).max).astype(kind).tobytes())
+            if kind is np.uint8:
+                large = np.flatnonzero(values >= FULL)
+                sink.write(np.stack([large, np.minimum(values[large], np.iinfo(np.uint32).max)]).astype(np.uint32).tobytes())
 
     publish(f"{folder}/{name}-{part:05d}", write)
 
@@ -80,7 +84,7 @@ class Table:
 
     def __init__(self, folder: str, name: str, sizes: dict[int, int], bits: int, columns):
         self.folder, self.name, self.sizes, self.bits, self.columns = folder, name, sizes, bits, columns
-        self.open: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+        self.open: dict[int, tuple[np.ndarray, list[np.ndarray], np.ndarray]] = {}
 
     def shard(self, part: int):
         if part not in self.open:
@@ -94,7 +98,7 @@ class Table:
             for _, kind in self.columns:
                 values.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
                 at += n * np.dtype(kind).itemsize
-            self.open[part] = np.frombuffer(raw, dtype=np.uint64, count=n), values
+            self.open[part] = np.frombuffer(raw, dtype=np.uint64, count=n), values, np.frombuffer(raw, dtype=np.uint32, offset=at).reshape(2, -1)
         return self.open[part]
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
@@ -106,11 +110,14 @@ class Table:
         for s, e in zip(at, np.append(at[1:], len(unique)) if len(part) else [], strict=True):
             if int(part[s]) not in self.sizes:
                 continue
-            known, values = self.shard(int(part[s]))
+            known, values, (large, whole) = self.shard(int(part[s]))
             place = np.minimum(np.searchsorted(known, unique[s:e]), len(known) - 1)
             hit = known[place] == unique[s:e]
             for column, v in zip(out, values, strict=True):
                 column[s:e] = np.where(hit, v[place], 0)
+                if v.dtype == np.uint8:
+                    full = np.flatnonzero(column[s:e] == FULL)
+                    column[s + full] = whole[np.searchsorted(large, place[full])]
         return [c[inverse] for c in out]
 
 
@@ -212,7 +219,7 @@ def train(texts: DataFrame, bits: int, folder: str) -> Model:
             by = np.argsort(keys)
             at = np.flatnonzero(np.concatenate([[True], keys[by][1:] != keys[by][:-1]]))
             n, keys, first, second = np.add.reduceat(n[by], at), keys[by][at], first[by][at], second[by][at]
-            write_shard(folder, "pairs", part, keys, [(n, np.uint32)])
+            write_shard(folder, "pairs", part, keys, [(n, np.uint8)])
             one = np.ones(len(n), dtype=np.uint64)
             context, (t, n1, n2, n3) = summed(first, [n, (n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n > 2).astype(np.uint64)])
             successor, (c, b) = summed(second, [n, one])

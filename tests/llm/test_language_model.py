@@ -87,3 +87,9 @@ def test_query_against_brute_force_and_base(spark, sf):
     same(df, pairs(spark.read.parquet(f"{sf}/documents.parquet")))
     held = df.where("held_out").groupBy().sum("base_score", "score").first()
     assert held[1] > held[0]
+
+
+def test_pairs_seen_255_times_and_more(spark):
+    rows = [(k, " ".join([f"a{k} b{k}"] * n + ["c d"] * (n - 1) + ["e"])) for k, n in enumerate((254, 255, 256, 1000, 3, 70_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(language_model.score_documents(df), rows)
