@@ -330,8 +330,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(small.distinct(), "small-star")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, t (hash of the text), n_shingles, component_id (least id of the group)."""
+def rows_and_labels(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One row per text: doc_id, t (hash of the text), n, c; and c, root (what its group is known by) of the linked classes."""
     texts = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
     rows, sketch = sets_and_sketch(texts, words)
     first = first_candidates(prefix_rows(texts, sketch, words, percent), percent)
@@ -344,7 +344,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         more = verified(second_candidates(shared, labels, percent), sets, percent)
         if not more.isEmpty():
             labels = components(links.unionByName(more))
-    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "c"), "c", "left")
+    return rows, labels.withColumnRenamed("node", "c")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, component_id (least id of the group)."""
+    rows, labels = rows_and_labels(docs, id_col, text_col, words, percent)
+    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least")).join(labels, "c", "left")
     named = classes.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("least").alias("component_id"))
     owner = stored(classes.select("c", F.coalesce("root", "c").alias("root")).join(named, "root").select("c", "component_id"), "groups")
     joined = rows.join(owner, "c", "left")
@@ -352,10 +358,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, one for each group (that with the least id); rows without words stay."""
-    found = linked(docs, id_col, text_col, words, percent)
-    best = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "t")).alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.t").alias("__t"), F.lit(True).alias("__one"))
-    blank = found.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.lit(False).alias("__one")).distinct()
+    """The rows of docs, one for each group (that with the least id, a null id last); rows without words stay.
+
+    A group is known by its root: component_id may be null or shared by groups whose texts share an id.
+    """
+    rows, labels = rows_and_labels(docs, id_col, text_col, words, percent)
+    first = rows.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "t")).alias("w"))
+    best = first.join(labels, "c", "left").groupBy(F.coalesce("root", "c")).agg(F.min("w").alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.t").alias("__t"), F.lit(True).alias("__one"))
+    blank = rows.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.lit(False).alias("__one")).distinct()
     marked = docs.withColumn("__text_hash", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     kept = marked.join(best.unionByName(blank), (F.col("__text_hash") == F.col("__t")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")))
     place = F.row_number().over(Window.partitionBy("__t", "__id").orderBy(F.lit(0)))

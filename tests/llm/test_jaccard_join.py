@@ -102,5 +102,12 @@ def test_one_of_each_group(tricky, empty):
     assert jaccard_join.linked(empty).count() == 0
 
 
+def test_groups_that_share_a_number_stay_apart(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (9, text("e") + " end"), (8, text("e")), (None, text("a"))]
+    kept = jaccard_join.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(pairs(kept)) == Counter([rows[0], rows[1], rows[2], rows[3], rows[6]])
+
+
 def test_query_against_brute_force(spark, sf):
     assert got(QUERIES["op1_jaccard_join"](spark, sf)) == brute(pairs(spark.read.parquet(f"{sf}/documents.parquet")))
