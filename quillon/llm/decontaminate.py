@@ -4,8 +4,9 @@ Normalisation lower-cases A-Z and keeps words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\
 Patterns are windows of 13 consecutive item words (a shorter item is one window), framed by spaces so that they match
 whole words only.  A document word inside any occurrence of a window is hit.
 
-Edge cases: a null or wordless text has 0 words and is never contaminated; a null, wordless item has no window; an
-empty benchmark hits nothing; repeated documents are judged one by one; repeated items each count, by their own id.
+Edge cases: a null or wordless text has 0 words and is never contaminated; an item with a null or wordless text has no
+window; items with a null id hit and count, all of them as one in n_items, but aren't in items_sha256; an empty benchmark hits nothing; repeated
+documents are judged one by one; repeated items each count, by their own id.
 The automaton is broadcast only up to ``MAX_PATTERN_BYTES`` of benchmark text; a larger benchmark is cut into bounded
 groups of items, each scanned in turn over the same row, so that no automaton passes the bound.
 """
@@ -54,7 +55,7 @@ def original_offsets(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def compile_automata(items: list[tuple[str, list[bytes]]], width: int = WINDOW, limit: int = MAX_PATTERN_BYTES):
+def compile_automata(items: list[tuple[str | None, list[bytes]]], width: int = WINDOW, limit: int = MAX_PATTERN_BYTES):
     """Automata over bounded groups of items.  A pattern's value: (words in it, positions of its items in the list)."""
     import ahocorasick
 
@@ -108,7 +109,7 @@ def scan(words: list[bytes], automata: list) -> tuple[list[tuple[int, int]], set
 class Scanner:
     """The automata of a benchmark and what they say of a text."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int):
         self.items, self.automata = items, compile_automata(items, width)
 
     def judge(self, text: bytes | None):
@@ -125,7 +126,7 @@ def _scanner(docs: DataFrame, benchmark: DataFrame, width: int):
     The benchmark's texts are collected to build the automata: a benchmark is a fixed list of test items, read whole.
     """
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()
-    items = sorted(((i, normal_words(t)) for i, t in rows if i is not None), key=lambda x: x[0])
+    items = sorted(((i, normal_words(t)) for i, t in rows), key=lambda x: (x[0] is None, x[0] or ""))
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(items))
     cache: dict = {}
 
@@ -149,8 +150,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             found_spans = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 n, ranges, hit, owners, bad = judge(text)
-                ids = sorted({items[k][0] for k in owners})
-                for column, value in zip(out, (n, hit, len(owners), hashlib.sha256(",".join(ids).encode()).hexdigest(), bad), strict=True):
+                ids = sorted({items[k][0] for k in owners} - {None})
+                nameless = sum(items[k][0] is None for k in owners)
+                for column, value in zip(out, (n, hit, len(owners) - max(nameless - 1, 0), hashlib.sha256(",".join(ids).encode()).hexdigest(), bad), strict=True):
                     column.append(value)
                 if spans:
                     at = original_offsets(text.decode()) if ranges else []

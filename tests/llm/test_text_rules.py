@@ -146,6 +146,15 @@ def test_decontamination(spark, tricky, empty, monkeypatch, limit):
     assert not decontaminate.decontaminate(tricky, bench.limit(0)).where("contaminated or n_hit > 0").count()
 
 
+def test_benchmark_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "seven wise owls"), (3, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "quick brown fox"), (None, "fox jumps"), ("a", "brown fox"), (None, "seven wise owls"), (None, None)], "item_id string, text string")
+    found = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(docs, bench).collect()}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert found == {1: (4, 2, digest("a"), True), 2: (3, 1, digest(""), True), 3: (0, 0, digest(""), False)}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [3]
+
+
 def test_offsets_point_into_the_original(spark):
     text = "Zwölf! The QUICK-brown fox; jumps... over — and on"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
