@@ -12,8 +12,8 @@ White space resets the transducer, so a chunk between white space has a state ma
 entry state, the chunk starts at the start state and ends there, adding its count.  Maps of that kind compose by adding,
 and the scan over a text's chunks is a sum over memoised chunk maps.
 
-Edge cases: a null, empty or blank text has 0 tokens; special strings inside a text count one each and cut it, as the
-library does by default; repeated rows are counted one by one; a chunk of any length is read letter by letter.
+Edge cases: a null, empty or blank text has 0 tokens; special strings inside a text, in their own case only, count one each
+and cut it, as the library does by default; repeated rows are counted one by one; a chunk of any length is read letter by letter.
 """
 
 from __future__ import annotations
@@ -177,6 +177,10 @@ class TextCounter:
         """Tokens of each text of a slice: the sums of its chunks' maps."""
         low = lowered(buf)
         starts, ends, first = word_spans(low, offsets)
+        # special strings are those of the raw text, so a chunk that may hold one keeps its case
+        marks = np.flatnonzero((buf[:-1] == ord("<")) & (buf[1:] == ord("|")))
+        for k in np.unique(np.searchsorted(starts, marks, side="right") - 1).tolist():
+            low[starts[k] : ends[k]] = buf[starts[k] : ends[k]]
         _, size = self.memo.find(low, starts, ends, np.zeros(len(starts), dtype=bool))
         return np.diff(np.concatenate([[0], np.cumsum(size)])[first])
 

@@ -71,6 +71,12 @@ def test_token_counts_of_odd_texts(text):
     assert token_count.TextCounter(P.path(JSON_WORD)).text(text) == len(t.encode(text, add_special_tokens=False).ids)
 
 
+def test_special_strings_in_another_case(spark):
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "A<|endoftext|>B <|STARTOFTEXT|><|endoftext|>", "<|endoftext|>", "X<|Y É<|endoftext|>É", "a<", "|b"]
+    rows = list(enumerate(texts))
+    assert got(token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), P.path(JSON_WORD))) == counts(rows)
+
+
 def test_byte_bpe(tricky, empty):
     path = P.path(RANKS)
     assert got(bpe.encode_documents(tricky, path, P.PATTERN, with_ids=False)) == codes(pairs(tricky))
