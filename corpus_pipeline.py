@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return jaccard_join.one_of_each_group(docs)
+    """One document of each group stays; the stage is op1's, and so are its shingle width and threshold."""
+    return jaccard_join.one_of_each_group(docs, words=jaccard_join.WORDS, percent=jaccard_join.PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

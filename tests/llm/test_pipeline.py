@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from test_jaccard_join import brute
 
-from quillon.llm import decontaminate, quality, secrets
+from quillon.llm import decontaminate, jaccard_join, quality, secrets
 from quillon.llm.common import stored
 
 
@@ -47,6 +47,13 @@ def test_each_stage_on_its_own_input(spark, sf, steps):
     assert {r.doc_id: r.decoded_sha256 for r in encoded.collect()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
 
 
+def test_near_duplicates_states_its_parameters(spark, tricky, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(jaccard_join, "one_of_each_group", lambda docs, **own: asked.update(own) or docs)
+    corpus_pipeline.near_duplicates(spark, tricky, "")
+    assert asked == {"words": 4, "percent": 85}
+
+
 def test_run_is_the_stages(spark, sf, steps):
     assert sorted(corpus_pipeline.run(spark, sf).drop("ids").collect()) == sorted(steps[-1].drop("ids").collect())
 
