@@ -196,18 +196,20 @@ def first_candidates(prefixes: DataFrame, percent: int) -> DataFrame:
                 yield output(nothing[0], pa.array(a), pa.array(b), *nothing[1:])
                 yield output(pa.array(h[k:]), pa.array(c[k:]), pa.nulls(len(h) - k, pa.int64()), pa.array(n[k:]), pa.array(pos[k:]))
                 continue
+            # only a group of more rows than a piece holds may go on, however few classes stand in its first piece
+            long = len(h) > most and h[0] == h[-1]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             h, c, n, pos = h[new], c[new], n[new], pos[new]
             begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.append(begin, len(h)))
             left, right = [], []
-            for m in np.unique(size[(size > 1) & (size <= large)]).tolist():
+            for m in np.unique(size[(size > 1) & (size <= large)]).tolist() if not long else []:
                 at = begin[size == m]
                 i, j = np.triu_indices(m, 1)
                 left.append((at[:, None] + i).ravel())
                 right.append((at[:, None] + j).ravel())
-            many = np.flatnonzero(size > large)
+            many = np.flatnonzero((size > large) | long)
             for g in many.tolist():
                 for first in range(leaders):
                     others = np.arange(begin[g] + first + 1, begin[g] + size[g])

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import jaccard_join
 from quillon.llm.registry import QUERIES
@@ -90,6 +91,24 @@ def test_star_of_near_copies(spark, monkeypatch, block):
     assert got(jaccard_join.linked(df)) == brute(rows)
 
 
+def test_few_classes_in_the_first_piece_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MANY", 8)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10")
+    try:
+        rows = spark.createDataFrame([(1, c, 20, 0) for c in range(1, 13) for _ in range(5)], "h long, c long, n int, pos int")
+        first = jaccard_join.first_candidates(rows, 85)
+        shared = first.where("b is null").select("h", F.col("a").alias("c"), "n", "pos")
+        second = jaccard_join.second_candidates(shared, spark.createDataFrame([], "node long, root long"), 85)
+        found = {(r.a, r.b) for r in first.where("b is not null").select("a", "b").unionByName(second).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert found == {(a, b) for a in range(1, 13) for b in range(a + 1, 13)}
+
+
 def test_one_of_each_group(tricky, empty):
     kept = jaccard_join.one_of_each_group(tricky)
     assert kept.columns == tricky.columns
