@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_text, prefix_hash, slices, span_hash, word_spans
-from .repeats import contents_of, indexed, members_of, merged, repeated_runs, single_windows, stretches, with_spans
+from .repeats import bounded, indexed, merged, repeated_runs, stretches, with_spans
 
 WIDTH = 20
 GRAM = 6
@@ -113,15 +113,10 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_words, n_removed, kept (the kept words joined by one space), kept_sha256."""
     texts = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("doc_id", "text"))
     found = repeated_runs(texts, word_units, width, gram)
-    contents = contents_of(found)
-    place = F.struct("doc_id", "t", "i", "j")
-    copies = members_of(found, contents).where(place != F.col("at")).select("t", F.col("i").alias("s"), F.col("j").alias("e"))
-    compared = indexed(contents, earlier(width)).select("t", "s", "e")
-    single = single_windows(contents, width, np.uint64)
-    here = F.struct("doc_id", "t", "s")
-    firsts = single.groupBy("w1", "w2").agg(F.min(here).alias("least"), F.count("*").alias("all")).where("all > 1").drop("all")
-    rest = single.join(firsts, ["w1", "w2"]).where(here != F.col("least")).select("t", "s", F.col("s").alias("e"))
-    spanned = with_spans(texts, copies.unionByName(compared).unionByName(rest), width)
+    members, several = bounded(found, width, gram, np.uint64)
+    copies = members.where("not least").select("t", F.col("i").alias("s"), F.col("j").alias("e"))
+    compared = indexed(several, earlier(width)).select("t", "s", "e")
+    spanned = with_spans(texts, copies.unionByName(compared), width)
 
     def cut(batches):
         for batch in batches:

@@ -8,8 +8,8 @@ place of its group.  Nothing is renamed or sorted recursively.
 
 The construction runs over phrases, not bytes: the input is cut where a hash of the last ``TRIGGER`` bytes asks for it, phrases
 are ranked as byte strings, and the suffix array of the phrase ranks gives each byte position the order (rest of its phrase,
-rank of the phrase suffix behind).  Positions that agree in the first ``width`` bytes stand side by side; neighbours are
-compared byte by byte.  An array covers the distinct contents of a shard of anchors (see ``repeats``), with their counts.
+rank of the phrase suffix behind).  Positions that agree in the first ``width`` bytes stand side by side, and the common prefixes of the array's
+neighbours say which do.  An array covers the distinct contents of a shard of anchors (see ``repeats``), with their counts.
 
 Edge cases: a null or empty text has no bytes; a text shorter than the width keeps all; rows that repeat, with their ids
 or without, are occurrences of their own; an empty table gives no rows; other columns are not read; texts of any length are
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_text, prefix_hash, span_hash
-from .repeats import contents_of, indexed, members_of, merged, repeated_runs, single_windows, with_spans
+from .repeats import bounded, indexed, merged, repeated_runs, with_spans
 
 WIDTH = 200
 GRAM = 20
@@ -131,6 +131,37 @@ def phrase_cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.union1d(hit[inside], offsets[1:])
 
 
+def common_prefixes(rows: np.ndarray, byte: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """For each entry of the array, the bytes (``width`` at most) that its suffix shares with the one before; 0 for the first.
+    A suffix ends with its payload."""
+    left = offsets[np.minimum(np.searchsorted(offsets, byte, side="right"), len(offsets) - 1)] - byte
+    out = np.zeros(len(byte), dtype=np.int64)
+    for k in range(1, len(byte), 1 << 15):
+        here = np.arange(k, min(k + (1 << 15), len(byte)))
+        differ = rows[byte[here]] != rows[byte[here - 1]]
+        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        out[here] = np.minimum(shared, np.minimum(left[here], left[here - 1]))
+    return out
+
+
+def range_minimum(values: np.ndarray):
+    """A function of two index arrays: the least of values[low..high], low <= high, from tables of doubling stretches."""
+    tables = [values]
+    while 2 << (len(tables) - 1) <= len(values):
+        step = 1 << (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][:-step], tables[-1][step:]))
+
+    def least(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(low), dtype=values.dtype)
+        for k in np.unique(level).tolist():
+            pick = level == k
+            out[pick] = np.minimum(tables[k][low[pick]], tables[k][high[pick] - (1 << k) + 1])
+        return out
+
+    return least
+
+
 def sorted_windows(payloads: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All windows in the order of the suffix array: their payload, their start in it, whether each equals the one before, and
     the whole buffer's offsets."""
@@ -149,19 +180,29 @@ def sorted_windows(payloads: list[bytes], width: int) -> tuple[np.ndarray, np.nd
     text = np.ones(len(ends) + len(payloads) + 1, dtype=np.int64)
     text[spot] = rank[which]
     text[-1] = 0
+    array = np.asarray(suffix_array(text.tolist()))
     order = np.empty(len(text), dtype=np.int64)
-    order[suffix_array(text.tolist())] = np.arange(len(text))
+    order[array] = np.arange(len(text))
+    # where each entry's bytes begin: a phrase's first byte, a separator's own place
+    byte = np.zeros(len(text), dtype=np.int64)
+    byte[spot] = begins
+    byte[spot[last] + 1] = ends[last]
+    byte[-1] = len(buf)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(width, np.uint8)]), width)
+    least = range_minimum(common_prefixes(rows, byte[array], offsets, width))
     starts = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
     cut = np.searchsorted(ends, starts + TRIGGER)
     whole = ends[cut] >= starts + width
-    lead = span_hash(total, starts, np.where(whole, starts + width, ends[cut]))
+    stop = np.where(whole, starts + width, ends[cut])
+    lead = span_hash(total, starts, stop)
     rest = np.where(whole, -1, order[spot[cut] + 1])
     by = np.lexsort((rest, lead))
-    starts = starts[by]
-    content = span_hash(total, starts, starts + width)
+    starts, lead, rest, need = starts[by], lead[by], rest[by], (starts + width - stop)[by]
     same = np.zeros(len(starts), dtype=bool)
-    same[1:] = content[1:] == content[:-1]
-    rows = np.lib.stride_tricks.sliding_window_view(buf, width) if len(buf) >= width else np.zeros((0, width), np.uint8)
+    same[1:] = lead[1:] == lead[:-1]
+    pair = np.flatnonzero(same & (rest >= 0))
+    same[pair] = least(rest[pair - 1] + 1, rest[pair]) >= need[pair]
+    # leads were compared by hash: an exact check of what the array says
     for k in range(0, len(starts), 1 << 15):
         pair = np.flatnonzero(same[k : k + (1 << 15)]) + k
         same[pair] = (rows[starts[pair]] == rows[starts[pair - 1]]).all(axis=1)
@@ -191,13 +232,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, binary), kept_sha256."""
     texts = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("doc_id", "text"))
     found = repeated_runs(texts, lambda buf, offsets: (buf, offsets), width, gram)
-    contents = contents_of(found)
-    copies = members_of(found, contents).select("t", F.col("i").alias("s"), F.col("j").alias("e"))
-    compared = indexed(contents, weigh(width)).select("t", "s", "e")
-    single = single_windows(contents, width, np.uint8)
-    twice = single.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1")
-    rest = single.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("t", "s", F.col("s").alias("e"))
-    spanned = with_spans(texts, copies.unionByName(compared).unionByName(rest), width)
+    members, several = bounded(found, width, gram, np.uint8)
+    copies = members.select("t", F.col("i").alias("s"), F.col("j").alias("e"))
+    compared = indexed(several, weigh(width)).select("t", "s", "e")
+    spanned = with_spans(texts, copies.unionByName(compared), width)
 
     def cut(batches):
         for batch in batches:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillon.llm import repeats, substring_dedup, suffix_dedup
@@ -89,3 +90,53 @@ def test_queries_against_brute_force(spark, sf):
     rows = pairs(spark.read.parquet(f"{sf}/documents.parquet"))
     assert got(QUERIES["op4_suffix_dedup"](spark, sf)) == remove_bytes(rows)
     assert got(QUERIES["op5_substring_dedup"](spark, sf)) == remove_words(rows)
+
+
+def odd_texts():
+    """One passage in many surroundings, periodic texts, and a text of more than a piece of units."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
+    passage = prose(45)
+    rows = [(k, f"{prose(rng.randint(5, 40))} {passage} {prose(rng.randint(5, 40))}") for k in range(60)]
+    rows += [(100, "-=" * 1500), (101, "ab cd ef " * 300), (102, "x " + "ab cd ef " * 100), (103, "a" * 700), (104, (prose(60) + " ") * 4), (105, "é" * 350)]
+    return rows + [(106, prose(900) + " " + passage + " " + "z " * 300)]
+
+
+@pytest.mark.parametrize(("most", "piece"), [(2000, 1 << 20), (3, 1 << 20), (5, 700)])
+def test_common_passages_and_periods(spark, monkeypatch, most, piece):
+    monkeypatch.setattr(repeats, "MOST_CONTENTS", most)
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    df = spark.createDataFrame(odd_texts(), "doc_id long, text string").repartition(4)
+    assert got(suffix_dedup.remove_repeats(df)) == remove_bytes(odd_texts())
+    assert got(substring_dedup.remove_earlier(df)) == remove_words(odd_texts())
+
+
+def test_runs_of_a_period_are_folded():
+    raw = np.frombuffer(b"-=" * 100_000, dtype=np.uint8)
+    row, first, last, _, _, _, count = repeats.runs(raw, np.array([0, len(raw)]), 200, 20)
+    assert len(row) < 20 and last[-1] == len(raw) - 200 and first[0] == 0
+    assert count.sum() > 90_000
+
+
+def test_array_decides_as_sorting_does():
+    rng = random.Random(3)
+    for _ in range(60):
+        payloads = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 90))) * rng.randint(1, 2) for _ in range(rng.randint(1, 6))]
+        owner, start, same, _ = suffix_dedup.sorted_windows(payloads, 12)
+        windows = [payloads[o][s : s + 12] for o, s in zip(owner.tolist(), start.tolist(), strict=True)]
+        assert len(windows) == sum(max(0, len(p) - 11) for p in payloads)
+        assert len({w for w in windows}) == len(windows) - int(same.sum())
+        assert all(a == b for a, b, s in zip(windows, windows[1:], same[1:].tolist(), strict=False) if s)
+
+
+def test_a_text_above_a_slice(spark):
+    rng = random.Random(5)
+    long = " ".join(f"u{rng.randint(0, 10**7)}" for _ in range(170_000))
+    part = long[700_000:701_000]
+    rows = [(1, long), (2, "start " + part + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long) > 1 << 20
+    by_bytes = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert (by_bytes[1].n_removed, by_bytes[1].n_spans, by_bytes[2].n_removed) == (1000, 1, 1000)
+    by_words = {r.doc_id: r for r in substring_dedup.remove_earlier(df).collect()}
+    assert by_words[1].n_removed == 0 and by_words[2].n_removed >= len(part.split()) - 2
