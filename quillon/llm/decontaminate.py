@@ -5,23 +5,27 @@ Patterns are windows of 13 consecutive item words (a shorter item is one window)
 whole words only.  A document word inside any occurrence of a window is hit.
 
 Edge cases: a null or wordless text has 0 words and is never contaminated; an item with a null or wordless text has no
-window; items with a null id hit and count, all of them as one in n_items, but aren't in items_sha256; an empty benchmark hits nothing; repeated
-documents are judged one by one; repeated items each count, by their own id.
-The automaton is broadcast only up to ``MAX_PATTERN_BYTES`` of benchmark text; a larger benchmark is cut into bounded
-groups of items, each scanned in turn over the same row, so that no automaton passes the bound.
+window; rows of the benchmark that share an id are one item, and so are all without an id, which hit and count but aren't in
+items_sha256; an empty benchmark hits nothing; repeated documents are judged one by one; other columns are not read; a text
+is scanned whole, in memory of a few times its size.
+
+The benchmark's size is measured first.  Up to ``MAX_PATTERN_BYTES`` of windows it is collected, broadcast and scanned for in
+one pass, without an exchange.  A larger one is dealt by hash into parts of about that size; each part is collected, broadcast and
+scanned for in a pass of its own, and the passes' findings for a row are merged by its id and text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_text
+from .common import documents, id_text, per_worker
 
 WINDOW = 13
 MAX_PATTERN_BYTES = 16 << 20
@@ -56,7 +60,7 @@ def original_offsets(text: str) -> list[tuple[int, int]]:
 
 
 def compile_automata(items: list[tuple[str | None, list[bytes]]], width: int = WINDOW, limit: int = MAX_PATTERN_BYTES):
-    """Automata over bounded groups of items.  A pattern's value: (words in it, positions of its items in the list)."""
+    """Automata over bounded groups of items.  A pattern's value: (words in it, ids of its items)."""
     import ahocorasick
 
     groups, patterns, size = [], {}, 0
@@ -69,7 +73,7 @@ def compile_automata(items: list[tuple[str | None, list[bytes]]], width: int = W
             automaton.make_automaton()
             groups.append(automaton)
 
-    for k, (_, words) in enumerate(items):
+    for item, words in items:
         for w in windows(words, width):
             if w not in patterns:
                 if size > limit:
@@ -78,14 +82,14 @@ def compile_automata(items: list[tuple[str | None, list[bytes]]], width: int = W
                 patterns[w] = (w.count(b" ") + 1, [])
                 size += len(w)
             owners = patterns[w][1]
-            if not owners or owners[-1] != k:
-                owners.append(k)
+            if not owners or owners[-1] != item:
+                owners.append(item)
     close()
     return groups
 
 
 def scan(words: list[bytes], automata: list) -> tuple[list[tuple[int, int]], set[int]]:
-    """Hit word ranges (merged, half open) and the positions of the items that occur."""
+    """Hit word ranges (merged, half open) and the ids of the items that occur."""
     if not words:
         return [], set()
     joined = b" ".join([b"", *words, b""]).decode("latin-1")
@@ -97,85 +101,127 @@ def scan(words: list[bytes], automata: list) -> tuple[list[tuple[int, int]], set
             last = int(np.searchsorted(ends, end)) + 1
             ranges.append((last - n, last))
             owners.update(who)
-    merged: list[list[int]] = []
+    return merged(ranges), owners
+
+
+def merged(ranges) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
     for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged], owners
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
-class Scanner:
-    """The automata of a benchmark and what they say of a text."""
+def passes_of(benchmark: DataFrame, width: int) -> list[DataFrame]:
+    """The benchmark in parts whose windows have about MAX_PATTERN_BYTES at most."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * width
+    parts = -(-size // MAX_PATTERN_BYTES)
+    return [items] if parts <= 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) for p in range(parts)]
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int):
-        self.items, self.automata = items, compile_automata(items, width)
 
-    def judge(self, text: bytes | None):
-        """Number of words, hit ranges, hit words, items that occur, whether contaminated."""
-        words = normal_words(text)
-        ranges, owners = scan(words, self.automata)
-        hit = sum(b - a for a, b in ranges)
-        return len(words), ranges, hit, owners, hit > 0 and 20 * hit >= len(words)
+def scanner(part: DataFrame, width: int):
+    """A function that gives the automata of one part of the benchmark, built once by each worker."""
+    rows = part.distinct().collect()  # bounded: see passes_of
+    items = sorted(((i, normal_words(t)) for i, t in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+    raw = pickle.dumps((items, width, MAX_PATTERN_BYTES))
+    shared, key = part.sparkSession.sparkContext.broadcast(raw), ("benchmark", hashlib.sha256(raw).hexdigest())
+    return lambda: per_worker(key, lambda: compile_automata(*pickle.loads(shared.value)))
+
+
+def verdict(n: int, ranges: list[tuple[int, int]], owners) -> tuple[int, int, str, bool]:
+    """n_hit, n_items, items_sha256, contaminated."""
+    hit, known = sum(b - a for a, b in ranges), set(owners)
+    return hit, len(known), hashlib.sha256(",".join(sorted(known - {None})).encode()).hexdigest(), hit > 0 and 20 * hit >= n
 
 
-def _scanner(docs: DataFrame, benchmark: DataFrame, width: int):
-    """A function that gives the worker's scanner, built when first asked for.
+JUDGED = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+SPANS = "array<struct<start:long,end:long>>"
 
-    The benchmark's texts are collected to build the automata: a benchmark is a fixed list of test items, read whole.
-    """
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()
-    items = sorted(((i, normal_words(t)) for i, t in rows), key=lambda x: (x[0] is None, x[0] or ""))
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(items))
-    cache: dict = {}
 
-    def get() -> Scanner:
-        if not cache:
-            cache["scanner"] = Scanner(pickle.loads(shared.value), width)
-        return cache["scanner"]
+def _judgement(text: bytes | None, n: int, ranges, owners, spans: bool) -> tuple:
+    at = original_offsets(text.decode()) if spans and ranges else []
+    return (n, *verdict(n, ranges, owners), *([[{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges]] if spans else []))
 
-    return get
+
+def _arrays(rows: list[tuple], spans: bool) -> tuple[list, list[str]]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *([pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] if spans else [])]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["spans"] if spans else [])]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, spans: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, the hit spans as
     code-point offsets into the original text (array of start/end structs)."""
-    scanner = _scanner(docs, benchmark, width)
+    texts, parts = id_text(docs, id_col, text_col), passes_of(benchmark, width)
+    schema = f"doc_id long, {JUDGED}" + (f", spans {SPANS}" if spans else "")
+    if len(parts) == 1:
+        automata = scanner(parts[0], width)
+
+        def run(batches):
+            held = automata()
+            for batch in batches:
+                out = []
+                for text in batch.column(1).cast(pa.binary()).to_pylist():
+                    words = normal_words(text)
+                    out.append(_judgement(text, len(words), *scan(words, held), spans))
+                arrays, names = _arrays(out, spans)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
+
+        return texts.mapInArrow(run, schema)
+
+    keyed = texts.withColumn("t", F.xxhash64("doc_id", "text"))
+    found = reduce(DataFrame.unionByName, [_findings(keyed, scanner(p, width)) for p in parts]).distinct()
+    of_row = found.groupBy("t").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("owners")).alias("owners"))
+
+    def join(batches):
+        for batch in batches:
+            _, texts, ranges, owners = (c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3)))
+            out = [_judgement(t, len(normal_words(t)), merged([(x["a"], x["b"]) for x in r or []]), w or [], spans) for t, r, w in zip(texts, ranges, owners, strict=True)]
+            arrays, names = _arrays(out, spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
+
+    return keyed.join(of_row, "t", "left").select("doc_id", "text", "ranges", "owners").mapInArrow(join, schema)
+
+
+def _findings(keyed: DataFrame, automata) -> DataFrame:
+    """What one part of the benchmark hits: t, ranges (word places), owners (item ids); a row that isn't hit gives none."""
 
     def run(batches):
-        judge, items = scanner().judge, scanner().items
+        held = automata()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            found_spans = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                n, ranges, hit, owners, bad = judge(text)
-                ids = sorted({items[k][0] for k in owners} - {None})
-                nameless = sum(items[k][0] is None for k in owners)
-                for column, value in zip(out, (n, hit, len(owners) - max(nameless - 1, 0), hashlib.sha256(",".join(ids).encode()).hexdigest(), bad), strict=True):
-                    column.append(value)
-                if spans:
-                    at = original_offsets(text.decode()) if ranges else []
-                    found_spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
-            arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.bool_())]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-            if spans:
-                arrays.append(pa.array(found_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + (", spans array<struct<start:long,end:long>>" if spans else "")
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """The rows of docs that aren't contaminated, in one pass without an exchange."""
-    scanner, at = _scanner(docs, benchmark, width), docs.columns.index(text_col)
+            at, ranges, owners = [], [], []
+            for k, text in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
+                hit, who = scan(normal_words(text), held)
+                if hit:
+                    at.append(k)
+                    ranges.append([{"a": a, "b": b} for a, b in hit])
+                    owners.append(sorted(who, key=lambda x: (x is None, x or "")))
+            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), pa.array(ranges, kind), pa.array(owners, pa.list_(pa.string()))], names=["t", "ranges", "owners"])
+
+    return keyed.select("text", "t").mapInArrow(run, "t long, ranges array<struct<a:long,b:long>>, owners array<string>")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """The rows of docs that aren't contaminated; a benchmark of one part needs no exchange for it."""
+    parts = passes_of(benchmark, width)
+    if len(parts) > 1:
+        bad = decontaminate(docs.withColumn("__t", F.xxhash64(F.col(f"`{text_col}`").cast("string"))), benchmark, "__t", text_col, width).where("contaminated")
+        marked = docs.withColumn("__t", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+        return marked.join(bad.select(F.col("doc_id").alias("__t")), "__t", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    automata, at = scanner(parts[0], width), docs.columns.index(text_col)
+
+    def clean(text: bytes | None, held) -> bool:
+        words = normal_words(text)
+        return not verdict(len(words), *scan(words, held))[3]
 
     def run(batches):
-        judge = scanner().judge
+        held = automata()
         for batch in batches:
-            yield batch.filter(pa.array([not judge(t)[4] for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([clean(t, held) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
