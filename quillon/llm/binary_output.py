@@ -1,8 +1,8 @@
 """Token ids as Arrow files of fixed-size lists: equal-length sequences with masks, readable in place.
 
 Documents are dealt by range of doc_id (nulls first); each partition concatenates its documents' ids, cuts the run into
-rows of ``LENGTH`` ids and writes an Arrow file whose batches hold a fixed-size list of ids (uint16 if the vocabulary
-fits) and a fixed-size list of booleans, false on the padding of the last row.  Row r of a file is ``LENGTH`` ids at a
+rows of ``LENGTH`` ids and writes an Arrow file whose batches hold a fixed-size list of ids (uint16 if the vocabulary's
+ids fit, else uint32) and a fixed-size list of booleans, false on the padding of the last row.  Row r of a file is ``LENGTH`` ids at a
 known offset, so a memory-mapped reader gets it without a copy.  A second Arrow file holds each document's id, first
 position in its part and count.  The parts' totals (one number a file) give the positions over the whole corpus.
 
@@ -87,10 +87,19 @@ def tokenizer_encoder(path: str) -> Encoder:
     return Encoder(encode_words, PATTERN, specials)
 
 
+def id_dtype(path: str, end_id: int) -> type:
+    """The narrowest unsigned type that holds every id of the vocabulary and the end id."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    return np.uint16 if max(end_id, *vocabulary.values()) <= np.iinfo(np.uint16).max else np.uint32
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, folder: str | None = None) -> DataFrame:
     """Encode and write; returns one row per part: part, n_ids, ids_path, index_path.  The part numbers follow doc_id."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-files")
+    dtype = id_dtype(tokenizer, end_id)
 
     def run(batches):
         encoder = per_worker(("tokenizer", tokenizer), lambda: tokenizer_encoder(tokenizer))
@@ -99,7 +108,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
 
         def write(sink):
             nonlocal total
-            packer = Packer(sink, np.uint16, length)
+            packer = Packer(sink, dtype, length)
             for batch in batches:
                 doc_ids.append(batch.column(0))
                 for found in (x for _, buf, offsets in slices(batch, "text") for x in encoder.encode(buf, offsets)):

@@ -102,3 +102,22 @@ def test_queries(spark, sf):
     assert got(QUERIES["op6_token_counts"](spark, sf)) == counts(rows)
     assert got(QUERIES["op10_byte_bpe"](spark, sf)) == codes(rows)
     assert got(QUERIES["op8_token_files"](spark, sf)) == Counter(files(rows))
+
+
+def test_ids_above_two_bytes(spark, tricky, tmp_path):
+    """A vocabulary of 70,000 entries whose letters have the largest ids."""
+    import json
+
+    letters = bpe.byte_letters()
+    vocabulary = {f"filler{i}": i for i in range(70_000 - len(letters))} | {c: 70_000 - len(letters) + i for i, c in enumerate(letters)}
+    spec = {"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "truncation": None, "padding": None,
+            "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "vocab": vocabulary, "merges": []}}
+    path = str(tmp_path / "wide.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    assert binary_output.id_dtype(path, 2).__name__ == "uint32" and binary_output.id_dtype(P.path(JSON_BYTE), 2).__name__ == "uint16"
+    parts = binary_output.write_token_files(tricky, path, 2).collect()
+    found = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in binary_output.read_token_files(parts, spark).collect()}
+    crc = lambda raw: zlib.crc32(b"".join((vocabulary[letters[b]]).to_bytes(4, "little") for b in raw) + (2).to_bytes(4, "little"))
+    assert found == {(d, len((t or "").encode()) + 1, crc((t or "").encode())) for d, t in pairs(tricky)}
+    assert {r.ids_crc32 for r in binary_output.read_token_files(parts, spark).where("doc_id = 7").collect()} == {crc(dict(pairs(tricky))[7].encode())}
