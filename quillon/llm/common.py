@@ -7,6 +7,7 @@ only, so both can be done on bytes without decoding.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 import zlib
 
@@ -210,10 +211,16 @@ def build_bloom(keys: DataFrame) -> np.ndarray:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the cluster names none (as in local tests)."""
+    """Set the checkpoint folder that the cluster names; a local session without one gets a temporary folder."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    context.setCheckpointDir(folder)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -233,11 +240,29 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's checkpoint folder, which the driver and all executors share."""
     prepare(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made_folders() -> int:
+    """How many shared folders this driver has made and not removed: a mark for ``remove_folders``."""
+    return len(_made)
+
+
+def remove_folders(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Remove the shared folders made since the mark, but the last ``keep``: for a caller that has stored its result there."""
+    doomed = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    for uri in doomed:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def publish(uri: str, write) -> None:
