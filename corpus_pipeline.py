@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe, decontaminate, jaccard_join, quality, secrets
-from quillon.llm.common import documents, stored
+from quillon.llm.common import documents, made_folders, remove_folders, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again."""
+    """All stages over documents, each but the last written to the shared folder and read again; what a stage stored on its
+    way, and its input, goes when its result is written."""
     docs = documents(spark, sf_dir)
+    mark = made_folders()
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
             docs = stored(docs, "stage")
+            remove_folders(spark, mark)
     return docs
