@@ -8,12 +8,15 @@ the present one.  That is finite, deterministic, and every transition is annotat
 letter may take tokens back, so an annotation may be negative).  Transitions are compiled when first taken and kept
 in a bounded table.
 
-White space resets the transducer, so a chunk between white space has a state map of one pair: whatever the
-entry state, the chunk starts at the start state and ends there, adding its count.  Maps of that kind compose by adding,
-and the scan over a text's chunks is a sum over memoised chunk maps.
+A chunk of letters is a map of states: entry state to exit state and tokens emitted.  White space and the borders of pre-tokens
+reset the transducer, so a chunk between them is a constant map (it starts and ends at the start state), and the scan over a
+text's chunks is a running sum of memoised counts.  A pre-token of more than ``BLOCK`` letters is cut into blocks.  A block's map is worked out
+from the start state without the blocks before it, and for another entry state by following that until it meets the
+first run, which from there on holds for both (see ``StateMap``); maps compose pairwise, level by level.
 
 Edge cases: a null, empty or blank text has 0 tokens; special strings inside a text, in their own case only, count one each
-and cut it, as the library does by default; repeated rows are counted one by one; a chunk of any length is read letter by letter.
+and cut it, as the library does by default; repeated rows are counted one by one; a pre-token of any length is read in blocks; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from .common import documents, id_text, lowered, per_worker, slices, word_spans
 LIMIT = 2048
 MAX_STATES = 120_000
 MEMO_WORDS = 500_000
+BLOCK = 4096
 
 
 class CountTransducer:
@@ -126,6 +130,8 @@ class CountTransducer:
         if len(self.keys) > MAX_STATES:
             self.reset()
         letters = raw[:-1].decode("latin-1").translate(_INSIDE) + chr(512 + raw[-1])
+        if len(letters) > BLOCK:
+            return self.scanned(letters)
         state = total = 0
         for letter in letters:
             step = self.next[state].get(letter)
@@ -133,6 +139,54 @@ class CountTransducer:
             total += emitted
         return total
 
+    def scanned(self, letters: str) -> int:
+        """Tokens of a long pre-token: maps of its blocks, equal blocks sharing one, composed pairwise."""
+        blocks = [letters[k : k + BLOCK] for k in range(0, len(letters), BLOCK)]
+        known = {b: StateMap(self, b) for b in set(blocks)}
+        maps = [known[b].apply for b in blocks]
+        while len(maps) > 1:
+            maps = [composed(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0](0)[1]
+
+
+class StateMap:
+    """What a block of letters does to an entry state: the exit state and the tokens emitted."""
+
+    def __init__(self, machine: CountTransducer, letters: str):
+        self.machine, self.letters = machine, letters
+        self.states, self.totals = [], []
+        self.known = {0: self.run(0)}
+
+    def run(self, state: int) -> tuple[int, int]:
+        """Letter by letter; the first run, from the start state, is kept for the others to join."""
+        total, first = 0, not self.states
+        for k, letter in enumerate(self.letters):
+            step = self.machine.next[state].get(letter)
+            state, emitted = step if step is not None else self.machine.compile(state, letter)
+            total += emitted
+            if first:
+                self.states.append(state)
+                self.totals.append(total)
+            elif state == self.states[k]:
+                return self.states[-1], total + self.totals[-1] - self.totals[k]
+        return state, total
+
+    def apply(self, state: int) -> tuple[int, int]:
+        if state not in self.known:
+            self.known[state] = self.run(state)
+        return self.known[state]
+
+
+def composed(first, second):
+    """The map of two stretches of blocks, one behind the other."""
+
+    def apply(state: int) -> tuple[int, int]:
+        middle, one = first(state)
+        end, two = second(middle)
+        return end, one + two
+
+    return apply
+
 
 _INSIDE = {b: 256 + b for b in range(256)}
 
@@ -152,6 +206,8 @@ class TextCounter:
         self.memo = ChunkMemo(self.learn)
 
     def word(self, word: str) -> int:
+        if len(word) > BLOCK:
+            return self.machine.count(word)
         n = self.words.get(word)
         if n is None:
             if len(self.words) >= MEMO_WORDS:

@@ -121,3 +121,41 @@ def test_ids_above_two_bytes(spark, tricky, tmp_path):
     crc = lambda raw: zlib.crc32(b"".join((vocabulary[letters[b]]).to_bytes(4, "little") for b in raw) + (2).to_bytes(4, "little"))
     assert found == {(d, len((t or "").encode()) + 1, crc((t or "").encode())) for d, t in pairs(tricky)}
     assert {r.ids_crc32 for r in binary_output.read_token_files(parts, spark).where("doc_id = 7").collect()} == {crc(dict(pairs(tricky))[7].encode())}
+
+
+def test_specials_in_any_case_and_long_words(spark):
+    """Against the library: special strings in other cases, and pre-tokens of many blocks."""
+    import random
+
+    rng = random.Random(9)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|", "|>", "word", "Straße", "É", "don't", "12", "...", " ", "\n", "東京"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts += ["a" * 300_000, "".join(rng.choice("abcdefgh") for _ in range(50_000)), "é" * 9000 + "x" + "banana" * 4000, "x" * 4096, "x" * 4097, "1" * 20_000 + "!" * 20_000]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(token_count.count_tokens(df, P.path(JSON_WORD))) == counts(rows)
+
+
+def test_clashing_columns_and_empty_tables(spark, tricky, empty):
+    clash = tricky.select("doc_id", "text", tricky.a.alias("n_tokens"), tricky.t.alias("ids"), tricky.t.alias("n_bytes"))
+    assert got(token_count.count_tokens(clash, P.path(JSON_WORD))) == got(token_count.count_tokens(tricky, P.path(JSON_WORD)))
+    encoded = bpe.encode_documents(clash, P.path(RANKS), P.PATTERN, with_ids=False)
+    assert got(encoded) == codes(pairs(tricky))
+    assert token_count.count_tokens(empty, P.path(JSON_WORD)).count() == 0
+    assert bpe.encode_documents(empty, P.path(RANKS), P.PATTERN).count() == 0
+    one, two = (Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in binary_output.read_token_files(binary_output.write_token_files(x, P.path(JSON_BYTE), 2).collect(), spark).collect()) for x in (clash, tricky))
+    assert one == two
+
+
+def test_a_text_above_a_slice(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["some ", "words, ", "and\n", "números ", "x" * 40]) for _ in range(150_000)), "-=" * 600_000, "short"]
+    rows = list(enumerate(texts))
+    assert len(texts[0]) > 1 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(token_count.count_tokens(df, P.path(JSON_WORD))) == counts(rows)
+    assert got(bpe.encode_documents(df, P.path(RANKS), P.PATTERN, with_ids=False)) == codes(rows)
+    parts = binary_output.write_token_files(df, P.path(JSON_BYTE), 2).collect()
+    assert sorted(map(tuple, binary_output.read_token_files(parts, spark).collect())) == sorted(files(rows))
