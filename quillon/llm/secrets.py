@@ -10,8 +10,11 @@ Spans are code-point offsets, end exclusive, leftmost and non-overlapping for ea
 matches and of the pieces between them.  The ``least`` group of a match must have ``least_length`` characters, else the match
 is dropped after it has taken its place.
 
-Edge cases: a null or empty text has no spans; rows that share a doc_id, or have none, share postings (more candidates, the
-same spans); an empty table gives no rows; other columns are not read.
+A document is known to the index by a hash of its id and text, so rows without an id, or with a shared one, are dealt out by
+their texts.
+
+Edge cases: a null or empty text has no spans; equal rows share postings and are reported one by one; an empty table gives no
+rows; other columns are not read; a text's work is linear in its length and its matches.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ RULES = [
     Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
 MOST_LITERALS = 64
+#: Matches folded at a time.
+BLOCK = 128
 
 
 def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
@@ -107,26 +112,33 @@ def _literal(pattern: str) -> str:
 
 
 def spans_sql(rule: Rule, text: str = "text") -> str:
-    """array<struct<start:int,end:int>> of the rule's matches that hold."""
+    """array<struct<start:int,end:int>> of the rule's matches that hold.
+
+    Lengths are added up within blocks of matches and then over the blocks, so the work is linear in the matches of a text.
+    """
     pat = _literal(rule.pattern)
     kept = "e.found is not null" + (f" and length(e.value) >= {rule.least_length}" if rule.group else "")
     value = f", regexp_extract_all({text}, {pat}, {rule.group}) as value" if rule.group else ""
     zipped = "arrays_zip(x.gaps, x.found" + (", x.value)" if rule.group else ")")
-    return f"""transform(array(struct(split({text}, {pat}, -1) as gaps, regexp_extract_all({text}, {pat}, 0) as found{value})), x ->
-      aggregate({zipped}, struct(0 as at, cast(array() as array<struct<start:int,end:int>>) as spans), (a, e) ->
-        struct(a.at + length(e.gaps) + coalesce(length(e.found), 0) as at,
-          if({kept}, array_append(a.spans, struct(a.at + length(e.gaps) as start, a.at + length(e.gaps) + length(e.found) as end)), a.spans) as spans),
-        a -> a.spans))[0]"""
+    within = f"""transform(sequence(0, (size(z) - 1) div {BLOCK}), b -> aggregate(slice(z, b * {BLOCK} + 1, {BLOCK}),
+        struct(0 as at, cast(array() as array<struct<start:int,end:int>>) as spans), (a, e) ->
+          struct(a.at + length(e.gaps) + coalesce(length(e.found), 0) as at,
+            if({kept}, array_append(a.spans, struct(a.at + length(e.gaps) as start, a.at + length(e.gaps) + length(e.found) as end)), a.spans) as spans)))"""
+    moved = """flatten(transform(w.blocks, (b, k) -> transform(b.spans, s -> struct(s.start + w.before[k] as start, s.end + w.before[k] as end))))"""
+    before = "aggregate(y, array(0), (o, b) -> array_append(o, element_at(o, -1) + b.at))"
+    source = f"array(struct(split({text}, {pat}, -1) as gaps, regexp_extract_all({text}, {pat}, 0) as found{value}))"
+    return f"""transform(transform(transform(transform({source}, x -> {zipped}), z -> {within}),
+      y -> struct(y as blocks, {before} as before)), w -> {moved})[0]"""
 
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index: (gram, doc_id) for each asked-for trigram and each document that has it."""
+    """docs: t, text.  The inverted index: (gram, t) for each asked-for trigram and each document that has it."""
     present = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode(present).alias("gram"))
+    return docs.select("t", F.lower("text").alias("low")).select("t", F.explode(present).alias("gram"))
 
 
 def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]], grams: list[str]) -> DataFrame:
-    """doc_id and a Boolean column may_<kind> per rule: the postings of each document, intersected by the rule's query."""
+    """t and a Boolean column may_<kind> per rule: the postings of each document, intersected by the rule's query."""
     place = {g: i for i, g in enumerate(grams)}
     words = (len(grams) + 62) // 63
     sums = [F.bit_or(F.when(F.floor(F.col("gram") / 63) == w, F.expr("shiftleft(1L, gram % 63)")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
@@ -139,9 +151,9 @@ def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]],
                 tests.append(F.col(f"w{w}").bitwiseAND(F.lit(mask)) == F.lit(mask))
         return _all(tests)
 
-    held = index.groupBy("doc_id").agg(*sums)
+    held = index.groupBy("t").agg(*sums)
     flags = {f"may_{kind}": _all([_any([has(s) for s in clause]) for clause in clauses]) for kind, clauses in queries.items()}
-    return held.select("doc_id", *[c.alias(k) for k, c in flags.items()]).where(_any([F.col(k) for k in flags]))
+    return held.select("t", *[c.alias(k) for k, c in flags.items()]).where(_any([F.col(k) for k in flags]))
 
 
 def _all(tests: list[Column]) -> Column:
@@ -164,8 +176,8 @@ def scanned(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     grams = sorted({g for q in queries.values() for clause in q for need in clause for g in need})
     joined = texts
     if queries:
-        may = candidates(postings(texts, grams), queries, grams).withColumnRenamed("doc_id", "may_id")
-        joined = texts.join(may, texts.doc_id.eqNullSafe(may.may_id), "left")
+        keyed = texts.withColumn("t", F.xxhash64("doc_id", "text"))
+        joined = keyed.join(candidates(postings(keyed, grams), queries, grams), "t", "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     columns = []
     for r in rules:
@@ -190,10 +202,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redacted(text: str, found: str, mark: str) -> str:
-    """SQL for the text with every stretch of (sorted, possibly overlapping) spans replaced by one mark."""
-    return f"""aggregate({found}, struct(0 as at, '' as done), (a, s) -> struct(greatest(a.at, s.end) as at,
-        if(s.start >= a.at, concat(a.done, substring({text}, a.at + 1, s.start - a.at), '{mark}'), a.done) as done),
-        a -> concat(a.done, substring({text}, a.at + 1)))"""
+    """SQL for the text with every stretch of (sorted, possibly overlapping) spans replaced by one mark.
+
+    Spans are taken in blocks, each from the text between the ends of two blocks, so that no step copies the whole.
+    """
+    blocks = f"transform(sequence(0, (size({found}) - 1) div {BLOCK}), b -> slice({found}, b * {BLOCK} + 1, {BLOCK}))"
+    ends = "aggregate(y, array(0), (o, b) -> array_append(o, greatest(element_at(o, -1), array_max(transform(b, s -> s.end)))))"
+    piece = f"""aggregate(transform(b, s -> struct(s.start - w.ends[k] as start, s.end - w.ends[k] as end)),
+        struct(0 as at, '' as done, substring({text}, w.ends[k] + 1, w.ends[k + 1] - w.ends[k]) as part), (a, s) -> struct(greatest(a.at, s.end) as at,
+          if(s.start >= a.at, concat(a.done, substring(a.part, a.at + 1, s.start - a.at), '{mark}'), a.done) as done, a.part as part),
+        a -> a.done)"""
+    return f"""transform(transform(array({blocks}), y -> struct(y as blocks, {ends} as ends)), w ->
+      concat(array_join(transform(w.blocks, (b, k) -> {piece}), ''), substring({text}, element_at(w.ends, -1) + 1)))[0]"""
 
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, mark: str = "[SECRET]", length_col: str = "n_chars") -> DataFrame:

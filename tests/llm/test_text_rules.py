@@ -97,6 +97,36 @@ def test_secret_texts(spark, text):
     assert tuple(row)[1:] == find(text) if text.isascii() else True
 
 
+def redact(text):
+    """Stretches that any rule covers, replaced by one mark each (touching spans stay two)."""
+    spans = sorted((int(s), int(e)) for _, s, e in (x.split(":") for x in find(text)[4].split(",") if x))
+    out, at = [], 0
+    for s, e in spans:
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def test_redaction_and_many_matches(spark, tricky):
+    rng = np.random.default_rng(6)
+    bits = ["0123456789abcdef0", "password=abcdefabcdefabcdef", "AKIA" + "Z" * 16, "é ", "plain words ", "token: 'x'", "🙂"]
+    rows = [(k, "".join(f"{bits[i]} " for i in rng.integers(0, len(bits), n))) for k, n in enumerate([0, 1, 50, 127, 128, 129, 700, 3000])]
+    df = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string")
+    assert Counter(map(tuple, secrets.find_secrets(df).collect())) == Counter((d, *find(t)) for d, t in [*rows, (99, None)])
+    done = {r.doc_id: r.text for r in secrets.redact_documents(df, length_col="none").collect()}
+    assert done == {d: redact(t) for d, t in rows} | {99: None}
+    again = Counter((r.doc_id, r.text) for r in secrets.redact_documents(tricky).collect())
+    assert again == Counter((d, t and redact(t)) for d, t in pairs(tricky))
+    assert secrets.redact_documents(tricky).columns == tricky.columns
+
+
+def test_secrets_of_long_texts(spark):
+    rows = [(1, "0123456789abcdef " * 70_000), (2, "w " * 600_000 + "secret=abcdefghijklmnop"), (3, "-=" * 600_000), (None, "w"), (None, "token=aaaaaaaaaaaaaa")]
+    got = {(r.doc_id, r.n_assign, r.n_hex) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, 70_000), (2, 1, 0), (3, 0, 0), (None, 0, 0), (None, 1, 0)}
+
+
 def test_every_match_passes_its_trigram_query():
     texts = ["password=abcdefghijkl", "API_KEY: 'abcdefghijkl'", "apikey=abcdefghijkl", "AKIA" + "Z" * 14, "-----BEGIN EC PRIVATE KEY-----", "ghs_" + "a" * 36, "xoxp-1234567890", "eyJabcdefgh.eyJabcdefgh.abcdefgh"]
     for r in secrets.RULES:
