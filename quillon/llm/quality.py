@@ -2,25 +2,32 @@
 
 Base counts come from whole texts.  Documents that pass the base rules get a vector of transformed statistics (see
 ``VECTOR``).  For each language and source the minimum-covariance-determinant estimate of location and scatter is
-found by concentration steps from two deterministic starts (coordinate medians with absolute deviations; mean with
-covariance): keep the share ``SHARE`` of the group nearest to the estimate, estimate again, ``STEPS`` times; of the two
-results the smaller determinant stays; one reweighting step follows.  A document is rejected when its squared
-Mahalanobis distance passes ``CUTOFF``.
+found by concentration steps from four deterministic starts: coordinate medians with absolute deviations; mean with covariance;
+covariance of the hyperbolic tangents of the standardised values; covariance of their directions.  A step keeps the share
+``SHARE`` of the group nearest to the estimate and estimates again, until no determinant moves by more than ``SETTLED`` (in its
+logarithm) or ``MOST_STEPS`` are done.  The smallest determinant wins; one reweighting step follows.  A document is rejected when
+its squared Mahalanobis distance passes ``CUTOFF``, the chi-square quantile that a normal document passes with
+probability ``TAIL``.  Text statistics have heavier tails than the normal, so the probability is far out.
 
 Groups under ``LEAST`` documents use the estimate from all documents of their language, and a language under ``LEAST`` that
 from the whole table; if that is also smaller, nothing more is rejected.  ``FLOORS`` (a standard deviation for each statistic, below which spread
 counts as noise) keep the scatter regular where most documents share a value.
 
 Work grows with the rows: a step is one hash aggregate of sums over narrow rows and a histogram of distances (fixed bins a
-group), so a hot group is summed on the map side and never gathered.
+group), so a hot group is summed on the map side and never gathered.  Medians come from histograms too (``PER_UNIT`` bins), so
+no verdict depends on the partitioning.  Estimates are a row a group and start; they are broadcast after a count
+(``MOST_BROADCAST``), and joined by an exchange, salted on the rows' side, beyond it.
 
 Edge cases: a null, empty or blank text has no words and fails the base rule; null language or source is a group of
-its own; repeated rows and ids count and are judged one by one; an empty table gives no rows.
+its own, and so is a table without these columns; repeated rows and ids count and are judged one by one; an empty table
+gives no rows; other columns are not read; the words of a text are an array of one row, so a text needs memory of some ten
+times its size.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,9 +35,13 @@ from pyspark.sql import functions as F
 from .common import documents, saved
 
 SHARE = 0.75
-STEPS = 4
+MOST_STEPS = 30
+SETTLED = 1e-9
 LEAST = 60
-CUTOFF = 60.0
+TAIL = 3e-12
+PER_UNIT = 1024
+MOST_BROADCAST = 20_000
+SALTS = 16
 BINS_PER_OCTAVE = 64
 VECTOR = ("ln(1 + n_words)", "ln(word_chars / n_words)", "ln(1 + 20 * n_symbols / n_words)", "sqrt((n_repeat_words + n_dup_lines) / n_words)")
 FLOORS = (0.5, 0.1, 0.25, 0.08)
@@ -88,22 +99,26 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counted.withColumn("base_failed", failed)
 
 
-def chi2_cdf(x: float, dof: int) -> float:
-    """For an even number of degrees of freedom."""
-    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
+def chi2_tail(x: float, dof: int) -> float:
+    """Probability beyond x, for an even number of degrees of freedom."""
+    return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
 
 
-def chi2_quantile(q: float, dof: int) -> float:
-    low, high = 0.0, 500.0
-    for _ in range(100):
+def chi2_cut(tail: float, dof: int) -> float:
+    """The value that is passed with the probability ``tail``."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if chi2_cdf(mid, dof) < q else (low, mid)
+        low, high = (mid, high) if chi2_tail(mid, dof) > tail else (low, mid)
     return low
 
 
+CUTOFF = chi2_cut(TAIL, P)
+
+
 def consistency(share: float) -> float:
     """Factor that makes the scatter of the nearest share of a normal sample an estimate of the whole's."""
-    return share / chi2_cdf(chi2_quantile(share, P), P + 2)
+    return share / (1 - chi2_tail(chi2_cut(1 - share, P), P + 2))
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
@@ -144,26 +159,65 @@ def _distance() -> Column:
     return total
 
 
+def _with(rows: DataFrame, est: DataFrame) -> DataFrame:
+    """rows joined with the estimates of their g: broadcast where they are few, else dealt by g and a salt."""
+    if est.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(est), "g")
+    salted = est.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"]).drop("salt")
+
+
+def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """g and the median of each value, to a bin's width: <name>0.."""
+    each = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(v * PER_UNIT).alias("bin")) for i, v in enumerate(values)])).alias("e")).select("g", "e.i", "e.bin")
+    bins = each.groupBy("g", "i", "bin").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("g", "i").orderBy("bin")
+    placed = bins.select("g", "i", "bin", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("g", "i")).alias("size"))
+    middle = placed.where(2 * F.col("upto") >= F.col("size")).groupBy("g", "i").agg(F.min("bin").alias("bin"))
+    return saved(middle.groupBy("g").agg(*[((F.max(F.when(F.col("i") == i, F.col("bin"))) + 0.5) / PER_UNIT).alias(f"{name}{i}") for i in range(len(values))]))
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """The four estimates that the steps begin with."""
+    middle = _medians(vectors, [F.col(x) for x in X], "m")
+    spread = _medians(_with(vectors, middle), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(X)], "a")
+    scale = saved(middle.join(spread, "g").select("g", *[f"m{i}" for i in range(P)], *[F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2).alias(f"s{i}") for i in range(P)]))
+    location = [f"m{i}" for i in range(P)]
+    diagonal = [(F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    robust = _factored(scale.select("g", F.lit(0).alias("start"), *location, *diagonal))
+    classic = _moments(vectors.withColumn("start", F.lit(1)), 1.0)
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
+    norm = F.sqrt(F.greatest(reduce(Column.__add__, [v * v for v in z]), F.lit(1e-12)))
+    bent = F.array(*[F.struct(F.lit(k).alias("start"), *[f(v).alias(f"u{i}") for i, v in enumerate(z)]) for k, f in ((2, F.tanh), (3, lambda v: v / norm))])
+    moved = _with(vectors, scale).select("g", F.explode(bent).alias("b")).select("g", "b.*").groupBy("g", "start")
+    sums = moved.agg(*[F.avg(f"u{i}").alias(f"e{i}") for i in range(P)], *[F.avg(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"q{i}{j}") for i, j in PAIRS])
+    own = [(F.col(f"s{i}") * F.col(f"s{j}") * (F.col(f"q{i}{j}") - F.col(f"e{i}") * F.col(f"e{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    return saved(robust.unionByName(classic).unionByName(_factored(sums.join(scale, "g").select("g", "start", *location, *own))))
+
+
 def robust_distances(rows: DataFrame) -> DataFrame:
     """rows: any columns with g, pools (the groups each row belongs to, narrow to wide) and x0..; adds d2 (null where g is null)."""
     vectors = saved(rows.select(F.explode("pools").alias("g"), *X).join(rows.select("g").distinct(), "g", "left_semi"))
-    middle = vectors.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(X)])
-    spread = vectors.join(middle, "g").groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(X)])
-    diagonal = [((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-    robust = _factored(spread.select("g", F.lit(0).alias("start"), *[f"m{i}" for i in range(P)], *diagonal))
-    classic = _moments(vectors.withColumn("start", F.lit(1)), 1.0)
-    est = saved(robust.unionByName(classic))
-    for _ in range(STEPS):
-        near = vectors.join(est, "g").select("g", "start", *X, F.floor(F.log2(_distance() + 1e-9) * BINS_PER_OCTAVE).cast("int").alias("bin"))
+    est = _starts(vectors)
+    for _ in range(MOST_STEPS):
+        near = _with(vectors, est).select("g", "start", *X, F.floor(F.log2(_distance() + 1e-9) * BINS_PER_OCTAVE).cast("int").alias("bin"))
         bins = near.groupBy("g", "start", "bin").agg(F.count("*").alias("n"))
         order = Window.partitionBy("g", "start").orderBy("bin")
         placed = bins.select("g", "start", "bin", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("g", "start")).alias("size"))
         edge = placed.where(F.col("upto") >= SHARE * F.col("size")).groupBy("g", "start").agg(F.min("bin").alias("edge"))
-        est = saved(_moments(near.join(edge, ["g", "start"]).where(F.col("bin") <= F.col("edge")), consistency(SHARE)))
-    best = est.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))).where("place = 1").drop("place")
-    weighed = vectors.join(best, "g").where(_distance() <= chi2_quantile(0.975, P)).select("g", "start", *X)
+        cut = _with(vectors, saved(est.join(edge, ["g", "start"])))
+        inside = F.floor(F.log2(_distance() + 1e-9) * BINS_PER_OCTAVE).cast("int") <= F.col("edge")
+        new = saved(_moments(cut.where(inside).select("g", "start", *X), consistency(SHARE)))
+        moved = new.join(est.select("g", "start", F.col("logdet").alias("before")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        est = new
+        if moved is None or moved <= SETTLED:
+            break
+    best = est.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.round("logdet", 9), "start"))).where("place = 1").drop("place")
+    weighed = _with(vectors, best).where(_distance() <= chi2_cut(0.025, P)).select("g", "start", *X)
     final = saved(_moments(weighed, consistency(0.975)))
-    return rows.join(final, "g", "left").withColumn("d2", _distance()).drop("start", "logdet", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
+    named = rows.where("g is not null")
+    measured = _with(named, final).withColumn("d2", _distance()).select(*rows.columns, "d2")
+    return measured.unionByName(rows.where("g is null").withColumn("d2", F.lit(None).cast("double")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,19 +51,99 @@ def test_outliers_go_and_ordinary_rows_stay(spark):
     assert all(kept[i] for i in kept if i < 1000)
 
 
-def test_robust_distances_against_numpy(spark):
-    """The concentration steps on one group, redone with numpy (histogram edges instead of exact ranks)."""
+def estimate(x):
+    """The operator's estimate for one group, step by step in numpy: location and scatter."""
+    p, floors = quality.P, np.diag(np.square(quality.FLOORS))
+
+    def median(v):
+        bins = np.sort(np.floor(v * quality.PER_UNIT), axis=0)
+        return (bins[(len(v) + 1) // 2 - 1] + 0.5) / quality.PER_UNIT
+
+    def moments(rows, factor):
+        return rows.mean(0), factor * np.cov(rows.T, bias=True) + floors
+
+    def distance(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    m = median(x)
+    s = np.sqrt((1.4826 * median(np.abs(x - m))) ** 2 + np.square(quality.FLOORS))
+    z = (x - m) / s
+    bent = [np.tanh(z), z / np.sqrt(np.maximum((z * z).sum(1), 1e-12))[:, None]]
+    starts = [(m, np.diag(s * s)), moments(x, 1.0), *((m, np.outer(s, s) * np.cov(u.T, bias=True) + floors) for u in bent)]
+    share = quality.consistency(quality.SHARE)
+    last = [np.linalg.slogdet(c)[1] / 2 for _, c in starts]
+    for _ in range(quality.MOST_STEPS):
+        for k, (m, c) in enumerate(starts):
+            bins = np.floor(np.log2(distance(m, c) + 1e-9) * quality.BINS_PER_OCTAVE)
+            edge = np.sort(bins)[int(np.ceil(quality.SHARE * len(x))) - 1]
+            starts[k] = moments(x[bins <= edge], share)
+        now = [np.linalg.slogdet(c)[1] / 2 for _, c in starts]
+        still = max(abs(a - b) for a, b in zip(now, last, strict=True)) <= quality.SETTLED
+        last = now
+        if still:
+            break
+    m, c = starts[min(range(4), key=lambda k: (round(last[k], 9), k))]
+    return moments(x[distance(m, c) <= quality.chi2_cut(0.025, p)], quality.consistency(0.975))
+
+
+def verdicts(rows):
+    """doc_id, text, lang, source -> kept and squared distance, by brute force."""
+    vectors, groups, out = {}, {}, []
+    for k, (_, text, lang, source) in enumerate(rows):
+        n, chars, symbols, lines, repeats, failed = base(text)
+        if not failed:
+            vectors[k] = (np.log(1 + n), np.log(chars / n), np.log(1 + 20 * symbols / n), np.sqrt((repeats + lines) / n))
+            for g in ((lang, source), (lang,), ()):
+                groups.setdefault(g, []).append(k)
+    known = {}
+    for k, (doc_id, _, lang, source) in enumerate(rows):
+        g = next((g for g in ((lang, source), (lang,), ()) if len(groups.get(g, ())) >= quality.LEAST), None) if k in vectors else None
+        if g is None:
+            out.append((doc_id, k in vectors, None))
+            continue
+        if g not in known:
+            known[g] = estimate(np.array([vectors[i] for i in groups[g]]))
+        m, c = known[g]
+        d = np.array(vectors[k]) - m
+        d2 = float(d @ np.linalg.inv(c) @ d)
+        out.append((doc_id, d2 <= quality.CUTOFF, d2))
+    return out
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_verdicts_against_brute_force(spark, sf, monkeypatch, few):
+    """The whole query on the driver's table; with estimates broadcast, and dealt out."""
+    monkeypatch.setattr(quality, "MOST_BROADCAST", few)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    want = {d: (kept, d2) for d, kept, d2 in verdicts(rows)}
+    got = {r.doc_id: (r.kept, r.distance) for r in QUERIES["op2_quality_rules"](spark, sf).collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    assert {d: k for d, (k, _) in got.items()} == {d: k for d, (k, _) in want.items()}
+    assert any(x is not None for _, x in want.values())
+    for d, (_, x) in want.items():
+        assert (x is None) == (got[d][1] is None) and (x is None or abs(x - got[d][1]) <= 1e-6 * (1 + x))
+
+
+def test_distances_of_a_contaminated_group(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, quality.P)) @ rng.normal(size=(quality.P, quality.P)) + 3
     x[:60] += 25
     rows = [(i, "g", ["g"], *map(float, v)) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "i long, g string, pools array<string>, " + ", ".join(f"x{i} double" for i in range(quality.P)))
     d2 = {r.i: r.d2 for r in quality.robust_distances(df).collect()}
-    clean = x[60:]
-    s = np.cov(clean.T) + np.diag(np.square(quality.FLOORS))
-    want = np.einsum("ij,jk,ik->i", x - clean.mean(0), np.linalg.inv(s), x - clean.mean(0))
+    m, c = estimate(x)
+    want = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
     assert min(d2[i] for i in range(60)) > quality.CUTOFF > max(d2[i] for i in range(60, 400))
-    assert np.corrcoef([d2[i] for i in range(60, 400)], want[60:])[0, 1] > 0.97
+    assert np.allclose([d2[i] for i in range(400)], want, rtol=1e-6)
+    assert abs(quality.chi2_tail(quality.CUTOFF, quality.P) / quality.TAIL - 1) < 1e-6
+
+
+def test_quality_of_odd_tables(spark, tricky):
+    plain = tricky.select("doc_id", "text", "t", "n_words", "a")
+    assert quality.judge(plain).count() == tricky.count()
+    long = spark.createDataFrame([(1, "some words " * 120_000), (2, "-=" * 600_000), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.kept) for r in quality.judge(long).collect()}
+    assert got == {1: (240_000, 240_000, False), 2: (1, 0, False), 3: (0, 0, False)}
 
 
 # ---- secrets ----
