@@ -4,8 +4,9 @@ Base counts come from whole texts.  Documents that pass the base rules get a vec
 ``VECTOR``).  For each language and source the minimum-covariance-determinant estimate of location and scatter is
 found by concentration steps from four deterministic starts: coordinate medians with absolute deviations; mean with covariance;
 covariance of the hyperbolic tangents of the standardised values; covariance of their directions.  A step keeps the share
-``SHARE`` of the group nearest to the estimate and estimates again, until no determinant moves by more than ``SETTLED`` (in its
-logarithm) or ``MOST_STEPS`` are done.  The smallest determinant wins; one reweighting step follows.  A document is rejected when
+``SHARE`` of the group nearest to the estimate and estimates again.  After ``TRIALS`` steps from all starts the one with the
+smallest determinant goes on, until no group's determinant moves by more than ``SETTLED`` (in its logarithm) or ``MOST_STEPS``
+are done; one reweighting step follows.  A document is rejected when
 its squared Mahalanobis distance passes ``CUTOFF``, the chi-square quantile that a normal document passes with
 probability ``TAIL``.  Text statistics have heavier tails than the normal, so the probability is far out.
 
@@ -13,8 +14,8 @@ Groups under ``LEAST`` documents use the estimate from all documents of their la
 from the whole table; if that is also smaller, nothing more is rejected.  ``FLOORS`` (a standard deviation for each statistic, below which spread
 counts as noise) keep the scatter regular where most documents share a value.
 
-Work grows with the rows: a step is one hash aggregate of sums over narrow rows and a histogram of distances (fixed bins a
-group), so a hot group is summed on the map side and never gathered.  Medians come from histograms too (``PER_UNIT`` bins), so
+Work grows with the rows: a step reads narrow rows once and is one hash aggregate, by bins of the distance, of counts and sums, so
+a hot group is summed on the map side and never gathered; the bins up to the share add up to the next estimate.  Medians come from histograms too (``PER_UNIT`` bins), so
 no verdict depends on the partitioning.  Estimates are a row a group and start; they are broadcast after a count
 (``MOST_BROADCAST``), and joined by an exchange, salted on the rows' side, beyond it.
 
@@ -27,6 +28,7 @@ times its size.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,13 +37,16 @@ from pyspark.sql import functions as F
 from .common import documents, saved
 
 SHARE = 0.75
-MOST_STEPS = 30
-SETTLED = 1e-9
+TRIALS = 2
+MOST_STEPS = 20
+SETTLED = 1e-6
 LEAST = 60
 TAIL = 3e-12
 PER_UNIT = 1024
 MOST_BROADCAST = 20_000
 SALTS = 16
+ROWS_A_TASK = 500_000
+GROUPS_A_TASK = 2_000
 BINS_PER_OCTAVE = 64
 VECTOR = ("ln(1 + n_words)", "ln(word_chars / n_words)", "ln(1 + 20 * n_symbols / n_words)", "sqrt((n_repeat_words + n_dup_lines) / n_words)")
 FLOORS = (0.5, 0.1, 0.25, 0.08)
@@ -121,12 +126,27 @@ def consistency(share: float) -> float:
     return share / (1 - chi2_tail(chi2_cut(1 - share, P), P + 2))
 
 
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """Location and scatter of each (g, start), with floors."""
-    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.avg(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-    got = rows.groupBy("g", "start").agg(*sums)
-    scatter = [(factor * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-    return _factored(got.select("g", "start", *[f"m{i}" for i in range(P)], *scatter))
+@dataclass(frozen=True)
+class Sizes:
+    """How the estimates are joined and how many tasks their small tables take (Spark's own count may be far above)."""
+
+    few: bool
+    tasks: int
+
+
+def _sums() -> list[Column]:
+    return [F.sum(x).alias(f"e{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]
+
+
+def _estimated(sums: DataFrame, factor: float) -> DataFrame:
+    """sums: g, start, n, e<i>, q<i><j>.  Location and scatter of each (g, start), with floors."""
+    mean = [F.col(f"e{i}") / F.col("n") for i in range(P)]
+    scatter = [(factor * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    return _factored(sums.select("g", "start", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *scatter))
+
+
+def _moments(rows: DataFrame, factor: float, sizes: Sizes) -> DataFrame:
+    return _estimated(rows.groupBy("g", "start").agg(F.count("*").alias("n"), *_sums()).coalesce(sizes.tasks), factor)
 
 
 def _factored(est: DataFrame) -> DataFrame:
@@ -159,64 +179,78 @@ def _distance() -> Column:
     return total
 
 
-def _with(rows: DataFrame, est: DataFrame) -> DataFrame:
+def _with(rows: DataFrame, est: DataFrame, sizes: Sizes) -> DataFrame:
     """rows joined with the estimates of their g: broadcast where they are few, else dealt by g and a salt."""
-    if est.count() <= MOST_BROADCAST:
+    if sizes.few:
         return rows.join(F.broadcast(est), "g")
     salted = est.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"]).drop("salt")
 
 
-def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+def _medians(rows: DataFrame, values: list[Column], name: str, sizes: Sizes) -> DataFrame:
     """g and the median of each value, to a bin's width: <name>0.."""
     each = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(v * PER_UNIT).alias("bin")) for i, v in enumerate(values)])).alias("e")).select("g", "e.i", "e.bin")
-    bins = each.groupBy("g", "i", "bin").agg(F.count("*").alias("n"))
+    bins = each.groupBy("g", "i", "bin").agg(F.count("*").alias("n")).coalesce(sizes.tasks)
     order = Window.partitionBy("g", "i").orderBy("bin")
-    placed = bins.select("g", "i", "bin", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("g", "i")).alias("size"))
-    middle = placed.where(2 * F.col("upto") >= F.col("size")).groupBy("g", "i").agg(F.min("bin").alias("bin"))
-    return saved(middle.groupBy("g").agg(*[((F.max(F.when(F.col("i") == i, F.col("bin"))) + 0.5) / PER_UNIT).alias(f"{name}{i}") for i in range(len(values))]))
+    placed = bins.select("g", "i", "bin", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("g", "i")).alias("size")).coalesce(sizes.tasks)
+    middle = placed.where(2 * F.col("upto") >= F.col("size")).groupBy("g").agg(*[((F.min(F.when(F.col("i") == i, F.col("bin"))) + 0.5) / PER_UNIT).alias(f"{name}{i}") for i in range(len(values))])
+    return saved(middle.coalesce(sizes.tasks))
 
 
-def _starts(vectors: DataFrame) -> DataFrame:
+def _starts(vectors: DataFrame, sizes: Sizes) -> DataFrame:
     """The four estimates that the steps begin with."""
-    middle = _medians(vectors, [F.col(x) for x in X], "m")
-    spread = _medians(_with(vectors, middle), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(X)], "a")
-    scale = saved(middle.join(spread, "g").select("g", *[f"m{i}" for i in range(P)], *[F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2).alias(f"s{i}") for i in range(P)]))
+    middle = _medians(vectors, [F.col(x) for x in X], "m", sizes)
+    spread = _medians(_with(vectors, middle, sizes), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(X)], "a", sizes)
     location = [f"m{i}" for i in range(P)]
+    scales = [F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2).alias(f"s{i}") for i in range(P)]
+    scale = saved(middle.join(F.broadcast(spread) if sizes.few else spread, "g").select("g", *location, *scales).coalesce(sizes.tasks))
     diagonal = [(F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
     robust = _factored(scale.select("g", F.lit(0).alias("start"), *location, *diagonal))
-    classic = _moments(vectors.withColumn("start", F.lit(1)), 1.0)
+    classic = _moments(vectors.withColumn("start", F.lit(1)), 1.0, sizes)
     z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
     norm = F.sqrt(F.greatest(reduce(Column.__add__, [v * v for v in z]), F.lit(1e-12)))
     bent = F.array(*[F.struct(F.lit(k).alias("start"), *[f(v).alias(f"u{i}") for i, v in enumerate(z)]) for k, f in ((2, F.tanh), (3, lambda v: v / norm))])
-    moved = _with(vectors, scale).select("g", F.explode(bent).alias("b")).select("g", "b.*").groupBy("g", "start")
-    sums = moved.agg(*[F.avg(f"u{i}").alias(f"e{i}") for i in range(P)], *[F.avg(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"q{i}{j}") for i, j in PAIRS])
+    moved = _with(vectors, scale, sizes).select("g", F.struct(*location, *[f"s{i}" for i in range(P)]).alias("scale"), F.explode(bent).alias("b")).select("g", "scale", "b.*").groupBy("g", "start")
+    sums = moved.agg(F.first("scale").alias("scale"), *[F.avg(f"u{i}").alias(f"e{i}") for i in range(P)], *[F.avg(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"q{i}{j}") for i, j in PAIRS]).coalesce(sizes.tasks)
+    sums = sums.select("g", "start", "scale.*", *[f"e{i}" for i in range(P)], *[f"q{i}{j}" for i, j in PAIRS])
     own = [(F.col(f"s{i}") * F.col(f"s{j}") * (F.col(f"q{i}{j}") - F.col(f"e{i}") * F.col(f"e{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-    return saved(robust.unionByName(classic).unionByName(_factored(sums.join(scale, "g").select("g", "start", *location, *own))))
+    return saved(robust.unionByName(classic).unionByName(_factored(sums.select("g", "start", *location, *own))).coalesce(sizes.tasks))
+
+
+def _step(vectors: DataFrame, est: DataFrame, sizes: Sizes) -> DataFrame:
+    """The estimates from the share of each (g, start) that is nearest to est."""
+    bin_of = F.floor(F.log2(_distance() + 1e-9) * BINS_PER_OCTAVE).cast("int")
+    near = _with(vectors, est, sizes).select("g", "start", *X, bin_of.alias("bin"))
+    bins = near.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), *_sums()).coalesce(sizes.tasks)
+    group = Window.partitionBy("g", "start")
+    placed = bins.select("*", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("size"))
+    sums = placed.where(F.col("upto") - F.col("n") < SHARE * F.col("size")).groupBy("g", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in (*(f"e{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS))])
+    return saved(_estimated(sums.coalesce(sizes.tasks), consistency(SHARE)))
 
 
 def robust_distances(rows: DataFrame) -> DataFrame:
     """rows: any columns with g, pools (the groups each row belongs to, narrow to wide) and x0..; adds d2 (null where g is null)."""
-    vectors = saved(rows.select(F.explode("pools").alias("g"), *X).join(rows.select("g").distinct(), "g", "left_semi"))
-    est = _starts(vectors)
-    for _ in range(MOST_STEPS):
-        near = _with(vectors, est).select("g", "start", *X, F.floor(F.log2(_distance() + 1e-9) * BINS_PER_OCTAVE).cast("int").alias("bin"))
-        bins = near.groupBy("g", "start", "bin").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("g", "start").orderBy("bin")
-        placed = bins.select("g", "start", "bin", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("g", "start")).alias("size"))
-        edge = placed.where(F.col("upto") >= SHARE * F.col("size")).groupBy("g", "start").agg(F.min("bin").alias("edge"))
-        cut = _with(vectors, saved(est.join(edge, ["g", "start"])))
-        inside = F.floor(F.log2(_distance() + 1e-9) * BINS_PER_OCTAVE).cast("int") <= F.col("edge")
-        new = saved(_moments(cut.where(inside).select("g", "start", *X), consistency(SHARE)))
-        moved = new.join(est.select("g", "start", F.col("logdet").alias("before")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+    groups = saved(rows.groupBy("g").agg(F.count("*").alias("n")).where("g is not null").coalesce(1))
+    many, of_rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sizes = Sizes(4 * many <= MOST_BROADCAST, 1 + many // GROUPS_A_TASK)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, 3 * of_rows // ROWS_A_TASK)
+    members = rows.select(F.explode("pools").alias("g"), *X)
+    vectors = saved(members.join(F.broadcast(groups.select("g")) if sizes.few else groups.select("g"), "g", "left_semi").coalesce(tasks))
+    est = _starts(vectors, sizes)
+    for k in range(MOST_STEPS):
+        new = _step(vectors, est, sizes)
+        if k == TRIALS - 1:
+            order = Window.partitionBy("g").orderBy(F.round("logdet", 9), "start")
+            est = saved(new.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place").coalesce(sizes.tasks))
+            continue
+        before = est.select("g", "start", F.col("logdet").alias("before"))
+        moved = new.join(F.broadcast(before) if sizes.few else before, ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
         est = new
-        if moved is None or moved <= SETTLED:
+        if moved is None or k >= TRIALS and moved <= SETTLED:
             break
-    best = est.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.round("logdet", 9), "start"))).where("place = 1").drop("place")
-    weighed = _with(vectors, best).where(_distance() <= chi2_cut(0.025, P)).select("g", "start", *X)
-    final = saved(_moments(weighed, consistency(0.975)))
-    named = rows.where("g is not null")
-    measured = _with(named, final).withColumn("d2", _distance()).select(*rows.columns, "d2")
+    weighed = _with(vectors, est, sizes).where(_distance() <= chi2_cut(0.025, P)).select("g", "start", *X)
+    final = saved(_moments(weighed, consistency(0.975), sizes))
+    measured = _with(rows.where("g is not null"), final, sizes).withColumn("d2", _distance()).select(*rows.columns, "d2")
     return measured.unionByName(rows.where("g is null").withColumn("d2", F.lit(None).cast("double")))
 
 

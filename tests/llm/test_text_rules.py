@@ -71,18 +71,21 @@ def estimate(x):
     bent = [np.tanh(z), z / np.sqrt(np.maximum((z * z).sum(1), 1e-12))[:, None]]
     starts = [(m, np.diag(s * s)), moments(x, 1.0), *((m, np.outer(s, s) * np.cov(u.T, bias=True) + floors) for u in bent)]
     share = quality.consistency(quality.SHARE)
-    last = [np.linalg.slogdet(c)[1] / 2 for _, c in starts]
-    for _ in range(quality.MOST_STEPS):
-        for k, (m, c) in enumerate(starts):
-            bins = np.floor(np.log2(distance(m, c) + 1e-9) * quality.BINS_PER_OCTAVE)
-            edge = np.sort(bins)[int(np.ceil(quality.SHARE * len(x))) - 1]
-            starts[k] = moments(x[bins <= edge], share)
-        now = [np.linalg.slogdet(c)[1] / 2 for _, c in starts]
-        still = max(abs(a - b) for a, b in zip(now, last, strict=True)) <= quality.SETTLED
-        last = now
-        if still:
+    logdet = lambda c: np.linalg.slogdet(c)[1] / 2
+
+    def step(m, c):
+        bins = np.floor(np.log2(distance(m, c) + 1e-9) * quality.BINS_PER_OCTAVE)
+        edge = np.sort(bins)[int(np.ceil(quality.SHARE * len(x))) - 1]
+        return moments(x[bins <= edge], share)
+
+    for _ in range(quality.TRIALS):
+        starts = [step(m, c) for m, c in starts]
+    m, c = min(starts, key=lambda s: round(logdet(s[1]), 9))
+    for _ in range(quality.TRIALS, quality.MOST_STEPS):
+        before = logdet(c)
+        m, c = step(m, c)
+        if abs(logdet(c) - before) <= quality.SETTLED:
             break
-    m, c = starts[min(range(4), key=lambda k: (round(last[k], 9), k))]
     return moments(x[distance(m, c) <= quality.chi2_cut(0.025, p)], quality.consistency(0.975))
 
 
