@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FRAME_PIXELS, THUMBNAIL_SIDE
@@ -60,3 +60,20 @@ def frame_size(width: Column, height: Column, pixels: int = FRAME_PIXELS, unit:
 
 def codec_name(fourcc: Column) -> Column:
     return F.concat(*[F.chr(F.shiftright(fourcc, 8 * i).bitwiseAND(F.lit(255)).cast("long")) for i in range(4)])
+
+
+def centred(width: Column, height: Column, side: int = THUMBNAIL_SIDE) -> Column:
+    """A page's thumbnail (see ``thumbnail_size``) in the middle of a square: x, y, width, height."""
+    size = thumbnail_size(width, height, side)
+    middle = lambda x: F.floor((F.lit(side) - x) / 2).cast("int")
+    return F.struct(middle(size.width).alias("x"), middle(size.height).alias("y"), size.width.alias("width"), size.height.alias("height"))
+
+
+def page_badge(page: Column) -> Column:
+    """What is written on the thumbnail of a page behind the first; null on the first."""
+    return F.when(page > 1, F.concat(F.lit("p."), page.cast("string")))
+
+
+def frame_rows(videos: DataFrame, indices: Column) -> DataFrame:
+    """videos (path, others) as a row a frame to be read: path, pos, frame."""
+    return videos.select("path", F.posexplode(indices).alias("pos", "frame"))

@@ -40,11 +40,32 @@ def conversation(text: Column, image: Column, video: Column, prompt: Column) ->
     return F.struct(prompt.alias("instruction"), F.when(F.size(parts) > 0, parts).otherwise(F.array(part("text", F.lit("NULL")))).alias("content"))
 
 
+def local_uri(path: Column) -> Column:
+    """A path without a web scheme is a local file."""
+    return F.when(path.rlike("^(http|oss)"), path).otherwise(F.concat(F.lit("file://"), path))
+
+
+def pair_parts(prefix: str, text: Column, image: Column, video: Column) -> Column:
+    """One side of a pair to be judged: its prefix, then video, image and text where they are there, else a placeholder."""
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    there = lambda x: F.coalesce(x, F.lit("")) != ""
+    own = [F.when(there(v), part(k, local_uri(v) if k != "text" else v)) for k, v in (("video", video), ("image", image), ("text", text))]
+    found = F.array_compact(F.array(*own))
+    return F.concat(F.array(part("text", F.lit(prefix))), F.when(F.size(found) > 0, found).otherwise(F.array(part("text", F.lit("NULL")))))
+
+
+def rerank_pair(instruct: Column, query: tuple[Column, Column, Column], document: tuple[Column, Column, Column]) -> Column:
+    """The parts that a pair scorer reads: instruction, query and document (each text, image, video)."""
+    told = F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("<Instruct>: "), instruct).alias("value")))
+    return F.concat(told, pair_parts("<Query>:", *query), pair_parts("\n<Document>:", *document))
+
+
 def hashed_text(texts: DataFrame, id_col: str, text_col: str = "text", dims: int = 64) -> DataFrame:
     """id, bucket, weight: word counts by hash bucket at unit length (rows for buckets that occur)."""
-    words = texts.select(F.col(id_col), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
+    each = texts.select(F.col(id_col), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
+    words = each.groupBy(id_col, "word").agg(F.count("*").alias("m"))  # a word is hashed once a text
     bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dims
-    counts = words.groupBy(id_col, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    counts = words.groupBy(id_col, bucket.alias("bucket")).agg(F.sum("m").alias("n"))
     sizes = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
     return counts.join(sizes, id_col).select(id_col, "bucket", (F.col("n") / F.col("size")).alias("weight"))
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import paths as P
+from .functions import sampling as S
 from .functions import vectors as V
 from .functions.words import index_type
 from .operators import ann, maintain, results, search
-from .schema import RESULTS, TOP_K
+from .schema import MOST_PAGES, RECORDS, RESULTS, TOP_K, VIDEO_FPS, VIDEO_LEAST_FRAMES, VIDEO_MOST_FRAMES
 from .sources import discover
-from .sources.media import Embedder
+from .sources.media import Embedder, page_rows
 from .sources.snapshots import Catalogue
 
 
@@ -24,33 +25,62 @@ class VectorIndex:
         self.store = catalogue.open(name, embedder.dims, index_type(kind))
         if self.store.manifest["embedding_dim"] != embedder.dims:
             raise ValueError(f"the index has {self.store.manifest['embedding_dim']} dimensions, the model {embedder.dims}")
-        self._trained: dict = {}
+        self._models: dict = {}
 
     # ---- ingest ----
 
     def add_items(self, items: DataFrame) -> dict:
-        """items: file_path, item and what the embedder reads, with any record columns.  Changed or new paths only."""
+        """items: file_path, item and what the embedder reads, with any record columns.  All are taken, new vectors replace old ones;
+        see ``add_folder`` for skipping what is unchanged."""
+        columns = [c for c in items.columns if c in self._columns() and c not in ("id", "vector_id", "indexed_at")]
+        return self._append(self.embedder.embed(items).join(items.select("item", *columns), "item"))
+
+    def _columns(self) -> list[str]:
+        return [c.split()[0] for c in RECORDS.split(", ")]
+
+    def _append(self, embedded: DataFrame) -> dict:
+        """embedded: file_path, embedding and any record columns."""
         records, vectors = self.store.table("records"), self.store.table("vectors")
-        columns = [c for c in items.columns if c in records.columns and c not in ("id", "vector_id", "indexed_at")]
-        embedded = self.embedder.embed(items).join(items.select("item", *columns), "item")
-        new = maintain.append_vectors(vectors, embedded).withColumn("indexed_at", F.current_timestamp()).withColumn("thumbnail_path", P.thumbnail_name(F.col("file_path"))).cache()
+        new = maintain.append_vectors(vectors, embedded.where("embedding is not null")).withColumn("indexed_at", F.current_timestamp()).withColumn("thumbnail_path", P.thumbnail_name(F.col("file_path"))).cache()
         if "media_type" not in new.columns:
             new = new.withColumn("media_type", F.coalesce(P.media_type(F.col("file_path")), F.lit("image")))
         added = new.count()
         fresh = new.withColumn("id", F.col("vector_id") + 1)
         dead = maintain.superseded(records, fresh).select(F.col("vector_id").alias("id"), "vector_id", F.current_timestamp().alias("deleted_at"))
         self.store.write(
-            {
-                "records": maintain.upsert(records, fresh.select(*[c for c in records.columns if c in fresh.columns])),
-                "vectors": vectors.unionByName(new.select("vector_id", "embedding")),
-                "tombstones": self.store.table("tombstones").unionByName(dead),
-            },
+            {"records": maintain.upsert(records, fresh.select(*[c for c in records.columns if c in fresh.columns]))},
+            {"vectors": new.select("vector_id", "embedding"), "tombstones": dead},
             last_indexed=datetime.now(UTC).isoformat(),
         )
         new.unpersist()
-        self._trained.clear()
+        self._models.clear()
         return {"added": added}
 
+    def add_videos(self, videos: DataFrame, read_frames: Callable[[DataFrame], DataFrame], fps: float = VIDEO_FPS, most: int = VIDEO_MOST_FRAMES, least: int = VIDEO_LEAST_FRAMES) -> dict:
+        """videos: path, mtime, size, fps, frame_count.  Changed ones are sampled at a rate, read (``read_frames`` turns path, pos,
+        frame into path, pos, item and what the embedder reads), embedded by frame and averaged; a video without frames fails."""
+        todo = maintain.needs_update(videos, self.store.table("records"))
+        total, changed = videos.count(), todo.count()
+        indices = S.padded(S.fps_indices(F.col("frame_count"), F.col("fps"), fps, most), least)
+        frames = read_frames(S.frame_rows(todo, indices))
+        each = self.embedder.embed(frames).join(frames.select("item", "path", "pos"), "item")
+        own = todo.select(
+            F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size"), F.col("frame_count").cast("int").alias("frame_count"),
+            S.duration(F.col("frame_count"), F.col("fps")).alias("duration_seconds"), F.lit("video").alias("media_type"),
+        )
+        out = self._append(V.chunked_mean(each, "path").withColumnRenamed("path", "file_path").join(own, "file_path")) if changed else {"added": 0}
+        return {**out, "videos": out["added"], "skipped": total - changed, "failed": changed - out["added"]}
+
+    def add_documents(self, documents: DataFrame, read_pages: Callable[[DataFrame], DataFrame], most: int = MOST_PAGES) -> dict:
+        """documents: path, mtime, size, page_count.  Changed pages are read (``read_pages`` adds item and what the embedder reads
+        to file_path, parent_document, page_number; a page it leaves out fails) and become a record each."""
+        pages = page_rows(documents, most).join(documents.select(F.col("path").alias("parent_document"), "mtime", "size"), "parent_document")
+        todo = maintain.needs_update(pages.withColumnRenamed("file_path", "path"), self.store.table("records")).withColumnRenamed("path", "file_path")
+        total, changed = pages.count(), todo.count()
+        items = read_pages(todo).withColumn("media_type", F.lit("document")).withColumn("file_mtime", F.col("mtime")).withColumn("file_size", F.col("size"))
+        out = self.add_items(items) if changed else {"added": 0}
+        return {**out, "documents": todo.select("parent_document").distinct().count(), "pages": out["added"], "skipped": total - changed, "failed": changed - out["added"]}
+
     def add_folder(self, folder: str, recursive: bool = True, kinds=("image", "video", "document"), describe=None) -> dict:
         """Scan, skip what is unchanged, embed the rest.  ``describe`` turns the listing into items (default: the path as text)."""
         files = discover.scan_folder(self.spark, folder, recursive, kinds)
@@ -66,7 +96,7 @@ class VectorIndex:
 
     # ---- search ----
 
-    def search_vector(self, query: Sequence[float], k: int = TOP_K, kind: str = "all", least: float = 0.0, on_disk: DataFrame | None = None, method: str | None = None, filter_mode: str = "post", nprobe: int = 10) -> DataFrame:
+    def search_vector(self, query: Sequence[float], k: int = TOP_K, kind: str = "all", least: float = 0.0, on_disk: DataFrame | None = None, method: str | None = None, filter_mode: str = "post", nprobe: int | None = None) -> DataFrame:
         """The best k.  Filters shrink the list afterwards (``post``) or come before the cut (``pre``)."""
         if len(query) != self.embedder.dims:
             raise ValueError(f"the query has {len(query)} dimensions, the index {self.embedder.dims}")
@@ -77,25 +107,50 @@ class VectorIndex:
         found = results.above(results.of_kind(search.with_records(hits, records, on_disk), kind), least)
         return found.select(*[p.split()[0] for p in RESULTS.split(", ")]).orderBy("rank")
 
-    def _hits(self, vectors: DataFrame, query, k: int, method: str, nprobe: int) -> DataFrame:
+    def _hits(self, vectors: DataFrame, query, k: int, method: str, nprobe: int | None) -> DataFrame:
         """By the index type; exact below the least number of vectors to train on, and where rows were filtered first.
 
-        Lists are a partition column of a table kept beside the snapshot, so a query reads the lists it probes.
+        Lists, buckets and codes are tables kept beside the snapshot while its vectors stand, partitioned by what a query probes.
         """
-        nlist = self.store.manifest["index_params"].get("nlist", 100)
-        whole = self.store.table("vectors")
-        if method == "flat" or vectors is not None or whole.count() < ann.least_training(nlist):
+        store = self.store
+        nlist = store.manifest["index_params"].get("nlist", 100)
+        whole = store.table("vectors")
+        if method == "flat" or vectors is not None or self._size() < ann.least_training(nlist):
             return search.flat_topk(whole if vectors is None else vectors, query, k)
+        lists = lambda: store.derived("ivf_centers", lambda: ann.Ivf.train(whole, nlist).table(self.spark))
         if method == "ivf_flat":
-            model = ann.Ivf.load(self.store.derived("ivf_centers", lambda: ann.Ivf.train(whole, nlist).table(self.spark)))
-            return model.search(self.store.derived("ivf_vectors", lambda: model.assign(whole).repartition("list_id"), "list_id"), query, k, nprobe)
+            model = self._model(method, lambda: ann.Ivf.load(lists()))
+            return model.search(self._rows("ivf_vectors", lambda: model.assign(whole), "list_id"), query, k, nprobe)
         if method == "hnsw":
-            model = ann.SignHashes(self.embedder.dims)
-            return model.search(self.store.derived("sign_vectors", lambda: model.assign(whole)), query, k)
-        if method not in self._trained:
-            self._trained[method] = ann.Pq.train(whole)
-        model = self._trained[method]
-        return model.search(model.encode(whole), query, k)
+            model = self._model(method, lambda: ann.SignHashes.train(whole, self.embedder.dims))
+            return model.search(self._rows("sign_postings", lambda: model.assign(whole), "bucket"), query, k)
+
+        def trained() -> ann.Pq:
+            books = store.derived("pq_books", lambda: ann.Pq.train(whole, *self._code_shape()).table(self.spark))
+            return ann.Pq.load(books, lists())
+
+        model = self._model(method, trained)
+        return model.search(self._rows("pq_vectors", lambda: model.encode(whole), "list_id"), query, k, nprobe=nprobe)
+
+    def _rows(self, name: str, assign, by: str) -> DataFrame:
+        """The assigned rows, partitioned by what a query probes; their files are listed once."""
+        return self._model(name, lambda: self.store.derived(name, lambda: assign().repartition(by), by))
+
+    def _code_shape(self) -> tuple[int, int]:
+        params = self.store.manifest["index_params"]
+        return params.get("pq_m", 8), params.get("pq_bits", 8)
+
+    def _model(self, what: str, make):
+        """``make()``, kept while the vectors stand."""
+        state = self.store.derived_name("", "vectors")
+        if self._models.get("state") != state:
+            self._models = {"state": state}
+        if what not in self._models:
+            self._models[what] = make()
+        return self._models[what]
+
+    def _size(self) -> int:
+        return self._model("size", lambda: self.store.table("vectors").count())
 
     def embed_text(self, text: str) -> list[float]:
         row = self.embedder.embed(self.spark.createDataFrame([("q", text)], "item string, text string")).first()
@@ -104,8 +159,8 @@ class VectorIndex:
     def search_text(self, text: str, k: int = TOP_K, **options) -> DataFrame:
         """Blank text finds nothing."""
         if not (text or "").strip():
-            return self.spark.createDataFrame([], RESULTS)
-        return self.search_vector(self.embed_text(text), k, **options)
+            return results.tagged(self.spark.createDataFrame([], RESULTS), "text", text or "")
+        return results.tagged(self.search_vector(self.embed_text(text), k, **options), "text", text)
 
     def search_path(self, path: str, page: int | None = None, k: int = TOP_K, **options) -> DataFrame:
         """What is like a stored picture, video or document page; a path that isn't stored finds nothing."""
@@ -113,22 +168,56 @@ class VectorIndex:
         row = self.store.table("records").where(F.col("file_path") == name).join(self.store.table("vectors"), "vector_id").select("embedding").first()
         return self.search_vector(list(row.embedding), k, **options) if row else self.spark.createDataFrame([], RESULTS)
 
+    def search_item(self, item: DataFrame, k: int = TOP_K, query_type: str = "image", query_info: str = "", **options) -> DataFrame:
+        """What is like a picture, page or text that needn't be stored: one row of item and what the embedder reads.  A row that
+        the embedder gives no vector finds nothing."""
+        row = self.embedder.embed(item).first()
+        found = self.search_vector(list(row.embedding), k, **options) if row and row.embedding else self.spark.createDataFrame([], RESULTS)
+        return results.tagged(found, query_type, query_info)
+
+    def search_page(self, document: str, page: int, read_pages: Callable[[DataFrame], DataFrame], k: int = TOP_K, **options) -> DataFrame:
+        """By a page of any document; a page that ``read_pages`` leaves out finds nothing."""
+        asked = self.spark.createDataFrame([(document, page, f"{document}#page={page}")], "parent_document string, page_number int, file_path string")
+        return self.search_item(read_pages(asked), k, "document", f"{document}#page={page}", **options)
+
+    def search_video(self, video: DataFrame, read_frames: Callable[[DataFrame], DataFrame], k: int = TOP_K, most: int = 32, **options) -> DataFrame:
+        """By any video (one row of path, frame_count): evenly spread frames, averaged; without frames nothing is found."""
+        frames = read_frames(S.frame_rows(video, S.uniform_indices(F.col("frame_count"), most)))
+        each = self.embedder.embed(frames).join(frames.select("item", "pos"), "item")
+        return results.tagged(self.search_frames(each, k, **options), "video", video.first().path)
+
     def search_frames(self, frames: DataFrame, k: int = TOP_K, **options) -> DataFrame:
         """What is like a video whose frames (pos, embedding) are given: by their mean; no frames find nothing."""
         row = V.chunked_mean(frames.withColumn("video", F.lit(0)), "video").first()
         return self.search_vector(list(row.embedding), k, **options) if row else self.spark.createDataFrame([], RESULTS)
 
-    def rerank(self, found: DataFrame, text: str, k: int = 10, least: float = 0.0) -> DataFrame:
-        """The results of a search in a second order: by the sigmoid of the scaled inner product with another text."""
+    def record(self, path: str) -> DataFrame:
+        return self.store.table("records").where(F.col("file_path") == path)
+
+    def records_of(self, vector_ids: Sequence[int] | DataFrame) -> DataFrame:
+        """Records of some vectors: a list of ids, or a table of them (vector_id)."""
+        records = self.store.table("records")
+        return records.join(vector_ids.select("vector_id").distinct(), "vector_id", "left_semi") if isinstance(vector_ids, DataFrame) else records.where(F.col("vector_id").isin(list(vector_ids)))
+
+    def rerank(self, found: DataFrame, text: str | None = None, k: int = 10, least: float = 0.0) -> DataFrame:
+        """The results of a search in a second order: by the sigmoid of the scaled inner product with another text, or with the
+        searched one.  Without a text, results of other kinds of queries pass through unchanged."""
+        if not (text or "").strip():
+            row = found.select("query_type", "query_info").first() if "query_type" in found.columns else None
+            if row is None or row.query_type not in ("text", "text_with_exclusion"):
+                return found
+            text = row.query_info
         return results.rerank_by_vector(found, self.store.table("vectors"), self.embed_text(text), k, least)
 
     def search_without(self, text: str, unwanted: str, k: int = TOP_K, threshold: float = 0.3) -> DataFrame:
         """Text search but for what is near any of the comma-separated terms."""
+        terms = [t.strip() for t in (unwanted or "").split(",") if t.strip()]
+        tag = ("text_with_exclusion", f"{text} NOT ({', '.join(terms)})") if terms else ("text", text or "")
         if not (text or "").strip():
-            return self.spark.createDataFrame([], RESULTS)
-        negatives = [self.embed_text(t.strip()) for t in (unwanted or "").split(",") if t.strip()]
-        hits = search.exclude(self.store.table("vectors"), self.embed_text(text), negatives, threshold, k)
-        return search.with_records(hits, self.store.table("records")).select(*[p.split()[0] for p in RESULTS.split(", ")]).orderBy("rank")
+            return results.tagged(self.spark.createDataFrame([], RESULTS), *tag)
+        hits = search.exclude(self.store.table("vectors"), self.embed_text(text), [self.embed_text(t) for t in terms], threshold, k)
+        found = search.with_records(hits, self.store.table("records")).select(*[p.split()[0] for p in RESULTS.split(", ")]).orderBy("rank")
+        return results.tagged(found, *tag)
 
     # ---- maintenance ----
 
@@ -138,7 +227,7 @@ class VectorIndex:
         gone = doomed.count()
         left, dead = maintain.remove(records, doomed)
         tombs = dead.select(F.col("vector_id").alias("id"), "vector_id", F.current_timestamp().alias("deleted_at"))
-        self.store.write({"records": left, "tombstones": self.store.table("tombstones").unionByName(tombs), "folders": folders.where(F.col("folder_path") != P.trimmed(folder))})
+        self.store.write({"records": left, "folders": folders.where(F.col("folder_path") != P.trimmed(folder))}, {"tombstones": tombs})
         return gone
 
     def folders(self) -> DataFrame:
@@ -148,14 +237,17 @@ class VectorIndex:
         """Forget a folder, keep its records."""
         self.store.write({"folders": self.store.table("folders").where(F.col("folder_path") != P.trimmed(folder))})
 
-    def validate(self, files: DataFrame, clean: bool = False) -> int:
-        """How many records have lost their file; with ``clean`` they go."""
+    def validate(self, files: DataFrame, clean: bool = False, thumbnails: str | None = None) -> int:
+        """How many records have lost their file; with ``clean`` they go, and so do the thumbnails in a folder that no record asks for."""
         records = self.store.table("records")
         lost = maintain.stale(records, files)
         n = lost.count()
         if clean and n:
             left, dead = maintain.remove(records, lost)
-            self.store.write({"records": left, "tombstones": self.store.table("tombstones").unionByName(dead.select(F.col("vector_id").alias("id"), "vector_id", F.current_timestamp().alias("deleted_at")))})
+            self.store.write({"records": left}, {"tombstones": dead.select(F.col("vector_id").alias("id"), "vector_id", F.current_timestamp().alias("deleted_at"))})
+        if clean and thumbnails:
+            names = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(thumbnails).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+            discover.delete_files(self.spark, thumbnails, maintain.orphans(names, self.store.table("records")))
         return n
 
     def compact(self) -> int:
@@ -167,13 +259,13 @@ class VectorIndex:
         records, kept, _ = maintain.compact(self.store.table("records"), vectors)
         self.store.write({"records": records, "vectors": kept, "tombstones": self.store.table("tombstones").limit(0)})
         self.store.vacuum()
-        self._trained.clear()
+        self._models.clear()
         return before - self.store.table("vectors").count()
 
     def rebuild(self, kind: str | None = None) -> None:
         """The same vectors under another index type."""
         self.store.write({}, index_type=index_type(kind or self.store.manifest["index_type"]))
-        self._trained.clear()
+        self._models.clear()
 
     def stats(self) -> DataFrame:
         s = self.store

@@ -1,111 +1,179 @@
 """Approximate search: inverted lists, sign hashes, product quantisation.
 
-Training uses at most ``TRAINING_SAMPLE`` vectors, every row is indexed.  Lists and buckets are columns to partition a
-table by, so that a query prunes the scan to the ones it probes.
+Training uses at most ``TRAINING_SAMPLE`` vectors and ``SAMPLE_BYTES`` of them on the driver; every row is indexed.  How much a
+query reads (lists, flipped signs, candidates) is fitted on the sample: the least that finds ``RECALL`` of the exact answers of
+``ASKED`` sample vectors.  Assigning rows is a matrix product a batch.  The assigned tables are made to be stored partitioned or
+sorted by list or bucket, so that a query's filter prunes the scan to the ones it probes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schema import TOP_K, TRAINING_SAMPLE
 from .search import flat_topk, ranked
 
+SAMPLE_BYTES = 64 << 20
+RECALL = 0.95
+ASKED = 200
+
 
 def sampled(vectors: DataFrame, most: int = TRAINING_SAMPLE) -> DataFrame:
     """The rows whose hashed ids come first: the same on every run."""
-    return vectors.orderBy(F.xxhash64("vector_id"), "vector_id").limit(most)
+    return vectors.where("embedding is not null").orderBy(F.xxhash64("vector_id"), "vector_id").limit(most)
+
+
+def sample_matrix(vectors: DataFrame, most: int = TRAINING_SAMPLE) -> np.ndarray:
+    """The sample on the driver, SAMPLE_BYTES of doubles at most."""
+    first = vectors.where("embedding is not null").select(F.size("embedding").alias("n")).first()
+    if first is None:
+        return np.zeros((0, 1))
+    rows = sampled(vectors, min(most, max(1, SAMPLE_BYTES // (8 * first.n)))).select("embedding").collect()
+    return np.array([r.embedding for r in rows], dtype=float)
 
 
 def least_training(nlist: int) -> int:
     return max(10 * nlist, 1000)
 
 
-def centroids(vectors: DataFrame, k: int, seed: int = 17, cosine: bool = True) -> np.ndarray:
+def centroids(vectors: DataFrame, k: int, seed: int = 17) -> np.ndarray:
     points = sampled(vectors).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=15, distanceMeasure="cosine" if cosine else "euclidean").fit(points)
-    return np.array(model.clusterCenters())
+    return np.array(KMeans(k=k, seed=seed, maxIter=15, distanceMeasure="cosine").fit(points).clusterCenters())
+
+
+def least_effort(sample: np.ndarray, efforts: Sequence[int], candidates: Callable[[np.ndarray, int], np.ndarray], k: int = TOP_K) -> int:
+    """The least of the efforts (ascending) whose candidates (a boolean over the sample) hold RECALL of the exact best k."""
+    asked = sample[:: max(1, len(sample) // ASKED)]
+    k = min(k, max(1, len(sample) // 10))
+    scores = asked @ sample.T
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k] if len(sample) else np.zeros((0, 0), int)
+    for effort in efforts:
+        found = [candidates(q, effort)[b].mean() for q, b in zip(asked, best, strict=True)]
+        if not found or np.mean(found) >= RECALL:
+            return effort
+    return efforts[-1]
+
 
+def by_batch(vectors: DataFrame, columns: str, work: Callable[[np.ndarray], list[pa.Array]]) -> DataFrame:
+    """vector_id, embedding and the columns that ``work`` makes of a batch's matrix; rows without a vector go."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
-def nearest(vector: Column, centers: np.ndarray, inner: bool = True):
-    """Expression for the number of the nearest centre."""
-    if inner:
-        scores = F.array(*[V.dot(vector, V.literal(c)) for c in centers])
-    else:
-        scores = F.array(*[V.dot(vector, V.literal(c)) - float(c @ c) / 2 for c in centers])
-    return F.array_position(scores, F.array_max(scores)).cast("int") - 1
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *work(matrix)], names=["vector_id", "embedding", *names])
+
+    return vectors.where("embedding is not null").select("vector_id", "embedding").mapInArrow(run, f"vector_id long, embedding array<float>, {columns}")
 
 
 class Ivf:
     """Inverted lists: a vector belongs to the list of its nearest centre; a query reads the ``nprobe`` nearest lists."""
 
-    def __init__(self, centers: np.ndarray):
+    def __init__(self, centers: np.ndarray, nprobe: int = 10):
         self.centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+        self.nprobe = nprobe
 
     @classmethod
     def train(cls, vectors: DataFrame, nlist: int = 100) -> Ivf:
-        return cls(centroids(vectors, nlist))
+        made, sample = cls(centroids(vectors, nlist)), sample_matrix(vectors)
+        lists = made.lists(sample) if len(sample) else np.zeros(0, int)
+        made.nprobe = least_effort(sample, range(1, len(made.centers) + 1), lambda q, n: np.isin(lists, made.probes(q, n)))
+        return made
 
-    def table(self, spark) -> DataFrame:
-        """list_id, center: what ``load`` reads."""
-        return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centers)], "list_id int, center array<double>")
+    def table(self, spark: SparkSession) -> DataFrame:
+        """list_id, center, nprobe: what ``load`` reads."""
+        return spark.createDataFrame([(i, c.tolist(), self.nprobe) for i, c in enumerate(self.centers)], "list_id int, center array<double>, nprobe int")
 
     @classmethod
     def load(cls, table: DataFrame) -> Ivf:
-        return cls(np.array([r.center for r in table.orderBy("list_id").collect()]))
+        rows = table.orderBy("list_id").collect()
+        return cls(np.array([r.center for r in rows]), rows[0].nprobe)
+
+    def lists(self, matrix: np.ndarray) -> np.ndarray:
+        return np.argmax(matrix @ self.centers.T, axis=1)
 
     def assign(self, vectors: DataFrame) -> DataFrame:
-        return vectors.withColumn("list_id", nearest(F.col("embedding"), self.centers))
+        """Adds list_id."""
+        return by_batch(vectors, "list_id int", lambda m: [pa.array(self.lists(m).astype(np.int32))])
 
     def probes(self, query: Sequence[float], nprobe: int) -> list[int]:
         return np.argsort(-(self.centers @ np.asarray(query, dtype=float)), kind="stable")[:nprobe].tolist()
 
-    def search(self, assigned: DataFrame, query: Sequence[float], k: int = TOP_K, nprobe: int = 10) -> DataFrame:
-        return flat_topk(assigned.where(F.col("list_id").isin(self.probes(query, nprobe))), query, k)
+    def search(self, assigned: DataFrame, query: Sequence[float], k: int = TOP_K, nprobe: int | None = None) -> DataFrame:
+        return flat_topk(assigned.where(F.col("list_id").isin(self.probes(query, nprobe or self.nprobe))), query, k)
 
 
 class SignHashes:
     """Buckets of the signs of random projections, several tables; a query also probes buckets at one flipped sign."""
 
-    def __init__(self, dims: int, bits: int = 6, tables: int = 8, seed: int = 5):
+    def __init__(self, dims: int, bits: int = 5, tables: int = 8, seed: int = 5, flips: int = 3):
         self.planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+        self.seed, self.flips = seed, flips
+
+    @classmethod
+    def train(cls, vectors: DataFrame, dims: int, **shape) -> SignHashes:
+        """The planes are fixed; how many signs a query flips is fitted."""
+        made, sample = cls(dims, **shape), sample_matrix(vectors, 10_000)
+        buckets = made.buckets(sample) if len(sample) else np.zeros((0, len(made.planes)), int)
+        made.flips = least_effort(sample, range(made.planes.shape[1] + 1), lambda q, n: np.isin(buckets, made.probes(q, n)).any(axis=1))
+        return made
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """tables, bits, dims, seed, flips: what ``load`` reads; the planes follow from them."""
+        return spark.createDataFrame([(*self.planes.shape, self.seed, self.flips)], "tables int, bits int, dims int, seed int, flips int")
 
-    def _code(self, vector, table: int):
-        return sum((F.when(V.dot(vector, V.literal(p)) >= 0, 1 << b).otherwise(0) for b, p in enumerate(self.planes[table])), F.lit(0)).cast("int")
+    @classmethod
+    def load(cls, table: DataFrame) -> SignHashes:
+        r = table.first()
+        return cls(r.dims, r.bits, r.tables, r.seed, r.flips)
+
+    def buckets(self, matrix: np.ndarray) -> np.ndarray:
+        """A number for each row and table; tables don't share numbers."""
+        tables, bits, _ = self.planes.shape
+        signs = np.einsum("tbd,nd->ntb", self.planes, matrix) >= 0
+        return (signs << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
 
     def assign(self, vectors: DataFrame) -> DataFrame:
-        """Adds buckets, a code for each table."""
-        return vectors.withColumn("buckets", F.array(*[self._code(F.col("embedding"), t) for t in range(len(self.planes))]))
+        """The postings: a row for each vector and table, with bucket."""
+        rows = by_batch(vectors, "buckets array<int>", lambda m: [pa.array(list(self.buckets(m).astype(np.int32)), pa.list_(pa.int32()))])
+        return rows.select("vector_id", "embedding", F.explode("buckets").alias("bucket"))
 
-    def search(self, assigned: DataFrame, query: Sequence[float], k: int = TOP_K, flips: int = 2) -> DataFrame:
-        signs = self.planes @ np.asarray(query, dtype=float)
-        hit = F.lit(False)
-        for t, row in enumerate(signs):
+    def probes(self, query: Sequence[float], flips: int) -> list[int]:
+        bits, out = self.planes.shape[1], []
+        for t, row in enumerate(self.planes @ np.asarray(query, dtype=float)):
             code = sum(1 << b for b, s in enumerate(row) if s >= 0)
-            near = np.argsort(np.abs(row))[:flips].tolist()
-            hit = hit | F.col("buckets")[t].isin([code, *(code ^ (1 << b) for b in near)])
-        return flat_topk(assigned.where(hit), query, k)
+            out += [(t << bits) + c for c in (code, *(code ^ (1 << int(b)) for b in np.argsort(np.abs(row))[:flips]))]
+        return out
+
+    def search(self, postings: DataFrame, query: Sequence[float], k: int = TOP_K, flips: int | None = None) -> DataFrame:
+        near = postings.where(F.col("bucket").isin(self.probes(query, self.flips if flips is None else flips)))
+        scored = near.select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score"))
+        # a vector comes up once a table at most, so the best k * tables rows hold the best k vectors
+        return ranked(ranked(scored, k * len(self.planes)).select("vector_id", "score").distinct(), k)
 
 
 class Pq:
     """Product quantisation: each stretch of dimensions becomes the number of its nearest centre; a query looks its inner
-    products with the centres up in a table.  ``refine`` times k candidates get their exact scores."""
+    products with the centres up in a table.  ``refine`` times k candidates get their exact scores.  With ``lists`` the codes are
+    kept by inverted list and a query reads the nearest lists alone."""
 
-    def __init__(self, books: list[np.ndarray]):
-        self.books = books
+    def __init__(self, books: list[np.ndarray], lists: Ivf | None = None, refine: int = 10):
+        self.books, self.lists, self.refine = books, lists, refine
 
     @classmethod
-    def train(cls, vectors: DataFrame, m: int = 8, bits: int = 8) -> Pq:
-        sample = np.array([r.embedding for r in sampled(vectors, min(TRAINING_SAMPLE, 50 << bits)).select("embedding").collect()], dtype=float)
+    def train(cls, vectors: DataFrame, m: int = 8, bits: int = 8, nlist: int = 0) -> Pq:
+        sample = sample_matrix(vectors, min(TRAINING_SAMPLE, 200 << bits))
         rng, books = np.random.default_rng(3), []
-        for part in np.split(sample, m, axis=1):
+        for part in np.split(sample[: 50 << bits], m, axis=1):
             centers = part[rng.choice(len(part), min(1 << bits, len(part)), replace=False)]
             for _ in range(10):
                 own = np.argmin(((part**2).sum(1)[:, None] - 2 * part @ centers.T + (centers**2).sum(1)), axis=1)
@@ -113,25 +181,48 @@ class Pq:
                     if (own == c).any():
                         centers[c] = part[own == c].mean(0)
             books.append(centers)
-        return cls(books)
+        made = cls(books, Ivf.train(vectors, nlist) if nlist else None)
+        codes, k = made.codes(sample), min(20, max(1, len(sample) // 10))
 
-    def encode(self, vectors: DataFrame) -> DataFrame:
-        """Adds codes (array<int>), a batch of vectors at a time."""
-        import pyarrow as pa
+        def kept(q: np.ndarray, refine: int) -> np.ndarray:
+            rough = sum(t[codes[:, i]] for i, t in enumerate(made.tables(q)))
+            out = np.zeros(len(sample), dtype=bool)
+            out[np.argsort(-rough, kind="stable")[: refine * k]] = True
+            return out
+
+        made.refine = least_effort(sample, (2, 5, 10, 20, 40), kept, k)
+        return made
 
-        books, width = self.books, self.books[0].shape[1]
+    def table(self, spark: SparkSession) -> DataFrame:
+        """part, code, center, refine: what ``load`` reads beside the lists."""
+        return spark.createDataFrame([(p, c, row.tolist(), self.refine) for p, book in enumerate(self.books) for c, row in enumerate(book)], "part int, code int, center array<double>, refine int")
 
-        def run(batches):
-            for batch in batches:
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                codes = [np.argmin((b**2).sum(1) - 2 * flat[:, i * width : (i + 1) * width] @ b.T, axis=1) for i, b in enumerate(books)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(np.stack(codes, axis=1).astype(np.int32)), pa.list_(pa.int32()))], names=["vector_id", "embedding", "codes"])
+    @classmethod
+    def load(cls, table: DataFrame, lists: DataFrame | None = None) -> Pq:
+        rows = table.orderBy("part", "code").collect()
+        books = [np.array([r.center for r in rows if r.part == p]) for p in range(rows[-1].part + 1)]
+        return cls(books, Ivf.load(lists) if lists is not None else None, rows[0].refine)
 
-        return vectors.select("vector_id", "embedding").mapInArrow(run, "vector_id long, embedding array<float>, codes array<int>")
+    def codes(self, matrix: np.ndarray) -> np.ndarray:
+        width = self.books[0].shape[1]
+        return np.stack([np.argmin((b**2).sum(1) - 2 * matrix[:, i * width : (i + 1) * width] @ b.T, axis=1) for i, b in enumerate(self.books)], axis=1)
 
-    def search(self, encoded: DataFrame, query: Sequence[float], k: int = TOP_K, refine: int = 10) -> DataFrame:
+    def tables(self, query: Sequence[float]) -> list[np.ndarray]:
         q = np.asarray(query, dtype=float).reshape(len(self.books), -1)
-        table = [V.literal(b @ part) for b, part in zip(self.books, q, strict=True)]
-        rough = sum((F.element_at(t, F.col("codes")[i] + 1) for i, t in enumerate(table)), F.lit(0.0))
-        best = encoded.withColumn("__rough", rough).orderBy(F.desc("__rough"), "vector_id").limit(refine * k)
+        return [b @ part for b, part in zip(self.books, q, strict=True)]
+
+    def encode(self, vectors: DataFrame) -> DataFrame:
+        """Adds codes (array<int>) and, with lists, list_id."""
+
+        def work(m: np.ndarray) -> list[pa.Array]:
+            own = [pa.array(list(self.codes(m).astype(np.int32)), pa.list_(pa.int32()))]
+            return own if self.lists is None else [*own, pa.array(self.lists.lists(m).astype(np.int32))]
+
+        return by_batch(vectors, "codes array<int>" + ("" if self.lists is None else ", list_id int"), work)
+
+    def search(self, encoded: DataFrame, query: Sequence[float], k: int = TOP_K, refine: int | None = None, nprobe: int | None = None) -> DataFrame:
+        if self.lists is not None:
+            encoded = encoded.where(F.col("list_id").isin(self.lists.probes(query, nprobe or self.lists.nprobe)))
+        rough = sum((F.element_at(V.literal(t), F.col("codes")[i] + 1) for i, t in enumerate(self.tables(query))), F.lit(0.0))
+        best = encoded.withColumn("__rough", rough).orderBy(F.desc("__rough"), "vector_id").limit((refine or self.refine) * k)
         return ranked(best.select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score")), k)

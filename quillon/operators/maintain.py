@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..schema import DEFAULTS, RECORDS
 
 COUNT_SCALE = 100.0
 
@@ -49,6 +50,28 @@ def orphans(thumbnails: DataFrame, records: DataFrame) -> DataFrame:
     return thumbnails.join(records.select(P.thumbnail_name(F.col("file_path")).alias("name")), "name", "left_anti")
 
 
+def validation(records: DataFrame, files: DataFrame, thumbnails: DataFrame) -> DataFrame:
+    """One row: records, stale (their file is gone), valid, orphans (thumbnails that no valid record asks for)."""
+    lost = stale(records, files)
+    valid = records.join(lost.select("file_path"), "file_path", "left_anti")
+    counts = [df.agg(F.count("*").alias(n)) for n, df in (("records", records), ("stale", lost), ("valid", valid), ("orphans", orphans(thumbnails, valid)))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])
+
+
+def ingest_counters(files: DataFrame, records: DataFrame) -> DataFrame:
+    """files (path, mtime, size, kind): found, changed and skipped of each kind."""
+    todo = needs_update(files, records).groupBy("kind").agg(F.count("*").alias("changed"))
+    both = files.groupBy("kind").agg(F.count("*").alias("found")).join(todo, "kind", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
+    return both.select("kind", "found", "changed", (F.col("found") - F.col("changed")).alias("skipped"))
+
+
+def migrated(records: DataFrame) -> DataFrame:
+    """Records of any older layout: columns that are missing are added, and defaults stand where there is nothing."""
+    kinds = [c.split() for c in RECORDS.split(", ")]
+    have = [F.col(n).cast(k) if n in records.columns else F.lit(None).cast(k) for n, k in kinds]
+    return records.select(*[(F.coalesce(c, F.lit(DEFAULTS[n])) if n in DEFAULTS else c).alias(n) for c, (n, _) in zip(have, kinds, strict=True)])
+
+
 def compaction_advice(vectors: DataFrame, tombstones: DataFrame) -> DataFrame:
     """total, deleted, wasted_percent, needed: over 10 % or over 1000 deleted."""
     both = vectors.agg(F.count("*").alias("total")).join(tombstones.agg(F.count_distinct("vector_id").alias("deleted")))

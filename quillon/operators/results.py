@@ -67,7 +67,7 @@ def rerank(results: DataFrame, score: Column, k: int = 10, least: float = 0.0) -
 def rerank_by_vector(results: DataFrame, vectors: DataFrame, query, k: int = 10, least: float = 0.0, scale: float = 10.0) -> DataFrame:
     """Second stage by the full vectors: sigmoid of the scaled inner product."""
     full = vectors.select("vector_id", F.col("embedding").alias("__full"))
-    joined = full.join(F.broadcast(results), "vector_id")
+    joined = full.join(results, "vector_id")  # a result set has a limit, so the planner sees its size
     return rerank(joined, V.sigmoid(scale * V.dot(F.col("__full"), V.literal(query))), k, least).drop("__full")
 
 
@@ -90,3 +90,20 @@ def padded_size(pictures: DataFrame) -> DataFrame:
     """pictures (width, height) with the common size that a batch is padded to."""
     whole = Window.partitionBy()
     return pictures.withColumn("pad_width", F.max("width").over(whole)).withColumn("pad_height", F.max("height").over(whole))
+
+
+def tagged(results: DataFrame, query_type: str, query_info: str) -> DataFrame:
+    """Results with what they answer: query_type, query_info."""
+    return results.withColumn("query_type", F.lit(query_type)).withColumn("query_info", F.lit(query_info))
+
+
+def combined(a: DataFrame, b: DataFrame, how: str = "union", most: int = 100) -> DataFrame:
+    """Two tagged result sets as one, tagged ``combined`` with both infos."""
+    info = F.concat(F.coalesce(a.agg(F.first("query_info")).scalar(), F.lit("")), F.lit(" + "), F.coalesce(b.agg(F.first("query_info")).scalar(), F.lit("")))
+    rows = {"union": union, "intersection": intersection, "concat": concat}[how](a.drop("query_type", "query_info"), b.drop("query_type", "query_info"), most)
+    return rows.withColumn("query_type", F.lit("combined")).withColumn("query_info", info)
+
+
+def as_json(results: DataFrame) -> DataFrame:
+    """rank and each result as a JSON object."""
+    return results.select("rank", F.to_json(F.struct("file_path", "thumbnail_path", "score", "vector_id", "media_type")).alias("json"))

@@ -1,11 +1,16 @@
 """Inner-product search over vector tables.
 
 One query is a literal array: the scan scores every row and keeps its best k before anything is exchanged.  Many queries
-are worked through in bounded blocks, each a matrix product per batch of vectors; a task sends its best k for a query.
+are worked through in matrix products of bounded size; a task sends its best k for a query.  Query sets up to ``BLOCK_BYTES`` go
+out with the tasks, so the vectors stay where they are; larger ones are cut into blocks and the vectors into parts, both in
+Spark, and every pair of a block and a part is one bounded group.
+
+A row without a vector (null) is never a hit, and a query without one has none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,6 +22,8 @@ from ..functions import vectors as V
 from ..schema import MOST_K, TOP_K
 
 BLOCK_BYTES = 8 << 20
+PART_ROWS = 100_000
+STEP_CELLS = 4_000_000
 
 
 def ranked(rows: DataFrame, k: int | None = None, *ties: str) -> DataFrame:
@@ -28,7 +35,7 @@ def ranked(rows: DataFrame, k: int | None = None, *ties: str) -> DataFrame:
 
 def flat_topk(vectors: DataFrame, query: Sequence[float], k: int = TOP_K) -> DataFrame:
     """vector_id, score, rank of the k vectors with the largest inner product; ties by id."""
-    scored = vectors.select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score"))
+    scored = vectors.where("embedding is not null").select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score"))
     return ranked(scored, k)
 
 
@@ -45,85 +52,116 @@ def stored_vector(vectors: DataFrame, vector_id: int) -> list[float]:
 
 
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """query_id, vector_id, score, rank for every row of queries (query_id, embedding).
-
-    Queries come to the driver in blocks of ``BLOCK_BYTES`` and go out with the tasks; each block reads the vectors once.
-    """
-    schema = "query_id long, vector_id long, score double"
-    found = None
-    for ids, matrix in _blocks(queries):
-        part = vectors.select("vector_id", "embedding").mapInArrow(_best_of_block(ids, matrix, k), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    """query_id, vector_id, score, rank for every row of queries (query_id, embedding)."""
+    found = _in_blocks(vectors, queries, lambda ids, matrix: _Best(ids, matrix, k))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame):
-    ids, rows, size = [], [], 0
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(r.query_id)
-        rows.append(np.asarray(r.embedding, dtype=np.float64))
-        size += rows[-1].nbytes
-        if size >= BLOCK_BYTES:
-            yield np.array(ids), np.stack(rows)
-            ids, rows, size = [], [], 0
-    if rows:
-        yield np.array(ids), np.stack(rows)
-
-
-def _best_of_block(ids: np.ndarray, matrix: np.ndarray, k: int):
-    def run(batches):
-        best_score = np.full((len(ids), 0), -np.inf)
-        best_id = np.zeros((len(ids), 0), dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            best_score = np.concatenate([best_score, matrix @ flat.reshape(len(own), -1).T], axis=1)
-            best_id = np.concatenate([best_id, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
-            order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        n = best_id.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], names=["query_id", "vector_id", "score"])
-
-    return run
+def within(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """query_id, vector_id, score of all pairs whose inner product is at least so large."""
+    return _in_blocks(vectors, queries, lambda ids, matrix: _Near(ids, matrix, least))
 
 
-def within(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """query_id, vector_id, score of all pairs whose inner product is at least so large, block by block as ``batch_topk``."""
-    schema = "query_id long, vector_id long, score double"
-    found = vectors.sparkSession.createDataFrame([], schema)
-    for ids, matrix in _blocks(queries):
-        found = found.unionByName(vectors.select("vector_id", "embedding").mapInArrow(_near_of_block(ids, matrix, least), schema))
-    return found
+SCORED = "query_id long, vector_id long, score double"
+
+
+def _in_blocks(vectors: DataFrame, queries: DataFrame, make) -> DataFrame:
+    """``make(query ids, matrix)`` gives an object with ``add(vector ids, matrix)`` and ``end()``, which yield batches of pairs."""
+    vectors = vectors.where("embedding is not null").select("vector_id", "embedding")
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    count, dims = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    if count * dims * 8 <= BLOCK_BYTES:
+        rows = asked.collect()  # BLOCK_BYTES at most
+        ids, matrix = np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), dims)
+
+        def local(batches):
+            held = make(ids, matrix)
+            for batch in batches if len(ids) else ():
+                yield from held.add(*_matrix(batch))
+            yield from held.end()
+
+        return vectors.mapInArrow(local, SCORED)
+    blocks, parts = math.ceil(count * dims * 8 / BLOCK_BYTES), math.ceil(vectors.count() / PART_ROWS)
+
+    def cells(rows: DataFrame, id_col: str, own: str, others: str, n_own: int, n_others: int) -> DataFrame:
+        placed = rows.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n_own)).cast("int"))
+        return placed.withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)))).groupBy("block", "part")
+
+    def one(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        held = make(*_matrix(queries.select(["query_id", "embedding"]).combine_chunks()))
+        out = [*held.add(*_matrix(vectors.select(["vector_id", "embedding"]).combine_chunks())), *held.end()] if queries.num_rows and vectors.num_rows else []
+        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("vector_id", pa.int64()), ("score", pa.float64())]))
+
+    return cells(asked, "query_id", "block", "part", blocks, max(parts, 1)).cogroup(cells(vectors, "vector_id", "part", "block", max(parts, 1), blocks)).applyInArrow(one, SCORED)
+
+
+def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+    ids = rows.column(0).to_numpy() if isinstance(rows, pa.Table) else rows.column(0).to_numpy(zero_copy_only=False)
+    column = rows.column(1).combine_chunks() if isinstance(rows, pa.Table) else rows.column(1)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return ids, flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 1)
+
+
+def _pairs(query_ids: np.ndarray, vector_ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(vector_ids), pa.array(scores)], names=["query_id", "vector_id", "score"])
+
+
+class _Best:
+    """The best k of each query over all that is added: a score matrix of ``STEP_CELLS`` at most beside the k held."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+        self.ids, self.matrix, self.k = ids, matrix.astype(np.float64), k
+        self.score, self.id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+
+    def add(self, own: np.ndarray, rows: np.ndarray):
+        step = max(1, STEP_CELLS // max(len(self.ids), 1))
+        for at in range(0, len(own), step):
+            order = np.argsort(own[at : at + step], kind="stable")
+            some, score = own[at : at + step][order], self.matrix @ rows[at : at + step][order].astype(np.float64).T
+            if score.shape[1] > self.k:
+                # the k best scores; all that tie with the last of them are looked at, so the least ids win
+                cut = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1]
+                keep = np.flatnonzero((score >= cut[:, None]).any(axis=0))
+                some, score = some[keep], score[:, keep]
+            score = np.concatenate([self.score, score], axis=1)
+            ids = np.concatenate([self.id, np.broadcast_to(some, (len(self.ids), len(some)))], axis=1)
+            best = np.lexsort((ids, -score), axis=1)[:, : self.k]
+            self.score, self.id = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
+        return ()
+
+    def end(self):
+        if self.id.shape[1]:
+            yield _pairs(np.repeat(self.ids, self.id.shape[1]), self.id.ravel(), self.score.ravel())
+
+
+class _Near:
+    """All pairs at or above the least score."""
 
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, least: float):
+        self.ids, self.matrix, self.least = ids, matrix.astype(np.float64), least
 
-def _near_of_block(ids: np.ndarray, matrix: np.ndarray, least: float):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                scores = matrix @ batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1).T
-                q, v = np.nonzero(scores >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(scores[q, v])], names=["query_id", "vector_id", "score"])
+    def add(self, own: np.ndarray, rows: np.ndarray):
+        step = max(1, STEP_CELLS // max(len(self.ids), 1))
+        for at in range(0, len(own), step):
+            score = self.matrix @ rows[at : at + step].astype(np.float64).T
+            q, v = np.nonzero(score >= self.least)
+            yield _pairs(self.ids[q], own[at : at + step][v], score[q, v])
 
-    return run
+    def end(self):
+        return ()
 
 
 def with_records(hits: DataFrame, records: DataFrame, on_disk: DataFrame | None = None) -> DataFrame:
     """Hits with their records, hits without one gone; with ``on_disk`` (path), those whose file is gone too.
 
-    A page counts as there when its document is.  Hits are at most ``MOST_K`` rows, so they are what is broadcast.
+    A page counts as there when its document is.  Hits that were cut at k carry that limit in their plan, so the planner
+    broadcasts them when they are few and exchanges them otherwise.
     """
-    out = records.join(F.broadcast(hits), "vector_id")
+    out = records.join(hits, "vector_id")
     if on_disk is not None:
         out = out.withColumn("__file", F.coalesce("parent_document", "file_path"))
-        there = on_disk.select(F.col("path").alias("__file")).join(F.broadcast(out.select("__file").distinct()), "__file", "left_semi").distinct()
-        out = out.join(F.broadcast(there), "__file", "left_semi").drop("__file")
+        out = out.join(on_disk.select(F.col("path").alias("__file")), "__file", "left_semi").drop("__file")
     return out
 
 
@@ -136,7 +174,7 @@ def exclude(vectors: DataFrame, query: Sequence[float], negatives: Sequence[Sequ
     bad = near[0]
     for test in near[1:]:
         bad = bad | test
-    scored = vectors.select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score"), "embedding")
+    scored = vectors.where("embedding is not null").select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score"), "embedding")
     candidates = scored.orderBy(F.desc("score"), "vector_id").limit(min(3 * k, MOST_K))
     return ranked(candidates.where(~bad).select("vector_id", "score"), k)
 

@@ -19,9 +19,12 @@ def scan_folder(spark: SparkSession, folder: str, recursive: bool = True, kinds=
     if not store.exists(there):
         return spark.createDataFrame([], LISTING)
     path = F.regexp_replace("path", "^file:/*", "/")
-    files = reader.load(root).select(path.alias("path"), "modificationTime", "length")
-    listed = files.where(P.is_supported(F.col("path"), kinds))
-    return listed.select(
+    return listed(reader.load(root).select(path.alias("path"), "modificationTime", "length"), kinds)
+
+
+def listed(files: DataFrame, kinds=("image", "video", "document")) -> DataFrame:
+    """files (path, modificationTime, length) of supported kinds as path, mtime (seconds), size, media_type, file_hash, by path."""
+    return files.where(P.is_supported(F.col("path"), kinds)).select(
         "path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"), P.media_type(F.col("path")).alias("media_type"), P.fast_hash(F.col("length"), F.col("modificationTime")).alias("file_hash")
     ).orderBy("path")
 
@@ -40,3 +43,17 @@ def missing_thumbnails(records: DataFrame, listing: DataFrame) -> DataFrame:
     """file_path and name of thumbnails to be made; listing has their names."""
     wanted = records.select("file_path", P.thumbnail_name(F.col("file_path")).alias("name"))
     return wanted.join(listing.select("name"), "name", "left_anti")
+
+
+def delete_files(spark: SparkSession, folder: str, names: DataFrame) -> int:
+    """Delete files (name) of one folder, a bounded number at a time; returns how many went."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(P.trimmed(folder))
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sum(bool(store.delete(make(root, r.name), False)) for r in names.select("name").distinct().toLocalIterator())
+
+
+def load_files(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
+    """name, content of the files of a folder that are asked for (name)."""
+    files = spark.read.format("binaryFile").load(P.trimmed(folder)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return files.join(names.select("name").distinct(), "name", "left_semi")

@@ -89,17 +89,23 @@ def page_rows(documents: DataFrame, most: int = MOST_PAGES) -> DataFrame:
 
 
 def write_thumbnails(pictures: DataFrame, folder: str) -> None:
-    """pictures (name, content): one file each, written by the executors under another name and then moved."""
+    """pictures (name, content): one file each in a folder that all executors reach, on any store that pyarrow opens.  Each is
+    written under another name and then moved, so a repeated task replaces a file by an equal one."""
 
-    def put(rows) -> None:
+    def put(batches):
         import os
         import uuid
 
-        for r in rows:
-            os.makedirs(folder, exist_ok=True)
-            draft = f"{folder}/.{uuid.uuid4().hex}"
-            with open(draft, "wb") as f:
-                f.write(r.content)
-            os.replace(draft, f"{folder}/{r.name}")
+        from pyarrow import fs
 
-    pictures.select("name", "content").foreachPartition(put)
+        store, root = (fs.LocalFileSystem(), folder.removeprefix("file://")) if "://" not in folder or folder.startswith("file:") else fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                draft = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as sink:
+                    sink.write(bytes(content))
+                store.move(draft, f"{root}/{os.path.basename(name)}")
+            yield batch[["name"]]
+
+    pictures.select("name", "content").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()

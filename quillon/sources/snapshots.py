@@ -65,30 +65,35 @@ class Snapshots:
 
     def table(self, name: str) -> DataFrame:
         """The present rows; columns that older files lack have their defaults."""
-        df = self.spark.read.schema(TABLES[name]).option("mergeSchema", "true").parquet(f"{self.path}/v={self.manifest['version']}/{name}")
+        df = self.spark.read.schema(TABLES[name]).option("mergeSchema", "true").parquet(*[f"{self.path}/v={v}/{name}" for v in self.versions(name)])
         return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in schema.DEFAULTS.items() if c in df.columns})
 
-    def derived(self, name: str, make, *partition_by: str) -> DataFrame:
-        """A table made from the present version's tables, written beside them when first asked for."""
-        path = f"{self.path}/v={self.manifest['version']}/{name}"
+    def versions(self, name: str) -> list[int]:
+        """The versions whose files make up a table: the one that wrote it whole, and those that have added rows since."""
+        return self.manifest.get("tables", {}).get(name, [self.manifest["version"]])
+
+    def derived_name(self, name: str, source: str) -> str:
+        return f"{name}-" + "-".join(map(str, self.versions(source)))
+
+    def derived(self, name: str, make, *partition_by: str, source: str = "vectors") -> DataFrame:
+        """A table made from the present rows of ``source``, written when first asked for and kept while these rows stand."""
+        path = f"{self.path}/derived/{self.derived_name(name, source)}"
         fs, done = self.catalogue._fs(f"{path}/_SUCCESS")
         if not fs.exists(done):
             make().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         return self.spark.read.parquet(path)
 
-    def write(self, tables: dict[str, DataFrame], **settings) -> None:
-        """A new version: given tables are replaced, the others copied; then the manifest moves on."""
-        old, new = self.manifest["version"], self.manifest["version"] + 1
-        for name, kinds in TABLES.items():
-            if name in tables:
-                target = self.spark.createDataFrame([], kinds)
-                df = tables[name]
-                df = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema])
-            else:
-                df = self.table(name) if old else self.spark.createDataFrame([], kinds)
+    def write(self, tables: dict[str, DataFrame], appends: dict[str, DataFrame] | None = None, **settings) -> None:
+        """A new version: given tables are replaced, appends are written as further files of their tables, the others keep their
+        files; then the manifest moves on."""
+        new, files = self.manifest["version"] + 1, {n: self.versions(n) for n in TABLES} if self.manifest["version"] else {}
+        empty = {n: self.spark.createDataFrame([], k) for n, k in TABLES.items()}
+        for name, df in {**{n: empty[n] for n in TABLES if n not in files}, **tables, **(appends or {})}.items():
+            df = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty[name].schema])
             order = "vector_id" if "vector_id" in df.columns else df.columns[0]
             df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").parquet(f"{self.path}/v={new}/{name}")
-        self.manifest = {**self.manifest, **settings, "version": new}
+            files[name] = [*(files.get(name, []) if name in (appends or {}) else []), new]
+        self.manifest = {**self.manifest, **settings, "version": new, "tables": files}
         self._save_manifest()
 
     def _save_manifest(self) -> None:
@@ -103,7 +108,15 @@ class Snapshots:
         hadoop.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(p), over)
 
     def vacuum(self) -> int:
-        """Drop all versions but the present one; returns how many."""
-        fs, p = self.catalogue._fs(self.path)
-        old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v=") and s.getPath().getName() != f"v={self.manifest['version']}"]
-        return sum(bool(fs.delete(x, True)) for x in old)
+        """Drop the files that the present version doesn't read; returns how many folders went."""
+        kept = {f"v={v}/{n}" for n in TABLES for v in self.versions(n)}
+        fs, top = self.catalogue._fs(self.path)
+        children = lambda p: [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
+        gone = 0
+        for folder in children(top):
+            if folder.getName() == "derived":
+                current = "-" + "-".join(map(str, self.versions("vectors")))
+                gone += sum(bool(fs.delete(x, True)) for x in children(folder) if not x.getName().endswith(current))
+            elif folder.getName().startswith("v="):
+                gone += sum(bool(fs.delete(x, True)) for x in children(folder) if f"{folder.getName()}/{x.getName()}" not in kept)
+        return gone
