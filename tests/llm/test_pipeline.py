@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
 from test_jaccard_join import brute
+from test_text_rules import redact, verdicts
 
 from quillon.llm import decontaminate, jaccard_join, quality, secrets
 from quillon.llm.common import stored
@@ -59,8 +61,20 @@ def test_run_is_the_stages(spark, sf, steps):
 
 
 def test_odd_rows(spark, tricky, empty, tmp_path):
+    """Each stage on rows with nulls, blanks, repeats and clashing columns, against brute force."""
     spark.createDataFrame([("i", "never there at all")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (tricky, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stored(stage(spark, docs, str(tmp_path)), "odd")
-        assert docs.count() >= 0
+    held = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    steps = [tricky]
+    for _, stage in corpus_pipeline.STAGES:
+        steps.append(stored(stage(spark, steps[-1], str(tmp_path)), "odd"))
+    _, good, alone, clean, safe, encoded = steps
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in tricky.collect()]
+    assert held(good) == Counter((d, t) for (d, t, _, _), (_, kept, _) in zip(rows, verdicts(rows), strict=True) if kept)
+    assert held(alone) <= held(good) and set(held(alone).values()) == {1}
+    assert held(clean) == held(alone)
+    assert held(safe) == Counter({(d, redact(t)): n for (d, t), n in held(clean).items()})
+    assert Counter(r.decoded_sha256 for r in encoded.collect()) == Counter(hashlib.sha256(t.encode()).hexdigest() for (_, t), n in held(safe).items() for _ in range(n))
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)), "odd")
+    assert docs.count() == 0
