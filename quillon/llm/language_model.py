@@ -1,17 +1,20 @@
-"""LM scoring: an interpolated modified Kneser-Ney model of word pairs, counted in Spark and memory-mapped by the workers.
+"""LM scoring: an interpolated modified Kneser-Ney model of n-grams, counted in Spark and memory-mapped by the workers.
 
-Counting: every task counts the pairs of its texts, deals them out by a hash of the pair, and the receivers sum them.  A
-receiver writes its share as a sorted array of pair hashes with their counts, and passes on what each word had there (as
-context: tokens, successors seen once, twice, more often; as successor: tokens, distinct predecessors).  A second exchange
-by word sums these into sorted arrays of word hashes.  Hot words are spread over all pair shards and summed there first, so
-no exchange gathers the rows of a word.  Only the counts of counts, a row a shard, reach the driver.
+Counting: every task counts the grams of its texts (``order`` words each, the begin mark before the first ones), deals them out
+by a hash of the gram, and the receivers sum them.  A receiver writes its share as a sorted array of gram hashes with their
+counts, and passes on what the shorter grams had there: the words before the last as context (tokens, successors seen once,
+twice, more often), the words behind the first as successor (tokens, distinct words before).  A further exchange for each
+shorter length sums these into sorted arrays in the same way, down to single words.  Hot words and grams are spread over all
+shards of the longer grams and summed there first, so no exchange gathers the rows of a word.  Only the counts of counts, a row
+a shard and length, reach the driver.
 
 Scoring: a worker maps the arrays from the shared folder and looks up sorted queries of a slice of texts at a time:
-p(w | v) = max(a - D(a), 0) / T(v) + g(v) p(w), p(w) = max(b - d(b), 0) / B + g / (V + 1), with a the pair's count, T(v) the
-tokens behind v, b the distinct predecessors of w, B all distinct pairs, V the distinct tokens.  Discounts D and d for
-one, two, three and more come from the counts of counts.  An unknown word has the uniform share alone.
+p(w | v) = max(a - D(a), 0) / T(v) + g(v) p(w | v without its first word), p(w) = max(b - d(b), 0) / B + g / (V + 1), with v
+the words before, a the gram's count (for less than ``order`` words: how many words it follows), T(v) the sum of a over what
+follows v, b the distinct predecessors of w, B all distinct pairs, V the distinct tokens.  Discounts D and d for one, two, three
+and more come from the counts of counts of their length.  An unknown word has the uniform share alone.
 
-The order is two: at order three the arrays and exchanges of a corpus with few repeated triples are larger than the texts.
+The query's order is ``ORDER``; the README has the figures of order three.
 
 Edge cases: a null, empty or blank text is its end token alone; rows that repeat are counted and scored one by one; a null id
 belongs to the training part; without any training token the base and the model are uniform over one unknown word; an
@@ -27,23 +30,34 @@ from pyspark.sql import functions as F
 
 from .common import documents, id_text, lowered, mix64, open_store, prefix_hash, publish, shared_folder, slices, span_hash, word_spans
 
+ORDER = 2
 FOLDS = 5
 HELD_OUT = 1
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 4096
 FLUSH_TOKENS = 2_000_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-WORD_COLUMNS = (("t", np.uint64), ("c", np.uint64), ("n1", np.uint32), ("n2", np.uint32), ("n3", np.uint32), ("b", np.uint32))
-PAIR_COLUMNS = (("a", np.uint8),)
 FULL = 255
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix64(mix64(first) * np.uint64(0x2545F4914F6CDD1D) + second)
+def columns_of(length: int, order: int) -> tuple:
+    """What the array of the grams of a length holds: names and types."""
+    if length == order:
+        return (("a", np.uint8),)
+    tokens_of_words = (("c", np.uint64),) if length == 1 else ()
+    return ("t", np.uint64), *tokens_of_words, ("n1", np.uint32), ("n2", np.uint32), ("n3", np.uint32), ("b", np.uint32)
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray):
-    """Token hashes of a slice, end tokens included; the token before each; and where each text's tokens begin."""
+def gram_keys(words: list[np.ndarray]) -> np.ndarray:
+    """A hash for each gram, given its first words, second words and so on."""
+    keys = words[0]
+    for after in words[1:]:
+        keys = mix64(mix64(keys) * np.uint64(0x2545F4914F6CDD1D) + after)
+    return keys
+
+
+def tokens(buf: np.ndarray, offsets: np.ndarray, order: int):
+    """Token hashes of a slice, end tokens included, behind those of the order - 1 tokens before each; and where each text's tokens begin."""
     low = lowered(buf)
     starts, ends, first = word_spans(low, offsets)
     words = span_hash(prefix_hash(low), starts, ends)
@@ -51,18 +65,35 @@ def tokens(buf: np.ndarray, offsets: np.ndarray):
     out = np.full(len(words) + len(offsets) - 1, END)
     counts = np.diff(first)
     out[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[begins[:-1]] = BEGIN
-    return out, before, begins
-
-
-def summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct keys in ascending order with the sums of the columns."""
+    grams = [out]
+    for _ in range(order - 1):
+        before = np.empty_like(out)
+        before[1:] = grams[0][:-1]
+        before[begins[:-1]] = BEGIN
+        grams.insert(0, before)
+    return grams, begins
+
+
+def summed(words: list[np.ndarray], columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Keys of the distinct grams in ascending order, their words, and the sums of the columns."""
+    keys = gram_keys(words)
     by = np.argsort(keys)
     keys = keys[by]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], [np.add.reduceat(c[by], at) if len(at) else c[:0] for c in columns]
+    pick = by[at]
+    return keys[at], [w[pick] for w in words], [np.add.reduceat(c[by], at) if len(at) else c[:0] for c in columns]
+
+
+def shorter(words: list[np.ndarray], value: np.ndarray, c: np.ndarray):
+    """From distinct grams with their counts (or numbers of words before) and tokens: key, words, and the columns t, c, n1, n2, n3, b
+    of the grams without the last word and of those without the first."""
+    real = value > 0
+    words, value, c = [w[real] for w in words], value[real], c[real]
+    _, context, (t, *n) = summed(words[:-1], [value, *((x).astype(np.uint64) for x in (value == 1, value == 2, value > 2))])
+    _, behind, (c, b) = summed(words[1:], [c, np.ones(len(value), dtype=np.uint64)])
+    none_c, none_b = np.zeros(len(t), np.uint64), np.zeros(len(b), np.uint64)
+    columns = [np.concatenate(x) for x in ((t, none_b), (none_c, c), *((x, none_b) for x in n), (none_c, b))]
+    return summed([np.concatenate(x) for x in zip(context, behind, strict=True)], columns)
 
 
 def write_shard(folder: str, name: str, part: int, keys: np.ndarray, columns: list[tuple[np.ndarray, type]]) -> None:
@@ -153,129 +184,146 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Model:
-    """What scoring needs; small but for the mapped arrays."""
-
-    def __init__(self, folder: str, bits: int, pair_sizes: dict, word_sizes: dict, totals: dict):
-        self.pairs = Table(folder, "pairs", pair_sizes, bits, PAIR_COLUMNS)
-        self.words = Table(folder, "words", word_sizes, bits, WORD_COLUMNS)
-        self.n, self.v, self.types = totals["n"], totals["v"], max(totals["types"], 1)
-        self.pair_discount = np.array([0.0, *discounts(*totals["pair_counts"])])
-        self.word_discount = np.array([0.0, *discounts(*totals["word_counts"][:4])])
-        m1, m2, m3, more = totals["word_counts"][0], totals["word_counts"][1], totals["word_counts"][2], totals["word_counts"][4]
-        kept = self.word_discount[1] * m1 + self.word_discount[2] * m2 + self.word_discount[3] * (m3 + more)
-        self.rest = (kept / self.types if totals["types"] else 1.0) / (self.v + 1)
-
-    def probability(self, before: np.ndarray, word: np.ndarray):
-        """p(word | before) and the words' counts."""
-        both = self.words.find(np.concatenate([before, word]))
-        t, _, n1, n2, n3, _ = (x[: len(before)] for x in both)
-        _, c, _, _, _, b = (x[len(before) :] for x in both)
-        (a,) = self.pairs.find(pair_keys(before, word))
-        low = np.maximum(b - self.word_discount[np.minimum(b, 3)], 0) / self.types + self.rest
-        d = self.pair_discount
-        whole = np.maximum(t, 1)
-        high = np.maximum(a - d[np.minimum(a, 3)], 0) / whole + (d[1] * n1 + d[2] * n2 + d[3] * n3) / whole * low
-        return np.where(t > 0, high, low), c
-
-
-def train(texts: DataFrame, bits: int, folder: str) -> Model:
+    """What scoring needs; small but for the mapped arrays.  sizes: for each length the shards' numbers of grams; totals: for each length
+    the sums of what ``_sizes`` has behind it."""
+
+    def __init__(self, folder: str, bits: int, order: int, sizes: dict[int, dict[int, int]], totals: dict[int, list[int]]):
+        self.order = order
+        self.tables = {k: Table(folder, f"grams{k}", sizes[k], bits, columns_of(k, order)) for k in sizes}
+        self.n, self.v, types = totals[1][:3]
+        self.types = max(types, 1)
+        self.discount = {k: np.array([0.0, *discounts(*x[3:7])]) for k, x in totals.items()}
+        d, (m1, m2, m3, _, more) = self.discount[1], totals[1][3:]
+        self.rest = ((d[1] * m1 + d[2] * m2 + d[3] * (m3 + more)) / types if types else 1.0) / (self.v + 1)
+
+    def probability(self, grams: list[np.ndarray]):
+        """p(last word | the words before it) and the last words' counts."""
+        n = len(grams[-1])
+        p = known = behind = None
+        for k in range(1, self.order + 1):
+            own = gram_keys(grams[self.order - k :])
+            asked = own if k == self.order else np.concatenate([gram_keys(grams[self.order - 1 - k : -1]), own])
+            found = dict(zip((name for name, _ in columns_of(k, self.order)), self.tables[k].find(asked), strict=True))
+            value, d = found["a" if k == self.order else "b"][-n:] if n else np.zeros(0, np.int64), self.discount[k]
+            above = np.maximum(value - d[np.minimum(value, 3)], 0)
+            if k == 1:
+                p, known = above / self.types + self.rest, found["c"][n:]
+            else:
+                whole = np.maximum(behind["t"], 1)
+                left = (d[1] * behind["n1"] + d[2] * behind["n2"] + d[3] * behind["n3"]) / whole
+                p = np.where(behind["t"] > 0, above / whole + left * p, p)
+            behind = {name: x[:n] for name, x in found.items()}
+        return p, known
+
+
+def _sizes(length: int, keys: np.ndarray, c: np.ndarray, value: np.ndarray, part: int, binaries: int) -> pa.RecordBatch:
+    """A row behind the other rows of a shard: length, grams, tokens, distinct tokens, sum of the values, values of 1, 2, 3, 4, above 3."""
+    x = np.array([length, len(keys), c.sum(), (c > 0).sum(), value.sum(), *((value == k).sum() for k in (1, 2, 3, 4)), (value > 3).sum()], dtype=np.int64)
+    cells = [pa.array([part], pa.int32()), *[pa.nulls(1, pa.binary())] * binaries, pa.array([x.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(cells, names=["part", *(f"x{i}" for i in range(binaries)), "sizes"])
+
+
+def train(texts: DataFrame, bits: int, folder: str, order: int = ORDER) -> Model:
     """texts: the training texts in column text."""
     shift = np.uint64(64 - bits)
 
     def count(batches):
-        def flush(first, second):
-            first, second = np.concatenate(first), np.concatenate(second)
-            keys = pair_keys(first, second)
-            by = np.argsort(keys)
-            at = np.flatnonzero(np.concatenate([[True], keys[by][1:] != keys[by][:-1]]))
-            n = np.diff(np.append(at, len(by))).astype(np.uint32)
-            pick = by[at]
-            first, second, part = first[pick], second[pick], keys[pick] >> shift
-            by = np.argsort((part << shift) | (first >> np.uint64(bits)))
-            first, second, n, part = first[by], second[by], n[by], part[by]
-            # w1 as distinct values with run lengths
+        def flush(grams):
+            words = [np.concatenate(x) for x in zip(*grams, strict=True)]
+            keys, words, (n,) = summed(words, [np.ones(len(words[0]), dtype=np.uint32)])
+            part = keys >> shift
+            by = np.argsort((part << shift) | (words[0] >> np.uint64(bits)))
+            (first, *others), n, part = [w[by] for w in words], n[by].astype(np.uint32), part[by]
+            # the first word as distinct values with run lengths
             edge = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (part[1:] != part[:-1])]))
             runs = _blobs(part[edge], [first[edge], np.diff(np.append(edge, len(first))).astype(np.uint32)])
-            rest = _blobs(part, [second, n])
-            return pa.RecordBatch.from_arrays([*runs.columns, *rest.columns[1:]], names=["part", "x0", "x1", "x2", "x3"])
+            rest = _blobs(part, [*others, n])
+            columns = [*runs.columns, *rest.columns[1:]]
+            return pa.RecordBatch.from_arrays(columns, names=["part", *(f"x{i}" for i in range(len(columns) - 1))])
 
-        first, second, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for _, buf, offsets in slices(batch, "text"):
-                word, before, _ = tokens(buf, offsets)
-                first.append(before)
-                second.append(word)
-                size += len(word)
+                grams, _ = tokens(buf, offsets, order)
+                held.append(grams)
+                size += len(grams[0])
                 if size >= FLUSH_TOKENS:
-                    yield flush(first, second)
-                    first, second, size = [], [], 0
+                    yield flush(held)
+                    held, size = [], 0
         if size:
-            yield flush(first, second)
-
-    def sum_pairs(batches):
-        for part, (first, lengths, second, n) in _parts(batches, (np.uint64, np.uint32, np.uint64, np.uint32)):
-            first, n = np.repeat(first, lengths), n.astype(np.uint64)
-            keys = pair_keys(first, second)
-            by = np.argsort(keys)
-            at = np.flatnonzero(np.concatenate([[True], keys[by][1:] != keys[by][:-1]]))
-            n, keys, first, second = np.add.reduceat(n[by], at), keys[by][at], first[by][at], second[by][at]
-            write_shard(folder, "pairs", part, keys, [(n, np.uint8)])
-            one = np.ones(len(n), dtype=np.uint64)
-            context, (t, n1, n2, n3) = summed(first, [n, (n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n > 2).astype(np.uint64)])
-            successor, (c, b) = summed(second, [n, one])
-            words = np.concatenate([context, successor])
-            pad_c, pad_s = np.zeros(len(context), np.uint64), np.zeros(len(successor), np.uint64)
-            words, columns = summed(words, [np.concatenate(x) for x in ((t, pad_s), (pad_c, c), (n1, pad_s), (n2, pad_s), (n3, pad_s), (pad_c, b))])
-            out = _blobs(words >> shift, [words, *(x.astype(np.uint32) if k > 1 else x for k, x in enumerate(columns))])
-            sizes = np.array([len(keys), *((n == k).sum() for k in (1, 2, 3, 4))], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=[*out.schema.names, "sizes"])
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.nulls(1, pa.binary())] * 7, pa.array([sizes.tobytes()], pa.binary())], names=[*out.schema.names, "sizes"])
-
-    def sum_words(batches):
-        passed = []
-
-        def word_rows():
-            for batch in batches:
-                passed.append(batch.filter(batch.column(8).is_valid()).select(["part", "sizes"]))
-                yield batch.filter(batch.column(8).is_null()).select(range(8))
-
-        for part, (words, *columns) in _parts(word_rows(), (np.uint64, np.uint64, np.uint64, *[np.uint32] * 4)):
-            words, columns = summed(words, [x.astype(np.uint64) for x in columns])
-            write_shard(folder, "words", part, words, [(x, kind) for x, (_, kind) in zip(columns, WORD_COLUMNS, strict=True)])
-            c, b = columns[1], columns[5]
-            sizes = np.array([len(words), c.sum(), (c > 0).sum(), b.sum(), *((b == k).sum() for k in (1, 2, 3, 4)), (b > 3).sum()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sizes.tobytes()], pa.binary())], names=["part", "sizes"])
-        yield from passed  # what the pair shards counted, of another length
+            yield flush(held)
+
+    def passed_on(words, value, c) -> pa.RecordBatch:
+        keys, words, columns = shorter(words, value, c)
+        out = _blobs(keys >> shift, [*words, *(x.astype(np.uint32) if k > 1 else x for k, x in enumerate(columns))])
+        return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=[*out.schema.names, "sizes"])
+
+    def sum_grams(batches):
+        for part, (first, lengths, *others, n) in _parts(batches, (np.uint64, np.uint32, *[np.uint64] * (order - 1), np.uint32)):
+            keys, words, (n,) = summed([np.repeat(first, lengths), *others], [n.astype(np.uint64)])
+            write_shard(folder, f"grams{order}", part, keys, [(n, np.uint8)])
+            yield passed_on(words, n, n)
+            yield _sizes(order, keys, n, n, part, order + 5)
+
+    def sum_shorter(length: int):
+        binaries = length + 5 if length > 1 else 0
+
+        def merge(batches):
+            passed = []
+
+            def gram_rows():
+                for batch in batches:
+                    sizes = batch.column(batch.num_columns - 1)
+                    passed.append(batch.filter(sizes.is_valid()).select(["part", "sizes"]))
+                    yield batch.filter(sizes.is_null()).select(range(length + 7))
+
+            for part, held in _parts(gram_rows(), (*[np.uint64] * (length + 2), *[np.uint32] * 4)):
+                keys, words, columns = summed(held[:length], [x.astype(np.uint64) for x in held[length:]])
+                named = dict(zip(("t", "c", "n1", "n2", "n3", "b"), columns, strict=True))
+                write_shard(folder, f"grams{length}", part, keys, [(named[x], kind) for x, kind in columns_of(length, order)])
+                if length > 1:
+                    yield passed_on(words, named["b"], named["c"])
+                yield _sizes(length, keys, named["c"], named["b"], part, binaries)
+            for rows in passed:  # what the shards of longer grams counted
+                cells = [rows.column(0), *[pa.nulls(rows.num_rows, pa.binary())] * binaries, rows.column(1)]
+                yield pa.RecordBatch.from_arrays(cells, names=["part", *(f"x{i}" for i in range(binaries)), "sizes"])
+
+        return merge
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(1 << bits, "part").sortWithinPartitions("part")
 
-    pairs = texts.select("text").mapInArrow(count, "part int, x0 binary, x1 binary, x2 binary, x3 binary")
-    columns = ", ".join(f"x{i} binary" for i in range(7))
-    merged = dealt(pairs).mapInArrow(sum_pairs, f"part int, {columns}, sizes binary")
-    counted = [(r.part, np.frombuffer(r.sizes, dtype=np.int64)) for r in dealt(merged).mapInArrow(sum_words, "part int, sizes binary").collect()]
-    pair_sizes, word_sizes = ({p: x for p, x in counted if len(x) == n} for n in (5, 9))
-    pair_all = sum(pair_sizes.values(), np.zeros(5, np.int64)).tolist()
-    word_all = sum(word_sizes.values(), np.zeros(9, np.int64)).tolist()
-    totals = {"n": word_all[1], "v": word_all[2], "types": word_all[3], "pair_counts": pair_all[1:], "word_counts": word_all[4:]}
-    return Model(folder, bits, {p: int(x[0]) for p, x in pair_sizes.items()}, {p: int(x[0]) for p, x in word_sizes.items()}, totals)
+    def schema(binaries: int) -> str:
+        return ", ".join(["part int", *(f"x{i} binary" for i in range(binaries)), "sizes binary"])
+
+    grams = texts.select("text").mapInArrow(count, ", ".join(["part int", *(f"x{i} binary" for i in range(order + 2))]))
+    merged = dealt(grams).mapInArrow(sum_grams, schema(order + 5))
+    for length in range(order - 1, 0, -1):
+        merged = dealt(merged).mapInArrow(sum_shorter(length), schema(length + 5 if length > 1 else 0))
+    sizes = {k: {} for k in range(1, order + 1)}
+    totals = {k: np.zeros(8, np.int64) for k in sizes}
+    for part, blob in merged.collect():
+        length, grams_there, *counted = np.frombuffer(blob, dtype=np.int64)
+        sizes[int(length)][part] = int(grams_there)
+        totals[int(length)] += counted
+    return Model(folder, bits, order, sizes, {k: x.tolist() for k, x in totals.items()})
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """order: words in a gram, two at least.  doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     texts = id_text(docs, id_col, text_col).withColumn("held_out", held)
     training = texts.where("not held_out")
     size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, (min(size // SHARD_BYTES, MOST_SHARDS - 1)).bit_length())
-    model = docs.sparkSession.sparkContext.broadcast(train(training, bits, shared_folder(docs.sparkSession, "model")))
+    model = docs.sparkSession.sparkContext.broadcast(train(training, bits, shared_folder(docs.sparkSession, "model"), order))
 
     def score(batches):
         m = model.value
         for batch in batches:
             for rows, buf, offsets in slices(batch, "text"):
-                word, before, begins = tokens(buf, offsets)
-                p, c = m.probability(before, word)
+                grams, begins = tokens(buf, offsets, m.order)
+                p, c = m.probability(grams)
                 row = np.repeat(np.arange(rows.num_rows), np.diff(begins))
                 total = lambda x: np.bincount(row, weights=x, minlength=rows.num_rows)  # noqa: B023, E731
                 n, logs = np.diff(begins), total(np.log10(p))

@@ -93,3 +93,49 @@ def test_pairs_seen_255_times_and_more(spark):
     rows = [(k, " ".join([f"a{k} b{k}"] * n + ["c d"] * (n - 1) + ["e"])) for k, n in enumerate((254, 255, 256, 1000, 3, 70_000))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     same(language_model.score_documents(df), rows)
+
+
+def brute_order(rows, order):
+    """Scores at any order, by dictionaries: one for each length, the shorter ones filled with the distinct grams one word longer."""
+    whole = Counter()
+    for d, t in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
+            w = [*["<s>"] * (order - 1), *words(t)]
+            whole.update(zip(*(w[k:] for k in range(order)), strict=False))
+    value = {order: whole}
+    for k in range(order - 1, 0, -1):
+        value[k] = Counter(g[1:] for g in value[k + 1])
+    cut = {k: [0, *language_model.discounts(*[sum(c == j for c in x.values()) for j in (1, 2, 3, 4)])] for k, x in value.items()}
+    total, kept = Counter(), Counter()
+    for k, x in value.items():
+        for g, c in x.items():
+            total[g[:-1]] += c
+            kept[g[:-1]] += cut[k][min(c, 3)]
+    known = len(value[1])
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (known + 1)
+        context, c = gram[:-1], value[k][gram]
+        if not total[context]:
+            return p(gram[1:]) if k > 1 else p(())
+        return max(c - cut[k][min(c, 3)], 0) / total[context] + kept[context] / total[context] * p(gram[1:])
+
+    out = []
+    for d, t in rows:
+        w = [*["<s>"] * (order - 1), *words(t)]
+        out.append((d, sum(math.log10(p(g)) for g in zip(*(w[k:] for k in range(order)), strict=False))))
+    return out, p, value
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_of_an_order(tricky, order):
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    got = sorted(map(tuple, language_model.score_documents(tricky, order=order).select("doc_id", "score").collect()), key=key)
+    want, p, value = brute_order(pairs(tricky), order)
+    want.sort(key=key)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+    for g in list(value[order])[:10]:
+        assert sum(p((*g[:-1], *w)) for w in value[1]) + p((*g[:-1], "never seen")) == pytest.approx(1)
