@@ -291,7 +291,7 @@ def train(texts: DataFrame, bits: int, folder: str, order: int = ORDER) -> Model
         return merge
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(1 << bits, "part").sortWithinPartitions("part")
+        return rows.repartitionById(1 << bits, "part").sortWithinPartitions("part")
 
     def schema(binaries: int) -> str:
         return ", ".join(["part int", *(f"x{i} binary" for i in range(binaries)), "sizes binary"])
