@@ -5,8 +5,9 @@ by a hash of the gram, and the receivers sum them.  A receiver writes its share
 counts, and passes on what the shorter grams had there: the words before the last as context (tokens, successors seen once,
 twice, more often), the words behind the first as successor (tokens, distinct words before).  A further exchange for each
 shorter length sums these into sorted arrays in the same way, down to single words.  Hot words and grams are spread over all
-shards of the longer grams and summed there first, so no exchange gathers the rows of a word.  Only the counts of counts, a row
-a shard and length, reach the driver.
+shards of the longer grams and summed there first, so no exchange gathers the rows of a word.  A shard stands for some
+``SHARD_BYTES`` of text at any size of the corpus; beyond 1 << ``TASK_BITS`` shards a task takes several, one after the other, and
+writes them to one file.  Only the counts of counts, a row a task and length, reach the driver.
 
 Scoring: a worker maps the arrays from the shared folder and looks up sorted queries of a slice of texts at a time:
 p(w | v) = max(a - D(a), 0) / T(v) + g(v) p(w | v without its first word), p(w) = max(b - d(b), 0) / B + g / (V + 1), with v
@@ -23,18 +24,22 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, lowered, mix64, open_store, prefix_hash, publish, shared_folder, slices, span_hash, word_spans
+from .common import documents, id_text, lowered, mix64, open_store, prefix_hash, shared_folder, slices, span_hash, word_spans
 
 ORDER = 2
 FOLDS = 5
 HELD_OUT = 1
 SHARD_BYTES = 16 << 20
-MOST_SHARDS = 4096
+TASK_BITS = 12
+MOST_MAPPED, MOST_READ = 4096, 64
 FLUSH_TOKENS = 2_000_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 FULL = 255
@@ -96,41 +101,81 @@ def shorter(words: list[np.ndarray], value: np.ndarray, c: np.ndarray):
     return summed([np.concatenate(x) for x in zip(context, behind, strict=True)], columns)
 
 
-def write_shard(folder: str, name: str, part: int, keys: np.ndarray, columns: list[tuple[np.ndarray, type]]) -> None:
-    """A sorted array of hashes, then a column for each value; behind a column of bytes the places and values of those from FULL on."""
+class ShardFile:
+    """The shards of a task, one behind the other in a file, each begun at a multiple of 8 bytes: a sorted array of hashes, then a column
+    for each value; behind a column of bytes the places and values of those from FULL on.  At the end the shards' numbers, places
+    and lengths, and how many shards there are.  Written under another name and then moved, as by ``publish``."""
+
+    def __init__(self, folder: str, name: str):
+        self.folder, self.name, self.sink, self.rows = folder, name, None, []
 
-    def write(sink):
-        sink.write(np.ascontiguousarray(keys).tobytes())
+    def add(self, part: int, task: int, keys: np.ndarray, columns: list[tuple[np.ndarray, type]]) -> None:
+        if self.sink is None:
+            self.store, self.path = open_store(f"{self.folder}/{self.name}-{task:05d}")
+            self.store.create_dir(os.path.dirname(self.path), recursive=True)
+            self.draft = f"{self.path}.{uuid.uuid4().hex}.draft"
+            self.sink = self.store.open_output_stream(self.draft)
+        self.rows.append((part, self.sink.tell(), len(keys)))
+        self.sink.write(np.ascontiguousarray(keys).tobytes())
         for values, kind in columns:
-            sink.write(np.minimum(values, np.iinfo(kind).max).astype(kind).tobytes())
+            self.sink.write(np.minimum(values, np.iinfo(kind).max).astype(kind).tobytes())
             if kind is np.uint8:
                 large = np.flatnonzero(values >= FULL)
-                sink.write(np.stack([large, np.minimum(values[large], np.iinfo(np.uint32).max)]).astype(np.uint32).tobytes())
+                self.sink.write(np.stack([large, np.minimum(values[large], np.iinfo(np.uint32).max)]).astype(np.uint32).tobytes())
+        self.sink.write(bytes(-self.sink.tell() % 8))
 
-    publish(f"{folder}/{name}-{part:05d}", write)
+    def close(self) -> None:
+        if self.sink is not None:
+            self.sink.write(np.array([x for row in self.rows for x in row] + [len(self.rows)], dtype=np.int64).tobytes())
+            self.sink.close()
+            self.store.move(self.draft, self.path)
 
 
 class Table:
-    """The shards of sorted hashes of one kind, mapped when first asked for."""
+    """The shards of sorted hashes of one kind, mapped when first asked for.  tasks: the numbers of the files there are."""
 
-    def __init__(self, folder: str, name: str, sizes: dict[int, int], bits: int, columns):
-        self.folder, self.name, self.sizes, self.bits, self.columns = folder, name, sizes, bits, columns
+    def __init__(self, folder: str, name: str, tasks: set[int], bits: int, task_bits: int, columns):
+        self.folder, self.name, self.tasks, self.bits, self.shift, self.columns = folder, name, tasks, bits, bits - task_bits, columns
+        self.files: dict[int, tuple] = {}
         self.open: dict[int, tuple[np.ndarray, list[np.ndarray], np.ndarray]] = {}
 
-    def shard(self, part: int):
-        if part not in self.open:
+    def file(self, task: int):
+        """A file, whether it is mapped, and its shards' numbers, places, lengths and ends."""
+        if task not in self.files:
             from pyarrow import fs
 
-            store, path = open_store(f"{self.folder}/{self.name}-{part:05d}")
-            source = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
-            raw = source.read_buffer(source.size())
-            n, at = self.sizes[part], 8 * self.sizes[part]
-            values = []
-            for _, kind in self.columns:
-                values.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
-                at += n * np.dtype(kind).itemsize
-            self.open[part] = np.frombuffer(raw, dtype=np.uint64, count=n), values, np.frombuffer(raw, dtype=np.uint32, offset=at).reshape(2, -1)
-        return self.open[part]
+            store, path = open_store(f"{self.folder}/{self.name}-{task:05d}")
+            local = isinstance(store, fs.LocalFileSystem)
+            source = pa.memory_map(path) if local else store.open_input_file(path)
+            count = int(np.frombuffer(source.read_at(8, source.size() - 8), dtype=np.int64)[0])
+            foot = source.size() - 8 - 24 * count
+            part, at, n = np.frombuffer(source.read_at(24 * count, foot), dtype=np.int64).reshape(-1, 3).T
+            self.files[task] = source, local, part, at, n, np.append(at[1:], foot)
+        return self.files[task]
+
+    def shard(self, number: int):
+        """A shard's hashes, its columns, and the places and values of its large counts; None where it has no grams."""
+        if number in self.open:
+            return self.open[number]
+        task = number >> self.shift
+        if task not in self.tasks:
+            return None
+        source, local, parts, begins, lengths, ends = self.file(task)
+        k = int(np.searchsorted(parts, number))
+        if k == len(parts) or parts[k] != number:
+            return None
+        while len(self.open) >= (MOST_MAPPED if local else MOST_READ):
+            self.open.pop(next(iter(self.open)))
+        source.seek(int(begins[k]))
+        raw, n = source.read_buffer(int(ends[k] - begins[k])), int(lengths[k])
+        at, values, large = 8 * n, [], np.zeros((2, 0), np.uint32)
+        for _, kind in self.columns:
+            values.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
+            at += n * np.dtype(kind).itemsize
+        if self.columns[-1][1] is np.uint8:
+            large = np.frombuffer(raw, dtype=np.uint32, count=2 * ((raw.size - at) // 8), offset=at).reshape(2, -1)
+        self.open[number] = np.frombuffer(raw, dtype=np.uint64, count=n), values, large
+        return self.open[number]
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """The columns' values for any keys; 0 where a key isn't there."""
@@ -139,9 +184,10 @@ class Table:
         part = (unique >> np.uint64(64 - self.bits)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
         for s, e in zip(at, np.append(at[1:], len(unique)) if len(part) else [], strict=True):
-            if int(part[s]) not in self.sizes:
+            shard = self.shard(int(part[s]))
+            if shard is None:
                 continue
-            known, values, (large, whole) = self.shard(int(part[s]))
+            known, values, (large, whole) = shard
             place = np.minimum(np.searchsorted(known, unique[s:e]), len(known) - 1)
             hit = known[place] == unique[s:e]
             for column, v in zip(out, values, strict=True):
@@ -184,12 +230,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Model:
-    """What scoring needs; small but for the mapped arrays.  sizes: for each length the shards' numbers of grams; totals: for each length
-    the sums of what ``_sizes`` has behind it."""
+    """What scoring needs; small but for the mapped arrays.  tasks: for each length the numbers of the files; totals: for each length
+    the sums of ``Sizes``."""
 
-    def __init__(self, folder: str, bits: int, order: int, sizes: dict[int, dict[int, int]], totals: dict[int, list[int]]):
+    def __init__(self, folder: str, bits: int, task_bits: int, order: int, tasks: dict[int, set[int]], totals: dict[int, list[int]]):
         self.order = order
-        self.tables = {k: Table(folder, f"grams{k}", sizes[k], bits, columns_of(k, order)) for k in sizes}
+        self.tables = {k: Table(folder, f"grams{k}", tasks[k], bits, task_bits, columns_of(k, order)) for k in tasks}
         self.n, self.v, types = totals[1][:3]
         self.types = max(types, 1)
         self.discount = {k: np.array([0.0, *discounts(*x[3:7])]) for k, x in totals.items()}
@@ -216,15 +262,26 @@ class Model:
         return p, known
 
 
-def _sizes(length: int, keys: np.ndarray, c: np.ndarray, value: np.ndarray, part: int, binaries: int) -> pa.RecordBatch:
-    """A row behind the other rows of a shard: length, grams, tokens, distinct tokens, sum of the values, values of 1, 2, 3, 4, above 3."""
-    x = np.array([length, len(keys), c.sum(), (c > 0).sum(), value.sum(), *((value == k).sum() for k in (1, 2, 3, 4)), (value > 3).sum()], dtype=np.int64)
-    cells = [pa.array([part], pa.int32()), *[pa.nulls(1, pa.binary())] * binaries, pa.array([x.tobytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays(cells, names=["part", *(f"x{i}" for i in range(binaries)), "sizes"])
+class Sizes:
+    """What a task's shards of a length sum up to: tokens, distinct tokens, sum of the values, values of 1, 2, 3, 4, above 3."""
+
+    def __init__(self, length: int):
+        self.length, self.part, self.sums = length, None, np.zeros(8, np.int64)
+
+    def add(self, part: int, c: np.ndarray, value: np.ndarray) -> None:
+        self.part = part
+        self.sums += np.array([c.sum(), (c > 0).sum(), value.sum(), *((value == k).sum() for k in (1, 2, 3, 4)), (value > 3).sum()], dtype=np.int64)
+
+    def rows(self, binaries: int):
+        """One row behind the other rows of a task that had shards: the length and the sums."""
+        if self.part is not None:
+            cells = [pa.array([self.part], pa.int32()), *[pa.nulls(1, pa.binary())] * binaries, pa.array([np.append(self.length, self.sums).astype(np.int64).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, names=["part", *(f"x{i}" for i in range(binaries)), "sizes"])
 
 
-def train(texts: DataFrame, bits: int, folder: str, order: int = ORDER) -> Model:
-    """texts: the training texts in column text."""
+def train(texts: DataFrame, bits: int, task_bits: int, folder: str, order: int = ORDER) -> Model:
+    """texts: the training texts in column text.  The grams fall into 1 << bits shards by their hash; each of 1 << task_bits tasks takes
+    neighbouring ones, a shard at a time."""
     shift = np.uint64(64 - bits)
 
     def count(batches):
@@ -259,39 +316,45 @@ def train(texts: DataFrame, bits: int, folder: str, order: int = ORDER) -> Model
         return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=[*out.schema.names, "sizes"])
 
     def sum_grams(batches):
+        file, sizes = ShardFile(folder, f"grams{order}"), Sizes(order)
         for part, (first, lengths, *others, n) in _parts(batches, (np.uint64, np.uint32, *[np.uint64] * (order - 1), np.uint32)):
             keys, words, (n,) = summed([np.repeat(first, lengths), *others], [n.astype(np.uint64)])
-            write_shard(folder, f"grams{order}", part, keys, [(n, np.uint8)])
+            file.add(part, part >> (bits - task_bits), keys, [(n, np.uint8)])
+            sizes.add(part, n, n)
             yield passed_on(words, n, n)
-            yield _sizes(order, keys, n, n, part, order + 5)
+        file.close()
+        yield from sizes.rows(order + 5)
 
     def sum_shorter(length: int):
         binaries = length + 5 if length > 1 else 0
 
         def merge(batches):
-            passed = []
+            passed, file, sizes = [], ShardFile(folder, f"grams{length}"), Sizes(length)
 
             def gram_rows():
                 for batch in batches:
-                    sizes = batch.column(batch.num_columns - 1)
-                    passed.append(batch.filter(sizes.is_valid()).select(["part", "sizes"]))
-                    yield batch.filter(sizes.is_null()).select(range(length + 7))
+                    counted = batch.column(batch.num_columns - 1)
+                    if counted.null_count < len(counted):
+                        passed.append(batch.filter(counted.is_valid()).select(["part", "sizes"]))
+                    yield batch.filter(counted.is_null()).select(range(length + 7))
 
             for part, held in _parts(gram_rows(), (*[np.uint64] * (length + 2), *[np.uint32] * 4)):
                 keys, words, columns = summed(held[:length], [x.astype(np.uint64) for x in held[length:]])
                 named = dict(zip(("t", "c", "n1", "n2", "n3", "b"), columns, strict=True))
-                write_shard(folder, f"grams{length}", part, keys, [(named[x], kind) for x, kind in columns_of(length, order)])
+                file.add(part, part >> (bits - task_bits), keys, [(named[x], kind) for x, kind in columns_of(length, order)])
+                sizes.add(part, named["c"], named["b"])
                 if length > 1:
                     yield passed_on(words, named["b"], named["c"])
-                yield _sizes(length, keys, named["c"], named["b"], part, binaries)
-            for rows in passed:  # what the shards of longer grams counted
+            file.close()
+            yield from sizes.rows(binaries)
+            for rows in passed:  # what the tasks of longer grams counted
                 cells = [rows.column(0), *[pa.nulls(rows.num_rows, pa.binary())] * binaries, rows.column(1)]
                 yield pa.RecordBatch.from_arrays(cells, names=["part", *(f"x{i}" for i in range(binaries)), "sizes"])
 
         return merge
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartitionById(1 << bits, "part").sortWithinPartitions("part")
+        return rows.repartitionById(1 << task_bits, F.shiftright("part", bits - task_bits)).sortWithinPartitions("part")
 
     def schema(binaries: int) -> str:
         return ", ".join(["part int", *(f"x{i} binary" for i in range(binaries)), "sizes binary"])
@@ -300,13 +363,13 @@ def train(texts: DataFrame, bits: int, folder: str, order: int = ORDER) -> Model
     merged = dealt(grams).mapInArrow(sum_grams, schema(order + 5))
     for length in range(order - 1, 0, -1):
         merged = dealt(merged).mapInArrow(sum_shorter(length), schema(length + 5 if length > 1 else 0))
-    sizes = {k: {} for k in range(1, order + 1)}
-    totals = {k: np.zeros(8, np.int64) for k in sizes}
+    tasks = {k: set() for k in range(1, order + 1)}
+    totals = {k: np.zeros(8, np.int64) for k in tasks}
     for part, blob in merged.collect():
-        length, grams_there, *counted = np.frombuffer(blob, dtype=np.int64)
-        sizes[int(length)][part] = int(grams_there)
+        length, *counted = np.frombuffer(blob, dtype=np.int64)
+        tasks[int(length)].add(part >> (bits - task_bits))
         totals[int(length)] += counted
-    return Model(folder, bits, order, sizes, {k: x.tolist() for k, x in totals.items()})
+    return Model(folder, bits, task_bits, order, tasks, {k: x.tolist() for k, x in totals.items()})
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -315,8 +378,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = id_text(docs, id_col, text_col).withColumn("held_out", held)
     training = texts.where("not held_out")
     size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(4, (min(size // SHARD_BYTES, MOST_SHARDS - 1)).bit_length())
-    model = docs.sparkSession.sparkContext.broadcast(train(training, bits, shared_folder(docs.sparkSession, "model"), order))
+    bits = max(4, (size // SHARD_BYTES).bit_length())
+    model = docs.sparkSession.sparkContext.broadcast(train(training, bits, min(bits, TASK_BITS), shared_folder(docs.sparkSession, "model"), order))
 
     def score(batches):
         m = model.value

@@ -139,3 +139,9 @@ def test_scores_of_an_order(tricky, order):
     assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
     for g in list(value[order])[:10]:
         assert sum(p((*g[:-1], *w)) for w in value[1]) + p((*g[:-1], "never seen")) == pytest.approx(1)
+
+
+def test_more_shards_than_tasks(tricky, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 16)
+    monkeypatch.setattr(language_model, "TASK_BITS", 2)
+    same(language_model.score_documents(tricky), pairs(tricky))
