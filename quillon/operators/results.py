@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..schema import KINDS
+from ..functions import words
+from ..schema import KINDS, RERANK_INSTRUCTION
 from .search import ranked
 
 
@@ -71,6 +75,37 @@ def rerank_by_vector(results: DataFrame, vectors: DataFrame, query, k: int = 10,
     return rerank(joined, V.sigmoid(scale * V.dot(F.col("__full"), V.literal(query))), k, least).drop("__full")
 
 
+def judged_parts(found: DataFrame, text: str | None = None, instruction: str | None = None) -> Column | None:
+    """The parts that a judging model reads for each result (its thumbnail), against another text or against what was searched, a
+    text or a picture; None where there is nothing to judge against.  ``found`` is a tagged result set."""
+    none = F.lit(None).cast("string")
+    if (text or "").strip():
+        query = F.lit(text), none, none
+    else:
+        row = found.select("query_type", "query_info").first()
+        if row is None or not row.query_info or row.query_type not in ("text", "image"):
+            return None
+        query = (F.lit(row.query_info), none, none) if row.query_type == "text" else (none, F.lit(row.query_info), none)
+    asked = F.lit(instruction if (instruction or "").strip() else RERANK_INSTRUCTION)
+    return words.rerank_pair(asked, query, (none, F.col("thumbnail_path"), none))
+
+
+def rerank_by_model(found: DataFrame, make: Callable[[], Callable[[list], list[float]]], text: str | None = None, k: int = 10, least: float = 0.0, instruction: str | None = None) -> DataFrame:
+    """Second stage by a judging model, run by the executors: ``make()`` gives a function from lists of parts to scores.  A result set
+    without a text or picture to judge against passes through unchanged."""
+    parts = judged_parts(found, text, instruction)
+    if parts is None:
+        return found
+
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for batch in batches:
+            yield pd.Series([float(x) for x in model([list(p) for p in batch])])
+
+    # not deterministic to the planner, so that a filter on the score doesn't ask the model again
+    return rerank(found, F.pandas_udf(judge, "double").asNondeterministic()(parts), k, least)
+
+
 def paths(results: DataFrame, most: int = 50, with_scores: bool = False) -> DataFrame:
     """One row: the paths in order, comma- and newline-separated."""
     line = F.format_string("%s\t%.4f", "file_path", "score") if with_scores else F.col("file_path")

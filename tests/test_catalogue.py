@@ -16,7 +16,7 @@ from quillon.functions import vectors as V
 from quillon.functions import words
 from quillon.index import VectorIndex, search_indexes
 from quillon.operators import ann, maintain, results, search
-from quillon.schema import pixels
+from quillon.schema import RESULTS, pixels
 from quillon.sources import discover
 from quillon.sources.media import BatchEmbedder, HashingEmbedder, TableEmbedder, decode, write_thumbnails
 from quillon.sources.snapshots import Catalogue
@@ -353,3 +353,28 @@ def test_dense_ids_do_not_depend_on_the_partitions(spark):
     ids = spark.range(0, 1000, 7).select(F.col("id").alias("vector_id"))
     for n in (1, 3, 50):
         assert sorted(map(tuple, maintain.dense_ids(ids, partitions=n).collect())) == [(7 * k, k) for k in range(143)]
+
+
+def test_command_line(spark, library):
+    from quillon.ingest_folder import main
+
+    flags = ["-c", f"{library}/index", "-i", "cli", "-f", f"{library}/lib", "-r"]
+    assert main([*flags, "--no-include-videos", "--no-include-documents"], spark) == {"added": 3, "skipped": 0, "failed": 0}
+    assert main([*flags, "-m", "quillon.sources.media:HashingEmbedder"], spark) == {"added": 2, "skipped": 3, "failed": 0}
+    with pytest.raises(ValueError, match="hashing"):
+        main([*flags, "-m", "nothing"], spark)
+
+
+def test_rerank_by_model(spark):
+    found = spark.createDataFrame([(f"/p/{k}.jpg", f"t{k}.jpg", 1.0 - k / 10, k, "image", None, k + 1) for k in range(4)], RESULTS)
+    make = lambda: lambda pairs: [len(p) + int(p[-1]["value"][-5]) / 10 for p in pairs]
+    text = results.tagged(found, "text", "red")
+    got = results.rerank_by_model(text, make, k=3).orderBy("rank").collect()
+    assert [(r.vector_id, r["rank"]) for r in got] == [(3, 1), (2, 2), (1, 3)] and got[0].score == pytest.approx(5.3)
+    parts = found.select(results.judged_parts(results.tagged(found, "image", "/q.png"), instruction=" ").alias("parts")).first().parts
+    assert [(p["type"], p["value"]) for p in parts] == [
+        ("text", "<Instruct>: Retrieve images relevant to the query."), ("text", "<Query>:"), ("image", "file:///q.png"), ("text", "\n<Document>:"), ("image", "file://t0.jpg")
+    ]
+    assert results.judged_parts(results.tagged(found, "video", "/v.mp4")) is None
+    assert results.rerank_by_model(results.tagged(found, "combined", "a + b"), make).count() == 4
+    assert results.rerank_by_model(results.tagged(found.limit(0), "text", "red"), make).count() == 0
