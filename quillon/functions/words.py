@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +72,13 @@ def hashed_text(texts: DataFrame, id_col: str, text_col: str = "text", dims: int
     return counts.join(sizes, id_col).select(id_col, "bucket", (F.col("n") / F.col("size")).alias("weight"))
 
 
-def hashed_vectors(texts: DataFrame, id_col: str, text_col: str = "text", dims: int = 64, kind: str = "float") -> DataFrame:
-    """id, embedding: the same as dense arrays of float or double."""
-    sparse = hashed_text(texts, id_col, text_col, dims).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)).cast(kind))
-    return sparse.select(id_col, dense.alias("embedding"))
+def hashed_vectors(texts: DataFrame, id_col: str, text_col: str = "text", dims: int = 64, kind: str = "float", keep: Sequence[str] = ()) -> DataFrame:
+    """id, embedding: the same as dense arrays of float or double.  Columns to keep go along, those of one row for each id."""
+    kept = F.struct(F.lit(0).alias("__"), *keep).alias("kept")
+    each = texts.select(F.col(id_col), kept, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
+    words = each.groupBy(id_col, "word").agg(F.count("*").alias("m"), F.first("kept").alias("kept"))  # a word is hashed once a text
+    bucket = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dims).cast("int")
+    counts = words.groupBy(id_col, bucket.alias("bucket")).agg(F.sum("m").alias("n"), F.first("kept").alias("kept"))
+    rows = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"), F.first("kept").alias("kept"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)) / F.col("size")).cast(kind))
+    return rows.select(id_col, dense.alias("embedding"), *[F.col("kept").getField(c).alias(c) for c in keep])

@@ -1,8 +1,8 @@
 """Approximate search: inverted lists, sign hashes, product quantisation.
 
-Training uses at most ``TRAINING_SAMPLE`` vectors and ``SAMPLE_BYTES`` of them on the driver; every row is indexed.  How much a
-query reads (lists, flipped signs, candidates) is fitted on the sample: the least that finds ``RECALL`` of the exact answers of
-``ASKED`` sample vectors.  Assigning rows is a matrix product a batch.  The assigned tables are made to be stored partitioned or
+Training uses at most ``TRAINING_SAMPLE`` vectors (``ROWS_PER_CENTER`` for each of many lists) and ``SAMPLE_BYTES`` of them on the
+driver; every row is indexed.  How much a query reads (lists, flipped signs, candidates) is fitted on the sample: the least that finds
+``RECALL`` of the exact answers of ``ASKED`` sample vectors.  Assigning rows is a matrix product a batch.  The assigned tables are made to be stored partitioned or
 sorted by list or bucket, so that a query's filter prunes the scan to the ones it probes.
 """
 
@@ -19,16 +19,23 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schema import TOP_K, TRAINING_SAMPLE
-from .search import flat_topk, ranked
+from .search import BLOCK_BYTES, Best, best_of, flat_topk, meet, part_rows, ranked
 
 SAMPLE_BYTES = 64 << 20
 RECALL = 0.95
 ASKED = 200
+LEAST_LISTS, FLAT_LISTS, ROWS_PER_CENTER, CELL_ROWS = 100, 1024, 40, 20_000
+DRIFT, GROWTH = 1.1, 4.0
 
 
 def sampled(vectors: DataFrame, most: int = TRAINING_SAMPLE) -> DataFrame:
-    """The rows whose hashed ids come first: the same on every run."""
-    return vectors.where("embedding is not null").orderBy(F.xxhash64("vector_id"), "vector_id").limit(most)
+    """The rows whose hashed ids come first: the same on every run.  They are first cut by a hash threshold from the count, so that
+    partitions send about as many rows as are wanted in all."""
+    rows = vectors.where("embedding is not null")
+    n, order = rows.count(), F.xxhash64("vector_id")
+    if n > most:
+        rows = rows.where(order <= -(1 << 63) + int(min(1.0, (1.25 * most + 1000) / n) * ((1 << 64) - 1)))
+    return rows.orderBy(order, "vector_id").limit(most)
 
 
 def sample_matrix(vectors: DataFrame, most: int = TRAINING_SAMPLE) -> np.ndarray:
@@ -44,11 +51,67 @@ def least_training(nlist: int) -> int:
     return max(10 * nlist, 1000)
 
 
-def centroids(vectors: DataFrame, k: int, seed: int = 17) -> np.ndarray:
+def lists_for(rows: int) -> int:
+    """How many inverted lists: the square root of the rows, a hundred at least."""
+    return max(LEAST_LISTS, int(np.sqrt(rows)))
+
+
+def drifted(notes: dict, stats: list[dict], fixed_lists: bool = False) -> bool:
+    """Whether centres should be trained again: the rows now lie further from their centres (1 - cosine, over all segments) than DRIFT
+    times what they did in training, or, unless the number of lists is set, there are GROWTH times as many."""
+    rows = sum(s["rows"] for s in stats)
+    loss = sum(s["rows"] * (s["loss"] or 0.0) for s in stats) / max(rows, 1)
+    return loss > DRIFT * notes["loss"] + 1e-6 or (not fixed_lists and rows > GROWTH * notes["rows"])
+
+
+def unit(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+
+def spherical(points: np.ndarray, k: int, seed: int = 17, steps: int = 12) -> np.ndarray:
+    """k-means by direction, for the few points of one cell."""
+    points = unit(points)
+    centers = points[np.random.default_rng(seed).choice(len(points), min(k, len(points)), replace=False)]
+    for _ in range(steps):
+        own = np.argmax(points @ centers.T, axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, own, points)
+        used = np.bincount(own, minlength=len(centers)) > 0
+        centers[used] = unit(sums[used])
+    return centers
+
+
+def k_means(vectors: DataFrame, k: int, seed: int = 17) -> np.ndarray:
     points = sampled(vectors).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     return np.array(KMeans(k=k, seed=seed, maxIter=15, distanceMeasure="cosine").fit(points).clusterCenters())
 
 
+def centroids(vectors: DataFrame, k: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray | None]:
+    """The centres, and for each the coarse centre it lies under where there are over FLAT_LISTS.
+
+    Then coarse centres are trained first, a square root of as many, and every cell of theirs is divided, by a bounded sample of its
+    own, into a number of centres that follows its share of the rows: where most rows are, most lists are."""
+    if k <= FLAT_LISTS:
+        return k_means(vectors, k, seed), None
+    coarse = Ivf(k_means(vectors, int(np.ceil(np.sqrt(k))), seed))
+    points = coarse.assign(sampled(vectors, ROWS_PER_CENTER * k))
+    counts = {r.list_id: r["count"] for r in points.groupBy("list_id").count().collect()}
+    total = sum(counts.values())
+    share = F.create_map(*[F.lit(x) for i, n in counts.items() for x in (i, min(1.0, CELL_ROWS / n))])
+    few = points.where(F.pmod(F.xxhash64("vector_id", F.lit(1)), F.lit(1 << 20)) < F.try_element_at(share, F.col("list_id")) * (1 << 20))
+
+    def divide(cell: pa.Table) -> pa.Table:
+        own = cell["list_id"][0].as_py()
+        column = cell["embedding"].combine_chunks()
+        matrix = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+        found = spherical(matrix, max(1, round(k * counts[own] / total)), seed)
+        return pa.table({"owner": pa.array([own] * len(found), pa.int32()), "center": pa.array(found.tolist(), pa.list_(pa.float64()))})
+
+    rows = few.groupBy("list_id").applyInArrow(divide, "owner int, center array<double>").collect()
+    rows.sort(key=lambda r: (r.owner, r.center))
+    return np.array([r.center for r in rows]), np.array([coarse.centers[r.owner] for r in rows])
+
+
 def least_effort(sample: np.ndarray, efforts: Sequence[int], candidates: Callable[[np.ndarray, int], np.ndarray], k: int = TOP_K) -> int:
     """The least of the efforts (ascending) whose candidates (a boolean over the sample) hold RECALL of the exact best k."""
     asked = sample[:: max(1, len(sample) // ASKED)]
@@ -76,34 +139,72 @@ def by_batch(vectors: DataFrame, columns: str, work: Callable[[np.ndarray], list
 
 
 class Ivf:
-    """Inverted lists: a vector belongs to the list of its nearest centre; a query reads the ``nprobe`` nearest lists."""
+    """Inverted lists: a vector belongs to the list of its nearest centre; a query reads the ``nprobe`` nearest lists.
+
+    With ``above`` (each centre's coarse centre) a vector looks for the nearest coarse centre first, then among those below it."""
 
-    def __init__(self, centers: np.ndarray, nprobe: int = 10):
-        self.centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
-        self.nprobe = nprobe
+    def __init__(self, centers: np.ndarray, nprobe: int = 10, above: np.ndarray | None = None, scale: np.ndarray | None = None, loss: float = 0.0):
+        self.centers, self.nprobe, self.loss = unit(centers), nprobe, loss
+        self.scale = np.ones(len(centers)) if scale is None else scale
+        self.coarse, self.owner = (None, None) if above is None else np.unique(unit(above), axis=0, return_inverse=True)
 
     @classmethod
-    def train(cls, vectors: DataFrame, nlist: int = 100) -> Ivf:
-        made, sample = cls(centroids(vectors, nlist)), sample_matrix(vectors)
-        lists = made.lists(sample) if len(sample) else np.zeros(0, int)
-        made.nprobe = least_effort(sample, range(1, len(made.centers) + 1), lambda q, n: np.isin(lists, made.probes(q, n)))
+    def train(cls, vectors: DataFrame, nlist: int = LEAST_LISTS) -> Ivf:
+        """Also fits how many lists a query reads, where the rows of a list lie on average, and how far rows are from their centres."""
+        centers, above = centroids(vectors, nlist)
+        made, sample = cls(centers, above=above), sample_matrix(vectors)
+        if len(sample):
+            lists = made.lists(sample)
+            along = (sample * made.centers[lists]).sum(1)
+            sizes = np.bincount(lists, minlength=len(made.centers))
+            made.scale = np.where(sizes > 0, np.bincount(lists, along, len(made.centers)) / np.maximum(sizes, 1), 1.0)
+            made.loss = float(np.mean(1 - along / np.maximum(np.linalg.norm(sample, axis=1), 1e-12)))
+            made.nprobe = least_effort(sample, range(1, len(made.centers) + 1), lambda q, n: np.isin(lists, made.probes(q, n)))
         return made
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """list_id, center, nprobe: what ``load`` reads."""
-        return spark.createDataFrame([(i, c.tolist(), self.nprobe) for i, c in enumerate(self.centers)], "list_id int, center array<double>, nprobe int")
+        """list_id, center, nprobe and more: what ``load`` reads."""
+        above = [None] * len(self.centers) if self.coarse is None else self.coarse[self.owner].tolist()
+        rows = [(i, c.tolist(), self.nprobe, a, float(s), self.loss) for i, (c, a, s) in enumerate(zip(self.centers, above, self.scale, strict=True))]
+        return spark.createDataFrame(rows, "list_id int, center array<double>, nprobe int, above array<double>, scale double, loss double")
 
     @classmethod
     def load(cls, table: DataFrame) -> Ivf:
         rows = table.orderBy("list_id").collect()
-        return cls(np.array([r.center for r in rows]), rows[0].nprobe)
+        above = None if rows[0].above is None else np.array([r.above for r in rows])
+        return cls(np.array([r.center for r in rows]), rows[0].nprobe, above, np.array([r.scale for r in rows]), rows[0].loss)
 
     def lists(self, matrix: np.ndarray) -> np.ndarray:
-        return np.argmax(matrix @ self.centers.T, axis=1)
+        if self.coarse is None:
+            return np.argmax(matrix @ self.centers.T, axis=1)
+        first, out = np.argmax(matrix @ self.coarse.T, axis=1), np.zeros(len(matrix), dtype=np.int64)
+        for cell in np.unique(first):
+            rows, own = np.flatnonzero(first == cell), np.flatnonzero(self.owner == cell)
+            out[rows] = own[np.argmax(matrix[rows] @ self.centers[own].T, axis=1)]
+        return out
+
+    def measured(self, vectors: DataFrame) -> DataFrame:
+        """Adds list_id and __loss, one less the cosine with the centre."""
+
+        def work(m: np.ndarray) -> list[pa.Array]:
+            lists = self.lists(m)
+            loss = 1 - (m * self.centers[lists]).sum(1) / np.maximum(np.linalg.norm(m, axis=1), 1e-12)
+            return [pa.array(lists.astype(np.int32)), pa.array(loss)]
+
+        return by_batch(vectors, "list_id int, __loss double", work)
 
     def assign(self, vectors: DataFrame) -> DataFrame:
         """Adds list_id."""
-        return by_batch(vectors, "list_id int", lambda m: [pa.array(self.lists(m).astype(np.int32))])
+        return self.measured(vectors).drop("__loss")
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Assigned rows by list, to be written: a list is one task's or, where it is large, cut into as many as its bytes ask for."""
+        rows = rows.hint("rebalance", "list_id")
+        return rows if self.folders() else rows.sortWithinPartitions("list_id")
+
+    def folders(self) -> list[str]:
+        """A folder for each list, up to FLAT_LISTS of them; beyond, files are sorted by list and pruned by their statistics."""
+        return ["list_id"] if len(self.centers) <= FLAT_LISTS else []
 
     def probes(self, query: Sequence[float], nprobe: int) -> list[int]:
         return np.argsort(-(self.centers @ np.asarray(query, dtype=float)), kind="stable")[:nprobe].tolist()
@@ -111,6 +212,30 @@ class Ivf:
     def search(self, assigned: DataFrame, query: Sequence[float], k: int = TOP_K, nprobe: int | None = None) -> DataFrame:
         return flat_topk(assigned.where(F.col("list_id").isin(self.probes(query, nprobe or self.nprobe))), query, k)
 
+    def routed(self, assigned: DataFrame, queries: DataFrame, k: int = TOP_K, nprobe: int | None = None) -> DataFrame:
+        """query_id, vector_id, score, rank for every row of queries (query_id, embedding): a query goes to the lists that it probes
+        and meets no others, so vectors are exchanged once (a list's only if it is probed) and a query ``nprobe`` times, once for every part of a list.
+
+        Lists are cut into parts of a bounded number of bytes, and the queries of a list into blocks; how many, the lists' counts say."""
+        centers, most = self.centers, nprobe or self.nprobe
+
+        def probe(matrix: np.ndarray) -> list[pa.Array]:
+            best = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :most]
+            return [pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))]
+
+        asked = by_batch(queries.select(F.col("query_id").alias("vector_id"), "embedding"), "lists array<int>", probe)
+        asked = asked.select(F.col("vector_id").alias("query_id"), "embedding", F.explode("lists").alias("list_id"))
+        kept = assigned.where("embedding is not null").select("vector_id", "embedding", "list_id")
+        per_part = part_rows(len(centers[0]))
+        cells = kept.groupBy("list_id").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
+        blocks = asked.groupBy("list_id").agg(F.ceil(F.count("*") / max(1, BLOCK_BYTES // (8 * len(centers[0])))).cast("int").alias("blocks"))
+        shape = cells.join(blocks, "list_id")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        q = asked.join(shape, "list_id").withColumn("block", own("query_id", "blocks")).withColumn("part", each("parts"))
+        v = kept.join(shape, "list_id").withColumn("part", own("vector_id", "parts")).withColumn("block", each("blocks"))
+        return best_of(meet(q.groupBy("list_id", "part", "block"), v.groupBy("list_id", "part", "block"), lambda ids, matrix: Best(ids, matrix, k)), k)
+
 
 class SignHashes:
     """Buckets of the signs of random projections, several tables; a query also probes buckets at one flipped sign."""
@@ -163,25 +288,30 @@ class SignHashes:
 
 class Pq:
     """Product quantisation: each stretch of dimensions becomes the number of its nearest centre; a query looks its inner
-    products with the centres up in a table.  ``refine`` times k candidates get their exact scores.  With ``lists`` the codes are
-    kept by inverted list and a query reads the nearest lists alone."""
+    products with the centres up in a table.  ``refine`` times k candidates get their exact scores.
+
+    With ``lists`` the codes are kept by inverted list and a query reads the nearest lists alone.  What is coded then is the difference
+    from where the rows of the list lie on average; the list is one more code, whose table holds the query's inner products with
+    these places."""
 
     def __init__(self, books: list[np.ndarray], lists: Ivf | None = None, refine: int = 10):
         self.books, self.lists, self.refine = books, lists, refine
 
     @classmethod
-    def train(cls, vectors: DataFrame, m: int = 8, bits: int = 8, nlist: int = 0) -> Pq:
+    def train(cls, vectors: DataFrame, m: int = 8, bits: int = 8, nlist: int = 0, lists: Ivf | None = None) -> Pq:
         sample = sample_matrix(vectors, min(TRAINING_SAMPLE, 200 << bits))
-        rng, books = np.random.default_rng(3), []
-        for part in np.split(sample[: 50 << bits], m, axis=1):
+        if sample.shape[1] % m:
+            raise ValueError(f"{sample.shape[1]} dimensions don't divide into {m} codes")
+        lists = lists or (Ivf.train(vectors, nlist) if nlist else None)
+        made, rng = cls([], lists), np.random.default_rng(3)
+        for part in np.split(made.rest(sample[: 50 << bits])[0], m, axis=1):
             centers = part[rng.choice(len(part), min(1 << bits, len(part)), replace=False)]
             for _ in range(10):
                 own = np.argmin(((part**2).sum(1)[:, None] - 2 * part @ centers.T + (centers**2).sum(1)), axis=1)
                 for c in range(len(centers)):
                     if (own == c).any():
                         centers[c] = part[own == c].mean(0)
-            books.append(centers)
-        made = cls(books, Ivf.train(vectors, nlist) if nlist else None)
+            made.books.append(centers)
         codes, k = made.codes(sample), min(20, max(1, len(sample) // 10))
 
         def kept(q: np.ndarray, refine: int) -> np.ndarray:
@@ -198,25 +328,40 @@ class Pq:
         return spark.createDataFrame([(p, c, row.tolist(), self.refine) for p, book in enumerate(self.books) for c, row in enumerate(book)], "part int, code int, center array<double>, refine int")
 
     @classmethod
-    def load(cls, table: DataFrame, lists: DataFrame | None = None) -> Pq:
+    def load(cls, table: DataFrame, lists: DataFrame | Ivf | None = None) -> Pq:
         rows = table.orderBy("part", "code").collect()
         books = [np.array([r.center for r in rows if r.part == p]) for p in range(rows[-1].part + 1)]
-        return cls(books, Ivf.load(lists) if lists is not None else None, rows[0].refine)
+        return cls(books, Ivf.load(lists) if isinstance(lists, DataFrame) else lists, rows[0].refine)
+
+    def places(self) -> np.ndarray:
+        return self.lists.centers * self.lists.scale[:, None]
+
+    def rest(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """What is coded, and the rows' lists."""
+        if self.lists is None:
+            return matrix, None
+        own = self.lists.lists(matrix)
+        return matrix - self.places()[own], own
 
     def codes(self, matrix: np.ndarray) -> np.ndarray:
+        rest, own = self.rest(matrix)
         width = self.books[0].shape[1]
-        return np.stack([np.argmin((b**2).sum(1) - 2 * matrix[:, i * width : (i + 1) * width] @ b.T, axis=1) for i, b in enumerate(self.books)], axis=1)
+        out = [np.argmin((b**2).sum(1) - 2 * rest[:, i * width : (i + 1) * width] @ b.T, axis=1) for i, b in enumerate(self.books)]
+        return np.stack(out if own is None else [*out, own], axis=1)
 
     def tables(self, query: Sequence[float]) -> list[np.ndarray]:
-        q = np.asarray(query, dtype=float).reshape(len(self.books), -1)
-        return [b @ part for b, part in zip(self.books, q, strict=True)]
+        """Inner products with the centres of each stretch and, last, with the places of the lists."""
+        q = np.asarray(query, dtype=float)
+        out = [b @ part for b, part in zip(self.books, q.reshape(len(self.books), -1), strict=True)]
+        return out if self.lists is None else [*out, self.places() @ q]
 
     def encode(self, vectors: DataFrame) -> DataFrame:
         """Adds codes (array<int>) and, with lists, list_id."""
 
         def work(m: np.ndarray) -> list[pa.Array]:
-            own = [pa.array(list(self.codes(m).astype(np.int32)), pa.list_(pa.int32()))]
-            return own if self.lists is None else [*own, pa.array(self.lists.lists(m).astype(np.int32))]
+            codes = self.codes(m).astype(np.int32)
+            own = [pa.array(list(codes), pa.list_(pa.int32()))]
+            return own if self.lists is None else [*own, pa.array(np.ascontiguousarray(codes[:, -1]))]
 
         return by_batch(vectors, "codes array<int>" + ("" if self.lists is None else ", list_id int"), work)
 

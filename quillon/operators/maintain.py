@@ -58,10 +58,16 @@ def validation(records: DataFrame, files: DataFrame, thumbnails: DataFrame) -> D
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])
 
 
+def flagged(files: DataFrame, records: DataFrame) -> DataFrame:
+    """files (path, mtime, size and others) with changed: new, or not as recorded."""
+    known = records.select(F.col("file_path").alias("path"), F.col("file_mtime").alias("__mtime"), F.col("file_size").alias("__size"), F.lit(True).alias("__known"))
+    same = F.col("__known").isNotNull() & F.col("mtime").eqNullSafe(F.col("__mtime")) & F.col("size").eqNullSafe(F.col("__size"))
+    return files.join(known, "path", "left").withColumn("changed", ~same).drop("__mtime", "__size", "__known")
+
+
 def ingest_counters(files: DataFrame, records: DataFrame) -> DataFrame:
-    """files (path, mtime, size, kind): found, changed and skipped of each kind."""
-    todo = needs_update(files, records).groupBy("kind").agg(F.count("*").alias("changed"))
-    both = files.groupBy("kind").agg(F.count("*").alias("found")).join(todo, "kind", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
+    """files (path, mtime, size, kind): found, changed and skipped of each kind, in one pass."""
+    both = flagged(files, records).groupBy("kind").agg(F.count("*").alias("found"), F.count_if("changed").alias("changed"))
     return both.select("kind", "found", "changed", (F.col("found") - F.col("changed")).alias("skipped"))
 
 
@@ -101,8 +107,13 @@ def compact(records: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFram
     return remap(records), remap(vectors), ids
 
 
+def last_of_path(rows: DataFrame, place: str, path: str = "file_path") -> DataFrame:
+    """Of the rows of one path the one with the greatest place, as if each had replaced the one before it."""
+    return rows.withColumn("__last", F.row_number().over(Window.partitionBy(path).orderBy(F.desc(place)))).where("__last = 1").drop("__last", place)
+
+
 def append_vectors(vectors: DataFrame, new: DataFrame, order: str = "file_path") -> DataFrame:
-    """new with vector_id: the numbers after the greatest one so far, in the order of the paths."""
+    """new with vector_id: the numbers after the greatest one so far, in the order of the paths, of which each is there once."""
     top = vectors.agg(F.coalesce(F.max("vector_id"), F.lit(-1)).alias("m")).first().m
     ids = dense_ids(new, order, top + 1).select(F.col("old").alias(order), F.col("new").alias("vector_id"))
     return new.drop("vector_id").join(ids, order)

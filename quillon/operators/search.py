@@ -3,7 +3,8 @@
 One query is a literal array: the scan scores every row and keeps its best k before anything is exchanged.  Many queries
 are worked through in matrix products of bounded size; a task sends its best k for a query.  Query sets up to ``BLOCK_BYTES`` go
 out with the tasks, so the vectors stay where they are; larger ones are cut into blocks and the vectors into parts, both in
-Spark, and every pair of a block and a part is one bounded group.
+Spark and by bytes, and every pair of a block and a part is one bounded group.  That reads every vector for every query, as exact search
+must; ``ann.Ivf.routed`` sends queries to the lists they probe instead.
 
 A row without a vector (null) is never a hit, and a query without one has none.
 """
@@ -22,7 +23,7 @@ from ..functions import vectors as V
 from ..schema import MOST_K, TOP_K
 
 BLOCK_BYTES = 8 << 20
-PART_ROWS = 100_000
+PART_ROWS, PART_BYTES = 100_000, 64 << 20
 STEP_CELLS = 4_000_000
 
 
@@ -51,9 +52,18 @@ def stored_vector(vectors: DataFrame, vector_id: int) -> list[float]:
     return list(row.embedding)
 
 
+def part_rows(dims: int) -> int:
+    """How many vectors meet a block of queries in one group: PART_BYTES of floats at most."""
+    return max(1, min(PART_ROWS, PART_BYTES // (4 * max(dims, 1))))
+
+
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, vector_id, score, rank for every row of queries (query_id, embedding)."""
-    found = _in_blocks(vectors, queries, lambda ids, matrix: _Best(ids, matrix, k))
+    return best_of(_in_blocks(vectors, queries, lambda ids, matrix: Best(ids, matrix, k)), k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The best k of each query's pairs, with their rank."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -82,18 +92,28 @@ def _in_blocks(vectors: DataFrame, queries: DataFrame, make) -> DataFrame:
             yield from held.end()
 
         return vectors.mapInArrow(local, SCORED)
-    blocks, parts = math.ceil(count * dims * 8 / BLOCK_BYTES), math.ceil(vectors.count() / PART_ROWS)
+    blocks, parts = math.ceil(count * dims * 8 / BLOCK_BYTES), math.ceil(vectors.count() / part_rows(dims))
 
     def cells(rows: DataFrame, id_col: str, own: str, others: str, n_own: int, n_others: int) -> DataFrame:
         placed = rows.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n_own)).cast("int"))
         return placed.withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)))).groupBy("block", "part")
 
+    return meet(cells(asked, "query_id", "block", "part", blocks, max(parts, 1)), cells(vectors, "vector_id", "part", "block", max(parts, 1), blocks), make)
+
+
+def meet(queries, vectors, make) -> DataFrame:
+    """Pairs of what two grouped tables (query_id, embedding; vector_id, embedding) hold under the same key; see ``_in_blocks``."""
+
     def one(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not queries.num_rows or not vectors.num_rows:
+            return pa.Table.from_batches([], schema=_PAIR)
         held = make(*_matrix(queries.select(["query_id", "embedding"]).combine_chunks()))
-        out = [*held.add(*_matrix(vectors.select(["vector_id", "embedding"]).combine_chunks())), *held.end()] if queries.num_rows and vectors.num_rows else []
-        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("vector_id", pa.int64()), ("score", pa.float64())]))
+        return pa.Table.from_batches([*held.add(*_matrix(vectors.select(["vector_id", "embedding"]).combine_chunks())), *held.end()], schema=_PAIR)
 
-    return cells(asked, "query_id", "block", "part", blocks, max(parts, 1)).cogroup(cells(vectors, "vector_id", "part", "block", max(parts, 1), blocks)).applyInArrow(one, SCORED)
+    return queries.cogroup(vectors).applyInArrow(one, SCORED)
+
+
+_PAIR = pa.schema([("query_id", pa.int64()), ("vector_id", pa.int64()), ("score", pa.float64())])
 
 
 def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +127,7 @@ def _pairs(query_ids: np.ndarray, vector_ids: np.ndarray, scores: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(vector_ids), pa.array(scores)], names=["query_id", "vector_id", "score"])
 
 
-class _Best:
+class Best:
     """The best k of each query over all that is added: a score matrix of ``STEP_CELLS`` at most beside the k held."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
@@ -135,6 +155,9 @@ class _Best:
             yield _pairs(np.repeat(self.ids, self.id.shape[1]), self.id.ravel(), self.score.ravel())
 
 
+_Best = Best
+
+
 class _Near:
     """All pairs at or above the least score."""
 
@@ -179,6 +202,31 @@ def exclude(vectors: DataFrame, query: Sequence[float], negatives: Sequence[Sequ
     return ranked(candidates.where(~bad).select("vector_id", "score"), k)
 
 
+def exclude_batch(vectors: DataFrame, queries: DataFrame, negatives: DataFrame, threshold: float = 0.3, k: int = TOP_K) -> DataFrame:
+    """query_id, vector_id, score, rank: as ``exclude`` for every row of queries (query_id, embedding), each with the negatives of its own in
+    a table (query_id, embedding), any number of them.
+
+    An anti join by inner products: a query's candidates meet its negatives in matrix products, a block of negatives at a time, and
+    those that any block finds near go."""
+    candidates = batch_topk(vectors, queries, min(3 * k, MOST_K)).drop("rank")
+    held = vectors.where("embedding is not null").select("vector_id", "embedding").join(candidates.select("query_id", "vector_id"), "vector_id")
+    unwanted = negatives.where("embedding is not null").select("query_id", "embedding").distinct()
+    dims = F.greatest(F.max(F.size("embedding")), F.lit(1))
+    blocks = unwanted.groupBy("query_id").agg(F.ceil(F.count("*") * dims * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = unwanted.join(blocks, "query_id").withColumn("block", F.pmod(F.xxhash64("embedding"), F.col("blocks")).cast("int"))
+    met = held.join(blocks, "query_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def near(key, unwanted: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        if unwanted.num_rows and held.num_rows:
+            (_, bad), (ids, rows) = _matrix(unwanted.select(["query_id", "embedding"]).combine_chunks()), _matrix(held.select(["vector_id", "embedding"]).combine_chunks())
+            out = ids[((bad.astype(np.float64) @ rows.astype(np.float64).T) >= threshold).any(axis=0)]
+        return pa.table({"query_id": pa.array([key[0].as_py()] * len(out), pa.int64()), "vector_id": pa.array(out, pa.int64())})
+
+    gone = dealt.groupBy("query_id", "block").cogroup(met.groupBy("query_id", "block")).applyInArrow(near, "query_id long, vector_id long")
+    return best_of(candidates.join(gone.distinct(), ["query_id", "vector_id"], "left_anti"), k)
+
+
 def merge_indexes(results: Sequence[DataFrame], k: int = TOP_K, normalise: bool = True) -> DataFrame:
     """Result sets (file_path, score, others) of several indexes: scores scaled to 0..1 within each, the higher one kept
     for a path (the earlier set on ties), the best k."""

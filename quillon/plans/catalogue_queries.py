@@ -16,6 +16,7 @@ from ..functions import sampling as S
 from ..functions import vectors as V
 from ..functions import words
 from ..operators import ann, maintain, results, search
+from ..sources.scratch import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -484,8 +485,7 @@ def built(spark, sf_dir, name: str, train, assign, load, order: str):
     Returns the model and the assigned rows, sorted by what queries filter on, so that a scan skips what it doesn't probe."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        folder = f"{root.rstrip('/')}/indexes-{key[0]}/{name}-{zlib.crc32(sf_dir.encode())}"
+        folder = f"{shared_root(spark)}/indexes-{key[0]}/{name}-{zlib.crc32(sf_dir.encode())}"
         v = embeddings(spark, sf_dir)
         train(v).table(spark).write.mode("overwrite").parquet(f"{folder}/model")
         model = load(spark.read.parquet(f"{folder}/model"))

@@ -22,7 +22,7 @@ VIDEO_FPS, VIDEO_MOST_FRAMES, VIDEO_LEAST_FRAMES, FRAME_PIXELS = 2.0, 120, 4, 51
 MOST_PAGES = 100
 TRAINING_SAMPLE = 100_000
 KINDS = {"images": ["image"], "videos": ["video"], "documents": ["document"], "media": ["image", "video"], "all": ["image", "video", "document"]}
-INDEX_TYPES = {"flat": "flat", "ivf_flat": "ivf_flat", "ivf": "ivf_flat", "hnsw": "hnsw", "lsh": "hnsw", "ivf_pq": "ivf_pq", "pq": "ivf_pq"}
+INDEX_TYPES = {"flat": "flat", "ivf_flat": "ivf_flat", "ivf": "ivf_flat", "hnsw": "hnsw", "lsh": "hnsw", "ivf_pq": "ivf_pq", "pq": "ivf_pq", "graph": "graph"}
 RERANK_INSTRUCTION = "Retrieve images relevant to the query."
 SIDES = [128, 256, 384, 478, 512, 768, 1024, 1280, 1536]
 

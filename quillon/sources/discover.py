@@ -46,11 +46,24 @@ def missing_thumbnails(records: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def delete_files(spark: SparkSession, folder: str, names: DataFrame) -> int:
-    """Delete files (name) of one folder, a bounded number at a time; returns how many went."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(P.trimmed(folder))
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return sum(bool(store.delete(make(root, r.name), False)) for r in names.select("name").distinct().toLocalIterator())
+    """Delete files (name) of one folder, in tasks, on any store that pyarrow opens; returns how many went.  A file that a repeated
+    task finds gone already doesn't count."""
+    root = P.trimmed(folder)
+
+    def drop(batches):
+        from pyarrow import fs
+
+        store, top = (fs.LocalFileSystem(), root.removeprefix("file://")) if "://" not in root or root.startswith("file:") else fs.FileSystem.from_uri(root)
+        for batch in batches:
+            gone = []
+            for name in batch["name"]:
+                path = f"{top}/{name.rsplit('/', 1)[-1]}"
+                if store.get_file_info(path).type == fs.FileType.File:
+                    store.delete_file(path)
+                    gone.append(name)
+            yield batch[batch["name"].isin(gone)]
+
+    return names.where("name is not null").select("name").distinct().mapInPandas(drop, "name string").count()
 
 
 def load_files(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:

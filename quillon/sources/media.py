@@ -5,12 +5,13 @@ No decoder or model is bundled.  A decoder turns (path, content) into rows; an e
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import sampling as S
 from ..functions import words
@@ -18,14 +19,25 @@ from ..schema import MOST_PAGES
 
 
 class Embedder(Protocol):
+    """One that can carry columns along has ``embed_rows`` too; see the function of that name."""
+
     dims: int
 
     def embed(self, items: DataFrame) -> DataFrame:
         """items (item, text or content columns) to item, embedding."""
 
 
+def embed_rows(embedder: Embedder, items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """item, embedding and the columns to keep: a row for each row of items that gets a vector.  With an embedder that carries
+    columns, items (and what decodes them) are read once; else each item is embedded once and its rows are joined to that."""
+    keep = [c for c in keep if c not in ("item", "embedding")]
+    if hasattr(embedder, "embed_rows"):
+        return embedder.embed_rows(items, keep)
+    return items.select("item", *keep).join(embedder.embed(items.dropDuplicates(["item"])).select("item", "embedding"), "item")
+
+
 class HashingEmbedder:
-    """Word counts by hash bucket: a text embedder in built-in functions alone."""
+    """Word counts by hash bucket: a text embedder in built-in functions alone.  A text without words gets no vector."""
 
     def __init__(self, dims: int = 64):
         self.dims = dims
@@ -33,6 +45,10 @@ class HashingEmbedder:
     def embed(self, items: DataFrame) -> DataFrame:
         return words.hashed_vectors(items, "item", "text", self.dims)
 
+    def embed_rows(self, items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        rows = items.select("item", *keep, F.col("text").alias("__text"), F.monotonically_increasing_id().alias("__row"))
+        return words.hashed_vectors(rows, "__row", "__text", self.dims, keep=["item", *keep]).drop("__row")
+
 
 class TableEmbedder:
     """Vectors made elsewhere: a table of item and embedding."""
@@ -43,15 +59,22 @@ class TableEmbedder:
     def embed(self, items: DataFrame) -> DataFrame:
         return items.select("item").join(self.table, "item")
 
+    def embed_rows(self, items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        return items.select("item", *keep).join(self.table.select("item", "embedding"), "item")
+
 
 class BatchEmbedder:
-    """A model called on pandas batches.  A batch that fails is tried again row by row; a row that fails then raises."""
+    """A model called on pandas batches.  A batch that fails is tried again row by row; a row that fails then raises.  A row may get
+    None instead of a vector."""
 
     def __init__(self, make: Callable[[], Callable[[pd.DataFrame], list[list[float]]]], dims: int):
         self.make, self.dims = make, dims
 
     def embed(self, items: DataFrame) -> DataFrame:
-        make = self.make
+        return self.embed_rows(items)
+
+    def embed_rows(self, items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        make, own = self.make, ["item", *keep]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = make()
@@ -60,9 +83,11 @@ class BatchEmbedder:
                     got = model(batch)
                 except Exception:
                     got = [model(batch.iloc[i : i + 1])[0] for i in range(len(batch))]
-                yield pd.DataFrame({"item": batch["item"], "embedding": [list(map(float, v)) for v in got]})
+                vectors = pd.Series([None if v is None else list(map(float, v)) for v in got], dtype=object)
+                yield batch[own].reset_index(drop=True).assign(embedding=vectors)
 
-        return items.mapInPandas(run, f"item {dict(items.dtypes)['item']}, embedding array<float>")
+        kinds = StructType([*[items.schema[c] for c in own], StructField("embedding", ArrayType(FloatType()))])
+        return items.mapInPandas(run, kinds)
 
 
 def decode(files: DataFrame, decoder: Callable[[str, bytes], dict | None], schema: str) -> DataFrame:
