@@ -111,20 +111,21 @@ class VectorIndex:
                 todo, seen = self._todo(files, "todo")
                 if not seen["changed"]:
                     self.store.files.delete(f"{self.store.path}/{seen['folder'].rsplit('/', 1)[0]}")
-                    return {**total, "found": max(total["found"], seen["found"])}
+                    return {**total, "found": seen["found"]}
                 ledger = {"folder": seen["folder"], "chunks": min(SLOTS, math.ceil(seen["changed"] / rows)), "done": 0, "found": seen["found"], "changed": seen["changed"], "groups": todo.select(group).distinct().count() if group != "path" else seen["changed"]}
                 self.store.commit(lambda ledger=ledger: Change(settings=self._ledger(run, ledger)))
             ledger = self.store.manifest["runs"][run]
             todo = self.spark.read.parquet(f"{self.store.path}/{ledger['folder']}")
+            before = todo.where(F.col("__slot") < ledger["done"] * SLOTS // ledger["chunks"]).count() if ledger["done"] else 0
             for chunk in range(ledger["done"], ledger["chunks"]):
                 low, high = chunk * SLOTS // ledger["chunks"], (chunk + 1) * SLOTS // ledger["chunks"]
                 part = todo.where((F.col("__slot") >= low) & (F.col("__slot") < high)).drop("__slot")
                 last = chunk + 1 == ledger["chunks"]
                 total["added"] += self._append(embedded(part), lambda _, at=chunk, last=last: self._ledger(run, None if last else {**ledger, "done": at + 1}))
             self.store.files.delete(f"{self.store.path}/{ledger['folder'].rsplit('/', 1)[0]}")
-            total["changed"] += ledger["changed"]
+            total["changed"] += ledger["changed"] - before
             total["groups"] += ledger["groups"]
-            total["found"] = max(total["found"], ledger["found"])
+            total["found"] = ledger["found"]
             if resumed is None:
                 return total
 

@@ -33,8 +33,9 @@ def sampled(vectors: DataFrame, most: int = TRAINING_SAMPLE) -> DataFrame:
     partitions send about as many rows as are wanted in all."""
     rows = vectors.where("embedding is not null")
     n, order = rows.count(), F.xxhash64("vector_id")
-    if n > most:
-        rows = rows.where(order <= -(1 << 63) + int(min(1.0, (1.25 * most + 1000) / n) * ((1 << 64) - 1)))
+    share = (1.25 * most + 1000) / max(n, 1)
+    if share < 1:
+        rows = rows.where(order <= -(1 << 63) + int(share * (1 << 64)))
     return rows.orderBy(order, "vector_id").limit(most)
 
 
@@ -234,6 +235,7 @@ class Ivf:
         own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         q = asked.join(shape, "list_id").withColumn("block", own("query_id", "blocks")).withColumn("part", each("parts"))
         v = kept.join(shape, "list_id").withColumn("part", own("vector_id", "parts")).withColumn("block", each("blocks"))
+        v = v.select(*[F.col(c).alias(c) for c in ("vector_id", "embedding", "list_id", "part", "block")])  # columns of its own: both sides have the shape's
         return best_of(meet(q.groupBy("list_id", "part", "block"), v.groupBy("list_id", "part", "block"), lambda ids, matrix: Best(ids, matrix, k)), k)
 
 

@@ -73,8 +73,8 @@ def first_edges(vectors: DataFrame, dims: int, rows: int, k: int, seed: int) ->
 
 
 def introduced(edges: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Edges between the neighbours of each vector: the best k / 2 of each within them."""
-    back = nearest(edges, k, "dst", "src")
+    """Edges between the neighbours of each vector: the best k of each within them."""
+    back = nearest(edges, 2 * k, "dst", "src")
     known = edges.select(F.col("src").alias("pivot"), F.col("dst").alias("vector_id")).union(back.select("dst", "src")).union(edges.select("src", "src")).distinct()
     groups = known.join(vectors, "vector_id").groupBy("pivot").agg(F.collect_list("vector_id").alias("ids"), F.collect_list("embedding").alias("rows"))
 
@@ -85,7 +85,7 @@ def introduced(edges: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             for i in range(batch.num_rows):
                 own = ids[i].values.to_numpy()
                 matrix = rows[i].values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                for column, part in zip(out, _within(own, matrix, max(1, k // 2)), strict=True):
+                for column, part in zip(out, _within(own, matrix, k), strict=True):
                     column.append(part)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["src", "dst", "score"])

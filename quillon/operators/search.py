@@ -215,6 +215,7 @@ def exclude_batch(vectors: DataFrame, queries: DataFrame, negatives: DataFrame,
     blocks = unwanted.groupBy("query_id").agg(F.ceil(F.count("*") * dims * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
     dealt = unwanted.join(blocks, "query_id").withColumn("block", F.pmod(F.xxhash64("embedding"), F.col("blocks")).cast("int"))
     met = held.join(blocks, "query_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(*[F.col(c).alias(c) for c in ("query_id", "vector_id", "embedding", "block")])  # columns of its own: both sides have those of blocks
 
     def near(key, unwanted: pa.Table, held: pa.Table) -> pa.Table:
         out = []
