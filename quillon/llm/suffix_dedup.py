@@ -221,7 +221,9 @@ def weigh(width: int):
         pick = twice & (counts[owner] == 1)
         by = np.lexsort((start[pick], owner[pick]))
         own, at = owner[pick][by], start[pick][by]
-        edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])) if len(own) else np.zeros(0, np.int64)
+        if not len(own):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
         stop = np.append(edge[1:], len(own)) - 1
         yield from zip(own[edge].tolist(), at[edge].tolist(), at[stop].tolist(), strict=True)
 

@@ -140,3 +140,28 @@ def test_a_text_above_a_slice(spark):
     assert (by_bytes[1].n_removed, by_bytes[1].n_spans, by_bytes[2].n_removed) == (1000, 1, 1000)
     by_words = {r.doc_id: r for r in substring_dedup.remove_earlier(df).collect()}
     assert by_words[1].n_removed == 0 and by_words[2].n_removed >= len(part.split()) - 2
+
+
+@pytest.mark.parametrize(("most", "piece"), [(2000, 1 << 20), (1, 1 << 20), (3, 250)])
+def test_shared_anchors_without_repeats(spark, monkeypatch, most, piece):
+    """Passages that share anchors but are shorter than a window, alone and beside real repeats, in random tables."""
+    monkeypatch.setattr(repeats, "MOST_CONTENTS", most)
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    rng = random.Random(most + piece)
+    prose = lambda n: " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(n))
+    for repeated in (False, True):
+        short = [prose(40)[: rng.randint(120, 190)] for _ in range(6)]
+        rows = [(k, " ".join(rng.choice([prose(rng.randint(3, 60)), rng.choice(short)]) for _ in range(rng.randint(1, 7)))) for k in range(40)]
+        if repeated:
+            rows += [(100 + k, f"{prose(20)} {rows[k][1]} {prose(9)}") for k in range(4)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert got(suffix_dedup.remove_repeats(df)) == remove_bytes(rows)
+        assert got(substring_dedup.remove_earlier(df)) == remove_words(rows)
+
+
+def test_two_texts_that_share_an_anchor_alone(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = letters(150)
+    rows = [(1, letters(400) + passage + letters(400)), (2, letters(300) + passage + letters(500))]
+    assert got(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == remove_bytes(rows)
