@@ -50,7 +50,7 @@ def columns_of(length: int, order: int) -> tuple:
     if length == order:
         return (("a", np.uint8),)
     tokens_of_words = (("c", np.uint64),) if length == 1 else ()
-    return ("t", np.uint64), *tokens_of_words, ("n1", np.uint32), ("n2", np.uint32), ("n3", np.uint32), ("b", np.uint32)
+    return ("t", np.uint64), *tokens_of_words, ("n1", np.uint64), ("n2", np.uint64), ("n3", np.uint64), ("b", np.uint64)
 
 
 def gram_keys(words: list[np.ndarray]) -> np.ndarray:
@@ -103,7 +103,7 @@ def shorter(words: list[np.ndarray], value: np.ndarray, c: np.ndarray):
 
 class ShardFile:
     """The shards of a task, one behind the other in a file, each begun at a multiple of 8 bytes: a sorted array of hashes, then a column
-    for each value; behind a column of bytes the places and values of those from FULL on.  At the end the shards' numbers, places
+    for each value; behind a column of bytes the places and values (64 bits) of those from FULL on.  At the end the shards' numbers, places
     and lengths, and how many shards there are.  Written under another name and then moved, as by ``publish``."""
 
     def __init__(self, folder: str, name: str):
@@ -121,7 +121,7 @@ class ShardFile:
             self.sink.write(np.minimum(values, np.iinfo(kind).max).astype(kind).tobytes())
             if kind is np.uint8:
                 large = np.flatnonzero(values >= FULL)
-                self.sink.write(np.stack([large, np.minimum(values[large], np.iinfo(np.uint32).max)]).astype(np.uint32).tobytes())
+                self.sink.write(np.stack([large, values[large]]).astype(np.uint64).tobytes())
         self.sink.write(bytes(-self.sink.tell() % 8))
 
     def close(self) -> None:
@@ -168,12 +168,12 @@ class Table:
             self.open.pop(next(iter(self.open)))
         source.seek(int(begins[k]))
         raw, n = source.read_buffer(int(ends[k] - begins[k])), int(lengths[k])
-        at, values, large = 8 * n, [], np.zeros((2, 0), np.uint32)
+        at, values, large = 8 * n, [], np.zeros((2, 0), np.uint64)
         for _, kind in self.columns:
             values.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
             at += n * np.dtype(kind).itemsize
         if self.columns[-1][1] is np.uint8:
-            large = np.frombuffer(raw, dtype=np.uint32, count=2 * ((raw.size - at) // 8), offset=at).reshape(2, -1)
+            large = np.frombuffer(raw, dtype=np.uint64, count=2 * ((raw.size - at) // 16), offset=at).reshape(2, -1)
         self.open[number] = np.frombuffer(raw, dtype=np.uint64, count=n), values, large
         return self.open[number]
 

@@ -145,3 +145,23 @@ def test_more_shards_than_tasks(tricky, monkeypatch):
     monkeypatch.setattr(language_model, "SHARD_BYTES", 16)
     monkeypatch.setattr(language_model, "TASK_BITS", 2)
     same(language_model.score_documents(tricky), pairs(tricky))
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    """What a shard file is given is what a worker reads."""
+    import numpy as np
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64))
+    counts = np.array([1, 254, 255, 256, 70_000, (1 << 32) - 1, 1 << 32, (1 << 40) + 7, *range(42)], dtype=np.uint64)
+    file = language_model.ShardFile(str(tmp_path), "grams2")
+    file.add(0, 0, keys, [(counts, np.uint8)])
+    file.close()
+    table = language_model.Table(str(tmp_path), "grams2", {0}, 1, 0, language_model.columns_of(2, 2))
+    got = table.find(np.concatenate([keys[::-1], np.array([5], dtype=np.uint64)]))
+    assert got[0].tolist() == [*counts[::-1].tolist(), 0]
+    wide = language_model.ShardFile(str(tmp_path), "grams1")
+    columns = language_model.columns_of(1, 2)
+    wide.add(0, 0, keys, [(counts * np.uint64(3), kind) for _, kind in columns])
+    wide.close()
+    for column in language_model.Table(str(tmp_path), "grams1", {0}, 1, 0, columns).find(keys):
+        assert column.tolist() == (counts * np.uint64(3)).tolist()
