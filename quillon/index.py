@@ -58,6 +58,12 @@ class VectorIndex:
         and of a path that comes twice the last row counts; see ``add_folder`` for skipping what is unchanged."""
         return {"added": self._append(self._embedded(items))}
 
+    def add_batch(self, items: DataFrame, stream: str, number: int) -> dict:
+        """As ``add_items``, for a numbered batch of a stream: one that has been committed isn't added again."""
+        if self.store.manifest.get("streams", {}).get(stream, -1) >= number:
+            return {"added": 0}
+        return {"added": self._append(self._embedded(items), lambda _: {"streams": {**self.store.manifest.get("streams", {}), stream: number}})}
+
     def _embedded(self, items: DataFrame) -> DataFrame:
         columns = [c for c in items.columns if c in self._columns() and c not in ("id", "vector_id", "indexed_at")]
         return embed_rows(self.embedder, items.withColumn("__place", F.monotonically_increasing_id()), [*columns, "__place"])
@@ -85,9 +91,11 @@ class VectorIndex:
                 upserts={"records": fresh}, appends={"vectors": new.select("vector_id", "embedding"), "tombstones": _tombs(dead)}, settings={"last_indexed": datetime.now(UTC).isoformat(), **own}
             )
 
-        if bounds.n or settings(0):
-            self.store.commit(work)
-        self.store.files.delete(folder.rsplit("/", 1)[0])
+        try:
+            if bounds.n or settings(0):
+                self.store.commit(work)
+        finally:
+            self.store.files.delete(folder.rsplit("/", 1)[0])
         self._models.clear()
         return bounds.n
 
@@ -195,14 +203,17 @@ class VectorIndex:
         return found.select(*[p.split()[0] for p in RESULTS.split(", ")]).orderBy("rank")
 
     def search_batch(self, queries: DataFrame, k: int = TOP_K, method: str | None = None, nprobe: int | None = None) -> DataFrame:
-        """query_id, vector_id, score, rank for a table of queries (query_id, embedding): exact, by inverted lists (a query meets the
-        lists it probes), or by the graph (``method="graph"``)."""
+        """query_id, vector_id, score, rank for a table of queries (query_id, embedding): exact, by inverted lists or their codes (a query
+        meets the lists it probes), or by the graph (``method="graph"``)."""
         method, whole = self.actual_type(method), self.store.table("vectors")
         if method == "graph":
             return graph.search(self._graph(), whole, queries, self._scratch(), k)
-        if method in ("ivf_flat", "ivf_pq"):
+        if method == "ivf_flat":
             model, rows = self._lists()
             return model.routed(rows, queries, k, nprobe or self._params().get("nprobe"))
+        if method == "ivf_pq":
+            model, rows = self._codes()
+            return model.batch(rows, queries, k, nprobe=nprobe or self._params().get("nprobe"))
         return search.batch_topk(whole, queries, k)
 
     def search_batch_without(self, queries: DataFrame, negatives: DataFrame, k: int = TOP_K, threshold: float = 0.3) -> DataFrame:

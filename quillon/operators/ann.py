@@ -218,25 +218,34 @@ class Ivf:
         and meets no others, so vectors are exchanged once (a list's only if it is probed) and a query ``nprobe`` times, once for every part of a list.
 
         Lists are cut into parts of a bounded number of bytes, and the queries of a list into blocks; how many, the lists' counts say."""
-        centers, most = self.centers, nprobe or self.nprobe
+        kept = assigned.where("embedding is not null").select("vector_id", "embedding", "list_id")
+        return best_of(_routed(self.probing(queries, nprobe or self.nprobe), kept, part_rows(len(self.centers[0])), lambda key, ids, matrix: Best(ids, matrix, k)), k)
+
+    def probing(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        """query_id, embedding, list_id: a row for each list that a query reads."""
+        centers = self.centers
 
         def probe(matrix: np.ndarray) -> list[pa.Array]:
-            best = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :most]
+            best = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :nprobe]
             return [pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))]
 
         asked = by_batch(queries.select(F.col("query_id").alias("vector_id"), "embedding"), "lists array<int>", probe)
-        asked = asked.select(F.col("vector_id").alias("query_id"), "embedding", F.explode("lists").alias("list_id"))
-        kept = assigned.where("embedding is not null").select("vector_id", "embedding", "list_id")
-        per_part = part_rows(len(centers[0]))
-        cells = kept.groupBy("list_id").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
-        blocks = asked.groupBy("list_id").agg(F.ceil(F.count("*") / max(1, BLOCK_BYTES // (8 * len(centers[0])))).cast("int").alias("blocks"))
-        shape = cells.join(blocks, "list_id")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        q = asked.join(shape, "list_id").withColumn("block", own("query_id", "blocks")).withColumn("part", each("parts"))
-        v = kept.join(shape, "list_id").withColumn("part", own("vector_id", "parts")).withColumn("block", each("blocks"))
-        v = v.select(*[F.col(c).alias(c) for c in ("vector_id", "embedding", "list_id", "part", "block")])  # columns of its own: both sides have the shape's
-        return best_of(meet(q.groupBy("list_id", "part", "block"), v.groupBy("list_id", "part", "block"), lambda ids, matrix: Best(ids, matrix, k)), k)
+        return asked.select(F.col("vector_id").alias("query_id"), "embedding", F.explode("lists").alias("list_id"))
+
+
+def _routed(asked: DataFrame, kept: DataFrame, per_part: int, make) -> DataFrame:
+    """Pairs of asked (query_id, embedding, list_id) with what is kept (vector_id, embedding, list_id) of the same list, in cells of
+    ``per_part`` rows and BLOCK_BYTES of queries at most; ``make`` as for ``meet``, the list first in its key."""
+    dims = F.greatest(F.max(F.size("embedding")), F.lit(1))
+    cells = kept.groupBy("list_id").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
+    blocks = asked.groupBy("list_id").agg(F.ceil(F.count("*") * dims * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    shape = cells.join(blocks, "list_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    q = asked.join(shape, "list_id").withColumn("block", own("query_id", "blocks")).withColumn("part", each("parts"))
+    v = kept.join(shape, "list_id").withColumn("part", own("vector_id", "parts")).withColumn("block", each("blocks"))
+    v = v.select(*[F.col(c).alias(c) for c in ("vector_id", "embedding", "list_id", "part", "block")])  # columns of its own: both sides have the shape's
+    return meet(q.groupBy("list_id", "part", "block"), v.groupBy("list_id", "part", "block"), make)
 
 
 class SignHashes:
@@ -373,3 +382,26 @@ class Pq:
         rough = sum((F.element_at(V.literal(t), F.col("codes")[i] + 1) for i, t in enumerate(self.tables(query))), F.lit(0.0))
         best = encoded.withColumn("__rough", rough).orderBy(F.desc("__rough"), "vector_id").limit((refine or self.refine) * k)
         return ranked(best.select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score")), k)
+
+    def batch(self, encoded: DataFrame, queries: DataFrame, k: int = TOP_K, refine: int | None = None, nprobe: int | None = None) -> DataFrame:
+        """query_id, vector_id, score, rank for a table of queries (query_id, embedding): each goes to the lists that it probes and ranks
+        the codes there by its tables; the best ``refine`` times k of them all get their exact scores."""
+        width, held = len(self.books), (refine or self.refine) * k
+        coded = encoded.select("vector_id", F.slice("codes", 1, width).alias("embedding"), "list_id")
+        found = _routed(self.lists.probing(queries, nprobe or self.lists.nprobe), coded, part_rows(width), lambda key, ids, matrix: Rough(ids, matrix, key[0].as_py(), self, held))
+        best = best_of(found, held).select("query_id", "vector_id")
+        asked = queries.select("query_id", F.col("embedding").alias("__asked"))
+        exact = encoded.select("vector_id", "embedding").join(best, "vector_id").join(asked, "query_id")
+        return best_of(exact.select("query_id", "vector_id", V.dot(F.col("embedding"), F.col("__asked")).alias("score")), k)
+
+
+class Rough(Best):
+    """The best k of each query by the codes of one list."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, list_id: int, codes: Pq, k: int):
+        super().__init__(ids, matrix, k)
+        self.tables = [part @ book.T for part, book in zip(np.split(self.matrix, len(codes.books), axis=1), codes.books, strict=True)]
+        self.offset = self.matrix @ codes.places()[list_id]
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        return self.offset[:, None] + sum(table[:, rows[:, i]] for i, table in enumerate(self.tables))

@@ -98,16 +98,17 @@ def _in_blocks(vectors: DataFrame, queries: DataFrame, make) -> DataFrame:
         placed = rows.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n_own)).cast("int"))
         return placed.withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)))).groupBy("block", "part")
 
-    return meet(cells(asked, "query_id", "block", "part", blocks, max(parts, 1)), cells(vectors, "vector_id", "part", "block", max(parts, 1), blocks), make)
+    return meet(cells(asked, "query_id", "block", "part", blocks, max(parts, 1)), cells(vectors, "vector_id", "part", "block", max(parts, 1), blocks), lambda _, ids, matrix: make(ids, matrix))
 
 
 def meet(queries, vectors, make) -> DataFrame:
-    """Pairs of what two grouped tables (query_id, embedding; vector_id, embedding) hold under the same key; see ``_in_blocks``."""
+    """Pairs of what two grouped tables (query_id, embedding; vector_id, embedding) hold under the same key; ``make`` gets the key
+    first, see ``_in_blocks``."""
 
-    def one(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+    def one(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         if not queries.num_rows or not vectors.num_rows:
             return pa.Table.from_batches([], schema=_PAIR)
-        held = make(*_matrix(queries.select(["query_id", "embedding"]).combine_chunks()))
+        held = make(key, *_matrix(queries.select(["query_id", "embedding"]).combine_chunks()))
         return pa.Table.from_batches([*held.add(*_matrix(vectors.select(["vector_id", "embedding"]).combine_chunks())), *held.end()], schema=_PAIR)
 
     return queries.cogroup(vectors).applyInArrow(one, SCORED)
@@ -134,11 +135,14 @@ class Best:
         self.ids, self.matrix, self.k = ids, matrix.astype(np.float64), k
         self.score, self.id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
 
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        return self.matrix @ rows.astype(np.float64).T
+
     def add(self, own: np.ndarray, rows: np.ndarray):
         step = max(1, STEP_CELLS // max(len(self.ids), 1))
         for at in range(0, len(own), step):
             order = np.argsort(own[at : at + step], kind="stable")
-            some, score = own[at : at + step][order], self.matrix @ rows[at : at + step][order].astype(np.float64).T
+            some, score = own[at : at + step][order], self.scores(rows[at : at + step][order])
             if score.shape[1] > self.k:
                 # the k best scores; all that tie with the last of them are looked at, so the least ids win
                 cut = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1]

@@ -516,4 +516,4 @@ def pq_topk(spark, sf_dir):
     return model.search(rows, _asked(spark, sf_dir), 20)
 
 
-from . import media_queries  # noqa: E402, F401  registers its queries here
+from . import index_queries, media_queries  # noqa: E402, F401  register their queries here

@@ -63,6 +63,19 @@ class TableEmbedder:
         return items.select("item", *keep).join(self.table.select("item", "embedding"), "item")
 
 
+class ColumnEmbedder:
+    """Vectors that come with the items, in a column."""
+
+    def __init__(self, dims: int, column: str = "vector"):
+        self.dims, self.column = dims, column
+
+    def embed(self, items: DataFrame) -> DataFrame:
+        return self.embed_rows(items)
+
+    def embed_rows(self, items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        return items.select("item", *keep, F.col(self.column).cast("array<float>").alias("embedding"))
+
+
 class BatchEmbedder:
     """A model called on pandas batches.  A batch that fails is tried again row by row; a row that fails then raises.  A row may get
     None instead of a vector."""

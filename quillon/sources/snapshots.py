@@ -284,8 +284,13 @@ class Snapshots:
 
     def stage(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         """Rows that are dear to make, written once beside the tables; their folder is the caller's to drop."""
-        folder = f"{self.path}/staged-{_uid()}/{name}"
-        df.write.parquet(folder)
+        top = f"{self.path}/staged-{_uid()}"
+        folder = f"{top}/{name}"
+        try:
+            df.write.parquet(folder)
+        except Exception:
+            self.files.delete(top)
+            raise
         return self.spark.read.schema(df.schema).parquet(folder), folder
 
     # ---- tables made from others ----

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..index import VectorIndex
+from ..operators import maintain
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -17,15 +21,22 @@ def ingest_new_files(index: VectorIndex, folder: str, checkpoint: str, describe=
         F.regexp_replace("path", "^file:/*", "/").alias("path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size")
     ).where(P.is_supported(F.col("path")))
 
-    def add(batch, _number) -> None:
-        from ..operators import maintain
-
+    def items(batch):
         todo = maintain.needs_update(batch, index.store.table("records"))
-        if todo.isEmpty():
-            return
-        items = describe(todo) if describe else todo.withColumn("text", F.col("path"))
-        index.add_items(items.select("*", F.col("path").alias("item"), F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size")))
+        told = describe(todo) if describe else todo.withColumn("text", F.col("path"))
+        return told.select("*", F.col("path").alias("item"), F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size"))
+
+    return ingest_stream(index, files, checkpoint, items)
+
+
+def ingest_stream(index: VectorIndex, stream: DataFrame, checkpoint: str, items: Callable[[DataFrame], DataFrame]):
+    """Add what ``items`` makes of every new batch of a stream of any source, then stop.  The number of the last batch is in the
+    manifest of its commit, so a batch that is repeated after a failure isn't added twice."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        index.refresh()
+        index.add_batch(items(batch), checkpoint, number)
 
-    query = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -458,3 +458,26 @@ def test_thumbnails_go_in_tasks(spark, tmp_path):
 def test_last_of_a_path(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z"), (None, 1, "n"), (None, 2, "m")], "file_path string, place int, v string")
     assert sorted(r.v for r in maintain.last_of_path(rows, "place").collect()) == ["m", "y", "z"]
+
+
+def test_batches_by_codes(spark, monkeypatch):
+    matrix = drawn(7, 3000, places(8, 30), 0.2)
+    rows = table_of(spark, matrix)
+    queries = rows.where("vector_id % 30 = 4").withColumnRenamed("vector_id", "query_id")
+    model = ann.Pq.train(rows, 4, 5, nlist=16)
+    encoded = model.encode(rows)
+    many = model.batch(encoded, queries, 5, nprobe=4).collect()
+    for q in (4, 1504):
+        alone = model.search(encoded, matrix[q].astype(np.float32).tolist(), 5, nprobe=4).collect()
+        assert sorted((r["rank"], r.vector_id) for r in many if r.query_id == q) == sorted((r["rank"], r.vector_id) for r in alone)
+    asked = list(range(4, 3000, 30))
+    assert hits(model.batch(encoded, queries, 20, refine=10, nprobe=16).collect(), matrix, asked, 20) >= 0.9
+
+
+def test_a_batch_of_a_stream_is_added_once(spark, tmp_path):
+    index = VectorIndex(Catalogue(spark, str(tmp_path)), "b", Given())
+    assert index.add_batch(items(spark, drawn(1, 5, places(1, 5)), "x"), "s", 0) == {"added": 5}
+    assert index.add_batch(items(spark, drawn(1, 5, places(1, 5)), "y"), "s", 0) == {"added": 0}
+    assert index.add_batch(items(spark, drawn(1, 0, places(1, 5)), "y"), "s", 1) == {"added": 0}
+    assert index.add_batch(items(spark, drawn(1, 2, places(1, 5)), "y"), "t", 0) == {"added": 2}
+    assert index.store.table("records").count() == 7 and index.store.manifest["streams"] == {"s": 1, "t": 0}
