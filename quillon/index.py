@@ -14,9 +14,9 @@ from .functions import sampling as S
 from .functions import vectors as V
 from .functions.words import index_type
 from .operators import ann, graph, maintain, results, search
-from .schema import MOST_PAGES, RECORDS, RESULTS, TOP_K, VIDEO_FPS, VIDEO_LEAST_FRAMES, VIDEO_MOST_FRAMES
+from .schema import MOST_PAGES, RECORDS, RESULTS, THUMBNAIL_SIDE, TOP_K, VIDEO_FPS, VIDEO_LEAST_FRAMES, VIDEO_MOST_FRAMES
 from .sources import discover
-from .sources.media import Embedder, embed_rows, page_rows
+from .sources.media import Decoder, Embedder, embed_rows, page_rows, write_thumbnails
 from .sources.scratch import Scratch
 from .sources.snapshots import Catalogue, Change
 
@@ -141,12 +141,14 @@ class VectorIndex:
         runs = {k: v for k, v in self.store.manifest["runs"].items() if k != run}
         return {"runs": runs if entry is None else {**runs, run: entry}}
 
-    def add_videos(self, videos: DataFrame, read_frames: Callable[[DataFrame], DataFrame], fps: float = VIDEO_FPS, most: int = VIDEO_MOST_FRAMES, least: int = VIDEO_LEAST_FRAMES, chunk_rows: int = CHUNK_ROWS) -> dict:
-        """videos: path, mtime, size, fps, frame_count.  Changed ones are sampled at a rate, read (``read_frames`` turns path, pos,
-        frame into path, pos, item and what the embedder reads), embedded by frame and averaged; a video without frames fails."""
-        columns = videos.select("path", "mtime", "size", "fps", "frame_count")
+    def add_videos(self, videos: DataFrame, read_frames: Callable[[DataFrame], DataFrame], fps: float = VIDEO_FPS, most: int = VIDEO_MOST_FRAMES, least: int = VIDEO_LEAST_FRAMES, chunk_rows: int = CHUNK_ROWS, probe: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+        """videos: path, mtime, size, fps, frame_count (the last two from ``probe``, if it is given, for changed ones only).  Changed ones are
+        sampled at a rate, read (``read_frames`` turns path, pos, frame into path, pos, item and what the embedder reads), embedded by frame
+        and averaged; a video without frames fails."""
+        columns = videos.select("path", "mtime", "size", *(() if probe else ("fps", "frame_count")))
 
         def embedded(todo: DataFrame) -> DataFrame:
+            todo = probe(todo) if probe else todo
             indices = S.padded(S.fps_indices(F.col("frame_count"), F.col("fps"), fps, most), least)
             each = embed_rows(self.embedder, read_frames(S.frame_rows(todo, indices)), ["path", "pos"])
             own = todo.select(
@@ -170,24 +172,50 @@ class VectorIndex:
         out = self._chunks("documents", pages.withColumnRenamed("file_path", "path"), embedded, chunk_rows, "parent_document")
         return {"added": out["added"], "documents": out["groups"], "pages": out["added"], "skipped": out["found"] - out["changed"], "failed": out["changed"] - out["added"]}
 
-    def add_folder(self, folder: str, recursive: bool = True, kinds=("image", "video", "document"), describe=None, chunk_rows: int = CHUNK_ROWS) -> dict:
+    def add_folder(self, folder: str, recursive: bool = True, kinds=("image", "video", "document"), describe=None, chunk_rows: int = CHUNK_ROWS, decoder: Decoder | None = None) -> dict:
         """Scan, skip what is unchanged, embed the rest, a chunk of files to a commit; called again after a failure it goes on behind the
-        last chunk.  ``describe`` turns the listing into items (default: the path as text)."""
+        last chunk.  ``describe`` turns the listing into items (default: the path as text).  With a decoder pictures, videos by their frames and
+        documents by their pages go through it, and are counted by kind."""
         files = discover.scan_folder(self.spark, folder, recursive, kinds)
+        name = P.trimmed(folder)
 
         def embedded(todo: DataFrame) -> DataFrame:
-            items = describe(todo) if describe else todo.withColumn("text", F.col("path"))
-            return self._embedded(items.select("*", F.col("path").alias("item"), F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size")))
-
-        out = self._chunks(f"folder {P.trimmed(folder)}", files, embedded, chunk_rows)
+            read = describe or (decoder.pictures if decoder else lambda rows: rows.withColumn("text", F.col("path")))
+            return self._embedded(read(todo).select("*", F.col("path").alias("item"), F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size")))
+
+        own = files.where("media_type = 'image'") if decoder else files
+        out = self._chunks(f"folder {name}", own, embedded, chunk_rows)
+        counts = {"added": out["added"], "skipped": out["found"] - out["changed"], "failed": out["changed"] - out["added"]}
+        if decoder:
+            counts["images"] = out["added"]
+            if "video" in kinds:
+                got = self.add_videos(files.where("media_type = 'video'"), decoder.frames, chunk_rows=chunk_rows, probe=decoder.videos)
+                counts = {k: v + got.get(k, 0) for k, v in counts.items()} | {"videos": got["videos"]}
+            if "document" in kinds:
+                got = self._add_listed_documents(files.where("media_type = 'document'"), decoder, chunk_rows)
+                counts = {k: v + got.get(k, 0) for k, v in counts.items()} | {"documents": got["documents"], "pages": got["pages"]}
 
         def track() -> Change:
             folders = self.store.table("folders")
-            row = self.spark.createDataFrame([(P.trimmed(folder), recursive)], "folder_path string, recursive boolean").select(F.lit(folders.count() + 1).cast("long").alias("id"), "folder_path", "recursive", F.current_timestamp().alias("added_at"))
+            row = self.spark.createDataFrame([(name, recursive)], "folder_path string, recursive boolean").select(F.lit(folders.count() + 1).cast("long").alias("id"), "folder_path", "recursive", F.current_timestamp().alias("added_at"))
             return Change(tables={"folders": maintain.upsert(folders, row, "folder_path")})
 
         self.store.commit(track)
-        return {"added": out["added"], "skipped": out["found"] - out["changed"], "failed": out["changed"] - out["added"]}
+        return counts
+
+    def _add_listed_documents(self, files: DataFrame, decoder: Decoder, chunk_rows: int) -> dict:
+        """Only documents without records of their time and size are opened; the pages of the others are skipped."""
+        pages = self.store.table("records").where("parent_document is not null").select(F.col("parent_document").alias("path"), F.col("file_mtime").alias("mtime"), F.col("file_size").alias("size"))
+        same = ["path", "mtime", "size"]
+        skipped = pages.join(files.select(*same), same, "left_semi").count()
+        out = self.add_documents(decoder.documents(files.join(pages.distinct(), same, "left_anti").select(*same)), decoder.pages, chunk_rows=chunk_rows)
+        return {**out, "skipped": out["skipped"] + skipped}
+
+    def make_thumbnails(self, folder: str, decoder: Decoder, side: int = THUMBNAIL_SIDE) -> None:
+        """Write the thumbnails that records ask for and a folder doesn't have."""
+        names = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name")) if self.store.files.exists(folder) else self.spark.createDataFrame([], "name string")
+        records = self.store.table("records")
+        write_thumbnails(decoder.thumbnails(discover.missing_thumbnails(records, names).join(records, "file_path"), side), folder)
 
     # ---- search ----
 
@@ -386,9 +414,11 @@ class VectorIndex:
         records = self.store.table("records")
         return records.join(vector_ids.select("vector_id").distinct(), "vector_id", "left_semi") if isinstance(vector_ids, DataFrame) else records.where(F.col("vector_id").isin(list(vector_ids)))
 
-    def rerank(self, found: DataFrame, text: str | None = None, k: int = 10, least: float = 0.0) -> DataFrame:
-        """The results of a search in a second order: by the sigmoid of the scaled inner product with another text, with the searched
+    def rerank(self, found: DataFrame, text: str | None = None, k: int = 10, least: float = 0.0, judge: Callable[[], Callable[[list], list[float]]] | None = None) -> DataFrame:
+        """With ``judge``, by a judging model (see ``results.rerank_by_model``).  Else the results of a search in a second order: by the sigmoid of the scaled inner product with another text, with the searched
         one, or with the stored picture or page that was searched by.  Results of other kinds of queries pass through unchanged."""
+        if judge is not None:
+            return results.rerank_by_model(found, judge, text, k, least)
         query = None
         if (text or "").strip():
             query = self.embed_text(text)

@@ -103,6 +103,29 @@ class BatchEmbedder:
         return items.mapInPandas(run, kinds)
 
 
+class Decoder(Protocol):
+    """How files become what an embedder reads, in transforms of tables; all but ``thumbnails`` are needed for their kind of file
+    alone.  A row that can't be read is left out and counts as failed."""
+
+    def pictures(self, files: DataFrame) -> DataFrame:
+        """files (path, mtime, size and others) with what the embedder reads."""
+
+    def videos(self, files: DataFrame) -> DataFrame:
+        """files with fps and frame_count."""
+
+    def frames(self, frames: DataFrame) -> DataFrame:
+        """path, pos, frame to path, pos, item and what the embedder reads."""
+
+    def documents(self, files: DataFrame) -> DataFrame:
+        """files with page_count."""
+
+    def pages(self, pages: DataFrame) -> DataFrame:
+        """file_path, parent_document, page_number and others with item and what the embedder reads."""
+
+    def thumbnails(self, files: DataFrame, side: int) -> DataFrame:
+        """records' file_path, name (of the thumbnail) and others to name, content."""
+
+
 def decode(files: DataFrame, decoder: Callable[[str, bytes], dict | None], schema: str) -> DataFrame:
     """files (path, content) through a decoder; what can't be decoded is a row of nulls but for its path."""
 

@@ -481,3 +481,47 @@ def test_a_batch_of_a_stream_is_added_once(spark, tmp_path):
     assert index.add_batch(items(spark, drawn(1, 0, places(1, 5)), "y"), "s", 1) == {"added": 0}
     assert index.add_batch(items(spark, drawn(1, 2, places(1, 5)), "y"), "t", 0) == {"added": 2}
     assert index.store.table("records").count() == 7 and index.store.manifest["streams"] == {"s": 1, "t": 0}
+
+
+class Pretended:
+    """A decoder for files whose bytes are text: frames and pages are their lines."""
+
+    def __init__(self, most_pixels, folder=None):
+        self.most_pixels = most_pixels
+
+    def pictures(self, files):
+        return files.withColumn("text", F.concat(F.lit("picture "), F.element_at(F.split("path", "/"), -1)))
+
+    def videos(self, files):
+        return files.withColumn("fps", F.lit(2.0)).withColumn("frame_count", F.lit(6))
+
+    def frames(self, frames):
+        return frames.withColumn("item", F.concat_ws("#", "path", "pos")).withColumn("text", F.lit("moving film"))
+
+    def documents(self, files):
+        return files.withColumn("page_count", F.lit(3))
+
+    def pages(self, pages):
+        return pages.where("page_number < 3").withColumn("item", F.col("file_path")).withColumn("text", F.concat(F.lit("sheet "), F.col("page_number").cast("string")))
+
+    def thumbnails(self, files, side):
+        return files.select("name", F.encode(F.concat_ws("@", "file_path", F.lit(side)), "utf-8").alias("content"))
+
+
+def test_a_folder_through_a_decoder(spark, tmp_path):
+    from quillon.ingest_folder import main
+
+    os.makedirs(tmp_path / "lib")
+    for n in ("a.jpg", "b.png", "c.mp4", "d.pdf"):
+        (tmp_path / "lib" / n).write_bytes(n.encode())
+    flags = ["-c", f"{tmp_path}/index", "-i", "cli", "-f", f"{tmp_path}/lib", "--decoder", "tests.test_index_scale:Pretended", "--thumbnails", f"{tmp_path}/thumbs", "-t", "99", "-b", "2"]
+    assert main(flags, spark) == {"added": 5, "skipped": 0, "failed": 1, "images": 2, "videos": 1, "documents": 1, "pages": 2}
+    assert main(flags, spark) == {"added": 0, "skipped": 5, "failed": 0, "images": 0, "videos": 0, "documents": 0, "pages": 0}
+    index = VectorIndex(Catalogue(spark, f"{tmp_path}/index"), "cli", HashingEmbedder())
+    assert index.search_text("moving film", 1).first().file_path.endswith("c.mp4")
+    assert index.search_text("sheet 2", 1).first().file_path.endswith("d.pdf#page=2")
+    assert len(os.listdir(tmp_path / "thumbs")) == 5 and {open(tmp_path / "thumbs" / n).read().split("@")[1] for n in os.listdir(tmp_path / "thumbs")} == {"99"}
+    again = index.rerank(index.search_text("sheet", 3), k=2, judge=lambda: lambda pairs: [float(len(p)) for p in pairs])
+    assert again.count() == 2
+    with pytest.raises(SystemExit):
+        main([*flags[:6], "--thumbnails", "x"], spark)
