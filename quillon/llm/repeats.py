@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import bloom_has, build_bloom, mix64, prefix_hash, signed, slices, sliding_min, span_hash, stored
 
 PLACE = np.uint64(28)
-PIECE = 1 << 20
+PIECE = 1 << 18
 MOST_CONTENTS = 2000
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 
 
 def runs(units: np.ndarray, offsets: np.ndarray, width: int, gram: int):
