@@ -28,8 +28,9 @@ def index_type(name: str) -> str:
 def kept_tokens(tokens: Column, special: Column, most: int, tail: int = 5) -> Column:
     """All special tokens, the first ``most`` others, and the last ``tail`` tokens."""
     n = F.size(tokens)
-    before = lambda i: F.size(F.filter(F.slice(special, 1, i), lambda s: ~s))
-    pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), (F.get(special, i) | (i >= n - tail) | (before(i) < most)).alias("keep")))
+    plain = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: ~F.get(special, i))
+    last = F.coalesce(F.get(plain, F.lit(most - 1)), n) if most > 0 else F.lit(-1)  # the place of the last plain token that stays
+    pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), (F.get(special, i) | (i >= n - tail) | (i <= last)).alias("keep")))
     return F.transform(F.filter(pairs, lambda p: p.keep), lambda p: p.t)
 
 

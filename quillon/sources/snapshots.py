@@ -7,8 +7,9 @@ new state and does its work again, so that two writers lose nothing.  A reader s
 
 Tables with a key (records by path) are merged on read: a change is a delta segment of new rows and of keys that are gone, with
 the range of its keys, so that what is written follows the change.  A later segment's row of a key hides the earlier ones.  When
-there are over ``MOST_DELTAS``, they are folded: into one, or with the base where they have grown to a quarter of it.  Folders are reached
-through Hadoop's file systems, local or remote.
+there are over ``MOST_DELTAS``, they are folded: into one, or with the base where they have grown to a quarter of it.  Tables that
+only grow are appended to, and the smaller half of their segments becomes one when there are over ``MOST_SEGMENTS``.  Folders are
+reached through Hadoop's file systems, local or remote.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .. import schema
 TABLES = {"records": schema.RECORDS, "vectors": schema.VECTORS, "tombstones": schema.TOMBSTONES, "folders": schema.FOLDERS}
 KEYS = {"records": "file_path"}
 ORDER = {"records": "file_path", "vectors": "vector_id", "tombstones": "vector_id", "folders": "folder_path"}
-MOST_DELTAS, FOLD_SHARE, ATTEMPTS = 8, 0.25, 20
+MOST_DELTAS, FOLD_SHARE, MOST_SEGMENTS, ATTEMPTS = 8, 0.25, 32, 20
 GRACE_S = 3600.0
 
 
@@ -246,6 +247,7 @@ class Snapshots:
             written[name] = self._segment(name, df, f"{uid}/{name}")
             if written[name]["rows"]:
                 tables[name]["base"].append(written[name])
+            self._gather(name, tables[name], uid)
         for name in {**change.upserts, **change.deletes}:
             parts = []
             if name in change.upserts:
@@ -259,6 +261,13 @@ class Snapshots:
             self._fold(name, tables[name], uid)
         return written, tables
 
+    def _gather(self, name: str, held: dict, uid: str) -> None:
+        """One segment of many small ones."""
+        if len(held["base"]) > MOST_SEGMENTS:
+            small = sorted(held["base"], key=lambda s: s["rows"])[: len(held["base"]) // 2 + 1]
+            rows = self._read(name, [s["path"] for s in small], TABLES[name])
+            held["base"] = [s for s in held["base"] if s not in small] + [self._segment(name, rows, f"{uid}/{name}-gathered")]
+
     def _fold(self, name: str, held: dict, uid: str) -> None:
         """One delta of many; the first rows of a table are its base."""
         if not held["base"] and len(held["deltas"]) == 1:

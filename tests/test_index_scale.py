@@ -283,6 +283,34 @@ def test_what_is_written_follows_the_change(spark, tmp_path):
     assert index.record("/lib/000001.jpg").first().vector_id == 4001 and index.record("/lib/000009.jpg").first().vector_id == 9
 
 
+def test_small_segments_are_gathered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "MOST_SEGMENTS", 3)
+    store = Catalogue(spark, str(tmp_path)).open("g", 2)
+    for k, n in enumerate([50, 3, 4, 5, 2, 2]):
+        rows = spark.range(100 * k, 100 * k + n).select(F.col("id").alias("vector_id"), F.array(F.lit(1.0), F.lit(float(k))).alias("embedding"))
+        store.commit(lambda rows=rows: Change(appends={"vectors": rows}))
+        assert len(store.segments("vectors")) <= 3
+    assert sorted(s["rows"] for s in store.segments("vectors"))[-1] == 50 and sum(s["rows"] for s in store.segments("vectors")) == 66
+    assert sorted(r.vector_id for r in store.table("vectors").collect()) == [100 * k + i for k, n in enumerate([50, 3, 4, 5, 2, 2]) for i in range(n)]
+
+
+def test_kept_tokens_are_those_of_a_loop(spark):
+    from quillon.functions import words
+
+    rng = random.Random(2)
+    rows = [([rng.randint(0, 99) for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]) for n in (0, 1, 2, 7, 20, 40) for _ in range(3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, tokens array<int>, special array<boolean>")
+    for most in (0, 1, 5, 100):
+        got = {r.i: r.k for r in df.select("i", words.kept_tokens(F.col("tokens"), F.col("special"), most, 2).alias("k")).collect()}
+        for i, (tokens, special) in enumerate(rows):
+            plain, want = 0, []
+            for k, (t, s) in enumerate(zip(tokens, special, strict=True)):
+                if s or k >= len(tokens) - 2 or plain < most:
+                    want.append(t)
+                plain += not s
+            assert got[i] == want
+
+
 def test_two_writers_lose_nothing(spark, tmp_path):
     one, two = (VectorIndex(Catalogue(spark, str(tmp_path)), "x", Given()) for _ in range(2))
     one.add_items(items(spark, drawn(1, 20, places(1, 5)), "one"))
