@@ -7,7 +7,7 @@ known offset, so a memory-mapped reader gets it without a copy.  A second Arrow
 position in its part and count.  The parts' totals (one number a file) give the positions over the whole corpus.
 
 Edge cases: a null or empty text is the end id alone; repeated ids keep one entry each, side by side in any order; an
-empty table gives no rows; a document longer than a row runs over several rows.
+empty table gives no rows; a document longer than a row runs over several rows; other columns, of any names, are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ the identity.  Merging the best-scored pair first, leftmost on ties, is then mer
 are the ranks.  Pre-tokens (matches of the pattern) are encoded separately; a bounded memo keeps chunks seen before.
 
 Edge cases: a null or empty text gives no ids and decodes to no bytes; repeated rows and ids are encoded one by one; text
-of any length is one row and is cut into pre-tokens first, so no merge runs over more than a pre-token.
+of any length is one row and is cut into pre-tokens first, so no merge runs over more than a pre-token; an empty table gives
+no rows; other columns, of any names, are not read.
 """
 
 from __future__ import annotations

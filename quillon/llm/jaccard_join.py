@@ -14,7 +14,8 @@
 
 Edge cases: a null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle of all; rows that repeat, with their ids or without, are judged one by one; a null id never names a group of
-others; an empty table gives no rows; other columns are not read.
+others; a text of any length is one set, whose hashes a task holds at once (8 bytes a word); an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ The query's order is ``ORDER``; the README has the figures of order three.
 
 Edge cases: a null, empty or blank text is its end token alone; rows that repeat are counted and scored one by one; a null id
 belongs to the training part; without any training token the base and the model are uniform over one unknown word; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; a text of any length is counted and scored whole, a slice of its own in its task; other columns are not
+read.
 """
 
 from __future__ import annotations

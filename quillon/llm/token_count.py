@@ -6,13 +6,14 @@ stand after the last token of the shorter prefix (no merge of lower rank crosses
 longest suffix read that begins some token, and for each position in it the last token there and the count relative to
 the present one.  That is finite, deterministic, and every transition is annotated with the tokens it emits (a later
 letter may take tokens back, so an annotation may be negative).  Transitions are compiled when first taken and kept
-in a bounded table.
+in a table that is emptied between words when it has grown large; within a word it is bounded by the automaton alone.
 
 A chunk of letters is a map of states: entry state to exit state and tokens emitted.  White space and the borders of pre-tokens
 reset the transducer, so a chunk between them is a constant map (it starts and ends at the start state), and the scan over a
 text's chunks is a running sum of memoised counts.  A pre-token of more than ``BLOCK`` letters is cut into blocks.  A block's map is worked out
 from the start state without the blocks before it, and for another entry state by following that until it meets the
-first run, which from there on holds for both (see ``StateMap``); maps compose pairwise, level by level.
+first run, which from there on holds for both (see ``StateMap``).  Maps compose pairwise, level by level; the composed map is applied to the
+start state alone, so of each block's map only the entries that are met are worked out, from left to right within one task.
 
 Edge cases: a null, empty or blank text has 0 tokens; special strings inside a text, in their own case only, count one each
 and cut it, as the library does by default; repeated rows are counted one by one; a pre-token of any length is read in blocks; an empty table

@@ -130,3 +130,15 @@ def test_groups_that_share_a_number_stay_apart(spark):
 
 def test_query_against_brute_force(spark, sf):
     assert got(QUERIES["op1_jaccard_join"](spark, sf)) == brute(pairs(spark.read.parquet(f"{sf}/documents.parquet")))
+
+
+def test_texts_above_a_slice(spark):
+    rng = random.Random(12)
+    long = [f"t{rng.randint(0, 10**6)}" for _ in range(170_000)]
+    near = [w if k % 100 else "other" for k, w in enumerate(long)]  # about 0.92 of the shingles stay
+    far = [w if k % 20 else "other" for k, w in enumerate(long)]
+    rows = [(3, " ".join(long)), (2, " ".join(near)), (5, " ".join(far)), (1, " ".join(long[:1000]))]
+    assert all(len(t) > 1 << 20 for i, t in rows if i != 1)
+    found = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(found) == brute(rows)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 2, 3: 2, 5: 5}

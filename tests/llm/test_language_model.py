@@ -165,3 +165,12 @@ def test_counts_beyond_32_bits(tmp_path):
     wide.close()
     for column in language_model.Table(str(tmp_path), "grams1", {0}, 1, 0, columns).find(keys):
         assert column.tolist() == (counts * np.uint64(3)).tolist()
+
+
+def test_texts_above_a_slice(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))) for k, n in enumerate((230_000, 50, 240_000, 3))]
+    assert len(rows[0][1]) > 1 << 20
+    same(language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")), rows)
