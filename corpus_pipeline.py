@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
 ``documents``.  Verdicts are given to rows, so rows that share an id are judged one by one.  Quality needs sums over the whole
 corpus, so SQL can't express the pipeline without the estimates' iteration; it is tested stage by stage by brute force.
+
+Defined results: null, empty and blank texts, and those under 20 words, fail the quality rules; rows that repeat are one group of near duplicates, of
+which one stays; null ids are kept and never name a group; an empty table passes through every stage as one; texts of any length are
+taken whole; columns of any names are carried along by all stages but the last, also where they bear an operator's own names.
 """
 
 from __future__ import annotations
