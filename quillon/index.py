@@ -253,7 +253,7 @@ class VectorIndex:
         return self.store.manifest["index_params"]
 
     def _nlist(self) -> int:
-        return self._params().get("nlist") or ann.lists_for(self._size())
+        return self._params().get("nlist") or ann.lists_for(self._size(), self.embedder.dims)
 
     def actual_type(self, method: str | None = None) -> str:
         """What a search by this method (default: the index's) is served by: exact search where there are too few vectors to train

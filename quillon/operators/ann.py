@@ -25,6 +25,7 @@ SAMPLE_BYTES = 64 << 20
 RECALL = 0.95
 ASKED = 200
 LEAST_LISTS, FLAT_LISTS, ROWS_PER_CENTER, CELL_ROWS = 100, 1024, 40, 20_000
+MODEL_BYTES = 256 << 20
 DRIFT, GROWTH = 1.1, 4.0
 
 
@@ -52,9 +53,10 @@ def least_training(nlist: int) -> int:
     return max(10 * nlist, 1000)
 
 
-def lists_for(rows: int) -> int:
-    """How many inverted lists: the square root of the rows, a hundred at least."""
-    return max(LEAST_LISTS, int(np.sqrt(rows)))
+def lists_for(rows: int, dims: int = 64) -> int:
+    """How many inverted lists: the square root of the rows, a hundred at least, and MODEL_BYTES of centres at most, since every task
+    holds them; lists are then longer, and read by more tasks."""
+    return max(LEAST_LISTS, min(int(np.sqrt(rows)), MODEL_BYTES // (8 * dims)))
 
 
 def drifted(notes: dict, stats: list[dict], fixed_lists: bool = False) -> bool:
@@ -113,12 +115,17 @@ def centroids(vectors: DataFrame, k: int, seed: int = 17) -> tuple[np.ndarray, n
     return np.array([r.center for r in rows]), np.array([coarse.centers[r.owner] for r in rows])
 
 
-def least_effort(sample: np.ndarray, efforts: Sequence[int], candidates: Callable[[np.ndarray, int], np.ndarray], k: int = TOP_K) -> int:
-    """The least of the efforts (ascending) whose candidates (a boolean over the sample) hold RECALL of the exact best k."""
+def exact_best(sample: np.ndarray, k: int = TOP_K) -> tuple[np.ndarray, np.ndarray]:
+    """ASKED rows of the sample as queries, and the places of the exact best k of each."""
     asked = sample[:: max(1, len(sample) // ASKED)]
     k = min(k, max(1, len(sample) // 10))
-    scores = asked @ sample.T
-    best = np.argpartition(-scores, k - 1, axis=1)[:, :k] if len(sample) else np.zeros((0, 0), int)
+    best = np.argpartition(-(asked @ sample.T), k - 1, axis=1)[:, :k] if len(sample) else np.zeros((0, 0), int)
+    return asked, best
+
+
+def least_effort(sample: np.ndarray, efforts: Sequence[int], candidates: Callable[[np.ndarray, int], np.ndarray], k: int = TOP_K) -> int:
+    """The least of the efforts (ascending) whose candidates (a boolean over the sample) hold RECALL of the exact best k."""
+    asked, best = exact_best(sample, k)
     for effort in efforts:
         found = [candidates(q, effort)[b].mean() for q, b in zip(asked, best, strict=True)]
         if not found or np.mean(found) >= RECALL:
@@ -160,7 +167,12 @@ class Ivf:
             sizes = np.bincount(lists, minlength=len(made.centers))
             made.scale = np.where(sizes > 0, np.bincount(lists, along, len(made.centers)) / np.maximum(sizes, 1), 1.0)
             made.loss = float(np.mean(1 - along / np.maximum(np.linalg.norm(sample, axis=1), 1e-12)))
-            made.nprobe = least_effort(sample, range(1, len(made.centers) + 1), lambda q, n: np.isin(lists, made.probes(q, n)))
+            asked, best = exact_best(sample)
+            order = np.argsort(-(asked @ made.centers.T), axis=1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(len(made.centers))[None, :], axis=1)
+            ranks = np.sort(np.take_along_axis(place, lists[best], axis=1), axis=None)
+            made.nprobe = int(ranks[int(np.ceil(RECALL * len(ranks) - 1e-9)) - 1]) + 1  # so many lists hold RECALL of all exact answers
         return made
 
     def table(self, spark: SparkSession) -> DataFrame:

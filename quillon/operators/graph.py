@@ -1,13 +1,15 @@
 """A nearest-neighbour graph of vectors, built and searched by joins.
 
-Building is NN-descent: a first graph comes from cells of vectors on the same sides of random planes, several times over; then, in rounds, the
-neighbours of every vector, forward and backward, are made known to each other, since neighbours of neighbours are likely neighbours.
-It stops when few edges change.  Of the vectors that point at one, its nearest ``k`` count, so a hub is no larger group than
-another.  Searching walks the graph for a whole table of queries at once: in each round the frontier (the best vectors of a query whose neighbours
-haven't been seen) is joined with the edges and the vectors that are new to the query are scored.
-
-Both are approximate.  Rounds are stored in the shared folder, which cuts their lineage.  A vector that is null is in no graph; equal
-vectors are neighbours like others, so more than ``k`` copies of one vector may be neighbours of each other alone, and a walk finds other
+Building is NN-descent: a first graph comes from cells of vectors on the same sides of random planes, several times over; then, in
+rounds, the neighbours of every vector, forward and backward, are made known to each other, since neighbours of neighbours are
+likely neighbours.  It stops when few edges change.  Of the vectors that point at one, its nearest ``2 k`` count, so a hub is no
+larger group than another.  Searching walks the graph for a whole table of queries at once: in each round the frontier (the best
+vectors of a query whose neighbours haven't been seen) is joined with the edges, and the vectors that are new to the query are scored.
+
+A round of building exchanges every vector with each of its neighbours, up to ``3 k`` times its bytes, so the graph is for
+collections that stand this several times over; inverted lists exchange a vector once.  Both building and searching are
+approximate.  Rounds are stored in the shared folder, which cuts their lineage.  A vector that is null is in no graph; equal vectors
+are neighbours like others, so more than ``k`` copies of one vector may be neighbours of each other alone, and a walk finds other
 vectors from its other entries.
 """
 
