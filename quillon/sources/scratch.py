@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder; a local session without one gets a temporary folder, a cluster without one is an error."""
     context = spark.sparkContext
@@ -15,8 +18,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _local:
+            _local[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+        root = _local[context.applicationId]
     return root.rstrip("/")
 
 

@@ -553,3 +553,17 @@ def test_a_folder_through_a_decoder(spark, tmp_path):
     assert again.count() == 2
     with pytest.raises(SystemExit):
         main([*flags[:6], "--thumbnails", "x"], spark)
+
+
+def test_where_scratch_tables_go():
+    from types import SimpleNamespace as Some
+
+    from quillon.sources.scratch import shared_root
+
+    def session(master, folder=None):
+        return Some(conf=Some(get=lambda k, d: folder), sparkContext=Some(master=master, applicationId=f"app-{master}", getConf=lambda: Some(get=lambda k: None)))
+
+    assert shared_root(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_root(session("local[2]")) == shared_root(session("local[2]"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_root(session("spark://host:7077"))
