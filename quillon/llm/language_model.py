@@ -7,7 +7,8 @@ twice, more often), the words behind the first as successor (tokens, distinct wo
 shorter length sums these into sorted arrays in the same way, down to single words.  Hot words and grams are spread over all
 shards of the longer grams and summed there first, so no exchange gathers the rows of a word.  A shard stands for some
 ``SHARD_BYTES`` of text at any size of the corpus; beyond 1 << ``TASK_BITS`` shards a task takes several, one after the other, and
-writes them to one file.  Only the counts of counts, a row a task and length, reach the driver.
+writes them to one file.  Rows of an exchange are made for tasks, not for shards, so that they hold many grams at any size; a task of
+several shards cuts what it gets into their rows and sorts these.  Only the counts of counts, a row a task and length, reach the driver.
 
 Scoring: a worker maps the arrays from the shared folder and looks up sorted queries of a slice of texts at a time:
 p(w | v) = max(a - D(a), 0) / T(v) + g(v) p(w | v without its first word), p(w) = max(b - d(b), 0) / B + g / (V + 1), with v
@@ -91,15 +92,51 @@ def summed(words: list[np.ndarray], columns: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def shorter(words: list[np.ndarray], value: np.ndarray, c: np.ndarray):
-    """From distinct grams with their counts (or numbers of words before) and tokens: key, words, and the columns t, c, n1, n2, n3, b
-    of the grams without the last word and of those without the first."""
+    """From distinct grams with their counts (or numbers of words before) and tokens: the grams without the last word and those without
+    the first, not yet summed: their words, then the columns t, c, n1, n2, n3, b."""
     real = value > 0
     words, value, c = [w[real] for w in words], value[real], c[real]
     _, context, (t, *n) = summed(words[:-1], [value, *((x).astype(np.uint64) for x in (value == 1, value == 2, value > 2))])
     _, behind, (c, b) = summed(words[1:], [c, np.ones(len(value), dtype=np.uint64)])
     none_c, none_b = np.zeros(len(t), np.uint64), np.zeros(len(b), np.uint64)
     columns = [np.concatenate(x) for x in ((t, none_b), (none_c, c), *((x, none_b) for x in n), (none_c, b))]
-    return summed([np.concatenate(x) for x in zip(context, behind, strict=True)], columns)
+    return [*(np.concatenate(x) for x in zip(context, behind, strict=True)), *columns]
+
+
+def pooled(chunks, words: int, most: int, pack):
+    """Rows of the sums of chunks (arrays, the words first), made whenever ``most`` grams are held."""
+    held, size = [], 0
+
+    def packed():
+        arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
+        return pack(*summed(arrays[:words], arrays[words:]))
+
+    for arrays in chunks:
+        held.append(arrays)
+        size += len(arrays[0])
+        if size >= most:
+            yield packed()
+            held, size = [], 0
+    if size:
+        yield packed()
+
+
+def gram_rows(keys: np.ndarray, words: list[np.ndarray], n: np.ndarray, bits: int, kind: type) -> pa.RecordBatch:
+    """A row for each part (the first ``bits`` of the keys): the first word as distinct values with run lengths, other words, counts."""
+    shift = np.uint64(64 - bits)
+    part = keys >> shift
+    by = np.argsort((part << shift) | (words[0] >> np.uint64(bits)))
+    (first, *others), n, part = [w[by] for w in words], n[by].astype(kind), part[by]
+    edge = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (part[1:] != part[:-1])]))
+    runs = _blobs(part[edge], [first[edge], np.diff(np.append(edge, len(first))).astype(np.uint32)])
+    columns = [*runs.columns, *_blobs(part, [*others, n]).columns[1:]]
+    return pa.RecordBatch.from_arrays(columns, names=["part", *(f"x{i}" for i in range(len(columns) - 1))])
+
+
+def shorter_rows(keys: np.ndarray, words: list[np.ndarray], columns: list[np.ndarray], bits: int, kind: type) -> pa.RecordBatch:
+    """A row for each part: words and columns; ``sizes`` is null."""
+    out = _blobs(keys >> np.uint64(64 - bits), [*words, *(x.astype(kind) if k > 1 else x for k, x in enumerate(columns))])
+    return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=[*out.schema.names, "sizes"])
 
 
 class ShardFile:
@@ -207,6 +244,11 @@ def _blobs(part: np.ndarray, arrays: list[np.ndarray]):
     return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), *cells], names=["part", *(f"x{i}" for i in range(len(cells)))])
 
 
+def _whole(batch, kinds) -> list[np.ndarray]:
+    """The arrays of all rows of a batch end to end."""
+    return [np.frombuffer(b"".join(x.to_pylist()), dtype=kind) for x, kind in zip(batch.columns[1:], kinds, strict=False)]
+
+
 def _parts(batches, kinds):
     """From batches sorted by part: part and its arrays end to end."""
     part, held = None, [[] for _ in kinds]
@@ -267,62 +309,80 @@ class Sizes:
     """What a task's shards of a length sum up to: tokens, distinct tokens, sum of the values, values of 1, 2, 3, 4, above 3."""
 
     def __init__(self, length: int):
-        self.length, self.part, self.sums = length, None, np.zeros(8, np.int64)
+        self.length, self.task, self.sums = length, None, np.zeros(8, np.int64)
 
-    def add(self, part: int, c: np.ndarray, value: np.ndarray) -> None:
-        self.part = part
+    def add(self, task: int, c: np.ndarray, value: np.ndarray) -> None:
+        self.task = task
         self.sums += np.array([c.sum(), (c > 0).sum(), value.sum(), *((value == k).sum() for k in (1, 2, 3, 4)), (value > 3).sum()], dtype=np.int64)
 
     def rows(self, binaries: int):
-        """One row behind the other rows of a task that had shards: the length and the sums."""
-        if self.part is not None:
-            cells = [pa.array([self.part], pa.int32()), *[pa.nulls(1, pa.binary())] * binaries, pa.array([np.append(self.length, self.sums).astype(np.int64).tobytes()], pa.binary())]
+        """One row behind the other rows of a task that had shards: its number, the length and the sums."""
+        if self.task is not None:
+            cells = [pa.array([self.task], pa.int32()), *[pa.nulls(1, pa.binary())] * binaries, pa.array([np.append(self.length, self.sums).astype(np.int64).tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(cells, names=["part", *(f"x{i}" for i in range(binaries)), "sizes"])
 
 
+def counted(texts: DataFrame, bits: int, order: int = ORDER) -> DataFrame:
+    """The grams of column text: for each ``FLUSH_TOKENS`` of a task one row at most for each part, by the first ``bits`` of their hash."""
+    most = FLUSH_TOKENS
+
+    def count(batches):
+        def grams():
+            for batch in batches:
+                for _, buf, offsets in slices(batch, "text"):
+                    words, _ = tokens(buf, offsets, order)
+                    yield [*words, np.ones(len(words[0]), dtype=np.uint32)]
+
+        yield from pooled(grams(), order, most, lambda keys, words, n: gram_rows(keys, words, *n, bits, np.uint32))
+
+    return texts.select("text").mapInArrow(count, ", ".join(["part int", *(f"x{i} binary" for i in range(order + 2))]))
+
+
 def train(texts: DataFrame, bits: int, task_bits: int, folder: str, order: int = ORDER) -> Model:
     """texts: the training texts in column text.  The grams fall into 1 << bits shards by their hash; each of 1 << task_bits tasks takes
     neighbouring ones, a shard at a time."""
-    shift = np.uint64(64 - bits)
+    most, several = FLUSH_TOKENS, bits > task_bits
+    wide = np.uint64 if several else np.uint32  # of counts that a row may hold for several flushes
+    of_grams = lambda kind: (np.uint64, np.uint32, *[np.uint64] * (order - 1), kind)
+    of_shorter = lambda length: (*[np.uint64] * (length + 2), *[wide] * 4)
 
-    def count(batches):
-        def flush(grams):
-            words = [np.concatenate(x) for x in zip(*grams, strict=True)]
-            keys, words, (n,) = summed(words, [np.ones(len(words[0]), dtype=np.uint32)])
-            part = keys >> shift
-            by = np.argsort((part << shift) | (words[0] >> np.uint64(bits)))
-            (first, *others), n, part = [w[by] for w in words], n[by].astype(np.uint32), part[by]
-            # the first word as distinct values with run lengths
-            edge = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (part[1:] != part[:-1])]))
-            runs = _blobs(part[edge], [first[edge], np.diff(np.append(edge, len(first))).astype(np.uint32)])
-            rest = _blobs(part, [*others, n])
-            columns = [*runs.columns, *rest.columns[1:]]
-            return pa.RecordBatch.from_arrays(columns, names=["part", *(f"x{i}" for i in range(len(columns) - 1))])
-
-        held, size = [], 0
+    def cut_grams(batches):
+        def grams():
+            for batch in batches:
+                first, lengths, *others, n = _whole(batch, of_grams(np.uint32))
+                yield [np.repeat(first, lengths), *others, n.astype(np.uint64)]
+
+        yield from pooled(grams(), order, most, lambda keys, words, n: gram_rows(keys, words, *n, bits, wide))
+
+    def split(batches, length: int, passed: list):
+        """The rows of grams; those of sums go into ``passed``."""
         for batch in batches:
-            for _, buf, offsets in slices(batch, "text"):
-                grams, _ = tokens(buf, offsets, order)
-                held.append(grams)
-                size += len(grams[0])
-                if size >= FLUSH_TOKENS:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
-
-    def passed_on(words, value, c) -> pa.RecordBatch:
-        keys, words, columns = shorter(words, value, c)
-        out = _blobs(keys >> shift, [*words, *(x.astype(np.uint32) if k > 1 else x for k, x in enumerate(columns))])
-        return pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=[*out.schema.names, "sizes"])
+            sums = batch.column(batch.num_columns - 1)
+            if sums.null_count < len(sums):
+                passed.append(batch.filter(sums.is_valid()))
+            yield batch.filter(sums.is_null()).select(range(length + 7))
+
+    def cut_shorter(length: int):
+        def cut(batches):
+            passed = []
+            rows = (_whole(batch, of_shorter(length)) for batch in split(batches, length, passed))
+            yield from pooled(([x.astype(np.uint64) for x in row] for row in rows), length, most, lambda *sums: shorter_rows(*sums, bits, wide))
+            yield from passed
+
+        return cut
 
     def sum_grams(batches):
         file, sizes = ShardFile(folder, f"grams{order}"), Sizes(order)
-        for part, (first, lengths, *others, n) in _parts(batches, (np.uint64, np.uint32, *[np.uint64] * (order - 1), np.uint32)):
-            keys, words, (n,) = summed([np.repeat(first, lengths), *others], [n.astype(np.uint64)])
-            file.add(part, part >> (bits - task_bits), keys, [(n, np.uint8)])
-            sizes.add(part, n, n)
-            yield passed_on(words, n, n)
+
+        def shards():
+            for part, (first, lengths, *others, n) in _parts(batches, of_grams(wide)):
+                keys, words, (n,) = summed([np.repeat(first, lengths), *others], [n.astype(np.uint64)])
+                task = part >> (bits - task_bits)
+                file.add(part, task, keys, [(n, np.uint8)])
+                sizes.add(task, n, n)
+                yield shorter(words, n, n)
+
+        yield from pooled(shards(), order - 1, most, lambda *sums: shorter_rows(*sums, task_bits, wide))
         file.close()
         yield from sizes.rows(order + 5)
 
@@ -332,44 +392,42 @@ def train(texts: DataFrame, bits: int, task_bits: int, folder: str, order: int =
         def merge(batches):
             passed, file, sizes = [], ShardFile(folder, f"grams{length}"), Sizes(length)
 
-            def gram_rows():
-                for batch in batches:
-                    counted = batch.column(batch.num_columns - 1)
-                    if counted.null_count < len(counted):
-                        passed.append(batch.filter(counted.is_valid()).select(["part", "sizes"]))
-                    yield batch.filter(counted.is_null()).select(range(length + 7))
-
-            for part, held in _parts(gram_rows(), (*[np.uint64] * (length + 2), *[np.uint32] * 4)):
-                keys, words, columns = summed(held[:length], [x.astype(np.uint64) for x in held[length:]])
-                named = dict(zip(("t", "c", "n1", "n2", "n3", "b"), columns, strict=True))
-                file.add(part, part >> (bits - task_bits), keys, [(named[x], kind) for x, kind in columns_of(length, order)])
-                sizes.add(part, named["c"], named["b"])
-                if length > 1:
-                    yield passed_on(words, named["b"], named["c"])
+            def shards():
+                for part, held in _parts(split(batches, length, passed), of_shorter(length)):
+                    keys, words, columns = summed(held[:length], [x.astype(np.uint64) for x in held[length:]])
+                    named = dict(zip(("t", "c", "n1", "n2", "n3", "b"), columns, strict=True))
+                    task = part >> (bits - task_bits)
+                    file.add(part, task, keys, [(named[x], kind) for x, kind in columns_of(length, order)])
+                    sizes.add(task, named["c"], named["b"])
+                    if length > 1:
+                        yield shorter(words, named["b"], named["c"])
+
+            yield from pooled(shards(), length - 1, most, lambda *sums: shorter_rows(*sums, task_bits, wide))
             file.close()
             yield from sizes.rows(binaries)
             for rows in passed:  # what the tasks of longer grams counted
-                cells = [rows.column(0), *[pa.nulls(rows.num_rows, pa.binary())] * binaries, rows.column(1)]
+                cells = [rows.column(0), *[pa.nulls(rows.num_rows, pa.binary())] * binaries, rows.column(rows.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(cells, names=["part", *(f"x{i}" for i in range(binaries)), "sizes"])
 
         return merge
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartitionById(1 << task_bits, F.shiftright("part", bits - task_bits)).sortWithinPartitions("part")
+    def dealt(rows: DataFrame, cut) -> DataFrame:
+        """By task; where a task has several shards, its rows are cut into theirs."""
+        rows = rows.repartitionById(1 << task_bits, "part")
+        return (rows.mapInArrow(cut, rows.schema) if several else rows).sortWithinPartitions("part")
 
     def schema(binaries: int) -> str:
         return ", ".join(["part int", *(f"x{i} binary" for i in range(binaries)), "sizes binary"])
 
-    grams = texts.select("text").mapInArrow(count, ", ".join(["part int", *(f"x{i} binary" for i in range(order + 2))]))
-    merged = dealt(grams).mapInArrow(sum_grams, schema(order + 5))
+    merged = dealt(counted(texts, task_bits, order), cut_grams).mapInArrow(sum_grams, schema(order + 5))
     for length in range(order - 1, 0, -1):
-        merged = dealt(merged).mapInArrow(sum_shorter(length), schema(length + 5 if length > 1 else 0))
+        merged = dealt(merged, cut_shorter(length)).mapInArrow(sum_shorter(length), schema(length + 5 if length > 1 else 0))
     tasks = {k: set() for k in range(1, order + 1)}
     totals = {k: np.zeros(8, np.int64) for k in tasks}
-    for part, blob in merged.collect():
-        length, *counted = np.frombuffer(blob, dtype=np.int64)
-        tasks[int(length)].add(part >> (bits - task_bits))
-        totals[int(length)] += counted
+    for task, blob in merged.collect():
+        length, *sums = np.frombuffer(blob, dtype=np.int64)
+        tasks[int(length)].add(task)
+        totals[int(length)] += sums
     return Model(folder, bits, task_bits, order, tasks, {k: x.tolist() for k, x in totals.items()})
 
 

@@ -147,6 +147,34 @@ def test_more_shards_than_tasks(tricky, monkeypatch):
     same(language_model.score_documents(tricky), pairs(tricky))
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_tasks_of_many_shards_and_flushes(tricky, monkeypatch, order):
+    """Rows of grams and of shorter grams that are cut into shards, in several flushes."""
+    plain = language_model.score_documents(tricky, order=order).select("doc_id", "score")
+    for name, value in (("SHARD_BYTES", 64), ("TASK_BITS", 1), ("FLUSH_TOKENS", 500)):
+        monkeypatch.setattr(language_model, name, value)
+    cut = language_model.score_documents(tricky, order=order).select("doc_id", "score")
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    got, want = (sorted(map(tuple, df.collect()), key=key) for df in (cut, plain))
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
+def test_rows_of_the_exchange_do_not_follow_the_shards(tricky, monkeypatch):
+    """A flush gives a row for each task at most, however many shards there are; each pair is in the part of its hash."""
+    texts = tricky.coalesce(2)
+    rows = language_model.counted(texts, 2).collect()
+    assert len(rows) <= 2 * 4 and {r.part for r in rows} == {0, 1, 2, 3}
+    counts = sum(sum(memoryview(bytes(r[-1])).cast("I")) for r in rows)
+    assert counts == sum(len(words(t)) for _, t in pairs(tricky))
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 16)
+    monkeypatch.setattr(language_model, "TASK_BITS", 2)
+    asked, plain = [], language_model.counted
+    monkeypatch.setattr(language_model, "counted", lambda texts, bits, order: asked.append(bits) or plain(texts, bits, order))
+    language_model.score_documents(tricky)
+    assert asked == [2]
+
+
 def test_counts_beyond_32_bits(tmp_path):
     """What a shard file is given is what a worker reads."""
     import numpy as np
