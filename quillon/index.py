@@ -236,7 +236,8 @@ class VectorIndex:
         meets the lists it probes), or by the graph (``method="graph"``)."""
         method, whole = self.actual_type(method), self.store.table("vectors")
         if method == "graph":
-            return graph.search(self._graph(), whole, queries, self._scratch(), k)
+            edges, beam = self._graph()
+            return graph.search(edges, whole, queries, self._scratch(), k, beam)
         if method == "ivf_flat":
             model, rows = self._lists()
             return model.routed(rows, queries, k, nprobe or self._params().get("nprobe"))
@@ -275,7 +276,8 @@ class VectorIndex:
             return model.search(rows, query, k, nprobe)
         if method == "graph":
             one = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, embedding array<float>")
-            return graph.search(self._graph(), whole, one, self._scratch(), k).drop("query_id")
+            edges, beam = self._graph()
+            return graph.search(edges, whole, one, self._scratch(), k, beam).drop("query_id")
         if method == "hnsw":
             model, rows = self._postings()
             return model.search(rows, query, k)
@@ -330,13 +332,20 @@ class VectorIndex:
         self._models["ivf_pq"] = model
         return model, rows
 
-    def _graph(self) -> DataFrame:
-        """The neighbour graph of the present vectors; vectors of another set of segments need another graph."""
+    def _graph(self) -> tuple[DataFrame, int]:
+        """The neighbour graph of the present vectors, and the beam fitted to it; vectors of another set of segments need another graph."""
 
-        def make() -> DataFrame:
+        def make() -> tuple[DataFrame, int]:
             now = self.store.versions("vectors")
             with Scratch(self.spark) as scratch:
-                return self.store.model("graph", lambda: (graph.build(self.store.table("vectors"), scratch), {"segments": now}), lambda n: n["segments"] != now)[1]
+
+                def built() -> tuple[DataFrame, dict]:
+                    vectors = self.store.table("vectors")
+                    edges = graph.build(vectors, scratch)
+                    return edges, {"segments": now, "beam": graph.fitted(edges, vectors, scratch)}
+
+                notes, edges = self.store.model("graph", built, lambda n: n["segments"] != now)
+            return edges, notes.get("beam", graph.BEAM)
 
         return self._model("graph", make)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..schema import TOP_K
 from ..sources.scratch import Scratch
-from .ann import by_batch, sampled
+from .ann import ASKED, RECALL, by_batch, sampled
 from .search import batch_topk, best_of
 
 NEIGHBOURS, CELL_ROWS, TREES, ROUNDS, SETTLED = 16, 128, 4, 6, 0.01
@@ -111,12 +111,19 @@ def build(vectors: DataFrame, scratch: Scratch, k: int = NEIGHBOURS, rounds: int
     return scratch.saved(edges.unionByName(back).distinct())
 
 
-def walk(edges: DataFrame, vectors: DataFrame, queries: DataFrame, scratch: Scratch, beam: int = BEAM, width: int = WIDTH, steps: int = STEPS) -> DataFrame:
+def walk(edges: DataFrame, vectors: DataFrame, queries: DataFrame, scratch: Scratch, beam: int = BEAM, width: int | None = None, steps: int = STEPS) -> DataFrame:
     """query_id, vector_id, score of all that was scored for each query (query_id, embedding)."""
+    return _walked(edges, vectors, queries, scratch, beam, width, steps).drop("open")
+
+
+def _walked(edges: DataFrame, vectors: DataFrame, queries: DataFrame, scratch: Scratch, beam: int, width: int | None = None, steps: int = STEPS, state: DataFrame | None = None) -> DataFrame:
+    """As ``walk``, and whether a row's neighbours are yet to be seen; goes on from an earlier ``state``.  A wider beam opens more at a time."""
+    width = width or max(WIDTH, beam * WIDTH // BEAM)
     vectors = vectors.where("embedding is not null").select("vector_id", "embedding")
     asked = queries.where("embedding is not null").select("query_id", F.col("embedding").alias("asked"))
-    entries = scratch.saved(sampled(vectors, ENTRIES).repartition(1))
-    state = scratch.saved(batch_topk(entries, queries, ENTRIES).drop("rank").withColumn("open", F.lit(True)))
+    if state is None:
+        entries = scratch.saved(sampled(vectors, ENTRIES).repartition(1))
+        state = scratch.saved(batch_topk(entries, queries, ENTRIES).drop("rank").withColumn("open", F.lit(True)))
     for _ in range(steps):
         frontier = scratch.saved(nearest(nearest(state, beam, "query_id", "vector_id").where("open"), width, "query_id", "vector_id").select("query_id", "vector_id"))
         if frontier.isEmpty():
@@ -126,7 +133,21 @@ def walk(edges: DataFrame, vectors: DataFrame, queries: DataFrame, scratch: Scra
         scored = new.join(vectors, "vector_id").join(asked, "query_id").select("query_id", "vector_id", V.dot(F.col("embedding"), F.col("asked")).alias("score"), F.lit(True).alias("open"))
         seen = state.join(frontier.withColumn("__seen", F.lit(True)), ["query_id", "vector_id"], "left").select("query_id", "vector_id", "score", (F.col("open") & F.col("__seen").isNull()).alias("open"))
         state = scratch.saved(seen.unionByName(scored))
-    return state.drop("open")
+    return state
+
+
+def fitted(edges: DataFrame, vectors: DataFrame, scratch: Scratch, k: int = TOP_K) -> int:
+    """The least beam, doubled from BEAM, that finds RECALL of the exact best k of ASKED sampled vectors: it grows with the table."""
+    vectors = vectors.where("embedding is not null").select("vector_id", "embedding")
+    asked = scratch.saved(sampled(vectors, ASKED).select(F.col("vector_id").alias("query_id"), "embedding"))
+    exact = scratch.saved(batch_topk(vectors, asked, k).select("query_id", "vector_id"))
+    rows, wanted, beam, state = vectors.count(), exact.count(), max(BEAM, k), None
+    while True:
+        state = _walked(edges, vectors, asked, scratch, beam, state=state)
+        found = best_of(state, k).join(exact, ["query_id", "vector_id"], "left_semi").count()
+        if found >= RECALL * wanted or beam >= rows:
+            return beam
+        beam *= 2
 
 
 def search(edges: DataFrame, vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = TOP_K, beam: int = BEAM) -> DataFrame:

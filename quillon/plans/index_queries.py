@@ -74,8 +74,9 @@ def ann_recall(spark, sf_dir):
     model, rows = built(spark, sf_dir, "ivf", lambda v: ann.Ivf.train(v, 8), lambda m, v: m.assign(v), ann.Ivf.load, "list_id")
     scratch = Scratch(spark)
     codes = ann.Pq.train(v, 8, 6, lists=model)
+    edges = graph.build(v, scratch)
     found = {
-        "graph": graph.search(graph.build(v, scratch), v, asked, scratch, 20),
+        "graph": graph.search(edges, v, asked, scratch, 20, graph.fitted(edges, v, scratch, 20)),
         "ivf": model.routed(rows, asked, 20),
         "ivf_pq": codes.batch(codes.encode(v), asked, 20),
     }

@@ -185,6 +185,21 @@ def test_graph_recall(spark):
     assert not os.path.exists(folder.removeprefix("file:"))
 
 
+def test_the_beam_of_a_walk_is_fitted(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("vector_id"), "embedding")
+    matrix, asked = np.array([r.embedding for r in df.orderBy("vector_id").collect()], dtype=float), list(range(0, 2000, 20))
+    monkeypatch.setattr(graph, "ENTRIES", 20)
+    monkeypatch.setattr(graph, "BEAM", 8)
+    monkeypatch.setattr(graph, "WIDTH", 2)
+    queries = df.where("vector_id % 20 = 0").withColumnRenamed("vector_id", "query_id")
+    with Scratch(spark) as scratch:
+        edges = graph.build(df, scratch, rounds=2)
+        assert hits(graph.search(edges, df, queries, scratch, 5, 8).collect(), matrix, asked, 5) < 0.9
+        beam = graph.fitted(edges, df, scratch, 5)
+        assert beam > 8
+        assert hits(graph.search(edges, df, queries, scratch, 5, beam).collect(), matrix, asked, 5) >= 0.9
+
+
 def test_graph_of_few_and_odd_vectors(spark):
     kind = "vector_id long, embedding array<float>"
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 1.0])], kind)
