@@ -34,10 +34,29 @@ def ranked(rows: DataFrame, k: int | None = None, *ties: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def shown_best(rows: DataFrame, k: int, digits: int, *ties: str) -> DataFrame:
+    """Of rows that are in order (score, rank) those whose score rounded to ``digits`` comes first, at most k, that score in place of the
+    exact one: rows that show the same score are cut by the ties alone.  Ranks stay, so they may have gaps there."""
+    shown = F.round("score", digits)
+    return rows.withColumn("score", shown).orderBy(F.desc("score"), *(F.asc(t) for t in ties or ("vector_id",))).limit(k)
+
+
+def within_shown(rows: DataFrame, k: int, digits: int, *ties: str) -> DataFrame:
+    """``shown_best`` with the ranks of rows of any number: the k best are ranked with all that show the same score as the last of them."""
+    order = [F.desc("score"), *(F.asc(t) for t in ties or ("vector_id",))]
+    last = rows.orderBy(*order).limit(k).agg(F.min(F.round("score", digits)).alias("__last"))
+    near = rows.join(F.broadcast(last), F.round("score", digits) >= F.col("__last")).drop("__last")
+    return shown_best(near.withColumn("rank", F.row_number().over(Window.orderBy(*order))), k, digits, *ties)
+
+
 def flat_topk(vectors: DataFrame, query: Sequence[float], k: int = TOP_K) -> DataFrame:
     """vector_id, score, rank of the k vectors with the largest inner product; ties by id."""
-    scored = vectors.where("embedding is not null").select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score"))
-    return ranked(scored, k)
+    return ranked(scored(vectors, query), k)
+
+
+def scored(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
+    """vector_id, score of every vector."""
+    return vectors.where("embedding is not null").select("vector_id", V.dot(F.col("embedding"), V.literal(query)).alias("score"))
 
 
 def check_dims(vectors: DataFrame, dims: int) -> DataFrame:
