@@ -415,5 +415,8 @@ class Rough(Best):
         self.tables = [part @ book.T for part, book in zip(np.split(self.matrix, len(codes.books), axis=1), codes.books, strict=True)]
         self.offset = self.matrix @ codes.places()[list_id]
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        return self.offset[:, None] + sum(table[:, rows[:, i]] for i, table in enumerate(self.tables))
+    def steps(self, rows: np.ndarray) -> np.ndarray:
+        return rows
+
+    def scores(self, some: slice, rows: np.ndarray) -> np.ndarray:
+        return self.offset[some, None] + sum(table[some][:, rows[:, i]] for i, table in enumerate(self.tables))

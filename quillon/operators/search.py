@@ -24,7 +24,7 @@ from ..schema import MOST_K, TOP_K
 
 BLOCK_BYTES = 8 << 20
 PART_ROWS, PART_BYTES = 100_000, 64 << 20
-STEP_CELLS = 4_000_000
+STEP_QUERIES, STEP_CELLS = 512, 500_000
 
 
 def ranked(rows: DataFrame, k: int | None = None, *ties: str) -> DataFrame:
@@ -148,51 +148,83 @@ def _pairs(query_ids: np.ndarray, vector_ids: np.ndarray, scores: np.ndarray) ->
 
 
 class Best:
-    """The best k of each query over all that is added: a score matrix of ``STEP_CELLS`` at most beside the k held."""
+    """The best k of each query over all that is added: a score matrix of ``STEP_CELLS`` at most, of ``STEP_QUERIES`` queries, beside the k held."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
         self.ids, self.matrix, self.k = ids, matrix.astype(np.float64), k
-        self.score, self.id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+        self.tiles = _tiles(len(ids))
+        self.held = [(np.zeros((t.stop - t.start, 0)), np.zeros((t.stop - t.start, 0), dtype=np.int64)) for t in self.tiles]
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        return self.matrix @ rows.astype(np.float64).T
+    def scores(self, some: slice, rows: np.ndarray) -> np.ndarray:
+        return self.matrix[some] @ rows.T
+
+    def steps(self, rows: np.ndarray):
+        """The rows of a step, as ``scores`` takes them."""
+        return rows.astype(np.float64)
 
     def add(self, own: np.ndarray, rows: np.ndarray):
-        step = max(1, STEP_CELLS // max(len(self.ids), 1))
-        for at in range(0, len(own), step):
-            order = np.argsort(own[at : at + step], kind="stable")
-            some, score = own[at : at + step][order], self.scores(rows[at : at + step][order])
+        for step in _row_steps(len(own), self.tiles):
+            ids, part = own[step], self.steps(rows[step])
+            for i, some in enumerate(self.tiles):
+                self.held[i] = self._better(*self.held[i], ids, self.scores(some, part))
+        return ()
+
+    def _better(self, held: np.ndarray, held_ids: np.ndarray, own: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(score)
+        if held.shape[1] < self.k:
             if score.shape[1] > self.k:
                 # the k best scores; all that tie with the last of them are looked at, so the least ids win
                 cut = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1]
                 keep = np.flatnonzero((score >= cut[:, None]).any(axis=0))
-                some, score = some[keep], score[:, keep]
-            score = np.concatenate([self.score, score], axis=1)
-            ids = np.concatenate([self.id, np.broadcast_to(some, (len(self.ids), len(some)))], axis=1)
+                own, score = own[keep], score[:, keep]
+            score = np.concatenate([held, score], axis=1)
+            ids = np.concatenate([held_ids, np.broadcast_to(own, (n, len(own)))], axis=1)
             best = np.lexsort((ids, -score), axis=1)[:, : self.k]
-            self.score, self.id = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
-        return ()
+            return np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
+        q, v = np.nonzero(score >= held[:, -1:])  # most rows are below the k best that a query holds
+        if not len(q):
+            return held, held_ids
+        again = np.unique(q)
+        query = np.concatenate([np.repeat(again, self.k), q])
+        scores, ids = np.concatenate([held[again].ravel(), score[q, v]]), np.concatenate([held_ids[again].ravel(), own[v]])
+        order = np.lexsort((ids, -scores, query))
+        best = order[np.searchsorted(query[order], again)[:, None] + np.arange(self.k)]
+        held[again], held_ids[again] = scores[best], ids[best]
+        return held, held_ids
 
     def end(self):
-        if self.id.shape[1]:
-            yield _pairs(np.repeat(self.ids, self.id.shape[1]), self.id.ravel(), self.score.ravel())
+        width = max((s.shape[1] for s, _ in self.held), default=0)
+        if width:
+            yield _pairs(np.repeat(self.ids, width), np.concatenate([i.ravel() for _, i in self.held]), np.concatenate([s.ravel() for s, _ in self.held]))
 
 
 _Best = Best
 
 
+def _tiles(n: int) -> list[slice]:
+    return [slice(at, min(at + STEP_QUERIES, n)) for at in range(0, n, STEP_QUERIES)]
+
+
+def _row_steps(n: int, tiles: list[slice]) -> list[slice]:
+    step = max(1, STEP_CELLS // max((t.stop - t.start for t in tiles), default=1))
+    return [slice(at, at + step) for at in range(0, n, step)]
+
+
 class _Near:
     """All pairs at or above the least score."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, least: float):
         self.ids, self.matrix, self.least = ids, matrix.astype(np.float64), least
+        self.tiles = _tiles(len(ids))
 
     def add(self, own: np.ndarray, rows: np.ndarray):
-        step = max(1, STEP_CELLS // max(len(self.ids), 1))
-        for at in range(0, len(own), step):
-            score = self.matrix @ rows[at : at + step].astype(np.float64).T
-            q, v = np.nonzero(score >= self.least)
-            yield _pairs(self.ids[q], own[at : at + step][v], score[q, v])
+        for step in _row_steps(len(own), self.tiles):
+            part = rows[step].astype(np.float64)
+            for some in self.tiles:
+                score = self.matrix[some] @ part.T
+                q, v = np.nonzero(score >= self.least)
+                if len(q):
+                    yield _pairs(self.ids[some][q], own[step][v], score[q, v])
 
     def end(self):
         return ()

@@ -394,3 +394,22 @@ def test_scores_that_round_alike_are_cut_as_in_sql(spark, tmp_path, name):
     found = con.execute(catalogue_queries.ORACLE[name])
     names = [d[0] for d in found.description]
     assert Counter(map(tuple, catalogue_queries.QUERIES[name](spark, str(tmp_path)).select(*names).collect())) == Counter(found.fetchall())
+
+
+def test_memory_of_a_step_does_not_grow_with_the_queries():
+    import tracemalloc
+
+    rng, peaks = np.random.default_rng(1), []
+    vectors = np.repeat(rng.normal(size=(5_000, 16)), 2, axis=0).astype(np.float32)
+    for n in (500, 5_000):
+        queries = rng.normal(size=(n, 16)).astype(np.float32)
+        best = search.Best(np.arange(n), queries, 7)
+        tracemalloc.start()
+        best.add(np.arange(10_000), vectors)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        score = queries.astype(float) @ vectors.astype(float).T
+        want = np.argsort(-score.round(9), axis=1, kind="stable")[:50, :7]
+        (batch,) = best.end()
+        assert (batch.column(1).to_numpy().reshape(n, 7)[:50] == want).all()
+    assert peaks[1] < 40 << 20 and peaks[1] < 2 * peaks[0]
