@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..schema import INDEX_TYPES
 
+MOST_WORDS = 1 << 17
+
 
 def instruction(text: Column, default: str) -> Column:
     """Blank gives the default; a full stop is added unless the last character is punctuation."""
@@ -63,23 +71,72 @@ def rerank_pair(instruct: Column, query: tuple[Column, Column, Column], document
     return F.concat(told, pair_parts("<Query>:", *query), pair_parts("\n<Document>:", *document))
 
 
+class _Buckets(dict):
+    """The hash bucket of each word that a task has met, MOST_WORDS of them at a time."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % self.dims
+        return found
+
+
+def hashed_counts(texts: DataFrame, id_col: str, text_col: str = "text", dims: int = 64, keep: Sequence[str] = ()) -> DataFrame:
+    """id, n (array<long>), kept: word counts by hash bucket over all texts of an id with a word.  A text is counted in one pass where it
+    lies; only counts are exchanged."""
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.struct(F.lit(0).alias("__"), *keep).alias("kept"), F.lower(text_col).alias("n"))
+    kind = StructType([*rows.schema.fields[:2], StructField("n", ArrayType(LongType()))])
+
+    def count(batches):
+        find, buckets = re.compile("[a-z0-9]+").findall, _Buckets(dims)
+        for batch in batches:
+            lines, out = [], []
+            for i, text in enumerate(batch.column(2)):
+                words = find(text.as_py())
+                if words:
+                    lines.append(i)
+                    out.append(np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=dims))
+            if out:
+                flat = pa.array(np.concatenate(out))
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dims, dtype=np.int32)), flat)
+                own = pa.array(lines)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), counts], names=[id_col, "kept", "n"])
+
+    each = rows.mapInArrow(count, kind).groupBy(id_col).agg(F.collect_list("n").alias("all"), F.first("kept").alias("kept"))
+    several = F.aggregate("all", F.array_repeat(F.lit(0).cast("long"), dims), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return each.select(id_col, F.when(F.size("all") == 1, F.col("all")[0]).otherwise(several).alias("n"), "kept")
+
+
+def _square(n: Column) -> Column:
+    return F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x * x)
+
+
 def hashed_text(texts: DataFrame, id_col: str, text_col: str = "text", dims: int = 64) -> DataFrame:
     """id, bucket, weight: word counts by hash bucket at unit length (rows for buckets that occur)."""
-    each = texts.select(F.col(id_col), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
-    words = each.groupBy(id_col, "word").agg(F.count("*").alias("m"))  # a word is hashed once a text
-    bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dims
-    counts = words.groupBy(id_col, bucket.alias("bucket")).agg(F.sum("m").alias("n"))
-    sizes = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    return counts.join(sizes, id_col).select(id_col, "bucket", (F.col("n") / F.col("size")).alias("weight"))
+    counts = hashed_counts(texts, id_col, text_col, dims).select(id_col, F.sqrt(_square(F.col("n"))).alias("size"), F.posexplode("n").alias("bucket", "n"))
+    return counts.where("n > 0").select(id_col, F.col("bucket").cast("long").alias("bucket"), (F.col("n") / F.col("size")).alias("weight"))
+
+
+def hashed_cosine(counts: DataFrame, asked: DataFrame) -> Column:
+    """The cosine of column n with the counts of the one row asked: from whole numbers, so that equal texts have equal scores.  None: no row."""
+    row = asked.select("n").first()
+    if row is None:
+        return F.lit(None).cast("double")
+    dot = F.aggregate(F.zip_with("n", F.array(*[F.lit(x).cast("long") for x in row.n]), lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.when(dot > 0, dot / (F.sqrt(_square(F.col("n"))) * math.sqrt(sum(x * x for x in row.n))))
 
 
 def hashed_vectors(texts: DataFrame, id_col: str, text_col: str = "text", dims: int = 64, kind: str = "float", keep: Sequence[str] = ()) -> DataFrame:
     """id, embedding: the same as dense arrays of float or double.  Columns to keep go along, those of one row for each id."""
-    kept = F.struct(F.lit(0).alias("__"), *keep).alias("kept")
-    each = texts.select(F.col(id_col), kept, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
-    words = each.groupBy(id_col, "word").agg(F.count("*").alias("m"), F.first("kept").alias("kept"))  # a word is hashed once a text
-    bucket = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dims).cast("int")
-    counts = words.groupBy(id_col, bucket.alias("bucket")).agg(F.sum("m").alias("n"), F.first("kept").alias("kept"))
-    rows = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"), F.first("kept").alias("kept"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)) / F.col("size")).cast(kind))
-    return rows.select(id_col, dense.alias("embedding"), *[F.col("kept").getField(c).alias(c) for c in keep])
+    rows = hashed_counts(texts, id_col, text_col, dims, keep)
+    return rows.select(id_col, unit_counts(kind).alias("embedding"), *[F.col("kept").getField(c).alias(c) for c in keep])
+
+
+def unit_counts(kind: str = "float") -> Column:
+    """Counts (column n) at unit length."""
+    size = F.sqrt(_square(F.col("n")))
+    return F.transform("n", lambda x: (x / size).cast(kind))

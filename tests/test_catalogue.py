@@ -413,3 +413,15 @@ def test_memory_of_a_step_does_not_grow_with_the_queries():
         (batch,) = best.end()
         assert (batch.column(1).to_numpy().reshape(n, 7)[:50] == want).all()
     assert peaks[1] < 40 << 20 and peaks[1] < 2 * peaks[0]
+
+
+def test_copies_of_a_text_tie(spark, tmp_path):
+    """Copies have one score, whatever the order in which their buckets come, so the least ids win; texts of one id count together."""
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 900, 400))
+    rows = [(i, text if i % 2 else f"{text} other{i}") for i in range(120)] + [(200, None), (201, " - "), (202, text[:700]), (202, text[700:])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue_queries.QUERIES["text_hash_topk"](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 41, 2)]
+    both = words.hashed_counts(spark.createDataFrame(rows, "doc_id long, text string").where("doc_id >= 200"), "doc_id").collect()
+    assert [(r.doc_id, sum(r.n)) for r in both] == [(202, len(text[:700].split()) + len(text[700:].split()))]
