@@ -8,6 +8,7 @@ sorted by list or bucket, so that a query's filter prunes the scan to the ones i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schema import TOP_K, TRAINING_SAMPLE
-from .search import BLOCK_BYTES, Best, best_of, flat_topk, meet, part_rows, ranked
+from .search import BLOCK_BYTES, SAME, Best, _pairs, batch_topk, best_of, dots, flat_topk, meet, part_rows, ranked, tiles
 
 SAMPLE_BYTES = 64 << 20
-RECALL = 0.95
+RECALL, KEPT = 0.95, 0.975  # of the exact answers: in the lists that are read; of these, among the rows that codes let through
 ASKED = 200
 LEAST_LISTS, FLAT_LISTS, ROWS_PER_CENTER, CELL_ROWS = 100, 1024, 40, 20_000
 MODEL_BYTES = 256 << 20
@@ -397,26 +398,70 @@ class Pq:
 
     def batch(self, encoded: DataFrame, queries: DataFrame, k: int = TOP_K, refine: int | None = None, nprobe: int | None = None) -> DataFrame:
         """query_id, vector_id, score, rank for a table of queries (query_id, embedding): each goes to the lists that it probes and ranks
-        the codes there by its tables; the best ``refine`` times k of them all get their exact scores."""
-        width, held = len(self.books), (refine or self.refine) * k
-        coded = encoded.select("vector_id", F.slice("codes", 1, width).alias("embedding"), "list_id")
-        found = _routed(self.lists.probing(queries, nprobe or self.lists.nprobe), coded, part_rows(width), lambda key, ids, matrix: Rough(ids, matrix, key[0].as_py(), self, held))
-        best = best_of(found, held).select("query_id", "vector_id")
-        asked = queries.select("query_id", F.col("embedding").alias("__asked"))
-        exact = encoded.select("vector_id", "embedding").join(best, "vector_id").join(asked, "query_id")
-        return best_of(exact.select("query_id", "vector_id", V.dot(F.col("embedding"), F.col("__asked")).alias("score")), k)
-
-
-class Rough(Best):
-    """The best k of each query by the codes of one list."""
-
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, list_id: int, codes: Pq, k: int):
-        super().__init__(ids, matrix, k)
-        self.tables = [part @ book.T for part, book in zip(np.split(self.matrix, len(codes.books), axis=1), codes.books, strict=True)]
-        self.offset = self.matrix @ codes.places()[list_id]
-
-    def steps(self, rows: np.ndarray) -> np.ndarray:
-        return rows
-
-    def scores(self, some: slice, rows: np.ndarray) -> np.ndarray:
-        return self.offset[some, None] + sum(table[some][:, rows[:, i]] for i, table in enumerate(self.tables))
+        the codes there; the best ``refine`` times k of each list (of each part of a large one) get their exact scores where they lie, among
+        them all that are the best ``refine`` times k of the lists together.  The best k leave a task."""
+        held = (refine or self.refine) * k
+        return best_of(self._met(encoded, queries, nprobe, lambda ids, matrix: Rough(ids, matrix, self.books, k, held)), k)
+
+    def fitted(self, encoded: DataFrame, k: int = TOP_K, nprobe: int | None = None) -> int:
+        """The least refine with which a batch scores KEPT of the exact best k of ASKED sampled vectors that are in the lists probed: what it takes grows
+        with the lists, so it is measured on the whole table, which a sample of the rows can't tell."""
+        asked = sampled(encoded, ASKED).select(F.col("vector_id").alias("query_id"), "embedding")
+        exact = batch_topk(encoded, asked, k).groupBy("query_id").agg(F.min("score").alias("least")).collect()  # ASKED rows
+        least = {r.query_id: r.least - SAME for r in exact}
+        found = best_of(self._met(encoded, asked, nprobe, lambda ids, matrix: Places(ids, matrix, self.books, k, least)), k)
+        places = sorted(r.vector_id for r in found.select("vector_id").collect())  # k for each that is asked
+        return math.ceil((places[math.ceil(KEPT * len(places) - 1e-9) - 1] + 1) / k) if places else self.refine
+
+    def _met(self, encoded: DataFrame, queries: DataFrame, nprobe: int | None, make) -> DataFrame:
+        """What ``make(query ids, matrix)`` finds in each list that the queries probe; its rows are codes and, behind them, the vector."""
+        rows = encoded.select("vector_id", F.concat(F.slice("codes", 1, len(self.books)).cast("array<float>"), "embedding").alias("embedding"), "list_id")
+        per_part = part_rows(len(self.books) + sum(b.shape[1] for b in self.books))
+        return _routed(self.lists.probing(queries, nprobe or self.lists.nprobe), rows, per_part, lambda _, ids, matrix: make(ids, matrix))
+
+
+class Rough:
+    """The best k of each query among the ``held`` rows of a list that are best by their codes.
+
+    Products with the coded places are products with the rows' decoded rests: the place of the list adds the same to all of its rows."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, books: list[np.ndarray], k: int, held: int):
+        self.ids, self.matrix, self.books, self.k, self.held = ids, matrix.astype(np.float64), books, k, held
+
+    def add(self, own: np.ndarray, rows: np.ndarray):
+        order, m = np.argsort(own, kind="stable"), len(self.books)
+        own, codes, rows = own[order], rows[order, :m].astype(np.int64), rows[order, m:]
+        decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1).astype(np.float32)
+        for some in tiles(len(self.ids), len(own)):
+            yield self.found(some, own, rows, self.matrix[some].astype(np.float32) @ decoded.T)
+
+    def found(self, some: slice, own: np.ndarray, rows: np.ndarray, rough: np.ndarray) -> pa.RecordBatch:
+        n = rough.shape[1]
+        held, k = min(self.held, n), min(self.k, self.held, n)
+        best = np.argpartition(rough, n - held, axis=1)[:, n - held :]
+        score = dots(rows, best.ravel(), self.matrix[some], np.repeat(np.arange(len(best)), held)).reshape(best.shape)
+        q, at = np.nonzero(score >= np.partition(score, held - k, axis=1)[:, held - k, None])  # with all that tie with the last
+        v, score = best[q, at], score[q, at]
+        order = np.lexsort((v, -score, q))  # rows are by id
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+        return _pairs(self.ids[some][q[order]], own[v[order]], score[order])
+
+    def end(self):
+        return ()
+
+
+class Places(Rough):
+    """For each query the places, by the codes, of the k best rows of a list among those that score ``least`` at least, in place of their ids."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, books: list[np.ndarray], k: int, least: dict[int, float]):
+        super().__init__(ids, matrix, books, k, k)
+        self.least = least
+
+    def found(self, some: slice, own: np.ndarray, rows: np.ndarray, rough: np.ndarray) -> pa.RecordBatch:
+        score, k = self.matrix[some] @ rows.T.astype(np.float64), min(self.k, rough.shape[1])
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(score, best, 1)
+        own_rough = np.take_along_axis(rough, best, 1)
+        place = np.stack([(rough > own_rough[:, i, None]).sum(axis=1) for i in range(k)], axis=1)
+        q, at = np.nonzero(score >= np.array([self.least[i] for i in self.ids[some].tolist()])[:, None])
+        return _pairs(self.ids[some][q], place[q, at], score[q, at])

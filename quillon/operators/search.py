@@ -25,6 +25,8 @@ from ..schema import MOST_K, TOP_K
 BLOCK_BYTES = 8 << 20
 PART_ROWS, PART_BYTES = 100_000, 64 << 20
 STEP_QUERIES, STEP_CELLS = 512, 500_000
+TILE_CELLS, STEP_BYTES = 4 << 20, 1 << 20
+SAME = 1e-9  # scores so near are equal: the same products, added up in another order
 
 
 def ranked(rows: DataFrame, k: int | None = None, *ties: str) -> DataFrame:
@@ -210,6 +212,22 @@ def _row_steps(n: int, tiles: list[slice]) -> list[slice]:
     return [slice(at, at + step) for at in range(0, n, step)]
 
 
+def tiles(n: int, width: int) -> list[slice]:
+    """Slices of n queries that meet ``width`` rows at once: TILE_CELLS at most."""
+    step = max(1, min(STEP_QUERIES, TILE_CELLS // max(width, 1)))
+    return [slice(at, at + step) for at in range(0, n, step)]
+
+
+def dots(matrix: np.ndarray, rows: np.ndarray, queries: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Inner products of pairs (places of a row and of a query), STEP_BYTES of vectors at a time."""
+    out = np.empty(len(rows), dtype=queries.dtype)
+    step = max(1, STEP_BYTES // (8 * matrix.shape[1]))
+    for at in range(0, len(rows), step):
+        own = slice(at, at + step)
+        out[own] = np.einsum("nd,nd->n", matrix.take(rows[own], axis=0).astype(queries.dtype, copy=False), queries.take(asked[own], axis=0))
+    return out
+
+
 class _Near:
     """All pairs at or above the least score."""
 

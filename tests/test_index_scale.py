@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.index import VectorIndex
 from quillon.operators import ann, graph, maintain, search
+from quillon.plans import catalogue_queries, index_queries  # noqa: F401  the first registers the second
 from quillon.sources import discover, snapshots
 from quillon.sources.media import BatchEmbedder, HashingEmbedder, TableEmbedder, embed_rows
 from quillon.sources.scratch import Scratch
@@ -517,6 +518,31 @@ def test_batches_by_codes(spark, monkeypatch):
     assert hits(model.batch(encoded, queries, 20, refine=10, nprobe=16).collect(), matrix, asked, 20) >= 0.9
 
 
+def test_codes_are_refined_as_the_table_needs(spark, monkeypatch):
+    """Vectors without clusters and coarse codes: what a sample of the rows is content with is too little for the table."""
+    matrix, asked = drawn(9, 6000, np.zeros((1, DIMS))), list(range(0, 6000, 60))
+    rows = table_of(spark, matrix)
+    queries = rows.where("vector_id % 60 = 0").withColumnRenamed("vector_id", "query_id")
+    model = ann.Pq.train(rows, 2, 2, nlist=4)
+    encoded = model.encode(rows)
+    assert hits(model.batch(encoded, queries, 5, nprobe=4).collect(), matrix, asked, 5) < 0.9
+    refine = model.fitted(encoded, 5, nprobe=4)
+    got = model.batch(encoded, queries, 5, refine, nprobe=4).collect()
+    assert hits(got, matrix, asked, 5) >= 0.9 and refine > model.refine
+    exact = matrix.astype(np.float32).astype(float)
+    assert max(abs(r.score - exact[r.query_id] @ exact[r.vector_id]) for r in got) < 1e-12
+    assert model.fitted(encoded.limit(0), 5) == model.refine
+
+
+def test_recall_with_copies(spark, tmp_path):
+    """Every vector eight times: of copies at the cut any counts, since all score alike."""
+    matrix = drawn(11, 250, np.zeros((1, DIMS))).repeat(4, axis=1) / 2
+    rows = [(i, matrix[i % 250].tolist(), 0) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = index_queries.ann_recall(spark, str(tmp_path)).collect()
+    assert sorted((r.method, r.queries, r.enough) for r in got) == [(m, 100, True) for m in ("graph", "ivf", "ivf_pq")]
+
+
 def test_a_batch_of_a_stream_is_added_once(spark, tmp_path):
     index = VectorIndex(Catalogue(spark, str(tmp_path)), "b", Given())
     assert index.add_batch(items(spark, drawn(1, 5, places(1, 5)), "x"), "s", 0) == {"added": 5}
