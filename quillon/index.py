@@ -342,9 +342,9 @@ class VectorIndex:
                 def built() -> tuple[DataFrame, dict]:
                     vectors = self.store.table("vectors")
                     edges = graph.build(vectors, scratch)
-                    return edges, {"segments": now, "beam": graph.fitted(edges, vectors, scratch)}
+                    return edges, {"segments": now, "beam": graph.fitted(edges, vectors, scratch), "part_rows": graph.GRAPH_ROWS}
 
-                notes, edges = self.store.model("graph", built, lambda n: n["segments"] != now)
+                notes, edges = self.store.model("graph", built, lambda n: n["segments"] != now or n.get("part_rows") != graph.GRAPH_ROWS)
             return edges, notes.get("beam", graph.BEAM)
 
         return self._model("graph", make)

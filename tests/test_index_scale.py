@@ -212,6 +212,30 @@ def test_graph_of_few_and_odd_vectors(spark):
         assert [(r.query_id, r.vector_id, r["rank"]) for r in got.orderBy("rank").collect()] == [(9, 1, 1), (9, 2, 2)]
 
 
+def test_graph_in_parts(spark, monkeypatch):
+    """Several parts and blocks of queries; a walk stores nothing, whatever its rounds, and a row that no part links comes up by its entry."""
+    monkeypatch.setattr(graph, "GRAPH_ROWS", 300)
+    monkeypatch.setattr(graph, "BLOCK_BYTES", 4000)
+    matrix, asked = drawn(5, 2000, places(5, 40)), list(range(0, 2000, 20))
+    rows = table_of(spark, matrix)
+    queries = rows.where("vector_id % 20 = 0").withColumnRenamed("vector_id", "query_id")
+    with Scratch(spark) as scratch:
+        edges = graph.build(rows, scratch)
+        part = F.pmod(F.xxhash64("id"), F.lit(7))
+        ends = [edges.select(F.col(c).alias("id")).select(part).collect() for c in ("src", "dst")]
+        assert ends[0] == ends[1] and {r[0] for r in ends[0]} == set(range(7))
+        beam, stored = graph.fitted(edges, rows, scratch, 10), scratch.n
+        found = graph.search(edges, rows, queries, scratch, 10, beam)
+        got = found.collect()
+        assert scratch.n == stored
+        assert hits(got, matrix, asked, 10) >= 0.95 and len(got) == 1000
+        exact = matrix.astype(np.float32).astype(float)
+        assert max(abs(r.score - exact[r.query_id] @ exact[r.vector_id]) for r in got) < 1e-12
+        alone = spark.createDataFrame([(5000, matrix[0].tolist())], "vector_id long, embedding array<float>")
+        wide = graph.search(edges.limit(0), alone, queries, scratch, 10, beam)
+        assert {(r.vector_id, r["rank"]) for r in wide.collect()} == {(5000, 1)} and wide.count() == 100
+
+
 def test_graph_index(spark, tmp_path):
     index = VectorIndex(Catalogue(spark, str(tmp_path)), "g", Given(), "graph")
     index.add_items(items(spark, drawn(1, 1200, places(1, 12)), "one"))
