@@ -451,7 +451,8 @@ class Rough:
 
 
 class Places(Rough):
-    """For each query the places, by the codes, of the k best rows of a list among those that score ``least`` at least, in place of their ids."""
+    """For each query the places, by the codes, of the k best rows of a list among those that score ``least`` at least, in place of their ids.  A row
+    comes behind all that have its codes, since any of them may be let through before it."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, books: list[np.ndarray], k: int, least: dict[int, float]):
         super().__init__(ids, matrix, books, k, k)
@@ -462,6 +463,6 @@ class Places(Rough):
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]
         score = np.take_along_axis(score, best, 1)
         own_rough = np.take_along_axis(rough, best, 1)
-        place = np.stack([(rough > own_rough[:, i, None]).sum(axis=1) for i in range(k)], axis=1)
+        place = np.stack([(rough >= own_rough[:, i, None]).sum(axis=1) - 1 for i in range(k)], axis=1)
         q, at = np.nonzero(score >= np.array([self.least[i] for i in self.ids[some].tolist()])[:, None])
         return _pairs(self.ids[some][q], place[q, at], score[q, at])

@@ -558,6 +558,19 @@ def test_codes_are_refined_as_the_table_needs(spark, monkeypatch):
     assert model.fitted(encoded.limit(0), 5) == model.refine
 
 
+def test_codes_of_near_copies(spark):
+    """Rows of equal codes: the fit counts them all, since codes can't tell which of them are the best."""
+    rng = np.random.default_rng(4)
+    matrix = drawn(9, 3000, np.zeros((1, DIMS)))
+    matrix[::3] = unit(matrix[1] + 1e-4 * rng.normal(size=(1000, DIMS)))
+    rows, asked = table_of(spark, matrix), list(range(0, 3000, 30))
+    queries = rows.where("vector_id % 30 = 0").withColumnRenamed("vector_id", "query_id")
+    model = ann.Pq.train(rows, 2, 3, nlist=4)
+    encoded = model.encode(rows)
+    refine = model.fitted(encoded, 5, nprobe=4)
+    assert refine >= 190 and hits(model.batch(encoded, queries, 5, refine, nprobe=4).collect(), matrix.astype(np.float32).astype(float), asked, 5) >= 0.9
+
+
 def test_recall_with_copies(spark, tmp_path):
     """Every vector eight times: of copies at the cut any counts, since all score alike."""
     matrix = drawn(11, 250, np.zeros((1, DIMS))).repeat(4, axis=1) / 2
