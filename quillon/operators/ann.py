@@ -46,8 +46,8 @@ def sample_matrix(vectors: DataFrame, most: int = TRAINING_SAMPLE) -> np.ndarray
     first = vectors.where("embedding is not null").select(F.size("embedding").alias("n")).first()
     if first is None:
         return np.zeros((0, 1))
-    rows = sampled(vectors, min(most, max(1, SAMPLE_BYTES // (8 * first.n)))).select("embedding").collect()
-    return np.array([r.embedding for r in rows], dtype=float)
+    rows = sampled(vectors, min(most, max(1, SAMPLE_BYTES // (8 * first.n)))).select("embedding").toArrow()["embedding"]
+    return rows.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
 
 
 def least_training(nlist: int) -> int:
